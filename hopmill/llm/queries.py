@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmill.llm import chat, embeddings, minhash, mixing, repeats, sharding, tokens, urls
+from hopmill.llm import chat, embeddings, langid, minhash, mixing, repeats, sharding, tokens, urls
 from hopmill.llm.common import read, stash, word_count
 
 SHARDS, TOKEN_LIMIT = 16, 2048
@@ -57,6 +57,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_tokens": op3_tokens,
@@ -66,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": op7_minhash,
     "op8_repeats": op8_repeats,
     "op9_chat": op9_chat,
+    "op10_langid": op10_langid,
 }
