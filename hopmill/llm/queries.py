@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmill.llm import chat, embeddings, langid, minhash, mixing, repeats, sharding, tokens, urls
+from hopmill.llm import chat, decontam, embeddings, langid, minhash, mixing, repeats, sharding, tokens, urls
 from hopmill.llm.common import read, stash, word_count
 
 SHARDS, TOKEN_LIMIT = 16, 2048
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +67,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_decontam": op2_decontam,
     "op3_tokens": op3_tokens,
     "op4_embeddings": op4_embeddings,
     "op5_sharding": op5_sharding,
