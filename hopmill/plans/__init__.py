@@ -1 +1,5 @@
+"""Registered queries of the library on the driver's tables, module by module."""
 
+from hopmill.plans import accounting_queries, metric_queries
+
+PLANS = [metric_queries, accounting_queries]
