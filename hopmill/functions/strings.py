@@ -9,12 +9,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 CHANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string())]))
-CHANGED = "struct<text string, changes array<struct<start int, `end` int, before string, after string>>>"
+_CHANGE = StructType().add("start", IntegerType()).add("end", IntegerType()).add("before", StringType()).add("after", StringType())
+CHANGED = StructType().add("text", StringType()).add("changes", ArrayType(_CHANGE))
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(ArrayType(IntegerType()))
 def _hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, needles in batches:
         out = []
@@ -33,7 +35,7 @@ def occurrences(text: Column, needle: Column) -> Column:
     return _hits(text, needle)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _surface(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         yield pa.array([None if v is None else unicodedata.normalize("NFKC", v).strip() for v in batch.to_pylist()], pa.string())
@@ -44,7 +46,7 @@ def surface(name: Column) -> Column:
     return _surface(name)
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BooleanType())
 def _only_names(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for quotes, names in batches:
         out = []
