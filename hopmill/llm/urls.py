@@ -49,7 +49,7 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> C
 
     rules is a short list: each is one comparison of the plan. Rules equally long tie in the order of the list.
     """
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule string, verdict string>")
     for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
         at, _, rest = rule.partition("/")
         fits = ((host == at) | host.endswith(f".{at}")) & path.startswith(f"/{rest}")
