@@ -24,10 +24,10 @@ def slotted(text: Column) -> Column:
     Numbers (with inner points and commas) are slots; so are capitalised words inside a sentence, neighbours being one
     name; and unit words behind a number. A word in capitals throughout, or the first of a sentence, is literal.
     """
-    v = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "")
-    v = F.regexp_replace(v, r"(?<=[^.!?\s][ \t])(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1")
-    v = F.regexp_replace(v, r"(?<![\p{L}\p{N}])(\p{N}+(?:[.,]\p{N}+)*)", f" {NUMBER}$1 ")
-    v = F.lower(F.regexp_replace(v, rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}.,]+|(?<!\p{{N}})[.,]+|[.,]+(?!\p{{N}})", " "))
+    v = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{UNIT}]", "")
+    v = F.regexp_replace(v, r"(\p{Lu}(?<=[^.!?\s][ \t].)\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1")
+    v = F.regexp_replace(v, r"(\p{N}(?<![\p{L}\p{N}].)\p{N}*(?:[.,]\p{N}+)*)", f" {NUMBER}$1 ")
+    v = F.lower(F.regexp_replace(v, rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}., ]+|[.,]+(?!\p{{N}})|[.,]+(?<!\p{{N}}[.,]{{1,9}})", " "))
     v = F.regexp_replace(v, r" {2,}", " ")
     v = F.regexp_replace(v, rf"({NUMBER}\S+ )({'|'.join(UNITS)})(?= |$)", f"$1{UNIT}$2")
     return F.trim(F.regexp_replace(v, rf"({NAME}\S+) (?={NAME})", "$1_"))
@@ -39,13 +39,13 @@ def template(slots: Column) -> Column:
 
 
 def tokens(slots: Column) -> Column:
-    return F.when(slots == "", F.array().cast("array<string>")).otherwise(F.split(slots, " "))
+    return F.array_remove(F.split(slots, " "), "")
 
 
 def _windows(words: Column, n: int) -> Column:
     """Array of the hashes of all windows of n tokens, by place."""
     places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(words, i, n)))
+    return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + (j - 1)) for j in range(n))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
