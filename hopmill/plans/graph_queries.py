@@ -121,6 +121,21 @@ def g17_roles(spark, sf_dir):
     return G.document_roles(docs, uses)
 
 
+def g14_frontier(spark, sf_dir):
+    """Hop 1 reviews customers, hop 2 the nations they reach; some nations are reviewed though nobody reached them."""
+    c = table(spark, sf_dir, "customer")
+    start = c.where("c_custkey % 3 <> 0").select((F.col("c_custkey") % 10).alias("query_id"), F.col("c_custkey").cast("string").alias("entity"))
+    one = c.where("c_custkey % 4 <> 0").select((F.col("c_custkey") % 10).alias("query_id"), F.lit(1).alias("hop"), F.col("c_custkey").cast("string").alias("child"), F.array(F.concat(F.lit("n"), "c_nationkey")).alias("parents"))
+    two = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 10).cast("long").alias("query_id"), F.lit(2).alias("hop"), F.concat(F.lit("n"), "n_nationkey").alias("child"), F.array().cast("array<string>").alias("parents"))
+    return G.frontier_violations(one.unionByName(two), start, 2).groupBy("hop", "check").agg(F.count("*").alias("entities"))
+
+
+def g18_probes(spark, sf_dir):
+    node = F.struct(F.col("l_partkey").alias("upstream"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("relation"), F.col("l_suppkey").alias("value"), F.array("l_linenumber").alias("supports"))
+    proofs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("question_id")).agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    return G.one_hop_probes(proofs).select("question_id", "upstream", "relation", "answer")
+
+
 def g19_normal(spark, sf_dir):
     label = F.element_at(F.array(*map(F.lit, ("father", "daughter", "mother", "uncle"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     r = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("head"), F.col("o_orderkey").alias("tail"), label.alias("label"))
@@ -193,7 +208,7 @@ def v11_rebuild(spark, sf_dir):
     return V.rebuild_differences(s, r, ["o_orderkey"]).groupBy("check").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (g01_paths, g02_walks, g03_options, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g16_distractors, g17_roles, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
+QUERIES = {f.__name__: f for f in (g01_paths, g02_walks, g03_options, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g14_frontier, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
 
 _FACTS = "f AS (SELECT 'fc' || c_custkey AS fact_id, 'c' || c_custkey AS child, 'n' || c_nationkey AS parent, CASE WHEN c_nationkey % 2 = 1 THEN 'father' ELSE 'mother' END AS parent_role FROM customer UNION ALL SELECT 'fn' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'mother' FROM nation)"
 _DEGREES = f"{_FACTS}, s AS (SELECT child AS entity, parent_role AS relation, 'out' AS direction, child FROM f UNION ALL SELECT parent, parent_role, 'in', child FROM f)"
@@ -214,6 +229,11 @@ c AS (SELECT *, CASE WHEN NOT (a = 1 AND r = 1) THEN 'not_single' WHEN left_valu
     "g10_difference": f"WITH {_DEGREES}, g AS (SELECT entity, relation, direction, count(*) AS degree, nullif(count(*) FILTER (WHERE child <> 'c7'), 0) AS other FROM s GROUP BY ALL) SELECT * FROM g WHERE degree IS DISTINCT FROM other",
     "g11_defects": """WITH c AS (SELECT c_custkey % 4 AS k, c_nationkey % 2 = 1 AS father FROM customer), v AS (SELECT 'answer' AS "check" FROM c WHERE k = 1 UNION ALL SELECT 'length' FROM c WHERE k = 2 UNION ALL SELECT 'unknown_fact' FROM c WHERE k = 3 UNION ALL SELECT 'role' FROM c WHERE NOT father) SELECT "check", count(*) AS queries FROM v GROUP BY 1""",
     "g12_shape": "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), j AS (SELECT *, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nx FROM s) SELECT l_orderkey AS item_id, CASE WHEN bool_or(l_linenumber <> 6 AND nx IS NOT NULL AND nx <> l_linenumber + 1) THEN 'incorrect' WHEN bool_or(l_linenumber IN (5, 6)) THEN 'needs_semantic_review' ELSE 'correct' END AS shape FROM j GROUP BY 1",
+    "g14_frontier": """WITH s AS (SELECT DISTINCT c_custkey % 10 AS q, c_custkey::VARCHAR AS e FROM customer WHERE c_custkey % 3 <> 0), r1 AS (SELECT c_custkey % 10 AS q, c_custkey::VARCHAR AS e, 'n' || c_nationkey AS p FROM customer WHERE c_custkey % 4 <> 0),
+r2 AS (SELECT n_nationkey % 10 AS q, 'n' || n_nationkey AS e FROM nation), f2 AS (SELECT DISTINCT q, p AS e FROM r1),
+v AS (SELECT 1 AS hop, CASE WHEN r1.e IS NULL THEN 'missing' ELSE 'unexpected' END AS "check" FROM s FULL JOIN r1 ON s.q = r1.q AND s.e = r1.e WHERE r1.e IS NULL OR s.e IS NULL
+UNION ALL SELECT 2, CASE WHEN r2.e IS NULL THEN 'missing' ELSE 'unexpected' END FROM f2 FULL JOIN r2 ON f2.q = r2.q AND f2.e = r2.e WHERE r2.e IS NULL OR f2.e IS NULL) SELECT hop, "check", count(*) AS entities FROM v GROUP BY ALL""",
+    "g18_probes": "SELECT l_orderkey AS question_id, l_partkey AS upstream, l_returnflag AS relation, l_suppkey AS answer FROM lineitem WHERE l_returnflag <> 'N'",
     "g16_distractors": f"WITH {_FACTS}, o AS (SELECT * FROM f WHERE fact_id <> 'fc3'), d AS (SELECT r_regionkey AS node_id, 'other_relation' AS kind FROM region JOIN o ON child = 'n' || r_regionkey AND parent_role <> 'father' UNION ALL SELECT r_regionkey, 'other_upstream' FROM region JOIN o ON parent_role = 'father' AND child <> 'n' || r_regionkey) SELECT node_id, kind, count(*) AS facts FROM d GROUP BY ALL",
     "g17_roles": "WITH u AS (SELECT l_partkey, min(CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS r FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1) SELECT p_partkey AS document_id, ['current_proof', 'alternative', 'background', 'unreferenced'][coalesce(r, 4)] AS role FROM part LEFT JOIN u ON l_partkey = p_partkey",
     "g19_normal": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN o_custkey ELSE o_orderkey END AS parent, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey ELSE o_custkey END AS child, ['father', 'parent', 'mother'][o_orderkey % 4 + 1] AS parent_role FROM orders WHERE o_orderkey % 4 <> 3",

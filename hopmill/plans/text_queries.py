@@ -82,6 +82,25 @@ def t10_resolve(spark, sf_dir):
     return T.resolve(e.select("owner_id", F.col("entity_id").alias("asked"), mention.alias("mention")), T.identity_index(T.surfaces(e))).select("owner_id", "asked", "status", "entity_id")
 
 
+def t11_pure(spark, sf_dir):
+    """Surfaces of customers: their name, and of some the name of another customer of the nation with a word behind it."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").alias("entity_id"), "c_name", "c_mktsegment")
+    first = c.groupBy("owner_id").agg(F.min("c_name").alias("_f"))
+    rows = c.join(first, "owner_id").select("owner_id", "entity_id", F.explode(F.array(F.struct(F.col("c_name").alias("surface"), F.lit(True).alias("is_name")), F.struct(F.concat("_f", F.when(F.col("entity_id") % 2 == 0, " kin ").otherwise(" of "), F.col("entity_id") % 40).alias("surface"), F.lit(False).alias("is_name")))).alias("_s")).select("owner_id", "entity_id", "_s.*")
+    return T.pure_surfaces(rows, kin="kin").select("owner_id", "entity_id", "surface")
+
+
+def t21_defects(spark, sf_dir):
+    """A document's fact: its endpoints are two of its first words; some have an unknown parent, some are their own parent."""
+    d = table(spark, sf_dir, "documents").where("length(text) > 200").select(F.col("doc_id").alias("owner_id"), F.col("doc_id").alias("unit_id"), "text")
+    n = F.col("owner_id") % 4
+    facts = d.select("owner_id", F.lit("f").alias("fact_id"), F.when(n == 1, "zz").when(n == 2, "b").otherwise("a").alias("parent"), F.lit("b").alias("child"))
+    entities = d.select("owner_id", F.explode(F.array(F.struct(F.lit("a").alias("entity_id"), F.substring("text", 21, 10).alias("name")), F.struct(F.lit("b").alias("entity_id"), F.substring("text", 101, 10).alias("name")))).alias("_e")).select("owner_id", "_e.*", F.array().cast("array<string>").alias("aliases"))
+    quote = F.when(n == 3, F.lit("☃")).otherwise(F.substring("text", 11, 120))
+    evidence = d.select("owner_id", F.lit("f").alias("fact_id"), F.lit(1).alias("group_no"), "unit_id", quote.alias("quote"))
+    return T.evidence_defects(facts, entities, evidence, d).where("check <> 'endpoint_unnamed'").groupBy("check").agg(F.count("*").alias("facts"))
+
+
 def t12_display(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("owner_id"), F.col("turn").alias("context_id"), F.lower("text").alias("text"))
     e = c.select("owner_id").distinct().select("owner_id", F.lit("x").alias("entity_id"), F.lit("thes the").alias("name"), F.array(F.lit("and"), F.lit("tion"), F.lit("ment")).alias("aliases"))
@@ -144,7 +163,7 @@ def t25_padded(spark, sf_dir):
     return _docs(spark, sf_dir).select("owner_id", F.sha2(a, 256).alias("first"), F.length(b).alias("second"))
 
 
-QUERIES = {f.__name__: f for f in (t01_located, t02_occurrences, t03_unique, t04_sole, t05_citations, t06_overlap, t07_segments, t07_catalog, t08_windows, t09_index, t10_resolve, t12_display, t13_visible, t16_markers, t17_deleted, t18_cut, t19_survivors, t20_active, t22_replaced, t24_composed, t25_padded)}
+QUERIES = {f.__name__: f for f in (t01_located, t02_occurrences, t03_unique, t04_sole, t05_citations, t06_overlap, t07_segments, t07_catalog, t08_windows, t09_index, t10_resolve, t11_pure, t12_display, t13_visible, t16_markers, t17_deleted, t18_cut, t19_survivors, t20_active, t21_defects, t22_replaced, t24_composed, t25_padded)}
 
 _D = "d AS (SELECT doc_id AS owner_id, lower(text) AS text FROM documents)"
 
@@ -176,6 +195,10 @@ SELECT owner_id, b::INT AS start, e::INT AS "end", min_by(w, -length(w)) AS matc
 j AS (SELECT m.*, a.n AS an, a.id AS aid, b.n AS bn, b.id AS bid FROM m LEFT JOIN i a ON a.owner_id = m.owner_id AND a.surface = l LEFT JOIN i b ON b.owner_id = m.owner_id AND b.surface = r),
 s AS (SELECT *, CASE WHEN k = 2 THEN 'unresolved' WHEN k = 0 THEN CASE WHEN an = 1 THEN 'resolved' ELSE 'ambiguous' END WHEN an = 1 AND bn = 1 THEN CASE WHEN aid = bid THEN 'resolved' ELSE 'conflicting' END WHEN an > 1 OR bn > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status FROM j)
 SELECT owner_id, asked, status, CASE WHEN status = 'resolved' THEN aid END AS entity_id FROM s""",
+    "t11_pure": """WITH f AS (SELECT c_nationkey, min(c_name) AS f FROM customer GROUP BY 1), r AS (SELECT c_nationkey AS owner_id, c_custkey AS entity_id, c_name AS surface, true AS named, NULL AS f FROM customer UNION ALL
+SELECT c.c_nationkey, c_custkey, f || CASE WHEN c_custkey % 2 = 0 THEN ' kin ' ELSE ' of ' END || c_custkey % 40, false, CASE WHEN c_custkey % 2 = 0 AND c_name <> f THEN f END FROM customer c JOIN f ON c.c_nationkey = f.c_nationkey),
+s AS (SELECT *, count(*) OVER (PARTITION BY owner_id, surface) AS n FROM r) SELECT owner_id, entity_id, surface FROM s WHERE n = 1 AND f IS NULL""",
+    "t21_defects": """WITH d AS (SELECT doc_id % 4 AS n FROM documents WHERE length(text) > 200), v AS (SELECT 'endpoint' AS "check" FROM d WHERE n = 1 UNION ALL SELECT 'self_parent' FROM d WHERE n = 2 UNION ALL SELECT 'quote_absent' FROM d WHERE n = 3) SELECT "check", count(*) AS facts FROM v GROUP BY 1""",
     "t12_display": f"WITH {_SURFACES}, v AS (SELECT owner_id, surface, named FROM c, s WHERE contains(text, surface)), b AS (SELECT owner_id, first(surface ORDER BY named DESC, length(surface) DESC, surface) AS display FROM v GROUP BY 1) SELECT owner_id, 'x' AS entity_id, coalesce(display, '') AS display FROM (SELECT DISTINCT owner_id FROM c) LEFT JOIN b USING (owner_id)",
     "t13_visible": f"WITH {_SURFACES} SELECT owner_id, context_id, string_agg(surface, ',' ORDER BY surface) AS surfaces FROM c, s WHERE contains(text, surface) GROUP BY ALL HAVING count(*) >= 2",
     "t16_markers": f"WITH {_D}, q AS (SELECT owner_id, substr(text, 1, 40) AS q, replace(replace(substr(text, 1, 40), 'then', ''), 'the', '') AS r FROM d) SELECT owner_id, contains(q, 'then') AS has_a, contains(q, 'the') AS has_b, regexp_matches(r, 'and|tion') AS predicate, regexp_matches(r, 'ou') AS role FROM q",
