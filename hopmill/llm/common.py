@@ -34,6 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches of 16 MB rather than the default of 64, unless the session chose a size itself.
+
+    A batch is held by the JVM, in its buffers, and by the Python worker at the same time.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, "16m")
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors, and has known sizes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

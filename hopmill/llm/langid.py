@@ -6,16 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmill.llm.common import small, stash
+from hopmill.llm.common import small, small_batches, stash
 
 #: Grams in a profile, longest gram, and labelled documents of each language that profiles are learned from at most.
 PROFILE, LONGEST, LEARN = 400, 3, 1000
-#: Code points handled at once; a longer text is handled alone.
+#: Bytes of text handled at once; a longer text is handled alone.
 CHUNK = 1 << 18
 UNKNOWN = "und"
+SPAN = 1 << 40
 _letters: list[np.ndarray] = []
 
 
@@ -87,23 +89,25 @@ def _numbers(grams: list[str], alphabet: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """(first, after the last, texts) of stretches of a column, nulls as empty; only one stretch at a time is made Python strings."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     i = 0
     while i < len(texts):
-        j, held = i, 0
-        while j < len(texts) and (j == i or held + len(texts[j]) <= CHUNK) and j - i < 512:
-            held += len(texts[j])
+        held, j = 0, i
+        while j < len(texts) and (j == i or held + size[j] <= CHUNK) and j - i < 512:
+            held += size[j]
             j += 1
-        yield i, j
+        yield i, j, [t or "" for t in texts.slice(i, j - i).to_pylist()]
         i = j
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of grams by language, summed inside each chunk."""
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        for i, j in _chunks(texts):
-            alphabet, bits, text, gram, count, _ = _profiles(texts[i:j])
+        langs = batch.column(0).to_pylist()
+        for i, j, texts in _chunks(batch.column(1)):
+            alphabet, bits, text, gram, count, _ = _profiles(texts)
             names = sorted(set(langs[i:j]))
             lang = np.array([names.index(x) for x in langs[i:j]])[text]
             for k, name in enumerate(names):
@@ -115,12 +119,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = LEARN, size: int = PROFILE) -> dict[str, list[str]]:
     """Profiles: for each language its `size` most frequent grams in order (ties by code points).
 
-    Learned from at most `most` documents of each language, the first by a hash of their key. Rows with a null language
+    Learned from at most `most` documents of each language, the first by a hash of their key. Hashes are even, so those
+    above twice the share that `most` has of the language are left out before anything is sorted: a task orders some
+    2 * most short rows, whatever the language's size. Rows with a null language
     or text are left out. The profiles, `size` grams a language, are what the driver gets.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    slim = labelled.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.pmod(F.xxhash64(key), F.lit(SPAN)).alias("_hash"))
+    counts = small(stash(slim.groupBy("_lang").agg(F.count("*").alias("_of")), "languages"))
+    near = slim.join(counts, "_lang").where(F.col("_hash") <= F.lit(2.0 * most * SPAN) / F.col("_of"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_key"))
-    chosen = labelled.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.xxhash64(key).alias("_hash")).withColumn("_n", rank).where(F.col("_n") <= most)
+    chosen = near.withColumn("_n", rank).where(F.col("_n") <= most)
     chosen = small(stash(chosen.select("_lang", "_key").distinct(), "chosen"))
     rows = labelled.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), F.col(key).alias("_k")).join(chosen, F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_k").eqNullSafe(F.col("_key")), "left_semi")
     counts = rows.select("_l", "_t").mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -163,15 +172,14 @@ def identify(text: Column, profiles: dict[str, list[str]], size: int = PROFILE)
     @F.arrow_udf("struct<lang string, score double>")
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
             langs: list[str] = []
             scores: list[np.ndarray] = []
-            for i, j in _chunks(texts):
+            for i, j, texts in _chunks(batch):
                 if len(names) == 1:
                     langs += [UNKNOWN] * (j - i)
                     scores.append(np.zeros(j - i))
                     continue
-                away, grams, letters = _distances(texts[i:j], profiles, size)
+                away, grams, letters = _distances(texts, profiles, size)
                 best = np.where(letters > 0, away.argmin(1), len(names) - 1)
                 langs += [names[b] for b in best.tolist()]
                 scores.append(np.where(letters > 0, 1 - away.min(1) / np.maximum(grams * size, 1), 0.0))
@@ -190,6 +198,7 @@ def predicted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
     Only the text is an input of a prediction. Columns named like the new ones are replaced. Map-only after learning.
     """
+    small_batches(docs.sparkSession)
     profiles = learn(docs.where(~held_out(F.col(key))), key, text, lang)
     rows = docs.drop("held_out", "lang_pred", "score").withColumns({"held_out": held_out(F.col(key)), "_found": identify(F.col(text), profiles)})
     return rows.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
