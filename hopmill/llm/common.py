@@ -35,13 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in Arrow batches of 16 MB rather than the default of 64, unless the session chose a size itself.
+    """Hand texts to Python in Arrow batches of 8 MB rather than the default of 64, unless the session chose a size itself.
 
     A batch is held by the JVM, in its buffers, and by the Python worker at the same time.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64MB", "64m"):
-        spark.conf.set(key, "16m")
+        spark.conf.set(key, "8m")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

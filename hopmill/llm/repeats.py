@@ -13,14 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopmill.llm.arrays import flat, mixed, powers, prefix_hashes
-from hopmill.llm.common import stash
+from hopmill.llm.common import small_batches, stash
 
-#: Bytes of text in a shard; a longer document is a shard of its own.
-SHARD = 3 << 19
-#: Every string of `length` bytes is told by the least hash of its 24 substrings of length - 23 bytes.
+#: Bytes of text in a shard of documents; a longer document is a shard of its own.
+SHARD = 1 << 18
+#: Every string of `length` bytes holds SPREAD substrings of length - SPREAD + 1 bytes; the one of least hash is its key.
 SPREAD = 24
-#: Values that one task of a merge should hold, and bytes of marks that are broadcast at most.
-MERGE, MARKS = 2_000_000, 64 << 20
+#: Keys, and bytes of text, that one task of a merge should hold; bytes of marks that are broadcast at most.
+MERGE, MERGE_BYTES, MARKS = 500_000, 1 << 20, 64 << 20
+#: Bytes of stretches in one suffix array, whole keys at a time.
+SUFFIXES = 1 << 17
+#: Places of substrings are packed into so many bits, so longer texts are looked at piece by piece.
+PLACE_BITS = 24
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -79,72 +83,89 @@ def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int) -> np.ndarr
     return np.minimum(out, depth)
 
 
+def key_places(hashes: np.ndarray) -> np.ndarray:
+    """For each run of SPREAD hashes the place of the least (its upper bits; the first of equal ones)."""
+    out = np.empty(max(0, len(hashes) - SPREAD + 1), np.int64)
+    step = (1 << PLACE_BITS) - SPREAD
+    for at in range(0, len(out), step):
+        h = hashes[at : at + step + SPREAD - 1]
+        m = h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
+        for gap in (1, 2, 4, 8):
+            m = np.minimum(m[:-gap], m[gap:])
+            if gap == 4:
+                eight = m
+        m = np.minimum(m[:-8], eight[16:])
+        out[at : at + step] = (m & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + at
+    return out
+
+
 class Shard:
-    """A shard's texts, and the windows of `length` bytes inside its documents."""
+    """A shard's texts, and the runs of windows of `length` bytes that have their key in the same place.
+
+    A run is a stretch first .. last of window starts in one document; all its windows lie in `length` + SPREAD - 1 bytes.
+    """
 
     def __init__(self, ids: bytes, sizes: bytes, data: bytes, length: int):
         self.ids, size = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
         self.data, self.length = np.frombuffer(data, np.uint8), length
         self.offsets = np.concatenate(([0], np.cumsum(size)))
-        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         n, k = len(self.data), length - SPREAD + 1
-        self.prefix = prefix_hashes(self.data)
+        self.first = self.last = self.doc = self.of = np.zeros(0, np.int64)
+        self.keys, self.inside = np.zeros(0, np.uint64), np.zeros(0, bool)
         if n < length:
-            self.starts, self.keys, self.run = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             return
-        m1 = mixed((self.prefix[k:] - self.prefix[: n - k + 1]) * powers(n + 1)[1][: n - k + 1])
-        m2 = np.minimum(m1[:-1], m1[1:])
-        m4 = np.minimum(m2[:-2], m2[2:])
-        m8 = np.minimum(m4[:-4], m4[4:])
-        m16 = np.minimum(m8[:-8], m8[8:])
-        least = np.minimum(m16[:-8], m8[16:])
-        self.starts = np.flatnonzero(self.doc[: n - length + 1] == self.doc[length - 1 :])
-        least, doc = least[self.starts], self.doc[self.starts]
-        turn = np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))) if len(least) else np.zeros(0, bool)
-        heads = np.flatnonzero(turn)
-        self.keys, inverse = np.unique(least[heads], return_inverse=True)  # the shard's keys, sorted
-        self.run = inverse[np.cumsum(turn) - 1] if len(heads) else np.zeros(0, np.int64)  # of each window
+        self.prefix, back = prefix_hashes(self.data), powers(n + 1)[1]
+        hashes = mixed((self.prefix[k:] - self.prefix[: n - k + 1]) * back[: n - k + 1])
+        place = key_places(hashes)
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        starts = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
+        if not len(starts):
+            return
+        own, doc = place[starts], doc[starts]
+        heads = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))))
+        self.first, self.last, self.doc = starts[heads], starts[np.concatenate((heads[1:], [len(starts)])) - 1], doc[heads]
+        self.keys, self.of = np.unique(hashes[own[heads]], return_inverse=True)  # the shard's keys, sorted; of each run
         low, high = np.full(len(self.keys), NO_ID), np.full(len(self.keys), np.iinfo(np.int64).min)
-        who = self.ids[doc[heads]]
-        np.minimum.at(low, inverse, who)
-        np.maximum.at(high, inverse, who)
+        who = self.ids[self.doc]
+        np.minimum.at(low, self.of, who)
+        np.maximum.at(high, self.of, who)
         self.inside = low != high  # keys in two documents of the shard
 
-    def classes(self, hit: np.ndarray) -> None:
-        """Group the windows whose key is hit by their bytes: fingerprints (sorted), each one's smallest id, and members."""
-        self.at = self.starts[hit[self.run]] if len(self.run) else self.starts[:0]
-        self.prints, self.least, self.of = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.at):
+    def variants(self, hit: np.ndarray) -> None:
+        """Tell apart the stretches of the runs whose key is hit, by key and bytes: each one's run, and its smallest id."""
+        self.run = np.flatnonzero(hit[self.of])
+        self.variant, self.least, self.head = np.zeros(0, np.int64), np.zeros(0, np.int64), self.run
+        if not len(self.run):
             return
+        a, b = self.first[self.run], self.last[self.run] + self.length
+        print_ = mixed((self.prefix[b] - self.prefix[a]) * powers(len(self.data) + 1)[1][a] + (b - a).astype(np.uint64))
+        by = np.lexsort((print_, self.of[self.run]))
+        key, print_ = self.of[self.run][by], print_[by]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (print_[1:] != print_[:-1])))
+        heads = np.flatnonzero(new)
+        self.variant = np.empty(len(by), np.int64)
+        self.variant[by] = np.cumsum(new) - 1
+        self.least = np.minimum.reduceat(self.ids[self.doc[self.run]][by], heads)
+        self.head = self.run[by[heads]]  # one run of each variant, by key
+
+    def covered(self, marks: list | None, cuts: np.ndarray) -> np.ndarray:
+        """Bytes under a window that also starts in a document with a smaller id: by the merges' marks of the variants'
+        windows, or because the variant is in a smaller document of the shard."""
         edge = np.zeros(len(self.data) + 1, np.int32)
-        edge[self.at] += 1
-        edge[self.at + self.length] -= 1
-        stretch = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        order, word = suffix_array(self.data[stretch], self.length)
-        shared = common_prefixes(order, word, self.length) >= self.length
-        group = np.cumsum(~shared) - 1
-        wanted = np.zeros(len(self.data), bool)
-        wanted[self.at] = True
-        place = stretch[order]
-        mine = wanted[place]
-        self.at, group = place[mine], group[mine]
-        heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        p = self.at[heads]
-        prints = mixed((self.prefix[p + self.length] - self.prefix[p]) * powers(len(self.data) + 1)[1][p])
-        least = np.minimum.reduceat(self.ids[self.doc[self.at]], heads)
-        by = np.argsort(prints, kind="stable")
-        self.prints, self.least = prints[by], least[by]
-        number = np.empty(len(by), np.int64)
-        number[by] = np.arange(len(by))
-        self.of = np.repeat(number, np.diff([*heads, len(self.at)]))
-
-    def covered(self, elsewhere: np.ndarray) -> np.ndarray:
-        """Bytes under a window that also starts in a document with a smaller id, here or in another shard."""
-        edge = np.zeros(len(self.data) + 1, np.int32)
-        if len(self.at):
-            gone = self.at[elsewhere[self.of] | (self.ids[self.doc[self.at]] > self.least[self.of])]
-            edge[gone] += 1
-            edge[gone + self.length] -= 1
+        if len(self.run):
+            count = self.last[self.head] - self.first[self.head] + 1
+            ends = np.concatenate(([0], np.cumsum(count)))
+            marked = np.zeros(ends[-1], bool)
+            for m in marks or []:
+                a, b = ends[cuts[m["range"]]], ends[cuts[m["range"] + 1]]
+                marked[a:b] = np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=b - a).astype(bool)
+            many = self.last[self.run] - self.first[self.run] + 1
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            later = self.ids[self.doc[self.run]] > self.least[self.variant]
+            gone = marked[np.repeat(ends[self.variant], many) + step] | np.repeat(later, many)
+            at = (np.repeat(self.first[self.run], many) + step)[gone]
+            edge[at] += 1
+            edge[at + self.length] -= 1
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -197,6 +218,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+        del batch
+        pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
 
 def _keys_sent(length: int, bits: int):
@@ -226,50 +249,103 @@ def _keys_merged(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks}).dropna()
 
 
-def _classes_sent(length: int, bits: int, bits2: int):
-    """For each shard and range the sorted fingerprints of its repeated windows, with each one's smallest id."""
+def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of several stretches, one after another."""
+    return data[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+
+
+def _variant_cuts(s: Shard, bits: int) -> np.ndarray:
+    return _cuts(s.keys[s.of[s.head]], bits)
+
+
+def _variants_sent(length: int, bits: int, bits2: int):
+    """For each shard and range of keys the distinct stretches that may repeat, with each one's length and smallest id."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             s = Shard(row["ids"], row["sizes"], row["data"], length)
-            if not len(s.keys):
+            s.variants(_bits(row["marks"], s.keys, bits) | s.inside)
+            if not len(s.head):
                 continue
-            s.classes(_bits(row["marks"], s.keys, bits) | s.inside)
-            cuts = _cuts(s.prints, bits2)
-            base = int(s.least.min()) if len(s.least) else 0
+            cuts = _variant_cuts(s, bits2)
+            first, size = s.first[s.head], s.last[s.head] - s.first[s.head] + length
+            ends = np.concatenate(([0], np.cumsum(size)))
+            text = _gathered(s.data, first, size)
+            base = int(s.least.min())
             offset = s.least - base
-            offset = offset.astype(np.uint32) if len(offset) and 0 <= offset.min() and offset.max() < 1 << 32 else offset
+            offset = offset.astype(np.uint32) if offset.min() >= 0 and offset.max() < 1 << 32 else offset
             some = [r for r in range(1 << bits2) if cuts[r] < cuts[r + 1]]
+            spans = [(cuts[r], cuts[r + 1]) for r in some]
             arrays = [pa.array(some, pa.int32()), pa.array([row["shard"]] * len(some), pa.int64()), pa.array([base] * len(some), pa.int64())]
-            arrays += [pa.array([x[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()) for x in (s.prints, offset)]
-            yield pa.RecordBatch.from_arrays(arrays, ["range", "shard", "base", "prints", "least"])
+            low = (s.keys[s.of[s.head]] >> np.uint64(32 - bits2)).astype(np.uint32)
+            arrays += [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, (size - length).astype(np.uint8), offset)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([text[ends[a] : ends[b]].tobytes() for a, b in spans], pa.binary())], ["range", "shard", "base", "sent", "more", "least", "text"])
 
     return of
 
 
-def _classes_merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """Fingerprints that another shard has with a smaller id: the smallest id of each is found by binary search in the merged runs."""
-    prints = [np.frombuffer(x, np.uint64) for x in rows["prints"]]
-    ids = [base + np.frombuffer(x, np.uint32 if len(x) == 4 * len(p) else np.int64).astype(np.int64) for base, x, p in zip(rows["base"], rows["least"], prints, strict=True)]
-    every, who = np.concatenate(prints), np.concatenate(ids)
-    by = np.argsort(every, kind="stable")
-    every, who = every[by], who[by]
-    heads = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    known, least = every[heads], np.minimum.reduceat(who, heads)
-    marks = []
-    for p, i in zip(prints, ids, strict=True):
-        less = least[np.searchsorted(known, p)] < i
-        marks.append(np.packbits(less).tobytes() if less.any() else None)
-    return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks}).dropna()
+def _variants_merged(length: int):
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        """Windows of which another stretch with a smaller id has the bytes.
+
+        Equal stretches are one, with the smallest id of all. Under a key with one stretch all windows share that id;
+        stretches that share a key and differ go into a suffix array, whose classes of windows have the smallest ids.
+        """
+        more = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["more"]]
+        ids = np.concatenate([base + np.frombuffer(x, np.uint32 if len(x) == 4 * len(m) else np.int64).astype(np.int64) for base, x, m in zip(rows["base"], rows["least"], more, strict=True)])
+        key = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sent"]])
+        text = np.frombuffer(b"".join(rows["text"]), np.uint8)
+        windows = np.concatenate(more) + 1
+        size = windows + length - 1
+        begin = np.cumsum(size) - size
+        prefix = prefix_hashes(text)
+        print_ = mixed((prefix[begin + size] - prefix[begin]) * powers(len(text) + 1)[1][begin] + size.astype(np.uint64))
+        del prefix
+        by = np.lexsort((print_, key))
+        key, print_ = key[by], print_[by]
+        new_key = np.concatenate(([True], key[1:] != key[:-1]))
+        new = new_key | np.concatenate(([True], print_[1:] != print_[:-1]))
+        heads = np.flatnonzero(new)  # of distinct stretches
+        stretch = np.empty(len(by), np.int64)
+        stretch[by] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(ids[by], heads)
+        alone = np.bincount(np.cumsum(new_key)[heads] - 1)[np.cumsum(new_key)[heads] - 1] == 1
+        count = windows[by[heads]]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        smallest = np.repeat(least, count)  # of each window of each distinct stretch
+        mixed_up = np.flatnonzero(~alone)
+        of_key = np.cumsum(new_key)[heads][mixed_up]
+        room = np.cumsum(size[by[heads[mixed_up]]]) // SUFFIXES
+        turn = np.flatnonzero(np.concatenate(([True], of_key[1:] != of_key[:-1]))) if len(mixed_up) else np.zeros(0, np.int64)
+        cut = turn[np.concatenate(([True], room[turn[1:]] != room[turn[:-1]]))] if len(turn) else turn  # some whole keys at a time
+        for some in np.split(mixed_up, cut[1:]) if len(mixed_up) else []:
+            first, own = by[heads[some]], count[some]
+            part = _gathered(text, begin[first], size[first])
+            starts = np.cumsum(size[first]) - size[first]
+            step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            order, word = suffix_array(part, length)
+            group = np.cumsum(common_prefixes(order, word, length) < length)
+            of_place = np.empty(len(part), np.int64)
+            of_place[order] = group
+            mine = of_place[np.repeat(starts, own) + step]
+            best = np.full(len(part) + 1, NO_ID)
+            np.minimum.at(best, mine, np.repeat(least[some], own))
+            smallest[np.repeat(ends[some], own) + step] = best[mine]
+        step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        less = smallest[np.repeat(ends[stretch], windows) + step] < np.repeat(ids, windows)
+        cuts = np.cumsum([0, *((m + 1).sum() for m in more)])
+        marks = [np.packbits(less[a:b]).tobytes() if less[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks}).dropna()
+
+    return of
 
 
 def _removed(length: int, bits: int, bits2: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             s = Shard(row["ids"], row["sizes"], row["data"], length)
-            hit = _bits(row["marks"], s.keys, bits)
-            s.classes(hit | s.inside if len(s.keys) else hit)
-            gone = s.covered(_bits(row["marks2"], s.prints, bits2))
+            s.variants(_bits(row["marks"], s.keys, bits) | s.inside)
+            gone = s.covered(row["marks2"], _variant_cuts(s, bits2))
             new = gone.copy()
             new[1:] &= ~gone[:-1]
             inner = s.offsets[1:-1][s.offsets[1:-1] < len(gone)]
@@ -297,36 +373,47 @@ def _with_marks(shards: DataFrame, marks: DataFrame, name: str) -> DataFrame:
     return shards.join(F.broadcast(by_shard) if size <= MARKS else by_shard, "shard", "left")
 
 
+def _range_bits(amount: float, each: int) -> int:
+    """Bits of a range's number, so that a range has about `each` of the amount."""
+    return int(np.clip(np.ceil(np.log2(max(amount, 1) / each)), 5, 30))
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row: bytes under a string of `length` bytes that also starts in a document with a smaller key.
 
     1. Whole documents are packed into shards, written once, and read by each of three passes.
-    2. A shard's windows of `length` bytes are told by their keys (SPREAD: about one key in 12 windows). Its distinct keys
-       are sent to merges by range, which mark, by binary search, those of two shards or more. A window whose key is in
-       one document only cannot repeat; nearly all of a corpus ends here.
-    3. The remaining stretches of a shard get a suffix array and common prefixes, whose runs of at least `length` are the
-       classes of equal windows. Each class is sent as a fingerprint with its smallest document key; merges mark classes
-       of which another shard has a smaller one.
-    4. Marks and the shard's own classes give the removed bytes.
-
-    A string in a hot passage is sent once by each shard, whatever its count. Full suffix arrays over every byte would
-    send 8 bytes or more for each byte of the corpus; the keys bring that to about a third of a byte.
+    2. Each window of `length` bytes has a key (SPREAD), the same wherever the window stands; about one key serves 12
+       windows. A shard's distinct keys are sent to merges by range, which mark, by binary search in the keys they have
+       in common, those of two shards or more. A window whose key is in one document only cannot repeat; most of a
+       corpus ends here.
+    3. The stretches under the remaining keys (at most length + 23 bytes each) are sent, once from each shard, to merges
+       by range of keys, so equal windows meet. Equal stretches are one there; of stretches that differ under one key, a
+       merge builds the suffix array and the common prefixes: runs of at least `length` bytes are the classes of equal
+       windows. A window is marked if its class has a smaller document key.
+    4. Marks give each shard its removed bytes.
+
+    A stretch of a hot passage is sent once by each shard, whatever its count. Suffix arrays over every byte of the
+    documents' own shards would have to send 8 bytes or more for each byte of the corpus to be merged; the keys (about a
+    third of a byte for each byte) leave only what may repeat, so suffix arrays are built over that, in shards by key.
 
     Nulls: a null text is empty; a null key counts as larger than all others. Rows that share a key are not smaller than
     each other. spans are removed stretches (start, end in bytes). An empty table gives an empty one. Other columns are
-    not read. A document is handled whole in one task with about 60 bytes of memory for each of its bytes.
+    not read. A document is handled whole in one task with about 100 bytes of memory for each of its bytes.
     """
     if length < 32:
         raise ValueError("length must be at least 32 bytes")
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     shards = stash(slim.mapInArrow(_packed, "shard long, ids binary, sizes binary, data binary"), "shards")
     total = shards.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / 12 / MERGE)), 5, 30))
+    bits = _range_bits(total / 12, MERGE)
     marks = shards.mapInArrow(_keys_sent(length, bits), "range int, shard long, sent binary").groupBy("range").applyInPandas(_keys_merged, "range int, shard long, marks binary")
-    marked = _with_marks(shards, stash(marks, "marks"), "marks")
-    classes = marked.mapInArrow(_classes_sent(length, bits, bits), "range int, shard long, base long, prints binary, least binary")
-    again = classes.groupBy("range").applyInPandas(_classes_merged, "range int, shard long, marks binary")
+    marks = stash(marks, "marks")
+    marked = _with_marks(shards, marks, "marks")
+    bits2 = _range_bits(total, MERGE_BYTES)
+    variants = marked.mapInArrow(_variants_sent(length, bits, bits2), "range int, shard long, base long, sent binary, more binary, least binary, text binary")
+    again = variants.groupBy("range").applyInPandas(_variants_merged(length), "range int, shard long, marks binary")
     both = _with_marks(marked, stash(again, "marks"), "marks2")
     spans = "array<struct<start long, end long>>"
-    out = both.mapInArrow(_removed(length, bits, bits), f"_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}")
+    out = both.mapInArrow(_removed(length, bits, bits2), f"_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}")
     return out.withColumnRenamed("_id", key)
