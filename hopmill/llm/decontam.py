@@ -10,53 +10,68 @@ from pyspark.sql import functions as F
 
 from hopmill.llm.common import small, stash
 
-#: Marks that stand in front of a number, a name and a unit.
-NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
+#: Marks that stand in front of a number, a name and a unit, and of a capitalised word that may be a name (at the start of a sentence, in a quote or bracket).
+NUMBER, NAME, UNIT, INITIAL = "\ue001", "\ue002", "\ue003", "\ue004"
+#: Stands between the readings of a document; no item has it.
+GAP = "\ue000"
+#: Readings of a text: names inside sentences are slots; all capitalised words are; no slots, words as they stand but for their case.
+INNER, CAPITALS, PLAIN = 0, 1, 2
 #: Units of measure and money that may follow a number.
 UNITS = "mm cm m km inch inches ft feet yards mile miles mg g kg ton tons tonnes lb lbs oz ml l litre litres liter liters s sec seconds min minutes h hour hours day days week weeks month months year years k c f w kw mw v a hz khz mhz ghz b kb mb gb tb percent dollars dollar euros euro pounds usd eur gbp cents degrees".split()
 #: Tokens in a window, tokens of a window that must be literal, part of an item's windows that must be found, and aligned tokens that are enough alone.
 WINDOW, LITERAL, COVERED, ALIGNED = 5, 2, 0.8, 13
 
 
-def slotted(text: Column) -> Column:
-    """The text as lower-case tokens with one space between, punctuation left out, slots marked and holding their value.
+def marked(text: Column) -> Column:
+    """The text as case-folded tokens with one space between, punctuation left out, slots marked and holding their value.
 
-    Numbers (with inner points and commas) are slots; so are capitalised words inside a sentence, neighbours being one
-    name; and unit words behind a number. A word in capitals throughout, or the first of a sentence, is literal.
+    Numbers (with inner points and commas) are slots; so are capitalised words (NAME inside a sentence, INITIAL elsewhere)
+    and unit words behind a number. A word in capitals throughout is literal. White space counts as one space.
     """
-    v = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{UNIT}]", "")
-    v = F.regexp_replace(v, r"(\p{Lu}(?<=[^.!?\s][ \t].)\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1")
+    v = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{GAP}-{INITIAL}]", "")
+    v = F.regexp_replace(v, r"[\s\p{Z}\x85]{2,}|[\s\p{Z}\x85&&[^ ]]", " ")
+    v = F.regexp_replace(v, r"(\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}+)(?![\p{L}\p{N}])", f"{INITIAL}$1")
+    v = F.regexp_replace(v, rf"{INITIAL}(?<=[^.!?\s] .)", NAME)
     v = F.regexp_replace(v, r"(\p{N}(?<![\p{L}\p{N}].)\p{N}*(?:[.,]\p{N}+)*)", f" {NUMBER}$1 ")
-    v = F.lower(F.regexp_replace(v, rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}., ]+|[.,]+(?!\p{{N}})|[.,]+(?<!\p{{N}}[.,]{{1,9}})", " "))
+    v = F.lower(F.upper(F.regexp_replace(v, rf"[^\p{{L}}\p{{N}}{NUMBER}-{INITIAL}., ]+|[.,]+(?!\p{{N}})|[.,]+(?<!\p{{N}}[.,]{{1,9}})", " ")))
     v = F.regexp_replace(v, r" {2,}", " ")
-    v = F.regexp_replace(v, rf"({NUMBER}\S+ )({'|'.join(UNITS)})(?= |$)", f"$1{UNIT}$2")
-    return F.trim(F.regexp_replace(v, rf"({NAME}\S+) (?={NAME})", "$1_"))
+    return F.trim(F.regexp_replace(v, rf"({NUMBER}\S+ )({'|'.join(UNITS)})(?= |$)", f"$1{UNIT}$2"))
 
 
-def template(slots: Column) -> Column:
-    """slotted() text with the values left out: each slot is its mark alone."""
-    return F.regexp_replace(slots, rf"([{NUMBER}{NAME}{UNIT}])\S*", "$1")
+def slotted(marks: Column, reading: int) -> Column:
+    """marked() text with the marks of a reading: neighbouring names are one (PLAIN: one a word, and no INITIAL)."""
+    v = F.translate(marks, INITIAL, NAME if reading == CAPITALS else "")
+    return v if reading == PLAIN else F.regexp_replace(v, rf"({NAME}\S+) (?={NAME})", "$1_")
 
 
-def tokens(slots: Column) -> Column:
-    return F.array_remove(F.split(slots, " "), "")
+def template(marks: Column, reading: int) -> Column:
+    """marked() text as a reading compares it: each slot is its mark alone, or (PLAIN) its value alone."""
+    if reading == PLAIN:
+        return F.translate(marks, NUMBER + NAME + UNIT + INITIAL, "")
+    v = F.translate(marks, INITIAL, NAME if reading == CAPITALS else "")
+    return F.regexp_replace(v, rf"({NAME})\S*(?: {NAME}\S*)*|([{NUMBER}{UNIT}])\S*", "$1$2")
 
 
-def _windows(words: Column, n: int) -> Column:
-    """Array of the hashes of all windows of n tokens, by place."""
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + (j - 1)) for j in range(n))))
+def tokens(text: Column) -> Column:
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _window(words: Column, at: Column, n: int, reading: Column) -> Column:
+    """Hash of the n tokens from place at (counted from 0), different in each reading; null if they are not all there."""
+    return F.when(at + n <= F.size(words), F.xxhash64(*(F.get(words, at + j) for j in range(n))).bitwiseXOR(reading.cast("long")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, text_hash, item, kind, windows, found, aligned, start, slots): the benchmark items found in each document.
+    """(key, text_hash, item, kind, windows, found, aligned, start, slots, reading): the benchmark items found in each document.
 
-    Texts are brought to templates; an item's windows of WINDOW tokens (those with LITERAL literal tokens or more; an
-    item shorter than a window is one window) are looked up among the windows of all documents by their hash. A
-    document holds an item if COVERED of its windows are found, or if ALIGNED tokens lie in one alignment. The values of
-    the slots in the best alignment must then be consistent: one value of the item always became the same value in the
-    document. kind is verbatim (all values equal) or reparameterised. start is the token of the document that the item's
-    first would have.
+    Texts are read in three ways (INNER, CAPITALS, PLAIN), each compared with itself only. In each, an item's windows of
+    WINDOW tokens (those with LITERAL literal tokens or more; an item shorter than a window is one window) are looked up
+    among the windows of all documents by their hash. A document holds an item if in one reading COVERED of its windows
+    are found, or if ALIGNED tokens lie in one alignment. The values of the slots in the best alignment must then be
+    consistent: one value of the item always became the same value in the document; in PLAIN, which has no marks in the
+    document, those slots are compared whose neighbours are equal. kind is verbatim (all values equal) or
+    reparameterised. start is the token of the document, in that reading, that the item's first would have. Of several
+    readings a verbatim one is given, then the first.
 
     The documents are read map-side and their windows joined with the benchmark's, which is broadcast if it has at most
     a million windows; only matches are shuffled. Items are read whole; those without tokens are left out.
@@ -64,46 +79,61 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     Rows with the same key and text give one result, also with a null key; a null text holds nothing. Repeated items give
     repeated pairs only if their ids differ. Empty tables give an empty one. Other columns are not read.
     """
-    items = benchmark.select(F.col(item).alias("_item"), slotted(F.col(item_text)).alias("_values")).where("_values <> ''").distinct()
-    items = stash(items.withColumns({"_words": tokens(template(F.col("_values"))), "_values": tokens(F.col("_values"))}), "items")
-    lengths = [r[0] for r in items.select(F.least(F.size("_words"), F.lit(WINDOW)).alias("n")).distinct().collect()]  # WINDOW values at most
+    readings = (INNER, CAPITALS, PLAIN)
+    items = benchmark.select(F.col(item).alias("_item"), marked(F.col(item_text)).alias("_marks")).where("_marks <> ''").distinct()
+    each = F.array(*(F.struct(F.lit(r).alias("_reading"), tokens(template(F.col("_marks"), r)).alias("_words"), tokens(slotted(F.col("_marks"), r)).alias("_values")) for r in readings))
+    items = stash(items.select("_item", F.explode(each).alias("_r")).select("_item", "_r.*"), "items")
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("_words"), F.lit(WINDOW)).alias("n")).distinct().collect())  # WINDOW values at most
     marks = F.array(F.lit(NUMBER), F.lit(NAME), F.lit(UNIT))
+    is_slot = lambda w: F.array_contains(marks, F.left(w, F.lit(1)))
     wanted = None
-    for n in sorted(lengths):
-        own = items.where(F.least(F.size("_words"), F.lit(WINDOW)) == n).select("_item", "_words", F.posexplode(_windows(F.col("_words"), n)).alias("_at", "_hash"))
-        literal = F.size(F.filter(F.slice("_words", F.col("_at") + 1, n), lambda w: ~F.array_contains(marks, w)))
-        own = own.where(literal >= min(LITERAL, n)).select("_item", "_at", "_hash")
+    for n in lengths:
+        own = items.where(F.least(F.size("_words"), F.lit(WINDOW)) == n).select("*", F.explode(F.sequence(F.lit(0), F.size("_words") - n)).alias("_at"))
+        literal = F.size(F.filter(F.slice("_values", F.col("_at") + 1, n), lambda w: ~is_slot(w)))
+        own = own.where(literal >= min(LITERAL, n)).select("_item", "_reading", "_at", _window(F.col("_words"), F.col("_at"), n, F.col("_reading")).alias("_hash"))
         wanted = own if wanted is None else wanted.unionByName(own)
     if wanted is None:
-        wanted = items.select("_item", F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_hash")).where("false")
+        wanted = items.select("_item", "_reading", F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_hash")).where("false")
     wanted = stash(wanted, "windows")
-    counts = wanted.groupBy("_item").agg(F.count("*").alias("_windows"))
+    counts = wanted.groupBy("_item", "_reading").agg(F.count("*").alias("_windows"))
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.col(text).alias("_raw"))
-    words = rows.select("_id", "_text", tokens(template(slotted(F.col("_raw")))).alias("_tokens"))
-    every = F.flatten(F.array(*(F.transform(_windows(F.col("_tokens"), n), lambda h, i: F.struct(h.alias("h"), i.alias("i"))) for n in lengths))) if lengths else F.array().cast("array<struct<h long, i int>>")
-    seen = words.select("_id", "_text", F.explode(every).alias("_w")).select("_id", "_text", F.col("_w.h").alias("_hash"), F.col("_w.i").alias("_place"))
-    hits = seen.join(small(wanted), "_hash").distinct()
-    pair = ["_id", "_text", "_item"]
+    words = rows.select("_id", "_text", marked(F.col("_raw")).alias("_marks"))
+    words = words.select("_id", "_text", *(tokens(template(F.col("_marks"), r)).alias(f"_t{r}") for r in readings))
+    words = words.select("_id", "_text", F.size("_t0").alias("_s0"), F.size("_t1").alias("_s1"), F.concat("_t0", F.array(F.lit(GAP)), "_t1", F.array(F.lit(GAP)), "_t2").alias("_tokens"))
+    # all readings in one array, so that places are exploded and hashed in compiled code
+    seen = words.select("*", F.explode(F.sequence(F.lit(0), F.size("_tokens") - 1)).alias("_i"))
+    reading = F.when(F.col("_i") <= F.col("_s0"), INNER).when(F.col("_i") <= F.col("_s0") + F.col("_s1") + 1, CAPITALS).otherwise(PLAIN)
+    base = F.when(F.col("_i") <= F.col("_s0"), 0).when(F.col("_i") <= F.col("_s0") + F.col("_s1") + 1, F.col("_s0") + 1).otherwise(F.col("_s0") + F.col("_s1") + 2)
+    hashes = [_window(F.col("_tokens"), F.col("_i"), n, reading) for n in lengths]
+    hashed = hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes)) if hashes else F.lit(None).cast("long")
+    seen = seen.select("_id", "_text", (F.col("_i") - base).alias("_place"), hashed.alias("_hash")).where("_hash is not null")
+    hits = seen.join(small(wanted), "_hash").drop("_hash").distinct()
+    pair = ["_id", "_text", "_item", "_reading"]
     lines = hits.groupBy(*pair, (F.col("_place") - F.col("_at")).alias("_start")).agg(F.count("*").alias("_n"), F.collect_list("_at").alias("_ats"))
     found = lines.groupBy(*pair).agg(F.max(F.struct("_n", -F.col("_start"))).alias("_best"), F.size(F.array_distinct(F.flatten(F.collect_list("_ats")))).alias("_found"))
-    found = found.join(counts, "_item").select(*pair, "_windows", "_found", F.col("_best._n").alias("_n"), (-F.col("_best").getField("col2")).alias("_start"))
+    found = found.join(counts, ["_item", "_reading"]).select(*pair, "_windows", "_found", F.col("_best._n").alias("_n"), (-F.col("_best").getField("col2")).alias("_start"))
     held = stash(found.where((F.col("_found") >= COVERED * F.col("_windows")) | (F.col("_n") >= ALIGNED - WINDOW + 1)), "held")
     which = small(stash(held.select("_id", "_text").distinct(), "which"))
     same = rows["_id"].eqNullSafe(F.col("_i")) & (rows["_text"] == F.col("_t"))
-    values = rows.join(which.select(F.col("_id").alias("_i"), F.col("_text").alias("_t")), same, "left_semi").select("_id", "_text", tokens(slotted(F.col("_raw"))).alias("_tokens")).dropDuplicates(["_id", "_text"])
-    held = held.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), *held.columns[2:])
-    both = held.join(values, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_text"))).join(items.select("_item", "_values"), "_item")
+    values = rows.join(which.select(F.col("_id").alias("_i"), F.col("_text").alias("_t")), same, "left_semi").select("_id", "_text", marked(F.col("_raw")).alias("_marks")).dropDuplicates(["_id", "_text"])
+    values = values.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), *(tokens((template if r == PLAIN else slotted)(F.col("_marks"), r)).alias(f"_t{r}") for r in readings))
+    both = held.join(values, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_text"))).join(items, ["_item", "_reading"])
+    both = both.withColumn("_tokens", F.when(F.col("_reading") == INNER, F.col("_t0")).when(F.col("_reading") == CAPITALS, F.col("_t1")).otherwise(F.col("_t2"))).drop("_i", "_t", "_t0", "_t1", "_t2")
+    there = lambda i: F.get(F.col("_tokens"), i + F.col("_start").cast("int"))
+    plain = F.col("_reading") == PLAIN
+    equal = lambda i: F.get(F.col("_words"), i).isNull() | F.get(F.col("_words"), i).eqNullSafe(there(i))
     slot = F.filter(
-        F.transform("_values", lambda v, i: F.struct(v.alias("was"), F.get(F.col("_tokens"), i + F.col("_start").cast("int")).alias("is"))),
-        lambda p: F.array_contains(marks, F.left(p["was"], F.lit(1))) & (F.left(p["was"], F.lit(1)) == F.left(p["is"], F.lit(1))),
+        F.transform("_values", lambda v, i: F.struct(F.when(plain, F.get(F.col("_words"), i)).otherwise(v).alias("was"), there(i).alias("is"), (is_slot(v) & F.when(plain, equal(i - 1) & equal(i + 1)).otherwise(F.left(v, F.lit(1)) == F.left(there(i), F.lit(1)))).alias("ok"))),
+        lambda p: p["ok"] & p["is"].isNotNull(),
     )
     both = both.withColumn("_slots", slot)
     first = F.transform("_slots", lambda p: F.struct(F.substring_index(p["was"], "_", 1).alias("was"), F.substring_index(p["is"], "_", 1).alias("is")))  # of a name its first word
     both = both.withColumn("_first", first)
     both = both.where(F.size(F.array_distinct("_first")) == F.size(F.array_distinct(F.transform("_first", lambda p: p["was"]))))
     kind = F.when(F.forall("_slots", lambda p: p["was"] == p["is"]), "verbatim").otherwise("reparameterised")
-    return both.select(F.col("_id").alias(key), F.col("_text").alias("text_hash"), F.col("_item").alias(item), kind.alias("kind"), F.col("_windows").alias("windows"), F.col("_found").cast("long").alias("found"), F.col("_n").alias("aligned"), F.col("_start").cast("long").alias("start"), F.size("_slots").cast("long").alias("slots")).distinct()
-
+    both = both.select("_id", "_text", "_item", F.struct((kind != "verbatim").alias("rank"), "_reading", "_windows", "_found", "_n", "_start", kind.alias("kind"), F.size("_slots").alias("slots")).alias("_b"))
+    best = both.groupBy("_id", "_text", "_item").agg(F.min("_b").alias("_b"))
+    return best.select(F.col("_id").alias(key), F.col("_text").alias("text_hash"), F.col("_item").alias(item), "_b.kind", F.col("_b._windows").alias("windows"), F.col("_b._found").cast("long").alias("found"), F.col("_b._n").alias("aligned"), F.col("_b._start").cast("long").alias("start"), F.col("_b.slots").cast("long").alias("slots"), F.element_at(F.array(*(F.lit(x) for x in ("inner", "capitals", "plain"))), F.col("_b._reading") + 1).alias("reading"))
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item; a row goes if its key and text do, also where the key is null."""

@@ -253,6 +253,30 @@ def test_decontamination_finds_whole_items_of_the_tables(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()} == want and want
 
 
+def leaks_of(spark, docs, items):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(d, b).collect()}
+
+
+def test_decontamination_whatever_the_case_and_white_space(spark):
+    ann = "So if Ann has 9 apples and buys 4 km of rope from Tom, how many apples does Ann have?"
+    pens = "Tom has 5 pens. Tom buys 3 more pens. Tom gives 2 pens away. How many pens does he have?"
+    docs = [
+        (1, "IF ANN HAS 9 APPLES AND BUYS 4 KM OF ROPE FROM TOM, HOW MANY APPLES DOES ANN HAVE?"),
+        (2, f"First. {ann.lower()} Last."),
+        (3, ann.replace("Ann", "\nAnn").replace("Tom", " Tom")),
+        (4, ann.replace("Ann", "\nCarol").replace("Tom", "  Dan")),
+        (5, ann.replace("Ann", '"Carol"').replace("Tom", "(Dan)")),
+        (6, pens.replace("Tom", "Eve")),
+        (7, pens.upper()),
+        (8, "Tom has 5 pens. Eve buys 3 more pens. Ann gives 2 pens away. How many pens does he have?"),
+        (9, "IF ANN HAS 9 APPLES AND BUYS 4 KM OF ROPE, NO ONE ASKS."),
+    ]
+    items = [(10, ann), (11, pens)]
+    got = leaks_of(spark, docs, items)
+    assert got == {(1, 10): "verbatim", (2, 10): "verbatim", (3, 10): "verbatim", (4, 10): "reparameterised", (5, 10): "reparameterised", (6, 11): "reparameterised", (7, 11): "verbatim"}
+
+
 def test_language_id(spark, odd):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predicted(df).select("doc_id", "lang", "held_out", "lang_pred", "score").collect()
