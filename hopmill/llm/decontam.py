@@ -67,9 +67,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     Texts are read in three ways (INNER, CAPITALS, PLAIN), each compared with itself only. In each, an item's windows of
     WINDOW tokens (those with LITERAL literal tokens or more; an item shorter than a window is one window) are looked up
     among the windows of all documents by their hash. A document holds an item if in one reading COVERED of its windows
-    are found, or if ALIGNED tokens lie in one alignment. The values of the slots in the best alignment must then be
-    consistent: one value of the item always became the same value in the document; in PLAIN, which has no marks in the
-    document, those slots are compared whose neighbours are equal. kind is verbatim (all values equal) or
+    are found, or if ALIGNED tokens lie in one alignment. Only alignments with consistent slots count: one value of the
+    item always became the same value in the document; in PLAIN, which has no marks in the document, those slots are
+    compared whose neighbours are equal. If the consistent ones fall short, the longest alignment of all must be
+    consistent. found counts over the consistent ones; start and aligned are those of the best of them. kind is verbatim (all values equal) or
     reparameterised. start is the token of the document, in that reading, that the item's first would have. Of several
     readings a verbatim one is given, then the first.
 
@@ -110,15 +111,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     hits = seen.join(small(wanted), "_hash").drop("_hash").distinct()
     pair = ["_id", "_text", "_item", "_reading"]
     lines = hits.groupBy(*pair, (F.col("_place") - F.col("_at")).alias("_start")).agg(F.count("*").alias("_n"), F.collect_list("_at").alias("_ats"))
-    found = lines.groupBy(*pair).agg(F.max(F.struct("_n", -F.col("_start"))).alias("_best"), F.size(F.array_distinct(F.flatten(F.collect_list("_ats")))).alias("_found"))
-    found = found.join(counts, ["_item", "_reading"]).select(*pair, "_windows", "_found", F.col("_best._n").alias("_n"), (-F.col("_best").getField("col2")).alias("_start"))
-    held = stash(found.where((F.col("_found") >= COVERED * F.col("_windows")) | (F.col("_n") >= ALIGNED - WINDOW + 1)), "held")
+    found = lines.groupBy(*pair).agg(F.collect_list(F.struct("_start", "_n", "_ats")).alias("_lines"), F.max("_n").alias("_most"), F.size(F.array_distinct(F.flatten(F.collect_list("_ats")))).alias("_all"))
+    found = found.join(counts, ["_item", "_reading"])
+    held = stash(found.where((F.col("_all") >= COVERED * F.col("_windows")) | (F.col("_most") >= ALIGNED - WINDOW + 1)), "held")
     which = small(stash(held.select("_id", "_text").distinct(), "which"))
     same = rows["_id"].eqNullSafe(F.col("_i")) & (rows["_text"] == F.col("_t"))
     values = rows.join(which.select(F.col("_id").alias("_i"), F.col("_text").alias("_t")), same, "left_semi").select("_id", "_text", marked(F.col("_raw")).alias("_marks")).dropDuplicates(["_id", "_text"])
     values = values.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), *(tokens((template if r == PLAIN else slotted)(F.col("_marks"), r)).alias(f"_t{r}") for r in readings))
     both = held.join(values, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_text"))).join(items, ["_item", "_reading"])
     both = both.withColumn("_tokens", F.when(F.col("_reading") == INNER, F.col("_t0")).when(F.col("_reading") == CAPITALS, F.col("_t1")).otherwise(F.col("_t2"))).drop("_i", "_t", "_t0", "_t1", "_t2")
+    both = both.withColumn("_line", F.explode("_lines")).select("*", "_line.*").drop("_line", "_lines")
     there = lambda i: F.get(F.col("_tokens"), i + F.col("_start").cast("int"))
     plain = F.col("_reading") == PLAIN
     equal = lambda i: F.get(F.col("_words"), i).isNull() | F.get(F.col("_words"), i).eqNullSafe(there(i))
@@ -131,7 +133,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     both = both.withColumn("_first", first)
     both = both.where(F.size(F.array_distinct("_first")) == F.size(F.array_distinct(F.transform("_first", lambda p: p["was"]))))
     kind = F.when(F.forall("_slots", lambda p: p["was"] == p["is"]), "verbatim").otherwise("reparameterised")
-    both = both.select("_id", "_text", "_item", F.struct((kind != "verbatim").alias("rank"), "_reading", "_windows", "_found", "_n", "_start", kind.alias("kind"), F.size("_slots").alias("slots")).alias("_b"))
+    both = both.select(*pair, "_windows", "_all", "_most", "_ats", F.struct((kind != "verbatim").alias("rank"), "_reading", (-F.col("_n")).alias("less"), "_start", "_windows", "_n", kind.alias("kind"), F.size("_slots").alias("slots")).alias("_b"))
+    both = both.groupBy(*pair).agg(F.min("_b").alias("_b"), F.max("_b._n").alias("_n"), F.size(F.array_distinct(F.flatten(F.collect_list("_ats")))).alias("_found"), F.first("_windows").alias("_windows"), F.first("_most").alias("_most"))
+    both = both.where((F.col("_found") >= COVERED * F.col("_windows")) | (F.col("_n") >= F.least(F.col("_most"), F.lit(ALIGNED - WINDOW + 1))))
+    both = both.withColumn("_b", F.col("_b").withField("_found", F.col("_found")))
     best = both.groupBy("_id", "_text", "_item").agg(F.min("_b").alias("_b"))
     return best.select(F.col("_id").alias(key), F.col("_text").alias("text_hash"), F.col("_item").alias(item), "_b.kind", F.col("_b._windows").alias("windows"), F.col("_b._found").cast("long").alias("found"), F.col("_b._n").alias("aligned"), F.col("_b._start").cast("long").alias("start"), F.col("_b.slots").cast("long").alias("slots"), F.element_at(F.array(*(F.lit(x) for x in ("inner", "capitals", "plain"))), F.col("_b._reading") + 1).alias("reading"))
 

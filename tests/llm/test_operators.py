@@ -277,6 +277,16 @@ def test_decontamination_whatever_the_case_and_white_space(spark):
     assert got == {(1, 10): "verbatim", (2, 10): "verbatim", (3, 10): "verbatim", (4, 10): "reparameterised", (5, 10): "reparameterised", (6, 11): "reparameterised", (7, 11): "verbatim"}
 
 
+def test_decontamination_checks_every_alignment(spark):
+    """A variant with inconsistent slots in front of a copy does not hide it."""
+    item = "each of the 5 boxes on the table holds 5 red balls and 3 blue balls, so how many balls are there in all of the boxes"
+    variant = item.replace("holds 5", "holds 6")
+    short = "each of the 5 boxes holds 5 red balls"
+    docs = [(1, f"{variant}. {item}."), (2, variant), (3, f"{item}. {variant}."), (4, item), (5, f"each of the 5 boxes holds 6 red balls. {short}."), (6, "each of the 7 boxes holds 8 red balls")]
+    got = leaks_of(spark, docs, [(10, item), (11, short)])
+    assert got == {(1, 10): "verbatim", (3, 10): "verbatim", (4, 10): "verbatim", (5, 11): "verbatim"}
+
+
 def test_language_id(spark, odd):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predicted(df).select("doc_id", "lang", "held_out", "lang_pred", "score").collect()
