@@ -65,13 +65,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """(key, text_hash, item, kind, windows, found, aligned, start, slots, reading): the benchmark items found in each document.
 
     Texts are read in three ways (INNER, CAPITALS, PLAIN), each compared with itself only. In each, an item's windows of
-    WINDOW tokens (those with LITERAL literal tokens or more; an item shorter than a window is one window) are looked up
-    among the windows of all documents by their hash. A document holds an item if in one reading COVERED of its windows
+    WINDOW tokens (those with LITERAL literal tokens or more, in PLAIN all, so that an item of numbers is found with its
+    own numbers; an item shorter than a window is one window) are looked up among the windows of all documents by their hash. A document holds an item if in one reading COVERED of its windows
     are found, or if ALIGNED tokens lie in one alignment. Only alignments with consistent slots count: one value of the
     item always became the same value in the document; in PLAIN, which has no marks in the document, those slots are
     compared whose neighbours are equal. If the consistent ones fall short, the longest alignment of all must be
-    consistent. found counts over the consistent ones; start and aligned are those of the best of them. kind is verbatim (all values equal) or
-    reparameterised. start is the token of the document, in that reading, that the item's first would have. Of several
+    consistent. found counts over the consistent ones; start and aligned are those of the best of them.
+    kind is verbatim (all values equal) or reparameterised. start is the token of the document, in that reading, that the item's first would have. Of several
     readings a verbatim one is given, then the first.
 
     The documents are read map-side and their windows joined with the benchmark's, which is broadcast if it has at most
@@ -91,7 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     for n in lengths:
         own = items.where(F.least(F.size("_words"), F.lit(WINDOW)) == n).select("*", F.explode(F.sequence(F.lit(0), F.size("_words") - n)).alias("_at"))
         literal = F.size(F.filter(F.slice("_values", F.col("_at") + 1, n), lambda w: ~is_slot(w)))
-        own = own.where(literal >= min(LITERAL, n)).select("_item", "_reading", "_at", _window(F.col("_words"), F.col("_at"), n, F.col("_reading")).alias("_hash"))
+        own = own.where((literal >= min(LITERAL, n)) | (F.col("_reading") == PLAIN)).select("_item", "_reading", "_at", _window(F.col("_words"), F.col("_at"), n, F.col("_reading")).alias("_hash"))
         wanted = own if wanted is None else wanted.unionByName(own)
     if wanted is None:
         wanted = items.select("_item", "_reading", F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_hash")).where("false")

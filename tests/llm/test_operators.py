@@ -287,6 +287,11 @@ def test_decontamination_checks_every_alignment(spark):
     assert got == {(1, 10): "verbatim", (3, 10): "verbatim", (4, 10): "verbatim", (5, 11): "verbatim"}
 
 
+def test_decontamination_finds_items_of_numbers(spark):
+    docs = [(1, "Now compute 3 * 4 + 5 * 6 at once."), (2, "Compute 3 * 4 + 5 * 7"), (3, "see: 12 + 15 = 27!"), (4, "12 + 16 = 28")]
+    assert leaks_of(spark, docs, [(10, "Compute 3 * 4 + 5 * 6"), (11, "12 + 15 = 27")]) == {(1, 10): "verbatim", (3, 11): "verbatim"}
+
+
 def test_language_id(spark, odd):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predicted(df).select("doc_id", "lang", "held_out", "lang_pred", "score").collect()
