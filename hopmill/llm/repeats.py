@@ -23,6 +23,8 @@ SPREAD = 24
 MERGE, MERGE_BYTES, MARKS = 500_000, 1 << 20, 64 << 20
 #: Bytes of stretches in one suffix array, whole keys at a time.
 SUFFIXES = 1 << 17
+#: A key is hot, and merged by window, if more than HOT shards (or `hot`) hold it; a shard with more than HEAVY stretches of it counts for as many.
+HOT, HEAVY = 1024, 16
 #: Places of substrings are packed into so many bits, so longer texts are looked at piece by piece.
 PLACE_BITS = 24
 NO_ID = np.iinfo(np.int64).max
@@ -148,9 +150,24 @@ class Shard:
         self.least = np.minimum.reduceat(self.ids[self.doc[self.run]][by], heads)
         self.head = self.run[by[heads]]  # one run of each variant, by key
 
-    def covered(self, marks: list | None, cuts: np.ndarray) -> np.ndarray:
+    def windows(self, hot: np.ndarray) -> None:
+        """The windows under hot keys: each one's place and document's id, and its distinct hash, with the smallest id of that in the shard."""
+        run = np.flatnonzero(hot[self.of])
+        self.hot_hash, self.hot_least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hot_at = self.hot_of = self.hot_id = np.zeros(0, np.int64)
+        if not len(run):
+            return
+        many = self.last[run] - self.first[run] + 1
+        self.hot_at = at = np.repeat(self.first[run], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.hot_id = np.repeat(self.ids[self.doc[run]], many)
+        prints = mixed((self.prefix[at + self.length] - self.prefix[at]) * powers(len(self.data) + 1)[1][at])
+        self.hot_hash, self.hot_of = np.unique(prints, return_inverse=True)
+        self.hot_least = np.full(len(self.hot_hash), NO_ID)
+        np.minimum.at(self.hot_least, self.hot_of, self.hot_id)
+
+    def covered(self, marks: list | None, cuts: np.ndarray, hot: np.ndarray) -> np.ndarray:
         """Bytes under a window that also starts in a document with a smaller id: by the merges' marks of the variants'
-        windows, or because the variant is in a smaller document of the shard."""
+        windows, or because the variant is in a smaller document of the shard; under hot keys, the same for each window."""
         edge = np.zeros(len(self.data) + 1, np.int32)
         if len(self.run):
             count = self.last[self.head] - self.first[self.head] + 1
@@ -166,19 +183,32 @@ class Shard:
             at = (np.repeat(self.first[self.run], many) + step)[gone]
             edge[at] += 1
             edge[at + self.length] -= 1
+        at = self.hot_at[hot[self.hot_of] | (self.hot_id > self.hot_least[self.hot_of])]
+        edge[at] += 1
+        edge[at + self.length] -= 1
         return np.cumsum(edge[:-1]) > 0
 
 
-def _bits(marks: list | None, keys: np.ndarray, bits: int) -> np.ndarray:
-    """A merge's marks for sorted keys, given as packed bits for each range of their top bits."""
+def _bits(marks: list | None, keys: np.ndarray, bits: int, field: str = "marks") -> np.ndarray:
+    """A merge's marks for sorted keys, given as packed bits for each range of their top bits (none where null)."""
     out = np.zeros(len(keys), bool)
     cuts = _cuts(keys, bits)
     for m in marks or []:
-        a, b = cuts[m["range"]], cuts[m["range"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=b - a).astype(bool)
+        if m[field] is not None:
+            a, b = cuts[m["range"]], cuts[m["range"] + 1]
+            out[a:b] = np.unpackbits(np.frombuffer(m[field], np.uint8), count=b - a).astype(bool)
     return out
 
 
+def _looked_at(row: dict, length: int, bits: int) -> Shard:
+    """The shard with the stretches of its hit keys and the windows of its hot ones."""
+    s = Shard(row["ids"], row["sizes"], row["data"], length)
+    hot = _bits(row["marks"], s.keys, bits, "hot")
+    s.variants((_bits(row["marks"], s.keys, bits) | s.inside) & ~hot)
+    s.windows(hot)
+    return s
+
+
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate((np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(keys)]))
 
@@ -223,7 +253,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _keys_sent(length: int, bits: int):
-    """For each shard and range the sorted keys, as the 32 bits below the range's."""
+    """For each shard and range the sorted keys, as the 32 bits below the range's, and place and count of keys with many stretches."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -231,22 +261,37 @@ def _keys_sent(length: int, bits: int):
             cuts = _cuts(s.keys, bits)
             low = (s.keys >> np.uint64(32 - bits)).astype(np.uint32)
             some = [r for r in range(1 << bits) if cuts[r] < cuts[r + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["shard"]] * len(some), pa.int64()), pa.array([low[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary())], ["range", "shard", "sent"])
+            count = np.bincount(s.of, minlength=len(s.keys))
+            at = np.flatnonzero(count > HEAVY)
+            within = np.searchsorted(at, cuts)
+            heavy = [np.stack((at[within[r] : within[r + 1]] - cuts[r], count[at[within[r] : within[r + 1]]])).tobytes() for r in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["shard"]] * len(some), pa.int64()), pa.array([low[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()), pa.array(heavy, pa.binary())], ["range", "shard", "sent", "heavy"])
 
     return of
 
 
-def _keys_merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """Keys of two shards or more: each shard's sorted run is looked up in them by binary search."""
-    runs = [np.frombuffer(x, np.uint32) for x in rows["sent"]]
-    every = np.sort(np.concatenate([r[np.concatenate(([True], r[1:] != r[:-1]))] for r in runs]))
-    common = np.unique(every[1:][every[1:] == every[:-1]])
-    marks = []
-    for r in runs:
-        at = np.searchsorted(common, r)
-        hit = common[np.minimum(at, len(common) - 1)] == r if len(common) else np.zeros(len(r), bool)
-        marks.append(np.packbits(hit).tobytes() if hit.any() else None)
-    return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks}).dropna()
+def _keys_merged(most: int):
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        """Keys of two shards or more, and those of them that are hot: each shard's sorted run is looked up in them by binary search."""
+        runs = [np.frombuffer(x, np.uint32) for x in rows["sent"]]
+        every = np.sort(np.concatenate([r[np.concatenate(([True], r[1:] != r[:-1]))] for r in runs]))
+        common, weight = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+        weight += 1  # shards
+        marks, hots = [], []
+        for r, x in zip(runs, rows["heavy"], strict=True):
+            at, count = np.frombuffer(x, np.int64).reshape(2, -1)
+            place = np.searchsorted(common, r[at])
+            there = common[np.minimum(place, len(common) - 1)] == r[at] if len(common) else np.zeros(len(at), bool)
+            np.add.at(weight, place[there], count[there] - 1)
+        for r in runs:
+            at = np.searchsorted(common, r)
+            hit = common[np.minimum(at, len(common) - 1)] == r if len(common) else np.zeros(len(r), bool)
+            hot = hit & (weight[np.minimum(at, len(common) - 1)] > most) if len(common) else hit
+            marks.append(np.packbits(hit).tobytes() if hit.any() else None)
+            hots.append(np.packbits(hot).tobytes() if hot.any() else None)
+        return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks, "hot": hots}).dropna(subset=["marks"])
+
+    return of
 
 
 def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -263,8 +308,7 @@ def _variants_sent(length: int, bits: int, bits2: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            s = Shard(row["ids"], row["sizes"], row["data"], length)
-            s.variants(_bits(row["marks"], s.keys, bits) | s.inside)
+            s = _looked_at(row, length, bits)
             if not len(s.head):
                 continue
             cuts = _variant_cuts(s, bits2)
@@ -340,12 +384,39 @@ def _variants_merged(length: int):
     return of
 
 
+def _windows_sent(length: int, bits: int, bits2: int):
+    """For each shard and range of hashes the distinct windows under hot keys, with each one's smallest id."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            s = _looked_at(row, length, bits)
+            cuts = _cuts(s.hot_hash, bits2)
+            spans = [(r, cuts[r], cuts[r + 1]) for r in range(1 << bits2) if cuts[r] < cuts[r + 1]]
+            arrays = [pa.array([r for r, _, _ in spans], pa.int32()), pa.array([row["shard"]] * len(spans), pa.int64())]
+            arrays += [pa.array([x[a:b].tobytes() for _, a, b in spans], pa.binary()) for x in (s.hot_hash, s.hot_least)]
+            yield pa.RecordBatch.from_arrays(arrays, ["range", "shard", "sent", "least"])
+
+    return of
+
+
+def _windows_merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """Windows under hot keys that another shard has in a document with a smaller id than any of this shard."""
+    runs = [np.frombuffer(x, np.int64) for x in rows["least"]]
+    ids = np.concatenate(runs)
+    prints, of = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["sent"]]), return_inverse=True)
+    best = np.full(len(prints), NO_ID)
+    np.minimum.at(best, of, ids)
+    less = best[of] < ids
+    cuts = np.cumsum([0, *(len(r) for r in runs)])
+    marks = [np.packbits(less[a:b]).tobytes() if less[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks}).dropna()
+
+
 def _removed(length: int, bits: int, bits2: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            s = Shard(row["ids"], row["sizes"], row["data"], length)
-            s.variants(_bits(row["marks"], s.keys, bits) | s.inside)
-            gone = s.covered(row["marks2"], _variant_cuts(s, bits2))
+            s = _looked_at(row, length, bits)
+            gone = s.covered(row["marks2"], _variant_cuts(s, bits2), _bits(row["marks3"], s.hot_hash, bits2))
             new = gone.copy()
             new[1:] &= ~gone[:-1]
             inner = s.offsets[1:-1][s.offsets[1:-1] < len(gone)]
@@ -368,7 +439,7 @@ def _removed(length: int, bits: int, bits2: int):
 
 def _with_marks(shards: DataFrame, marks: DataFrame, name: str) -> DataFrame:
     """shards with the marks of each; they are broadcast if they are few bytes, else joined by a shuffle."""
-    by_shard = marks.groupBy("shard").agg(F.collect_list(F.struct("range", "marks")).alias(name))
+    by_shard = marks.groupBy("shard").agg(F.collect_list(F.struct(*(c for c in marks.columns if c != "shard"))).alias(name))
     size = marks.agg(F.coalesce(F.sum(F.octet_length("marks")), F.lit(0))).first()[0]
     return shards.join(F.broadcast(by_shard) if size <= MARKS else by_shard, "shard", "left")
 
@@ -378,10 +449,10 @@ def _range_bits(amount: float, each: int) -> int:
     return int(np.clip(np.ceil(np.log2(max(amount, 1) / each)), 5, 30))
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row: bytes under a string of `length` bytes that also starts in a document with a smaller key.
 
-    1. Whole documents are packed into shards, written once, and read by each of three passes.
+    1. Whole documents are packed into shards, written once, and read by each of four passes.
     2. Each window of `length` bytes has a key (SPREAD), the same wherever the window stands; about one key serves 12
        windows. A shard's distinct keys are sent to merges by range, which mark, by binary search in the keys they have
        in common, those of two shards or more. A window whose key is in one document only cannot repeat; most of a
@@ -390,9 +461,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
        by range of keys, so equal windows meet. Equal stretches are one there; of stretches that differ under one key, a
        merge builds the suffix array and the common prefixes: runs of at least `length` bytes are the classes of equal
        windows. A window is marked if its class has a smaller document key.
-    4. Marks give each shard its removed bytes.
+    4. Under a key held by more than `hot` shards (HOT) stretches are not sent, since all of a key go to one task: each shard sends the hash of each
+       distinct window with its smallest document key, to merges by range of that hash.
+    5. Marks give each shard its removed bytes.
 
-    A stretch of a hot passage is sent once by each shard, whatever its count. Suffix arrays over every byte of the
+    A stretch or window of a hot passage is sent once by each shard, whatever its count. Suffix arrays over every byte of the
     documents' own shards would have to send 8 bytes or more for each byte of the corpus to be merged; the keys (about a
     third of a byte for each byte) leave only what may repeat, so suffix arrays are built over that, in shards by key.
 
@@ -407,13 +480,16 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     shards = stash(slim.mapInArrow(_packed, "shard long, ids binary, sizes binary, data binary"), "shards")
     total = shards.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     bits = _range_bits(total / 12, MERGE)
-    marks = shards.mapInArrow(_keys_sent(length, bits), "range int, shard long, sent binary").groupBy("range").applyInPandas(_keys_merged, "range int, shard long, marks binary")
+    marks = shards.mapInArrow(_keys_sent(length, bits), "range int, shard long, sent binary, heavy binary").groupBy("range").applyInPandas(_keys_merged(hot), "range int, shard long, marks binary, hot binary")
     marks = stash(marks, "marks")
     marked = _with_marks(shards, marks, "marks")
     bits2 = _range_bits(total, MERGE_BYTES)
     variants = marked.mapInArrow(_variants_sent(length, bits, bits2), "range int, shard long, base long, sent binary, more binary, least binary, text binary")
     again = variants.groupBy("range").applyInPandas(_variants_merged(length), "range int, shard long, marks binary")
     both = _with_marks(marked, stash(again, "marks"), "marks2")
+    windows = marked.where(F.exists("marks", lambda m: m["hot"].isNotNull())).mapInArrow(_windows_sent(length, bits, bits2), "range int, shard long, sent binary, least binary")
+    windows = windows.groupBy("range").applyInPandas(_windows_merged, "range int, shard long, marks binary")
+    both = _with_marks(both, stash(windows, "marks"), "marks3")
     spans = "array<struct<start long, end long>>"
     out = both.mapInArrow(_removed(length, bits, bits2), f"_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}")
     return out.withColumnRenamed("_id", key)

@@ -93,6 +93,36 @@ def test_repeats(spark, odd):
     assert sorted((str(r.doc_id), r.n_removed) for r in null) == [("4", 0), ("None", 0), ("None", 60)]
 
 
+def hot_texts(n, seed=11):
+    """A phrase in different surroundings, some of them twice."""
+    rng = random.Random(seed)
+    some = lambda: "".join(rng.choice("abcdefghij ") for _ in range(60))
+    sides = [some() for _ in range(n)]
+    return [f"{rng.choice(sides)}a phrase that stands in every one of them{rng.choice(sides)}" for _ in range(n)]
+
+
+def test_repeats_merges_hot_keys_by_window(spark):
+    docs = list(enumerate(hot_texts(300)))
+    for most in (3, 10**9):
+        rows = repeats.repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), hot=most).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.repeats(docs)
+
+
+def test_repeats_sends_no_stretches_of_hot_keys():
+    import pandas as pd
+    import pyarrow as pa
+
+    docs = [hot_texts(200, 1), hot_texts(200, 2)]
+    rows = [{"shard": k, "ids": np.arange(200 * k, 200 * k + 200).tobytes(), "sizes": np.array([len(t) for t in ts]).tobytes(), "data": "".join(ts).encode()} for k, ts in enumerate(docs)]
+    sent = pd.concat(b.to_pandas() for b in repeats._keys_sent(50, 5)(iter([pa.RecordBatch.from_pylist(rows)])))
+    merged = [repeats._keys_merged(100)(g) for _, g in sent.groupby("range")]
+    rows = [r | {"marks": [x for m in merged for x in m[m["shard"] == r["shard"]].to_dict("records")]} for r in rows]
+    for r in rows:
+        s = repeats._looked_at(r, 50, 5)
+        assert len(s.hot_at) > 200 and (not len(s.run) or np.bincount(s.of[s.run]).max() <= 100)
+        assert len(s.hot_hash) == len({r["data"][a : a + 50] for a in s.hot_at})
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(4)
     for text in (rng.integers(97, 99, 400).astype(np.uint8), np.zeros(70, np.uint8), np.frombuffer(b"banana" * 20, np.uint8), np.zeros(1, np.uint8)):
