@@ -89,6 +89,13 @@ def siblings(catalog: DataFrame, key: str = "key") -> DataFrame:
     return a.join(a.withColumnRenamed(key, "sibling"), ["cohort", "mother"]).where(F.col(key) != F.col("sibling")).select(key, "sibling")
 
 
+def sibling_counts(catalog: DataFrame, key: str = "key") -> DataFrame:
+    """(key, siblings): the number of each key's siblings() where it has any, from the sizes of groups and not from pairs."""
+    a = catalog.dropna(subset=[key, "cohort", "mother"]).groupBy("cohort", "mother", key).agg(F.count("*").alias("_m"))
+    n = a.groupBy("cohort", "mother").agg(F.sum("_m").alias("_n"))
+    return a.join(n, ["cohort", "mother"]).groupBy(key).agg(F.sum(F.col("_m") * (F.col("_n") - F.col("_m"))).alias("siblings")).where("siblings > 0")
+
+
 def category_counts(rows: DataFrame, column: str, categories: list[str]) -> DataFrame:
     """(value, rows) for every category, zero where there is none, and for any other value that occurs."""
     frame = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, categories))).alias("value"))
@@ -104,11 +111,23 @@ def grid_violations(rows: DataFrame, question: str, models: list[str], digest: s
 
 
 def assign_owners(rows: DataFrame, family: str, key: str, owners: tuple[str, ...] = ("A", "B")) -> DataFrame:
-    """Owners in turn over the rows by family and key. Places come from the sizes of families before, so that only a family is sorted in one task."""
-    sizes = rows.groupBy(family).agg(F.count("*").alias("_n"))
-    starts = sizes.select(family, F.coalesce(F.sum("_n").over(Window.orderBy(family).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    """Owners in turn over the rows by family (null last) and key.
+
+    Places come from the sizes of families before, summed within some 256 ranges of families and offset by the totals of
+    the ranges before, so a task sorts a family or a range of families. Ranges end at a sample of the families.
+    """
+    sizes = rows.groupBy(F.col(family).alias("_family")).agg(F.count("*").alias("_n"))
+    sample = sizes.where("_family is not null").orderBy(F.xxhash64("_family"), "_family").limit(255).select("_family").collect()
+    bounds = F.array(*(F.lit(x[0]) for x in sample)) if sample else F.array()
+    slice_ = F.when(F.col("_family").isNull(), len(sample) + 1).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("_family"))) if sample else F.lit(0))
+    sizes = sizes.withColumn("_slice", slice_)
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.groupBy("_slice").agg(F.sum("_n").alias("_total")).select("_slice", before("_total", Window.orderBy("_slice")).alias("_offset"))
+    starts = sizes.withColumn("_start", before("_n", Window.partitionBy("_slice").orderBy("_family"))).join(F.broadcast(offsets), "_slice")
+    starts = starts.select("_family", (F.col("_start") + F.col("_offset")).alias("_start"))
     place = F.col("_start") + F.row_number().over(Window.partitionBy(family).orderBy(key)) - 1
-    return rows.join(starts, family).withColumn("owner", F.element_at(F.array(*map(F.lit, owners)), (place % len(owners) + 1).cast("int"))).drop("_start")
+    owner = F.element_at(F.array(*map(F.lit, owners)), (place % len(owners) + 1).cast("int"))
+    return rows.join(starts, F.col(family).eqNullSafe(F.col("_family"))).select(family, *(c for c in rows.columns if c != family), owner.alias("owner"))
 
 
 def review_progress(reviews: DataFrame) -> DataFrame:

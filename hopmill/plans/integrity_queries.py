@@ -164,7 +164,7 @@ def c09_page(spark, sf_dir):
 
 def c10_siblings(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("cohort"), F.col("o_custkey").alias("mother"))
-    return C.siblings(rows).groupBy("key").agg(F.count("*").alias("siblings"))
+    return C.sibling_counts(rows)
 
 
 def c11_summary(spark, sf_dir):
