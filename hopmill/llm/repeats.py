@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -15,18 +14,20 @@ from pyspark.sql import functions as F
 from hopmill.llm.arrays import flat, mixed, powers, prefix_hashes
 from hopmill.llm.common import small_batches, stash
 
-#: Bytes of text in a shard of documents; a longer document is a shard of its own.
+#: Bytes of text in a shard of documents; a longer document is a shard of its own, worked on in pieces of this size.
 SHARD = 1 << 18
 #: Every string of `length` bytes holds SPREAD substrings of length - SPREAD + 1 bytes; the one of least hash is its key.
 SPREAD = 24
 #: Keys, and bytes of text, that one task of a merge should hold; bytes of marks that are broadcast at most.
 MERGE, MERGE_BYTES, MARKS = 500_000, 1 << 20, 64 << 20
-#: Bytes of stretches in one suffix array, whole keys at a time.
+#: Bytes of stretches in one suffix array of a merge, whole keys at a time.
 SUFFIXES = 1 << 17
 #: A key is hot, and merged by window, if more than HOT shards (or `hot`) hold it; a shard with more than HEAVY stretches of it counts for as many.
 HOT, HEAVY = 1024, 16
 #: Places of substrings are packed into so many bits, so longer texts are looked at piece by piece.
 PLACE_BITS = 24
+#: Positions that one lane of Kasai's walk visits in turn.
+WALK = 64
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -68,21 +69,53 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
     """Kasai's array, cut at depth: bytes that the suffix at each place shares with the one before it (0 for the first).
 
-    Computed for all places at once, 8 bytes a step, rather than one place after another.
+    Positions are visited in the order of the text. From one to the next the shared bytes fall by one at most, so each
+    visit goes on from there; only after one that shares all of `depth`, beyond which the order is open, it starts anew.
+    Lanes of WALK positions walk side by side.
     """
-    out = np.zeros(len(order), np.int64)
-    alive = np.arange(1, len(order))
-    for t in range(0, depth, 8):
-        a, b = word[order[alive - 1] + t], word[order[alive] + t]
-        same = a == b
-        odd = (a ^ b)[~same]
-        extra = np.zeros(len(odd), np.int64)
-        for k in range(1, 8):
-            extra += (odd >> np.uint64(64 - 8 * k)) == 0
-        out[alive[~same]] = t + extra
-        alive = alive[same]
-        out[alive] = t + 8
-    return np.minimum(out, depth)
+    n = len(order)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    shared = np.zeros(n, np.int64)
+    h = np.zeros(-(-n // WALK), np.int64)
+    for step in range(min(WALK, n)):
+        p = np.arange(step, n, WALK)
+        h = np.where(h[: len(p)] < depth, np.maximum(h[: len(p)] - 1, 0), 0)
+        q = before[p]
+        h[q < 0] = 0
+        going = np.flatnonzero((q >= 0) & (h < depth))
+        while len(going):
+            odd = word[p[going] + h[going]] ^ word[q[going] + h[going]]
+            same = odd == 0
+            apart, left = going[~same], odd[~same]
+            for k in range(1, 8):
+                h[apart] += (left >> np.uint64(64 - 8 * k)) == 0
+            going = going[same]
+            h[going] += 8
+            going = going[h[going] < depth]
+        h = np.minimum(h, depth)
+        shared[p] = h
+    return shared[order]
+
+
+def repeated_inside(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Starts of windows of `length` bytes that also start in a document of the shard with a smaller id, as a mask of the bytes.
+
+    Neighbours in the suffix array with a common prefix of `length` bytes or more are one class of equal windows.
+    """
+    n = len(data)
+    out = np.zeros(n, bool)
+    if len(sizes) < 2 or n < length:
+        return out  # one document repeats no other
+    who = np.repeat(ids, sizes)
+    whole = np.zeros(n, bool)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    whole[: n - length + 1] = doc[: n - length + 1] == doc[length - 1 :]
+    order, word = suffix_array(data, length)
+    heads = np.flatnonzero(common_prefixes(order, word, length) < length)
+    least = np.minimum.reduceat(np.where(whole, who, NO_ID)[order], heads)
+    out[order] = np.repeat(least, np.diff(np.append(heads, n))) < who[order]
+    return out & whole
 
 
 def key_places(hashes: np.ndarray) -> np.ndarray:
@@ -101,37 +134,54 @@ def key_places(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _prints(prefix: np.ndarray, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """64-bit hashes of stretches. They only bring equal stretches together; the bytes decide."""
+    return mixed((prefix[first + size] - prefix[first]) * powers(len(prefix))[1][first] + np.asarray(size).astype(np.uint64))
+
+
+def _unlike(text: np.ndarray, begin: np.ndarray, size: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Of stretches in some order, whether each differs from the one before it; where same is False they do anyway."""
+    out = ~same
+    at = np.flatnonzero(same)
+    at = at[at > 0]
+    out[at] = size[at] != size[at - 1]
+    at = at[~out[at]]
+    k = 0
+    while len(at):
+        odd = text[begin[at] + k] != text[begin[at - 1] + k]
+        out[at[odd]] = True
+        k += 1
+        at = at[~odd & (size[at] > k)]
+    return out
+
+
 class Shard:
     """A shard's texts, and the runs of windows of `length` bytes that have their key in the same place.
 
     A run is a stretch first .. last of window starts in one document; all its windows lie in `length` + SPREAD - 1 bytes.
     """
 
-    def __init__(self, ids: bytes, sizes: bytes, data: bytes, length: int):
-        self.ids, size = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-        self.data, self.length = np.frombuffer(data, np.uint8), length
-        self.offsets = np.concatenate(([0], np.cumsum(size)))
-        n, k = len(self.data), length - SPREAD + 1
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, inside: np.ndarray, length: int):
+        self.ids, self.data, self.inside, self.length = ids, data, inside, length
+        n, k = len(data), length - SPREAD + 1
         self.first = self.last = self.doc = self.of = np.zeros(0, np.int64)
-        self.keys, self.inside = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.keys = np.zeros(0, np.uint64)
+        self.prefix = prefix_hashes(data)
         if n < length:
             return
-        self.prefix, back = prefix_hashes(self.data), powers(n + 1)[1]
-        hashes = mixed((self.prefix[k:] - self.prefix[: n - k + 1]) * back[: n - k + 1])
+        hashes = mixed((self.prefix[k:] - self.prefix[: n - k + 1]) * powers(n + 1)[1][: n - k + 1])
         place = key_places(hashes)
-        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         starts = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
         if not len(starts):
             return
         own, doc = place[starts], doc[starts]
         heads = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))))
-        self.first, self.last, self.doc = starts[heads], starts[np.concatenate((heads[1:], [len(starts)])) - 1], doc[heads]
-        self.keys, self.of = np.unique(hashes[own[heads]], return_inverse=True)  # the shard's keys, sorted; of each run
-        low, high = np.full(len(self.keys), NO_ID), np.full(len(self.keys), np.iinfo(np.int64).min)
-        who = self.ids[self.doc]
-        np.minimum.at(low, self.of, who)
-        np.maximum.at(high, self.of, who)
-        self.inside = low != high  # keys in two documents of the shard
+        first, last = starts[heads], starts[np.concatenate((heads[1:], [len(starts)])) - 1]
+        done = np.concatenate(([0], np.cumsum(inside)))
+        new = done[last + 1] - done[first] <= last - first  # a run of repeats inside the shard alone is known to be one
+        self.first, self.last, self.doc = first[new], last[new], doc[heads][new]
+        self.keys, self.of = np.unique(hashes[own[heads[new]]], return_inverse=True)  # the shard's keys, sorted; of each run
 
     def variants(self, hit: np.ndarray) -> None:
         """Tell apart the stretches of the runs whose key is hit, by key and bytes: each one's run, and its smallest id."""
@@ -139,11 +189,12 @@ class Shard:
         self.variant, self.least, self.head = np.zeros(0, np.int64), np.zeros(0, np.int64), self.run
         if not len(self.run):
             return
-        a, b = self.first[self.run], self.last[self.run] + self.length
-        print_ = mixed((self.prefix[b] - self.prefix[a]) * powers(len(self.data) + 1)[1][a] + (b - a).astype(np.uint64))
-        by = np.lexsort((print_, self.of[self.run]))
-        key, print_ = self.of[self.run][by], print_[by]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (print_[1:] != print_[:-1])))
+        begin, size = self.first[self.run], self.last[self.run] - self.first[self.run] + self.length
+        prints = _prints(self.prefix, begin, size)
+        by = np.lexsort((prints, self.of[self.run]))
+        key, prints = self.of[self.run][by], prints[by]
+        same = np.concatenate(([False], (key[1:] == key[:-1]) & (prints[1:] == prints[:-1])))
+        new = _unlike(self.data, begin[by], size[by], same)
         heads = np.flatnonzero(new)
         self.variant = np.empty(len(by), np.int64)
         self.variant[by] = np.cumsum(new) - 1
@@ -151,97 +202,107 @@ class Shard:
         self.head = self.run[by[heads]]  # one run of each variant, by key
 
     def windows(self, hot: np.ndarray) -> None:
-        """The windows under hot keys: each one's place and document's id, and its distinct hash, with the smallest id of that in the shard."""
+        """The windows under hot keys: each one's place and document's id, and its distinct hash (128 bits), with the smallest id of that in the shard."""
         run = np.flatnonzero(hot[self.of])
-        self.hot_hash, self.hot_least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hot_hash, self.hot_more, self.hot_least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.hot_at = self.hot_of = self.hot_id = np.zeros(0, np.int64)
         if not len(run):
             return
         many = self.last[run] - self.first[run] + 1
-        self.hot_at = at = np.repeat(self.first[run], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        self.hot_id = np.repeat(self.ids[self.doc[run]], many)
-        prints = mixed((self.prefix[at + self.length] - self.prefix[at]) * powers(len(self.data) + 1)[1][at])
-        self.hot_hash, self.hot_of = np.unique(prints, return_inverse=True)
-        self.hot_least = np.full(len(self.hot_hash), NO_ID)
-        np.minimum.at(self.hot_least, self.hot_of, self.hot_id)
-
-    def covered(self, marks: list | None, cuts: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """Bytes under a window that also starts in a document with a smaller id: by the merges' marks of the variants'
-        windows, or because the variant is in a smaller document of the shard; under hot keys, the same for each window."""
+        at = np.repeat(self.first[run], many) + _steps(many)
+        fresh = ~self.inside[at]
+        self.hot_at = at = at[fresh]
+        self.hot_id = np.repeat(self.ids[self.doc[run]], many)[fresh]
+        prints = _prints(self.prefix, at, self.length)
+        more = np.zeros(len(at), np.uint64)
+        for k in range(self.length):
+            more = mixed(more + self.data[at + k] + np.uint64(1))
+        by = np.lexsort((more, prints))
+        new = np.concatenate(([True], (prints[by][1:] != prints[by][:-1]) | (more[by][1:] != more[by][:-1])))
+        heads = np.flatnonzero(new)
+        self.hot_of = np.empty(len(by), np.int64)
+        self.hot_of[by] = np.cumsum(new) - 1
+        self.hot_hash, self.hot_more = prints[by[heads]], more[by[heads]]
+        self.hot_least = np.minimum.reduceat(self.hot_id[by], heads)
+
+    def covered(self, marks: list, cuts: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Bytes under a window that also starts in a document with a smaller id: known inside the shard, or by the
+        merges' marks of the variants' windows and of the windows under hot keys."""
         edge = np.zeros(len(self.data) + 1, np.int32)
-        if len(self.run):
+        found = [np.flatnonzero(self.inside), self.hot_at[hot[self.hot_of]]]
+        if len(self.run) and marks:
             count = self.last[self.head] - self.first[self.head] + 1
             ends = np.concatenate(([0], np.cumsum(count)))
             marked = np.zeros(ends[-1], bool)
-            for m in marks or []:
+            for m in marks:
                 a, b = ends[cuts[m["range"]]], ends[cuts[m["range"] + 1]]
                 marked[a:b] = np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=b - a).astype(bool)
+            # a variant's smallest id decides its mark; a run of it with a larger id repeats that one inside the shard
             many = self.last[self.run] - self.first[self.run] + 1
-            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            later = self.ids[self.doc[self.run]] > self.least[self.variant]
-            gone = marked[np.repeat(ends[self.variant], many) + step] | np.repeat(later, many)
-            at = (np.repeat(self.first[self.run], many) + step)[gone]
+            step = _steps(many)
+            found.append((np.repeat(self.first[self.run], many) + step)[marked[np.repeat(ends[self.variant], many) + step]])
+        for at in found:
             edge[at] += 1
             edge[at + self.length] -= 1
-        at = self.hot_at[hot[self.hot_of] | (self.hot_id > self.hot_least[self.hot_of])]
-        edge[at] += 1
-        edge[at + self.length] -= 1
         return np.cumsum(edge[:-1]) > 0
 
 
-def _bits(marks: list | None, keys: np.ndarray, bits: int, field: str = "marks") -> np.ndarray:
+def _steps(many: np.ndarray) -> np.ndarray:
+    """0 .. m - 1 for each m, one after another."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _bits(marks: list, keys: np.ndarray, bits: int, field: str = "marks") -> np.ndarray:
     """A merge's marks for sorted keys, given as packed bits for each range of their top bits (none where null)."""
     out = np.zeros(len(keys), bool)
     cuts = _cuts(keys, bits)
-    for m in marks or []:
+    for m in marks:
         if m[field] is not None:
             a, b = cuts[m["range"]], cuts[m["range"] + 1]
             out[a:b] = np.unpackbits(np.frombuffer(m[field], np.uint8), count=b - a).astype(bool)
     return out
 
 
-def _looked_at(row: dict, length: int, bits: int) -> Shard:
-    """The shard with the stretches of its hit keys and the windows of its hot ones."""
-    s = Shard(row["ids"], row["sizes"], row["data"], length)
-    hot = _bits(row["marks"], s.keys, bits, "hot")
-    s.variants((_bits(row["marks"], s.keys, bits) | s.inside) & ~hot)
-    s.windows(hot)
-    return s
-
-
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate((np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(keys)]))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole documents packed into shards; numbers are unique over all tasks."""
-    base, count = TaskContext.get().partitionId() << 33, 0
-    ids: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    parts: list[np.ndarray] = []
-    held = 0
+def _packed(length: int):
+    """Whole documents packed into shards, each with the mask of its repeats inside; numbers are unique over all tasks."""
 
-    def shard() -> pa.RecordBatch:
-        row = [base + count, np.concatenate(ids).tobytes(), np.concatenate(sizes).tobytes(), np.concatenate(parts).tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "ids", "sizes", "data"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, count = TaskContext.get().partitionId() << 33, 0
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def shard() -> pa.RecordBatch:
+            who, size, data = np.concatenate(ids), np.concatenate(sizes), np.concatenate(parts)
+            inside = repeated_inside(data, size, who, length)
+            row = [base + count, who.tobytes(), size.tobytes(), data.tobytes(), np.packbits(inside).tobytes() if inside.any() else None]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["shard", "ids", "sizes", "data", "inside"])
+
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            keys = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            weight = offsets + np.arange(len(offsets))  # a document counts as a byte more, so empty ones fill shards, too
+            i = 0
+            while i < len(keys):
+                j = max(i + (not ids), int(np.searchsorted(weight, weight[i] + SHARD - held, "right")) - 1)
+                if j > i:
+                    ids.append(keys[i:j])
+                    sizes.append(np.diff(offsets[i : j + 1]))
+                    parts.append(data[offsets[i] : offsets[j]].copy())
+                    held += int(weight[j] - weight[i])
+                i = j
+                if held >= SHARD or i < len(keys):
+                    yield shard()
+                    ids, sizes, parts, held, count = [], [], [], 0, count + 1
+        if ids:
+            yield shard()
 
-    for batch in batches:
-        data, offsets = flat(batch.column(1))
-        keys = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        i = 0
-        while i < len(keys):
-            room = offsets[i] + SHARD - held
-            j = max(i + 1, int(np.searchsorted(offsets, room, "right")) - 1)
-            ids.append(keys[i:j])
-            sizes.append(np.diff(offsets[i : j + 1]))
-            parts.append(data[offsets[i] : offsets[j]].copy())
-            held += int(offsets[j] - offsets[i])
-            i = j
-            if held >= SHARD or i < len(keys):
-                yield shard()
-                ids, sizes, parts, held, count = [], [], [], 0, count + 1
-    if ids:
-        yield shard()
+    return of
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -252,51 +313,90 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
 
+def _pieces(row: dict, length: int) -> Iterator[tuple[int, int, Shard]]:
+    """(number, first byte, shard) of a row: as it is, or a long document in pieces that overlap by length - 1 bytes."""
+    ids, sizes, data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["data"], np.uint8)
+    if len(data) <= SHARD:
+        inside = np.unpackbits(np.frombuffer(row["inside"], np.uint8), count=len(data)).astype(bool) if row["inside"] else np.zeros(len(data), bool)
+        yield 0, 0, Shard(ids, sizes, data, inside, length)
+        return
+    for k, at in enumerate(range(0, len(data), SHARD)):
+        part = data[at : at + SHARD + length - 1]
+        yield k, at, Shard(ids, np.array([len(part)]), part, np.zeros(len(part), bool), length)
+
+
+def _looked_at(row: dict, length: int, bits: int) -> Iterator[tuple[int, int, Shard]]:
+    """The row's pieces with the stretches of their hit keys and the windows of their hot ones."""
+    for piece, at, s in _pieces(row, length):
+        marks = [m for m in row["marks"] or [] if m["piece"] == piece]
+        hot = _bits(marks, s.keys, bits, "hot")
+        s.variants(_bits(marks, s.keys, bits) & ~hot)
+        s.windows(hot)
+        yield piece, at, s
+
+
+def _spans(cuts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, first, after the last) of the ranges that hold something."""
+    return [(int(r), int(cuts[r]), int(cuts[r + 1])) for r in np.flatnonzero(np.diff(cuts))]
+
+
+def _sent(row: dict, piece: int, spans: list, **columns: list) -> pa.RecordBatch:
+    known = {"range": pa.array([r for r, _, _ in spans], pa.int32()), "shard": pa.array([row["shard"]] * len(spans), pa.int64()), "piece": pa.array([piece] * len(spans), pa.int32())}
+    return pa.RecordBatch.from_pydict(known | {k: pa.array(v, pa.int64() if k == "base" else pa.binary()) for k, v in columns.items()})
+
+
+def _marked(rows: pa.Table, **columns: list) -> pa.Table:
+    """A merge's rows that have marks."""
+    out = pa.table({k: rows[k] for k in ("range", "shard", "piece")} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
+    return out.filter(out["marks"].is_valid())
+
+
+def _packed_bits(mask: np.ndarray) -> bytes | None:
+    return np.packbits(mask).tobytes() if mask.any() else None
+
+
 def _keys_sent(length: int, bits: int):
-    """For each shard and range the sorted keys, as the 32 bits below the range's, and place and count of keys with many stretches."""
+    """For each piece and range the sorted keys, as the 32 bits below the range's, and place and count of keys with many stretches."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            s = Shard(row["ids"], row["sizes"], row["data"], length)
-            cuts = _cuts(s.keys, bits)
-            low = (s.keys >> np.uint64(32 - bits)).astype(np.uint32)
-            some = [r for r in range(1 << bits) if cuts[r] < cuts[r + 1]]
-            count = np.bincount(s.of, minlength=len(s.keys))
-            at = np.flatnonzero(count > HEAVY)
-            within = np.searchsorted(at, cuts)
-            heavy = [np.stack((at[within[r] : within[r + 1]] - cuts[r], count[at[within[r] : within[r + 1]]])).tobytes() for r in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["shard"]] * len(some), pa.int64()), pa.array([low[cuts[r] : cuts[r + 1]].tobytes() for r in some], pa.binary()), pa.array(heavy, pa.binary())], ["range", "shard", "sent", "heavy"])
+            for piece, _, s in _pieces(row, length):
+                spans = _spans(_cuts(s.keys, bits))
+                low = (s.keys >> np.uint64(32 - bits)).astype(np.uint32)
+                count = np.bincount(s.of, minlength=len(s.keys))
+                at = np.flatnonzero(count > HEAVY)
+                within = [np.searchsorted(at, (a, b)) for _, a, b in spans]
+                heavy = [np.stack((at[x:y] - a, count[at[x:y]])).tobytes() for (x, y), (_, a, _) in zip(within, spans, strict=True)]
+                yield _sent(row, piece, spans, sent=[low[a:b].tobytes() for _, a, b in spans], heavy=heavy)
 
     return of
 
 
 def _keys_merged(most: int):
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        """Keys of two shards or more, and those of them that are hot: each shard's sorted run is looked up in them by binary search."""
-        runs = [np.frombuffer(x, np.uint32) for x in rows["sent"]]
+    def of(rows: pa.Table) -> pa.Table:
+        """Keys of two pieces or more, and those of them that are hot: each piece's sorted run is looked up in them by binary search."""
+        runs = [np.frombuffer(x, np.uint32) for x in rows["sent"].to_pylist()]
         every = np.sort(np.concatenate([r[np.concatenate(([True], r[1:] != r[:-1]))] for r in runs]))
         common, weight = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
-        weight += 1  # shards
-        marks, hots = [], []
-        for r, x in zip(runs, rows["heavy"], strict=True):
+        if not len(common):
+            return _marked(rows, marks=[None] * len(runs), hot=[None] * len(runs))
+        weight += 1  # pieces
+        found = []
+        for r, x in zip(runs, rows["heavy"].to_pylist(), strict=True):
+            place = np.minimum(np.searchsorted(common, r), len(common) - 1)
+            hit = common[place] == r
             at, count = np.frombuffer(x, np.int64).reshape(2, -1)
-            place = np.searchsorted(common, r[at])
-            there = common[np.minimum(place, len(common) - 1)] == r[at] if len(common) else np.zeros(len(at), bool)
-            np.add.at(weight, place[there], count[there] - 1)
-        for r in runs:
-            at = np.searchsorted(common, r)
-            hit = common[np.minimum(at, len(common) - 1)] == r if len(common) else np.zeros(len(r), bool)
-            hot = hit & (weight[np.minimum(at, len(common) - 1)] > most) if len(common) else hit
-            marks.append(np.packbits(hit).tobytes() if hit.any() else None)
-            hots.append(np.packbits(hot).tobytes() if hot.any() else None)
-        return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks, "hot": hots}).dropna(subset=["marks"])
+            np.add.at(weight, place[at[hit[at]]], count[hit[at]] - 1)
+            found.append((place, hit))
+        marks = [_packed_bits(hit) for _, hit in found]
+        return _marked(rows, marks=marks, hot=[_packed_bits(hit & (weight[place] > most)) for place, hit in found])
 
     return of
 
 
 def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of several stretches, one after another."""
-    return data[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)]
+    return data[_steps(size) + np.repeat(first, size)]
 
 
 def _variant_cuts(s: Shard, bits: int) -> np.ndarray:
@@ -304,135 +404,127 @@ def _variant_cuts(s: Shard, bits: int) -> np.ndarray:
 
 
 def _variants_sent(length: int, bits: int, bits2: int):
-    """For each shard and range of keys the distinct stretches that may repeat, with each one's length and smallest id."""
+    """For each piece and range of keys the distinct stretches that may repeat, with each one's length and smallest id."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            s = _looked_at(row, length, bits)
-            if not len(s.head):
-                continue
-            cuts = _variant_cuts(s, bits2)
-            first, size = s.first[s.head], s.last[s.head] - s.first[s.head] + length
-            ends = np.concatenate(([0], np.cumsum(size)))
-            text = _gathered(s.data, first, size)
-            base = int(s.least.min())
-            offset = s.least - base
-            offset = offset.astype(np.uint32) if offset.min() >= 0 and offset.max() < 1 << 32 else offset
-            some = [r for r in range(1 << bits2) if cuts[r] < cuts[r + 1]]
-            spans = [(cuts[r], cuts[r + 1]) for r in some]
-            arrays = [pa.array(some, pa.int32()), pa.array([row["shard"]] * len(some), pa.int64()), pa.array([base] * len(some), pa.int64())]
-            low = (s.keys[s.of[s.head]] >> np.uint64(32 - bits2)).astype(np.uint32)
-            arrays += [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, (size - length).astype(np.uint8), offset)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([text[ends[a] : ends[b]].tobytes() for a, b in spans], pa.binary())], ["range", "shard", "base", "sent", "more", "least", "text"])
+            for piece, _, s in _looked_at(row, length, bits):
+                if not len(s.head):
+                    continue
+                spans = _spans(_variant_cuts(s, bits2))
+                first, size = s.first[s.head], s.last[s.head] - s.first[s.head] + length
+                ends = np.concatenate(([0], np.cumsum(size)))
+                text = _gathered(s.data, first, size)
+                base = int(s.least.min())
+                offset = s.least - base
+                offset = offset.astype(np.uint32) if offset.min() >= 0 and offset.max() < 1 << 32 else offset
+                low = (s.keys[s.of[s.head]] >> np.uint64(32 - bits2)).astype(np.uint32)
+                columns = {k: [x[a:b].tobytes() for _, a, b in spans] for k, x in (("sent", low), ("more", (size - length).astype(np.uint8)), ("least", offset))}
+                yield _sent(row, piece, spans, base=[base] * len(spans), **columns, text=[text[ends[a] : ends[b]].tobytes() for _, a, b in spans])
 
     return of
 
 
 def _variants_merged(length: int):
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
+    def of(rows: pa.Table) -> pa.Table:
         """Windows of which another stretch with a smaller id has the bytes.
 
         Equal stretches are one, with the smallest id of all. Under a key with one stretch all windows share that id;
         stretches that share a key and differ go into a suffix array, whose classes of windows have the smallest ids.
         """
-        more = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["more"]]
-        ids = np.concatenate([base + np.frombuffer(x, np.uint32 if len(x) == 4 * len(m) else np.int64).astype(np.int64) for base, x, m in zip(rows["base"], rows["least"], more, strict=True)])
-        key = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sent"]])
-        text = np.frombuffer(b"".join(rows["text"]), np.uint8)
+        more = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["more"].to_pylist()]
+        ids = np.concatenate([base + np.frombuffer(x, np.uint32 if len(x) == 4 * len(m) else np.int64).astype(np.int64) for base, x, m in zip(rows["base"].to_pylist(), rows["least"].to_pylist(), more, strict=True)])
+        key = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sent"].to_pylist()])
+        text = np.frombuffer(b"".join(rows["text"].to_pylist()), np.uint8)
         windows = np.concatenate(more) + 1
         size = windows + length - 1
         begin = np.cumsum(size) - size
-        prefix = prefix_hashes(text)
-        print_ = mixed((prefix[begin + size] - prefix[begin]) * powers(len(text) + 1)[1][begin] + size.astype(np.uint64))
-        del prefix
-        by = np.lexsort((print_, key))
-        key, print_ = key[by], print_[by]
+        prints = _prints(prefix_hashes(text), begin, size)
+        by = np.lexsort((prints, key))
+        key, prints = key[by], prints[by]
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        new = new_key | np.concatenate(([True], print_[1:] != print_[:-1]))
+        new = _unlike(text, begin[by], size[by], ~(new_key | np.concatenate(([True], prints[1:] != prints[:-1]))))
         heads = np.flatnonzero(new)  # of distinct stretches
         stretch = np.empty(len(by), np.int64)
         stretch[by] = np.cumsum(new) - 1
         least = np.minimum.reduceat(ids[by], heads)
-        alone = np.bincount(np.cumsum(new_key)[heads] - 1)[np.cumsum(new_key)[heads] - 1] == 1
+        number = np.cumsum(new_key)[heads] - 1  # of each stretch's key
         count = windows[by[heads]]
         ends = np.concatenate(([0], np.cumsum(count)))
         smallest = np.repeat(least, count)  # of each window of each distinct stretch
-        mixed_up = np.flatnonzero(~alone)
-        of_key = np.cumsum(new_key)[heads][mixed_up]
-        room = np.cumsum(size[by[heads[mixed_up]]]) // SUFFIXES
-        turn = np.flatnonzero(np.concatenate(([True], of_key[1:] != of_key[:-1]))) if len(mixed_up) else np.zeros(0, np.int64)
-        cut = turn[np.concatenate(([True], room[turn[1:]] != room[turn[:-1]]))] if len(turn) else turn  # some whole keys at a time
-        for some in np.split(mixed_up, cut[1:]) if len(mixed_up) else []:
+        differing = np.flatnonzero(np.bincount(number)[number] > 1)
+        room = np.cumsum(size[by[heads[differing]]]) // SUFFIXES
+        turn = np.flatnonzero(np.diff(number[differing], prepend=-1))
+        cut = turn[1:][room[turn[1:]] != room[turn[:-1]]]  # some whole keys at a time
+        for some in np.split(differing, cut) if len(differing) else []:
             first, own = by[heads[some]], count[some]
             part = _gathered(text, begin[first], size[first])
             starts = np.cumsum(size[first]) - size[first]
-            step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            step = _steps(own)
             order, word = suffix_array(part, length)
-            group = np.cumsum(common_prefixes(order, word, length) < length)
             of_place = np.empty(len(part), np.int64)
-            of_place[order] = group
+            of_place[order] = np.cumsum(common_prefixes(order, word, length) < length)
             mine = of_place[np.repeat(starts, own) + step]
             best = np.full(len(part) + 1, NO_ID)
             np.minimum.at(best, mine, np.repeat(least[some], own))
             smallest[np.repeat(ends[some], own) + step] = best[mine]
-        step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        less = smallest[np.repeat(ends[stretch], windows) + step] < np.repeat(ids, windows)
+        less = smallest[np.repeat(ends[stretch], windows) + _steps(windows)] < np.repeat(ids, windows)
         cuts = np.cumsum([0, *((m + 1).sum() for m in more)])
-        marks = [np.packbits(less[a:b]).tobytes() if less[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks}).dropna()
+        return _marked(rows, marks=[_packed_bits(less[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
     return of
 
 
 def _windows_sent(length: int, bits: int, bits2: int):
-    """For each shard and range of hashes the distinct windows under hot keys, with each one's smallest id."""
+    """For each piece and range of hashes the distinct windows under hot keys, with each one's smallest id."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            s = _looked_at(row, length, bits)
-            cuts = _cuts(s.hot_hash, bits2)
-            spans = [(r, cuts[r], cuts[r + 1]) for r in range(1 << bits2) if cuts[r] < cuts[r + 1]]
-            arrays = [pa.array([r for r, _, _ in spans], pa.int32()), pa.array([row["shard"]] * len(spans), pa.int64())]
-            arrays += [pa.array([x[a:b].tobytes() for _, a, b in spans], pa.binary()) for x in (s.hot_hash, s.hot_least)]
-            yield pa.RecordBatch.from_arrays(arrays, ["range", "shard", "sent", "least"])
+            for piece, _, s in _looked_at(row, length, bits):
+                spans = _spans(_cuts(s.hot_hash, bits2))
+                columns = {k: [x[a:b].tobytes() for _, a, b in spans] for k, x in (("sent", s.hot_hash), ("more", s.hot_more), ("least", s.hot_least))}
+                yield _sent(row, piece, spans, **columns)
 
     return of
 
 
-def _windows_merged(rows: pd.DataFrame) -> pd.DataFrame:
-    """Windows under hot keys that another shard has in a document with a smaller id than any of this shard."""
-    runs = [np.frombuffer(x, np.int64) for x in rows["least"]]
+def _windows_merged(rows: pa.Table) -> pa.Table:
+    """Windows under hot keys that another piece has in a document with a smaller id than any of this piece."""
+    runs = [np.frombuffer(x, np.int64) for x in rows["least"].to_pylist()]
     ids = np.concatenate(runs)
-    prints, of = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["sent"]]), return_inverse=True)
-    best = np.full(len(prints), NO_ID)
-    np.minimum.at(best, of, ids)
-    less = best[of] < ids
+    prints, more = (np.concatenate([np.frombuffer(x, np.uint64) for x in rows[c].to_pylist()]) for c in ("sent", "more"))
+    by = np.lexsort((more, prints))
+    new = np.concatenate(([True], (prints[by][1:] != prints[by][:-1]) | (more[by][1:] != more[by][:-1])))
+    best = np.empty(len(ids), np.int64)
+    best[by] = np.minimum.reduceat(ids[by], np.flatnonzero(new))[np.cumsum(new) - 1]
+    less = best < ids
     cuts = np.cumsum([0, *(len(r) for r in runs)])
-    marks = [np.packbits(less[a:b]).tobytes() if less[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pd.DataFrame({"range": rows["range"], "shard": rows["shard"], "marks": marks}).dropna()
+    return _marked(rows, marks=[_packed_bits(less[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
 
 def _removed(length: int, bits: int, bits2: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            s = _looked_at(row, length, bits)
-            gone = s.covered(row["marks2"], _variant_cuts(s, bits2), _bits(row["marks3"], s.hot_hash, bits2))
-            new = gone.copy()
-            new[1:] &= ~gone[:-1]
-            inner = s.offsets[1:-1][s.offsets[1:-1] < len(gone)]
-            new[inner] = gone[inner]
-            count = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[s.offsets])
-            n, spans = count(gone), count(new)
-            starts, ends = np.flatnonzero(new), np.flatnonzero(gone & ~np.concatenate((gone[1:] & ~new[1:], [False]))) + 1
-            sha, where = [], []
-            first = np.searchsorted(starts, s.offsets)
-            for i, (a, b) in enumerate(zip(s.offsets[:-1], s.offsets[1:], strict=True)):
-                part = s.data[a:b]
-                sha.append(hashlib.sha256(part if not n[i] else part[~gone[a:b]]).hexdigest())
-                where.append([{"start": int(x - a), "end": int(y - a)} for x, y in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]], strict=True)])
-            ids = pa.array(s.ids, mask=s.ids == NO_ID)
-            spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(s.offsets)), pa.array(n, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(where, spans_type)], ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            ids, size, data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["data"], np.uint8)
+            offsets = np.concatenate(([0], np.cumsum(size)))
+            gone = np.zeros(len(data) + 1, bool)
+            for piece, at, s in _looked_at(row, length, bits):
+                mine = lambda name, piece=piece: [m for m in row[name] or [] if m["piece"] == piece]
+                gone[at : at + len(s.data)] |= s.covered(mine("marks2"), _variant_cuts(s, bits2), _bits(mine("marks3"), s.hot_hash, bits2))
+            start, end = gone[:-1].copy(), gone[:-1] & ~gone[1:]
+            start[1:] &= ~gone[:-2]
+            edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+            start[edges] = gone[edges]  # runs do not cross documents
+            end[edges - 1] = gone[edges - 1]
+            start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+            doc = np.searchsorted(offsets, start, "right") - 1
+            removed = np.zeros(len(size), np.int64)
+            np.add.at(removed, doc, end - start)
+            sha = [hashlib.sha256(data[a:b] if not n else data[a:b][~gone[a:b]]).hexdigest() for a, b, n in zip(offsets[:-1], offsets[1:], removed, strict=True)]
+            spans = pa.StructArray.from_arrays([pa.array(start - offsets[doc]), pa.array(end - offsets[doc])], ["start", "end"])
+            where = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(size) + 1)), pa.int32()), spans)
+            count = np.bincount(doc, minlength=len(size))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(size), pa.array(removed), pa.array(count, pa.int64()), pa.array(sha), where], ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     return of
 
@@ -452,44 +544,49 @@ def _range_bits(amount: float, each: int) -> int:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row: bytes under a string of `length` bytes that also starts in a document with a smaller key.
 
-    1. Whole documents are packed into shards, written once, and read by each of four passes.
+    1. Whole documents are packed into shards. Each shard gets its suffix array and the common prefixes of neighbours;
+       runs of `length` or more are the classes of equal windows, and every window but those of a class's smallest
+       document is a repeat. Shards are written once with that mask and read by the passes below, which deal with what
+       it leaves: the heads of the classes.
     2. Each window of `length` bytes has a key (SPREAD), the same wherever the window stands; about one key serves 12
-       windows. A shard's distinct keys are sent to merges by range, which mark, by binary search in the keys they have
-       in common, those of two shards or more. A window whose key is in one document only cannot repeat; most of a
-       corpus ends here.
+       windows. A shard's sorted keys are sent to merges by range, which mark, by binary search in the keys they have
+       in common, those of two shards or more. A window whose key is in one shard only cannot repeat in another; most of
+       a corpus ends here.
     3. The stretches under the remaining keys (at most length + 23 bytes each) are sent, once from each shard, to merges
-       by range of keys, so equal windows meet. Equal stretches are one there; of stretches that differ under one key, a
-       merge builds the suffix array and the common prefixes: runs of at least `length` bytes are the classes of equal
-       windows. A window is marked if its class has a smaller document key.
-    4. Under a key held by more than `hot` shards (HOT) stretches are not sent, since all of a key go to one task: each shard sends the hash of each
-       distinct window with its smallest document key, to merges by range of that hash.
+       by range of keys, so equal windows meet. Stretches of equal bytes are one there; of stretches that differ under
+       one key, a merge builds the suffix array and the common prefixes. A window is marked if its class has a smaller
+       document key.
+    4. Under a key held by more than `hot` shards (HOT) stretches are not sent, since all of a key go to one task: each
+       shard sends a 128-bit hash of each distinct window with its smallest document key, to merges by range of that hash.
     5. Marks give each shard its removed bytes.
 
-    A stretch or window of a hot passage is sent once by each shard, whatever its count. Suffix arrays over every byte of the
-    documents' own shards would have to send 8 bytes or more for each byte of the corpus to be merged; the keys (about a
-    third of a byte for each byte) leave only what may repeat, so suffix arrays are built over that, in shards by key.
+    A stretch or window of a hot passage is sent once by each shard, whatever its count. Sending whole suffix arrays
+    would take 8 bytes or more for each byte of the corpus; the keys (about a third of a byte for each byte) leave only
+    what may repeat. Hashes only choose what meets, bytes decide what is equal; but for windows of hot keys, which are
+    equal if 128 bits are.
 
     Nulls: a null text is empty; a null key counts as larger than all others. Rows that share a key are not smaller than
     each other. spans are removed stretches (start, end in bytes). An empty table gives an empty one. Other columns are
-    not read. A document is handled whole in one task with about 100 bytes of memory for each of its bytes.
+    not read, whatever their names. A document longer than a shard is worked on in overlapping pieces (some 100 bytes of
+    memory for each byte of a piece); only its text and a mask of its bytes are held whole.
     """
     if length < 32:
         raise ValueError("length must be at least 32 bytes")
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    shards = stash(slim.mapInArrow(_packed, "shard long, ids binary, sizes binary, data binary"), "shards")
+    shards = stash(slim.mapInArrow(_packed(length), "shard long, ids binary, sizes binary, data binary, inside binary"), "shards")
     total = shards.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
-    bits = _range_bits(total / 12, MERGE)
-    marks = shards.mapInArrow(_keys_sent(length, bits), "range int, shard long, sent binary, heavy binary").groupBy("range").applyInPandas(_keys_merged(hot), "range int, shard long, marks binary, hot binary")
-    marks = stash(marks, "marks")
+    bits, bits2 = _range_bits(total / 12, MERGE), _range_bits(total, MERGE_BYTES)
+    spot = "range int, shard long, piece int"
+    keys = shards.mapInArrow(_keys_sent(length, bits), f"{spot}, sent binary, heavy binary")
+    marks = stash(keys.groupBy("range").applyInArrow(_keys_merged(hot), f"{spot}, marks binary, hot binary"), "marks")
     marked = _with_marks(shards, marks, "marks")
-    bits2 = _range_bits(total, MERGE_BYTES)
-    variants = marked.mapInArrow(_variants_sent(length, bits, bits2), "range int, shard long, base long, sent binary, more binary, least binary, text binary")
-    again = variants.groupBy("range").applyInPandas(_variants_merged(length), "range int, shard long, marks binary")
+    variants = marked.mapInArrow(_variants_sent(length, bits, bits2), f"{spot}, base long, sent binary, more binary, least binary, text binary")
+    again = variants.groupBy("range").applyInArrow(_variants_merged(length), f"{spot}, marks binary")
     both = _with_marks(marked, stash(again, "marks"), "marks2")
-    windows = marked.where(F.exists("marks", lambda m: m["hot"].isNotNull())).mapInArrow(_windows_sent(length, bits, bits2), "range int, shard long, sent binary, least binary")
-    windows = windows.groupBy("range").applyInPandas(_windows_merged, "range int, shard long, marks binary")
+    windows = marked.where(F.exists("marks", lambda m: m["hot"].isNotNull())).mapInArrow(_windows_sent(length, bits, bits2), f"{spot}, sent binary, more binary, least binary")
+    windows = windows.groupBy("range").applyInArrow(_windows_merged, f"{spot}, marks binary")
     both = _with_marks(both, stash(windows, "marks"), "marks3")
-    spans = "array<struct<start long, end long>>"
+    spans = "array<struct<start: long, end: long>>"
     out = both.mapInArrow(_removed(length, bits, bits2), f"_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}")
     return out.withColumnRenamed("_id", key)

@@ -4,6 +4,8 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,19 +110,65 @@ def test_repeats_merges_hot_keys_by_window(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute.repeats(docs)
 
 
+def merged(rows, sent, merge):
+    """A merge's marks of several shards, as lists of the rows."""
+    table = pa.Table.from_batches(list(sent(iter([pa.RecordBatch.from_pylist(rows)]))))
+    marks = [x for r in sorted(set(table["range"].to_pylist())) for x in merge(table.filter(pc.equal(table["range"], r))).to_pylist()]
+    return [[m for m in marks if m["shard"] == r["shard"]] for r in rows]
+
+
+def shards(*texts, ids=None):
+    first = np.cumsum([0, *map(len, texts)])
+    every = [np.arange(first[k], first[k + 1]) if ids is None else np.array(ids[k]) for k in range(len(texts))]
+    rows = []
+    for k, ts in enumerate(texts):
+        data, sizes = "".join(ts).encode(), np.array([len(t.encode()) for t in ts])
+        inside = repeats.repeated_inside(np.frombuffer(data, np.uint8), sizes, every[k], 50)
+        rows.append({"shard": k, "ids": every[k].tobytes(), "sizes": sizes.tobytes(), "data": data, "inside": np.packbits(inside).tobytes(), "marks": None})
+    return rows
+
+
 def test_repeats_sends_no_stretches_of_hot_keys():
-    import pandas as pd
-    import pyarrow as pa
-
-    docs = [hot_texts(200, 1), hot_texts(200, 2)]
-    rows = [{"shard": k, "ids": np.arange(200 * k, 200 * k + 200).tobytes(), "sizes": np.array([len(t) for t in ts]).tobytes(), "data": "".join(ts).encode()} for k, ts in enumerate(docs)]
-    sent = pd.concat(b.to_pandas() for b in repeats._keys_sent(50, 5)(iter([pa.RecordBatch.from_pylist(rows)])))
-    merged = [repeats._keys_merged(100)(g) for _, g in sent.groupby("range")]
-    rows = [r | {"marks": [x for m in merged for x in m[m["shard"] == r["shard"]].to_dict("records")]} for r in rows]
-    for r in rows:
-        s = repeats._looked_at(r, 50, 5)
-        assert len(s.hot_at) > 200 and (not len(s.run) or np.bincount(s.of[s.run]).max() <= 100)
-        assert len(s.hot_hash) == len({r["data"][a : a + 50] for a in s.hot_at})
+    rows = shards(hot_texts(200, 1), hot_texts(200, 2))
+    for r, marks in zip(rows, merged(rows, repeats._keys_sent(50, 5), repeats._keys_merged(100)), strict=True):
+        r["marks"] = marks
+        for _, _, s in repeats._looked_at(r, 50, 5):
+            assert len(s.hot_at) > 200 and (not len(s.run) or np.bincount(s.of[s.run]).max() <= 100)
+            assert len(s.hot_hash) == len({r["data"][a : a + 50] for a in s.hot_at})
+
+
+def test_repeats_inside_a_shard_by_its_suffix_array():
+    texts = hot_texts(60, 3) + ["x" * 200, "", "x" * 120, "short"]
+    rows = shards(texts)[0]
+    inside = np.unpackbits(np.frombuffer(rows["inside"], np.uint8))
+    first, at = {}, 0
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            assert inside[at + p] == (first.setdefault(t[p : p + 50], i) < i)
+        assert not inside[at + max(0, len(t) - 49) : at + len(t)].any()
+        at += len(t)
+
+
+def test_repeats_with_equal_prints_and_keys(spark, monkeypatch):
+    """Nothing depends on hashes that differ: keys of 37 bits and prints that all collide give the same result."""
+    docs = list(enumerate(hot_texts(80, 5)))
+    monkeypatch.setattr(repeats, "_prints", lambda prefix, first, size: np.zeros(len(first), np.uint64))
+    rows = shards([t for _, t in docs[:40]], [t for _, t in docs[40:]])
+    for name, sent, merge in (("marks", repeats._keys_sent(50, 5), repeats._keys_merged(10**9)), ("marks2", repeats._variants_sent(50, 5, 5), repeats._variants_merged(50))):
+        for r, marks in zip(rows, merged(rows, sent, merge), strict=True):
+            r[name] = marks
+    out = pa.Table.from_batches(list(repeats._removed(50, 5, 5)(iter([pa.RecordBatch.from_pylist([r | {"marks3": None} for r in rows])])))).to_pylist()
+    assert {r["_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute.repeats(docs)
+
+
+def test_repeats_of_documents_longer_than_a_shard(spark, monkeypatch):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abc") for _ in range(repeats.SHARD + 5000))
+    border = long[repeats.SHARD - 60 : repeats.SHARD + 60]
+    docs = [(1, border[20:90]), (2, long), (3, "q" + border), (4, ""), (5, long[:3000] + "z" + long[-3000:]), (6, long)]
+    rows = repeats.repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert got == brute.repeats(docs)
 
 
 def test_suffix_array_and_common_prefixes():
