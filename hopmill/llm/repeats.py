@@ -19,7 +19,7 @@ SHARD = 1 << 18
 #: Every string of `length` bytes holds SPREAD substrings of length - SPREAD + 1 bytes; the one of least hash is its key.
 SPREAD = 24
 #: Keys, and bytes of text, that one task of a merge should hold; bytes of marks that are broadcast at most.
-MERGE, MERGE_BYTES, MARKS = 500_000, 1 << 20, 64 << 20
+MERGE, MERGE_BYTES, MARKS = 1_000_000, 1 << 21, 64 << 20
 #: Bytes of stretches in one suffix array of a merge, whole keys at a time.
 SUFFIXES = 1 << 17
 #: A key is hot, and merged by window, if more than HOT shards (or `hot`) hold it; a shard with more than HEAVY stretches of it counts for as many.
@@ -38,16 +38,14 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     the rank of what follows them. Positions tied to the end stay in one group, in any order.
     """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(depth + 16, np.uint8))).astype(np.uint64)
-    word = np.zeros(n + depth + 8, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + len(word)]
+    padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
+    word = np.ndarray(n + depth + 8, ">u8", padded, strides=(1,)).astype(np.uint64)
     order = np.argsort(word[:n])
     sorted_words = word[order]
     first = np.concatenate(([True], sorted_words[1:] != sorted_words[:-1]))
     rank = np.zeros(n + 1, np.int64)  # a group's rank is 1 + the place of its first member; 0 is the end of the text
-    place = np.arange(n)
-    rank[order] = np.maximum.accumulate(np.where(first, place, 0)) + 1
+    heads = np.flatnonzero(first)
+    rank[order] = np.repeat(heads + 1, np.diff(heads, append=n))
     h = 8
     while h < depth:
         tied = ~first | np.concatenate((~first[1:], [False]))
@@ -66,6 +64,11 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, word
 
 
+def _agreeing(odd: np.ndarray) -> np.ndarray:
+    """How many of its upper bytes a word is 0 in: 8 less the bytes of its highest bit (of which rounding to a float must keep the place)."""
+    return 7 - (np.frexp((odd & ~(odd >> np.uint64(1))).astype(np.float64))[1] - 1 >> 3)
+
+
 def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
     """Kasai's array, cut at depth: bytes that the suffix at each place shares with the one before it (0 for the first).
 
@@ -74,28 +77,26 @@ def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int) -> np.ndarr
     Lanes of WALK positions walk side by side.
     """
     n = len(order)
-    before = np.full(n, -1)
+    before = np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
-    shared = np.zeros(n, np.int64)
+    before[order[0]] = order[0]  # none; itself, to be set right below
+    shared = np.zeros(n, np.int32)
     h = np.zeros(-(-n // WALK), np.int64)
     for step in range(min(WALK, n)):
+        q = before[step::WALK]
         p = np.arange(step, n, WALK)
-        h = np.where(h[: len(p)] < depth, np.maximum(h[: len(p)] - 1, 0), 0)
-        q = before[p]
-        h[q < 0] = 0
-        going = np.flatnonzero((q >= 0) & (h < depth))
-        while len(going):
-            odd = word[p[going] + h[going]] ^ word[q[going] + h[going]]
-            same = odd == 0
-            apart, left = going[~same], odd[~same]
-            for k in range(1, 8):
-                h[apart] += (left >> np.uint64(64 - 8 * k)) == 0
-            going = going[same]
-            h[going] += 8
-            going = going[h[going] < depth]
-        h = np.minimum(h, depth)
-        shared[p] = h
-    return shared[order]
+        h = np.where(h[: len(q)] < depth, np.maximum(h[: len(q)] - 1, 0), 0)
+        more = _agreeing(word[p + h] ^ word[q + h])
+        h += more
+        on = np.flatnonzero((more == 8) & (h < depth))
+        while len(on):
+            more = _agreeing(word[p[on] + h[on]] ^ word[q[on] + h[on]])
+            h[on] += more
+            on = on[(more == 8) & (h[on] < depth)]
+        shared[p] = np.minimum(h, depth)
+    out = shared[order]
+    out[0] = 0
+    return out
 
 
 def repeated_inside(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -107,15 +108,19 @@ def repeated_inside(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length
     out = np.zeros(n, bool)
     if len(sizes) < 2 or n < length:
         return out  # one document repeats no other
-    who = np.repeat(ids, sizes)
-    whole = np.zeros(n, bool)
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    whole[: n - length + 1] = doc[: n - length + 1] == doc[length - 1 :]
     order, word = suffix_array(data, length)
-    heads = np.flatnonzero(common_prefixes(order, word, length) < length)
-    least = np.minimum.reduceat(np.where(whole, who, NO_ID)[order], heads)
-    out[order] = np.repeat(least, np.diff(np.append(heads, n))) < who[order]
-    return out & whole
+    again = common_prefixes(order, word, length) >= length
+    at = np.flatnonzero(again | np.append(again[1:], False))  # places in classes of two or more
+    where = order[at]
+    rank = np.unique(ids, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    doc = np.searchsorted(ends, where, "right")
+    whole = where + length <= ends[doc]
+    who = np.where(whole, rank[doc], len(ids))
+    heads = np.flatnonzero(~again[at])
+    least = np.minimum.reduceat(who, heads) if len(at) else who
+    out[where] = whole & (np.repeat(least, np.diff(heads, append=len(at))) < who)
+    return out
 
 
 def key_places(hashes: np.ndarray) -> np.ndarray:
@@ -181,7 +186,8 @@ class Shard:
         done = np.concatenate(([0], np.cumsum(inside)))
         new = done[last + 1] - done[first] <= last - first  # a run of repeats inside the shard alone is known to be one
         self.first, self.last, self.doc = first[new], last[new], doc[heads][new]
-        self.keys, self.of = np.unique(hashes[own[heads[new]]], return_inverse=True)  # the shard's keys, sorted; of each run
+        keys = mixed(hashes[own[heads[new]]])  # least hashes are small ones, so they are spread again, for even ranges
+        self.keys, self.of = np.unique(keys, return_inverse=True)  # the shard's keys, sorted; of each run
 
     def variants(self, hit: np.ndarray) -> None:
         """Tell apart the stretches of the runs whose key is hit, by key and bytes: each one's run, and its smallest id."""
