@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from hopmill.llm.arrays import flat, mixed, powers, prefix_hashes
 from hopmill.llm.common import small_batches, stash
 
 #: Bytes of text in a shard of documents; a longer document is a shard of its own, worked on in pieces of this size.
-SHARD = 1 << 18
+SHARD = 1 << 17
 #: Every string of `length` bytes holds SPREAD substrings of length - SPREAD + 1 bytes; the one of least hash is its key.
 SPREAD = 24
 #: Keys, and bytes of text, that one task of a merge should hold; bytes of marks that are broadcast at most.
@@ -24,10 +25,12 @@ MERGE, MERGE_BYTES, MARKS = 1_000_000, 1 << 21, 64 << 20
 SUFFIXES = 1 << 17
 #: A key is hot, and merged by window, if more than HOT shards (or `hot`) hold it; a shard with more than HEAVY stretches of it counts for as many.
 HOT, HEAVY = 1024, 16
-#: Places of substrings are packed into so many bits, so longer texts are looked at piece by piece.
-PLACE_BITS = 24
+#: Windows hashed at a time, and the bits that the place of a substring among theirs takes.
+BLOCK, PLACE_BITS = 1 << 15, 24
 #: Positions that one lane of Kasai's walk visits in turn.
-WALK = 64
+WALK = 16
+#: What a row sent to a merge holds.
+KEYS, STRETCHES, WINDOWS = 0, 1, 2
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -72,31 +75,30 @@ def _agreeing(odd: np.ndarray) -> np.ndarray:
 def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
     """Kasai's array, cut at depth: bytes that the suffix at each place shares with the one before it (0 for the first).
 
-    Positions are visited in the order of the text. From one to the next the shared bytes fall by one at most, so each
-    visit goes on from there; only after one that shares all of `depth`, beyond which the order is open, it starts anew.
-    Lanes of WALK positions walk side by side.
+    Neighbours that differ in their first 8 bytes are told at once. The other positions are visited in the order of the
+    text: from one to the next the shared bytes fall by one at most, so each visit goes on from there; only after one that
+    shares all of `depth`, beyond which the order is open, it starts anew. Lanes of WALK positions walk side by side.
     """
     n = len(order)
-    before = np.empty(n, np.int64)
+    shared = np.zeros(n, np.int64)
+    shared[order[1:]] = _agreeing(word[order[1:]] ^ word[order[:-1]])
+    before = np.zeros(n, np.int64)
     before[order[1:]] = order[:-1]
-    before[order[0]] = order[0]  # none; itself, to be set right below
-    shared = np.zeros(n, np.int32)
-    h = np.zeros(-(-n // WALK), np.int64)
+    last = np.zeros(-(-n // WALK), np.int64)
     for step in range(min(WALK, n)):
-        q = before[step::WALK]
-        p = np.arange(step, n, WALK)
-        h = np.where(h[: len(q)] < depth, np.maximum(h[: len(q)] - 1, 0), 0)
-        more = _agreeing(word[p + h] ^ word[q + h])
-        h += more
-        on = np.flatnonzero((more == 8) & (h < depth))
+        lane = np.flatnonzero(shared[step::WALK] == 8)
+        p = lane * WALK + step
+        q = before[p]
+        h = np.where(last[lane] < depth, np.maximum(last[lane] - 1, 8), 8)
+        on = np.arange(len(p))
         while len(on):
             more = _agreeing(word[p[on] + h[on]] ^ word[q[on] + h[on]])
             h[on] += more
             on = on[(more == 8) & (h[on] < depth)]
-        shared[p] = np.minimum(h, depth)
-    out = shared[order]
-    out[0] = 0
-    return out
+        last[:] = 0
+        last[lane] = h
+        shared[p] = h
+    return np.minimum(shared, depth)[order]
 
 
 def repeated_inside(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
@@ -124,19 +126,13 @@ def repeated_inside(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length
 
 
 def key_places(hashes: np.ndarray) -> np.ndarray:
-    """For each run of SPREAD hashes the place of the least (its upper bits; the first of equal ones)."""
-    out = np.empty(max(0, len(hashes) - SPREAD + 1), np.int64)
-    step = (1 << PLACE_BITS) - SPREAD
-    for at in range(0, len(out), step):
-        h = hashes[at : at + step + SPREAD - 1]
-        m = h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
-        for gap in (1, 2, 4, 8):
-            m = np.minimum(m[:-gap], m[gap:])
-            if gap == 4:
-                eight = m
-        m = np.minimum(m[:-8], eight[16:])
-        out[at : at + step] = (m & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + at
-    return out
+    """For each run of SPREAD hashes (2**PLACE_BITS at most) the place of the least by its upper bits; the first of equal ones."""
+    m = hashes >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
+    for gap in (1, 2, 4, 8):
+        m = np.minimum(m[:-gap], m[gap:])
+        if gap == 4:
+            eight = m
+    return (np.minimum(m[:-8], eight[16:]) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
 def _prints(prefix: np.ndarray, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
@@ -174,8 +170,12 @@ class Shard:
         self.prefix = prefix_hashes(data)
         if n < length:
             return
-        hashes = mixed((self.prefix[k:] - self.prefix[: n - k + 1]) * powers(n + 1)[1][: n - k + 1])
-        place = key_places(hashes)
+        hashes, place = np.empty(n - k + 1, np.uint64), np.empty(n - length + 1, np.int64)
+        for at in range(0, len(place), BLOCK):  # in blocks that the processor's cache holds
+            m = min(BLOCK, len(place) - at) + SPREAD - 1
+            part = self.prefix[at : at + m + k]
+            hashes[at : at + m] = mixed((part[k:] - part[:m]) * powers(n + 1)[1][at : at + m])
+            place[at : at + BLOCK] = key_places(hashes[at : at + m]) + at
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         starts = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
         if not len(starts):
@@ -314,7 +314,10 @@ def _packed(length: int):
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+            row = batch.slice(i, 1).to_pylist()[0]
+            for name in ("marks", "more"):
+                row[name] = pa.ipc.open_stream(row[name]).read_all().to_pylist() if row.get(name) else []
+            yield row
         del batch
         pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
@@ -331,34 +334,61 @@ def _pieces(row: dict, length: int) -> Iterator[tuple[int, int, Shard]]:
         yield k, at, Shard(ids, np.array([len(part)]), part, np.zeros(len(part), bool), length)
 
 
+def _marks_of(row: dict, name: str, kind: int, piece: int) -> list[dict]:
+    return [m for m in row[name] if m["piece"] == piece and m["kind"] == kind]
+
+
 def _looked_at(row: dict, length: int, bits: int) -> Iterator[tuple[int, int, Shard]]:
     """The row's pieces with the stretches of their hit keys and the windows of their hot ones."""
     for piece, at, s in _pieces(row, length):
-        marks = [m for m in row["marks"] or [] if m["piece"] == piece]
+        marks = _marks_of(row, "marks", KEYS, piece)
         hot = _bits(marks, s.keys, bits, "hot")
         s.variants(_bits(marks, s.keys, bits) & ~hot)
         s.windows(hot)
         yield piece, at, s
 
 
-def _spans(cuts: np.ndarray) -> list[tuple[int, int, int]]:
-    """(range, first, after the last) of the ranges that hold something."""
-    return [(int(r), int(cuts[r]), int(cuts[r + 1])) for r in np.flatnonzero(np.diff(cuts))]
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values cut from data, an array of any fixed width, at ends (the first is 0)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
 
+def _sent(row: dict, kind: int, piece: int, cuts: np.ndarray, **columns: tuple) -> pa.RecordBatch:
+    """A row for each range that holds something; columns: an array, and where its ranges' parts end if not at cuts."""
+    some = np.flatnonzero(np.diff(cuts))
+    at = np.append(some, len(cuts) - 1)
+    known = {"kind": np.full(len(some), kind, np.int32), "range": some.astype(np.int32), "shard": np.full(len(some), row["shard"]), "piece": np.full(len(some), piece, np.int32)}
+    given = {k: _binary(x, (ends if len(ends) else cuts)[at]) if len(x) or len(some) else pa.array([], pa.binary()) for k, (x, ends) in columns.items()}
+    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in known.items()} | given)
 
-def _sent(row: dict, piece: int, spans: list, **columns: list) -> pa.RecordBatch:
-    known = {"range": pa.array([r for r, _, _ in spans], pa.int32()), "shard": pa.array([row["shard"]] * len(spans), pa.int64()), "piece": pa.array([piece] * len(spans), pa.int32())}
-    return pa.RecordBatch.from_pydict(known | {k: pa.array(v, pa.int64() if k == "base" else pa.binary()) for k, v in columns.items()})
 
+def _received(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column as one array of a fixed width, and how many each row has."""
+    data, offsets = flat(pa.concat_arrays(column.chunks))
+    return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
 
-def _marked(rows: pa.Table, **columns: list) -> pa.Table:
-    """A merge's rows that have marks."""
-    out = pa.table({k: rows[k] for k in ("range", "shard", "piece")} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
-    return out.filter(out["marks"].is_valid())
 
+def _marked(rows: pa.Table, sizes: np.ndarray, **masks: np.ndarray) -> pa.Table:
+    """A merge's rows that have marks: packed bits of each row's part of the masks, null where none is set."""
+    bytes_ = np.concatenate(([0], np.cumsum((sizes + 7) // 8)))
+    first = np.cumsum(sizes) - sizes
+    at = np.repeat(8 * bytes_[:-1] - first, sizes) + np.arange(sizes.sum())
+    out = {k: rows[k] for k in ("kind", "range", "shard", "piece")}
+    for name, mask in masks.items():
+        bits = np.zeros(8 * bytes_[-1], bool)
+        bits[at] = mask
+        some = np.logical_or.reduceat(mask, first)
+        out[name] = pc.if_else(pa.array(some), _binary(np.packbits(bits), bytes_), pa.scalar(None, pa.binary()))
+    return pa.table(out | ({} if "hot" in out else {"hot": pa.nulls(len(rows), pa.binary())})).filter(pa.array(np.logical_or.reduceat(masks["marks"], first)))
 
-def _packed_bits(mask: np.ndarray) -> bytes | None:
-    return np.packbits(mask).tobytes() if mask.any() else None
+
+def _by_shard(rows: pa.Table) -> pa.Table:
+    """All marks of a shard in one value, an Arrow stream of (kind, piece, range, marks, hot)."""
+    sink = pa.BufferOutputStream()
+    table = rows.select(["kind", "piece", "range", "marks", "hot"]).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int64()), "marks": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
 def _keys_sent(length: int, bits: int):
@@ -367,13 +397,11 @@ def _keys_sent(length: int, bits: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             for piece, _, s in _pieces(row, length):
-                spans = _spans(_cuts(s.keys, bits))
-                low = (s.keys >> np.uint64(32 - bits)).astype(np.uint32)
+                cuts = _cuts(s.keys, bits)
                 count = np.bincount(s.of, minlength=len(s.keys))
                 at = np.flatnonzero(count > HEAVY)
-                within = [np.searchsorted(at, (a, b)) for _, a, b in spans]
-                heavy = [np.stack((at[x:y] - a, count[at[x:y]])).tobytes() for (x, y), (_, a, _) in zip(within, spans, strict=True)]
-                yield _sent(row, piece, spans, sent=[low[a:b].tobytes() for _, a, b in spans], heavy=heavy)
+                heavy = np.stack((at - cuts[np.searchsorted(cuts, at, "right") - 1], count[at]), axis=1).ravel()
+                yield _sent(row, KEYS, piece, cuts, sent=((s.keys >> np.uint64(32 - bits)).astype(np.uint32), ()), heavy=(heavy, 2 * np.searchsorted(at, cuts)))
 
     return of
 
@@ -381,21 +409,21 @@ def _keys_sent(length: int, bits: int):
 def _keys_merged(most: int):
     def of(rows: pa.Table) -> pa.Table:
         """Keys of two pieces or more, and those of them that are hot: each piece's sorted run is looked up in them by binary search."""
-        runs = [np.frombuffer(x, np.uint32) for x in rows["sent"].to_pylist()]
-        every = np.sort(np.concatenate([r[np.concatenate(([True], r[1:] != r[:-1]))] for r in runs]))
+        keys, sizes = _received(rows["sent"], np.uint32)
+        first = np.cumsum(sizes) - sizes
+        new = np.append(True, keys[1:] != keys[:-1])
+        new[first] = True
+        every = np.sort(keys[new])
         common, weight = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
         if not len(common):
-            return _marked(rows, marks=[None] * len(runs), hot=[None] * len(runs))
+            return _marked(rows, sizes, marks=np.zeros(len(keys), bool), hot=np.zeros(len(keys), bool))
         weight += 1  # pieces
-        found = []
-        for r, x in zip(runs, rows["heavy"].to_pylist(), strict=True):
-            place = np.minimum(np.searchsorted(common, r), len(common) - 1)
-            hit = common[place] == r
-            at, count = np.frombuffer(x, np.int64).reshape(2, -1)
-            np.add.at(weight, place[at[hit[at]]], count[hit[at]] - 1)
-            found.append((place, hit))
-        marks = [_packed_bits(hit) for _, hit in found]
-        return _marked(rows, marks=marks, hot=[_packed_bits(hit & (weight[place] > most)) for place, hit in found])
+        place = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+        hit = common[place] == keys
+        heavy, pairs = _received(rows["heavy"], np.int64)
+        at = heavy[::2] + np.repeat(first, pairs // 2)
+        np.add.at(weight, place[at[hit[at]]], heavy[1::2][hit[at]] - 1)
+        return _marked(rows, sizes, marks=hit, hot=hit & (weight[place] > most))
 
     return of
 
@@ -409,24 +437,29 @@ def _variant_cuts(s: Shard, bits: int) -> np.ndarray:
     return _cuts(s.keys[s.of[s.head]], bits)
 
 
-def _variants_sent(length: int, bits: int, bits2: int):
-    """For each piece and range of keys the distinct stretches that may repeat, with each one's length and smallest id."""
+def _stretches_sent(length: int, bits: int, bits2: int):
+    """For each piece and range of keys the distinct stretches that may repeat, with each one's length and smallest id;
+    for each range of hashes the distinct windows under hot keys, with each one's smallest id."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             for piece, _, s in _looked_at(row, length, bits):
-                if not len(s.head):
-                    continue
-                spans = _spans(_variant_cuts(s, bits2))
-                first, size = s.first[s.head], s.last[s.head] - s.first[s.head] + length
-                ends = np.concatenate(([0], np.cumsum(size)))
-                text = _gathered(s.data, first, size)
-                base = int(s.least.min())
-                offset = s.least - base
-                offset = offset.astype(np.uint32) if offset.min() >= 0 and offset.max() < 1 << 32 else offset
-                low = (s.keys[s.of[s.head]] >> np.uint64(32 - bits2)).astype(np.uint32)
-                columns = {k: [x[a:b].tobytes() for _, a, b in spans] for k, x in (("sent", low), ("more", (size - length).astype(np.uint8)), ("least", offset))}
-                yield _sent(row, piece, spans, base=[base] * len(spans), **columns, text=[text[ends[a] : ends[b]].tobytes() for _, a, b in spans])
+                if len(s.head):
+                    first, size = s.first[s.head], s.last[s.head] - s.first[s.head] + length
+                    cuts = _variant_cuts(s, bits2)
+                    low = (s.keys[s.of[s.head]] >> np.uint64(32 - bits2)).astype(np.uint32)
+                    text = _gathered(s.data, first, size), np.concatenate(([0], np.cumsum(size)))[cuts]
+                    yield _sent(row, STRETCHES, piece, cuts, sent=(low, ()), more=((size - length).astype(np.uint8), ()), least=(s.least, ()), text=text)
+                if len(s.hot_hash):
+                    cuts = _cuts(s.hot_hash, bits2)
+                    yield _sent(row, WINDOWS, piece, cuts, sent=(s.hot_hash, ()), more=(s.hot_more, ()), least=(s.hot_least, ()), text=(np.zeros(0, np.uint8), 0 * cuts))
+
+    return of
+
+
+def _stretches_merged(length: int):
+    def of(rows: pa.Table) -> pa.Table:
+        return (_windows_merged if rows["kind"][0].as_py() == WINDOWS else _variants_merged(length))(rows)
 
     return of
 
@@ -438,11 +471,9 @@ def _variants_merged(length: int):
         Equal stretches are one, with the smallest id of all. Under a key with one stretch all windows share that id;
         stretches that share a key and differ go into a suffix array, whose classes of windows have the smallest ids.
         """
-        more = [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["more"].to_pylist()]
-        ids = np.concatenate([base + np.frombuffer(x, np.uint32 if len(x) == 4 * len(m) else np.int64).astype(np.int64) for base, x, m in zip(rows["base"].to_pylist(), rows["least"].to_pylist(), more, strict=True)])
-        key = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["sent"].to_pylist()])
-        text = np.frombuffer(b"".join(rows["text"].to_pylist()), np.uint8)
-        windows = np.concatenate(more) + 1
+        more, sizes = _received(rows["more"], np.uint8)
+        ids, key, text = (_received(rows[c], t)[0] for c, t in (("least", np.int64), ("sent", np.uint32), ("text", np.uint8)))
+        windows = more.astype(np.int64) + 1
         size = windows + length - 1
         begin = np.cumsum(size) - size
         prints = _prints(prefix_hashes(text), begin, size)
@@ -475,37 +506,20 @@ def _variants_merged(length: int):
             np.minimum.at(best, mine, np.repeat(least[some], own))
             smallest[np.repeat(ends[some], own) + step] = best[mine]
         less = smallest[np.repeat(ends[stretch], windows) + _steps(windows)] < np.repeat(ids, windows)
-        cuts = np.cumsum([0, *((m + 1).sum() for m in more)])
-        return _marked(rows, marks=[_packed_bits(less[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-
-    return of
-
-
-def _windows_sent(length: int, bits: int, bits2: int):
-    """For each piece and range of hashes the distinct windows under hot keys, with each one's smallest id."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            for piece, _, s in _looked_at(row, length, bits):
-                spans = _spans(_cuts(s.hot_hash, bits2))
-                columns = {k: [x[a:b].tobytes() for _, a, b in spans] for k, x in (("sent", s.hot_hash), ("more", s.hot_more), ("least", s.hot_least))}
-                yield _sent(row, piece, spans, **columns)
+        return _marked(rows, np.add.reduceat(windows, np.cumsum(sizes) - sizes), marks=less)
 
     return of
 
 
 def _windows_merged(rows: pa.Table) -> pa.Table:
     """Windows under hot keys that another piece has in a document with a smaller id than any of this piece."""
-    runs = [np.frombuffer(x, np.int64) for x in rows["least"].to_pylist()]
-    ids = np.concatenate(runs)
-    prints, more = (np.concatenate([np.frombuffer(x, np.uint64) for x in rows[c].to_pylist()]) for c in ("sent", "more"))
+    ids, sizes = _received(rows["least"], np.int64)
+    prints, more = (_received(rows[c], np.uint64)[0] for c in ("sent", "more"))
     by = np.lexsort((more, prints))
-    new = np.concatenate(([True], (prints[by][1:] != prints[by][:-1]) | (more[by][1:] != more[by][:-1])))
+    new = np.append(True, (prints[by][1:] != prints[by][:-1]) | (more[by][1:] != more[by][:-1]))
     best = np.empty(len(ids), np.int64)
     best[by] = np.minimum.reduceat(ids[by], np.flatnonzero(new))[np.cumsum(new) - 1]
-    less = best < ids
-    cuts = np.cumsum([0, *(len(r) for r in runs)])
-    return _marked(rows, marks=[_packed_bits(less[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    return _marked(rows, sizes, marks=best < ids)
 
 
 def _removed(length: int, bits: int, bits2: int):
@@ -515,8 +529,8 @@ def _removed(length: int, bits: int, bits2: int):
             offsets = np.concatenate(([0], np.cumsum(size)))
             gone = np.zeros(len(data) + 1, bool)
             for piece, at, s in _looked_at(row, length, bits):
-                mine = lambda name, piece=piece: [m for m in row[name] or [] if m["piece"] == piece]
-                gone[at : at + len(s.data)] |= s.covered(mine("marks2"), _variant_cuts(s, bits2), _bits(mine("marks3"), s.hot_hash, bits2))
+                hot = _bits(_marks_of(row, "more", WINDOWS, piece), s.hot_hash, bits2)
+                gone[at : at + len(s.data)] |= s.covered(_marks_of(row, "more", STRETCHES, piece), _variant_cuts(s, bits2), hot)
             start, end = gone[:-1].copy(), gone[:-1] & ~gone[1:]
             start[1:] &= ~gone[:-2]
             edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
@@ -537,8 +551,8 @@ def _removed(length: int, bits: int, bits2: int):
 
 def _with_marks(shards: DataFrame, marks: DataFrame, name: str) -> DataFrame:
     """shards with the marks of each; they are broadcast if they are few bytes, else joined by a shuffle."""
-    by_shard = marks.groupBy("shard").agg(F.collect_list(F.struct(*(c for c in marks.columns if c != "shard"))).alias(name))
-    size = marks.agg(F.coalesce(F.sum(F.octet_length("marks")), F.lit(0))).first()[0]
+    by_shard = stash(marks.groupBy("shard").applyInArrow(_by_shard, "shard long, marks binary"), "marks").withColumnRenamed("marks", name)
+    size = by_shard.agg(F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()[0]
     return shards.join(F.broadcast(by_shard) if size <= MARKS else by_shard, "shard", "left")
 
 
@@ -583,16 +597,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     shards = stash(slim.mapInArrow(_packed(length), "shard long, ids binary, sizes binary, data binary, inside binary"), "shards")
     total = shards.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     bits, bits2 = _range_bits(total / 12, MERGE), _range_bits(total, MERGE_BYTES)
-    spot = "range int, shard long, piece int"
+    spot = "kind int, range int, shard long, piece int"
+    marks = f"{spot}, marks binary, hot binary"
     keys = shards.mapInArrow(_keys_sent(length, bits), f"{spot}, sent binary, heavy binary")
-    marks = stash(keys.groupBy("range").applyInArrow(_keys_merged(hot), f"{spot}, marks binary, hot binary"), "marks")
-    marked = _with_marks(shards, marks, "marks")
-    variants = marked.mapInArrow(_variants_sent(length, bits, bits2), f"{spot}, base long, sent binary, more binary, least binary, text binary")
-    again = variants.groupBy("range").applyInArrow(_variants_merged(length), f"{spot}, marks binary")
-    both = _with_marks(marked, stash(again, "marks"), "marks2")
-    windows = marked.where(F.exists("marks", lambda m: m["hot"].isNotNull())).mapInArrow(_windows_sent(length, bits, bits2), f"{spot}, sent binary, more binary, least binary")
-    windows = windows.groupBy("range").applyInArrow(_windows_merged, f"{spot}, marks binary")
-    both = _with_marks(both, stash(windows, "marks"), "marks3")
+    marked = _with_marks(shards, keys.groupBy("range").applyInArrow(_keys_merged(hot), marks), "marks")
+    stretches = marked.mapInArrow(_stretches_sent(length, bits, bits2), f"{spot}, sent binary, more binary, least binary, text binary")
+    both = _with_marks(marked, stretches.groupBy("kind", "range").applyInArrow(_stretches_merged(length), marks), "more")
     spans = "array<struct<start: long, end: long>>"
     out = both.mapInArrow(_removed(length, bits, bits2), f"_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {spans}")
     return out.withColumnRenamed("_id", key)

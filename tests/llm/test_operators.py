@@ -111,10 +111,11 @@ def test_repeats_merges_hot_keys_by_window(spark):
 
 
 def merged(rows, sent, merge):
-    """A merge's marks of several shards, as lists of the rows."""
+    """A merge's marks of several shards, one value for each."""
     table = pa.Table.from_batches(list(sent(iter([pa.RecordBatch.from_pylist(rows)]))))
-    marks = [x for r in sorted(set(table["range"].to_pylist())) for x in merge(table.filter(pc.equal(table["range"], r))).to_pylist()]
-    return [[m for m in marks if m["shard"] == r["shard"]] for r in rows]
+    groups = sorted(set(zip(table["kind"].to_pylist(), table["range"].to_pylist(), strict=True)))
+    marks = pa.concat_tables([merge(table.filter(pc.and_(pc.equal(table["kind"], k), pc.equal(table["range"], r)))) for k, r in groups])
+    return [repeats._by_shard(marks.filter(pc.equal(marks["shard"], r["shard"])))["marks"][0].as_py() for r in rows]
 
 
 def shards(*texts, ids=None):
@@ -124,15 +125,14 @@ def shards(*texts, ids=None):
     for k, ts in enumerate(texts):
         data, sizes = "".join(ts).encode(), np.array([len(t.encode()) for t in ts])
         inside = repeats.repeated_inside(np.frombuffer(data, np.uint8), sizes, every[k], 50)
-        rows.append({"shard": k, "ids": every[k].tobytes(), "sizes": sizes.tobytes(), "data": data, "inside": np.packbits(inside).tobytes(), "marks": None})
+        rows.append({"shard": k, "ids": every[k].tobytes(), "sizes": sizes.tobytes(), "data": data, "inside": np.packbits(inside).tobytes()})
     return rows
 
 
 def test_repeats_sends_no_stretches_of_hot_keys():
     rows = shards(hot_texts(200, 1), hot_texts(200, 2))
     for r, marks in zip(rows, merged(rows, repeats._keys_sent(50, 5), repeats._keys_merged(100)), strict=True):
-        r["marks"] = marks
-        for _, _, s in repeats._looked_at(r, 50, 5):
+        for _, _, s in repeats._looked_at(next(repeats._rows([pa.RecordBatch.from_pylist([r | {"marks": marks}])])), 50, 5):
             assert len(s.hot_at) > 200 and (not len(s.run) or np.bincount(s.of[s.run]).max() <= 100)
             assert len(s.hot_hash) == len({r["data"][a : a + 50] for a in s.hot_at})
 
@@ -154,10 +154,10 @@ def test_repeats_with_equal_prints_and_keys(spark, monkeypatch):
     docs = list(enumerate(hot_texts(80, 5)))
     monkeypatch.setattr(repeats, "_prints", lambda prefix, first, size: np.zeros(len(first), np.uint64))
     rows = shards([t for _, t in docs[:40]], [t for _, t in docs[40:]])
-    for name, sent, merge in (("marks", repeats._keys_sent(50, 5), repeats._keys_merged(10**9)), ("marks2", repeats._variants_sent(50, 5, 5), repeats._variants_merged(50))):
+    for name, sent, merge in (("marks", repeats._keys_sent(50, 5), repeats._keys_merged(10**9)), ("more", repeats._stretches_sent(50, 5, 5), repeats._stretches_merged(50))):
         for r, marks in zip(rows, merged(rows, sent, merge), strict=True):
             r[name] = marks
-    out = pa.Table.from_batches(list(repeats._removed(50, 5, 5)(iter([pa.RecordBatch.from_pylist([r | {"marks3": None} for r in rows])])))).to_pylist()
+    out = pa.Table.from_batches(list(repeats._removed(50, 5, 5)(iter([pa.RecordBatch.from_pylist(rows)])))).to_pylist()
     assert {r["_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute.repeats(docs)
 
 
