@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from hopmill.llm.arrays import flat, mixed, powers, prefix_hashes
 from hopmill.llm.common import small_batches, stash
 
-#: Bytes of text in a shard of documents; a longer document is a shard of its own, worked on in pieces of this size.
-SHARD = 1 << 17
+#: Bytes of text in a shard, which has one suffix array, and in a bundle of shards, which is a row and what merges answer to.
+SHARD, BUNDLE = 1 << 17, 1 << 21
 #: Every string of `length` bytes holds SPREAD substrings of length - SPREAD + 1 bytes; the one of least hash is its key.
 SPREAD = 24
 #: Keys, and bytes of text, that one task of a merge should hold; bytes of marks that are broadcast at most.
 MERGE, MERGE_BYTES, MARKS = 1_000_000, 1 << 21, 64 << 20
 #: Bytes of stretches in one suffix array of a merge, whole keys at a time.
 SUFFIXES = 1 << 17
-#: A key is hot, and merged by window, if more than HOT shards (or `hot`) hold it; a shard with more than HEAVY stretches of it counts for as many.
+#: A key is hot, and merged by window, if more than HOT bundles (or `hot`) hold it; a bundle with more than HEAVY stretches of it counts for as many.
 HOT, HEAVY = 1024, 16
 #: Windows hashed at a time, and the bits that the place of a substring among theirs takes.
 BLOCK, PLACE_BITS = 1 << 15, 24
@@ -108,8 +108,8 @@ def repeated_inside(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length
     """
     n = len(data)
     out = np.zeros(n, bool)
-    if len(sizes) < 2 or n < length:
-        return out  # one document repeats no other
+    if n < length:
+        return out
     order, word = suffix_array(data, length)
     again = common_prefixes(order, word, length) >= length
     at = np.flatnonzero(again | np.append(again[1:], False))  # places in classes of two or more
@@ -135,11 +135,6 @@ def key_places(hashes: np.ndarray) -> np.ndarray:
     return (np.minimum(m[:-8], eight[16:]) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
-def _prints(prefix: np.ndarray, first: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    """64-bit hashes of stretches. They only bring equal stretches together; the bytes decide."""
-    return mixed((prefix[first + size] - prefix[first]) * powers(len(prefix))[1][first] + np.asarray(size).astype(np.uint64))
-
-
 def _unlike(text: np.ndarray, begin: np.ndarray, size: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Of stretches in some order, whether each differs from the one before it; where same is False they do anyway."""
     out = ~same
@@ -156,38 +151,65 @@ def _unlike(text: np.ndarray, begin: np.ndarray, size: np.ndarray, same: np.ndar
     return out
 
 
-class Shard:
-    """A shard's texts, and the runs of windows of `length` bytes that have their key in the same place.
+def _shards(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first byte, end, first document, after the last) of a bundle's shards: whole documents, or a long one's pieces, which overlap by length - 1 bytes."""
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SHARD, "right")) - 1)
+        for a in range(offsets[i], offsets[j], SHARD) if offsets[j] - offsets[i] > SHARD else [offsets[i]]:
+            yield int(a), int(min(a + SHARD + length - 1, offsets[j])), i, j
+        i = j
 
-    A run is a stretch first .. last of window starts in one document; all its windows lie in `length` + SPREAD - 1 bytes.
-    """
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, inside: np.ndarray, length: int):
-        self.ids, self.data, self.inside, self.length = ids, data, inside, length
-        n, k = len(data), length - SPREAD + 1
-        self.first = self.last = self.doc = self.of = np.zeros(0, np.int64)
-        self.keys = np.zeros(0, np.uint64)
-        self.prefix = prefix_hashes(data)
-        if n < length:
-            return
-        hashes, place = np.empty(n - k + 1, np.uint64), np.empty(n - length + 1, np.int64)
-        for at in range(0, len(place), BLOCK):  # in blocks that the processor's cache holds
-            m = min(BLOCK, len(place) - at) + SPREAD - 1
-            part = self.prefix[at : at + m + k]
-            hashes[at : at + m] = mixed((part[k:] - part[:m]) * powers(n + 1)[1][at : at + m])
-            place[at : at + BLOCK] = key_places(hashes[at : at + m]) + at
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        starts = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
-        if not len(starts):
-            return
-        own, doc = place[starts], doc[starts]
-        heads = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))))
-        first, last = starts[heads], starts[np.concatenate((heads[1:], [len(starts)])) - 1]
-        done = np.concatenate(([0], np.cumsum(inside)))
-        new = done[last + 1] - done[first] <= last - first  # a run of repeats inside the shard alone is known to be one
-        self.first, self.last, self.doc = first[new], last[new], doc[heads][new]
-        keys = mixed(hashes[own[heads[new]]])  # least hashes are small ones, so they are spread again, for even ranges
-        self.keys, self.of = np.unique(keys, return_inverse=True)  # the shard's keys, sorted; of each run
+def _runs(data: np.ndarray, sizes: np.ndarray, inside: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of `length` bytes with their key in the same place: first and last window start, document, key, and hash of the stretch.
+
+    All windows of a run lie in `length` + SPREAD - 1 bytes. Runs of repeats inside the shard alone are left out: the heads
+    of their classes are in other runs.
+    """
+    n, k = len(data), length - SPREAD + 1
+    if n < length:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    prefix, back = prefix_hashes(data), powers(n + 1)[1]
+    hashes, place = np.empty(n - k + 1, np.uint64), np.empty(n - length + 1, np.int64)
+    for at in range(0, len(place), BLOCK):  # in blocks that the processor's cache holds
+        m = min(BLOCK, len(place) - at) + SPREAD - 1
+        hashes[at : at + m] = mixed((prefix[at + k : at + k + m] - prefix[at : at + m]) * back[at : at + m])
+        place[at : at + BLOCK] = key_places(hashes[at : at + m]) + at
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    starts = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
+    own, doc = place[starts], doc[starts]
+    heads = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))) if len(starts) else starts
+    first, last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1] if len(starts) else starts
+    done = np.concatenate(([0], np.cumsum(inside)))
+    new = done[last + 1] - done[first] <= last - first
+    first, last, heads = first[new], last[new], heads[new]
+    prints = _prints(prefix, first, last - first + length)
+    return first, last, doc[heads].astype(np.int64), mixed(hashes[own[heads]]), prints  # least hashes are small ones: spread them again
+
+
+def _prints(prefix: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches. They only bring equal stretches together; the bytes decide."""
+    return mixed((prefix[first + size] - prefix[first]) * powers(len(prefix))[1][first] + size.astype(np.uint64))
+
+
+class Bundle:
+    """A row's documents, and the runs of windows of its shards."""
+
+    def __init__(self, row: dict, length: int):
+        self.ids, self.sizes, self.data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["data"], np.uint8)
+        self.offsets, self.length = np.concatenate(([0], np.cumsum(self.sizes))), length
+        self.inside = np.unpackbits(np.frombuffer(row["inside"] or b"", np.uint8), count=len(self.data)).astype(bool) if row["inside"] else np.zeros(len(self.data), bool)
+        found = []
+        for a, b, i, j in _shards(self.offsets, length):
+            first, last, doc, keys, prints = _runs(self.data[a:b], np.diff(np.clip(self.offsets[i : j + 1], a, b)), self.inside[a:b], length)
+            found.append((first + a, last + a, doc + i, keys, prints))
+        self.first, self.last, self.doc, keys, self.prints = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.keys, self.of = np.unique(keys, return_inverse=True)  # the bundle's keys, sorted; of each run
+        low, high = np.full(len(self.keys), NO_ID), np.full(len(self.keys), np.iinfo(np.int64).min)
+        np.minimum.at(low, self.of, self.ids[self.doc])
+        np.maximum.at(high, self.of, self.ids[self.doc])
+        self.twice = low != high  # keys in two documents of the bundle
 
     def variants(self, hit: np.ndarray) -> None:
         """Tell apart the stretches of the runs whose key is hit, by key and bytes: each one's run, and its smallest id."""
@@ -196,7 +218,7 @@ class Shard:
         if not len(self.run):
             return
         begin, size = self.first[self.run], self.last[self.run] - self.first[self.run] + self.length
-        prints = _prints(self.prefix, begin, size)
+        prints = self.prints[self.run]
         by = np.lexsort((prints, self.of[self.run]))
         key, prints = self.of[self.run][by], prints[by]
         same = np.concatenate(([False], (key[1:] == key[:-1]) & (prints[1:] == prints[:-1])))
@@ -208,7 +230,7 @@ class Shard:
         self.head = self.run[by[heads]]  # one run of each variant, by key
 
     def windows(self, hot: np.ndarray) -> None:
-        """The windows under hot keys: each one's place and document's id, and its distinct hash (128 bits), with the smallest id of that in the shard."""
+        """The windows under hot keys: each one's place and document's id, and its distinct hash (128 bits), with the smallest id of that in the bundle."""
         run = np.flatnonzero(hot[self.of])
         self.hot_hash, self.hot_more, self.hot_least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.hot_at = self.hot_of = self.hot_id = np.zeros(0, np.int64)
@@ -219,10 +241,11 @@ class Shard:
         fresh = ~self.inside[at]
         self.hot_at = at = at[fresh]
         self.hot_id = np.repeat(self.ids[self.doc[run]], many)[fresh]
-        prints = _prints(self.prefix, at, self.length)
-        more = np.zeros(len(at), np.uint64)
+        prints, more = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         for k in range(self.length):
-            more = mixed(more + self.data[at + k] + np.uint64(1))
+            prints = mixed(prints + self.data[at + k] + np.uint64(1))
+            more = more * np.uint64(0xD6E8FEB86659FD93) + self.data[at + k] + np.uint64(1)
+        more = mixed(more)
         by = np.lexsort((more, prints))
         new = np.concatenate(([True], (prints[by][1:] != prints[by][:-1]) | (more[by][1:] != more[by][:-1])))
         heads = np.flatnonzero(new)
@@ -232,22 +255,24 @@ class Shard:
         self.hot_least = np.minimum.reduceat(self.hot_id[by], heads)
 
     def covered(self, marks: list, cuts: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """Bytes under a window that also starts in a document with a smaller id: known inside the shard, or by the
+        """Bytes under a window that also starts in a document with a smaller id: known inside a shard, or by the
         merges' marks of the variants' windows and of the windows under hot keys."""
         edge = np.zeros(len(self.data) + 1, np.int32)
-        found = [np.flatnonzero(self.inside), self.hot_at[hot[self.hot_of]]]
-        if len(self.run) and marks:
+        found = [np.flatnonzero(self.inside), self.hot_at[hot[self.hot_of] | (self.hot_id > self.hot_least[self.hot_of])]]
+        if len(self.run):
             count = self.last[self.head] - self.first[self.head] + 1
             ends = np.concatenate(([0], np.cumsum(count)))
             marked = np.zeros(ends[-1], bool)
             for m in marks:
                 a, b = ends[cuts[m["range"]]], ends[cuts[m["range"] + 1]]
                 marked[a:b] = np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=b - a).astype(bool)
-            # a variant's smallest id decides its mark; a run of it with a larger id repeats that one inside the shard
+            # a mark is about a variant's smallest id
             many = self.last[self.run] - self.first[self.run] + 1
             step = _steps(many)
-            found.append((np.repeat(self.first[self.run], many) + step)[marked[np.repeat(ends[self.variant], many) + step]])
-        for at in found:
+            later = self.ids[self.doc[self.run]] > self.least[self.variant]
+            gone = marked[np.repeat(ends[self.variant], many) + step] | np.repeat(later, many)
+            found.append((np.repeat(self.first[self.run], many) + step)[gone])
+        for at in found:  # each of them without repeats
             edge[at] += 1
             edge[at + self.length] -= 1
         return np.cumsum(edge[:-1]) > 0
@@ -274,7 +299,7 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _packed(length: int):
-    """Whole documents packed into shards, each with the mask of its repeats inside; numbers are unique over all tasks."""
+    """Whole documents packed into bundles, each with the mask of what repeats inside its shards; numbers are unique over all tasks."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 33, 0
@@ -283,30 +308,34 @@ def _packed(length: int):
         parts: list[np.ndarray] = []
         held = 0
 
-        def shard() -> pa.RecordBatch:
+        def bundle() -> pa.RecordBatch:
             who, size, data = np.concatenate(ids), np.concatenate(sizes), np.concatenate(parts)
-            inside = repeated_inside(data, size, who, length)
+            inside = np.zeros(len(data), bool)
+            for a, b, i, j in _shards(np.concatenate(([0], np.cumsum(size))), length):
+                if j - i > 1:  # one document repeats no other
+                    inside[a:b] = repeated_inside(data[a:b], size[i:j], who[i:j], length)
             row = [base + count, who.tobytes(), size.tobytes(), data.tobytes(), np.packbits(inside).tobytes() if inside.any() else None]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["shard", "ids", "sizes", "data", "inside"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["bundle", "ids", "sizes", "data", "inside"])
 
         for batch in batches:
             data, offsets = flat(batch.column(1))
             keys = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            weight = offsets + np.arange(len(offsets))  # a document counts as a byte more, so empty ones fill shards, too
+            weight = offsets + np.arange(len(offsets))  # a document counts as a byte more, so empty ones fill bundles, too
             i = 0
             while i < len(keys):
-                j = max(i + (not ids), int(np.searchsorted(weight, weight[i] + SHARD - held, "right")) - 1)
+                j = max(i + (not ids), int(np.searchsorted(weight, weight[i] + BUNDLE - held, "right")) - 1)
                 if j > i:
                     ids.append(keys[i:j])
                     sizes.append(np.diff(offsets[i : j + 1]))
                     parts.append(data[offsets[i] : offsets[j]].copy())
                     held += int(weight[j] - weight[i])
                 i = j
-                if held >= SHARD or i < len(keys):
-                    yield shard()
+                if held >= BUNDLE or i < len(keys):
+                    yield bundle()
                     ids, sizes, parts, held, count = [], [], [], 0, count + 1
+            pa.default_memory_pool().release_unused()
         if ids:
-            yield shard()
+            yield bundle()
 
     return of
 
@@ -322,30 +351,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
 
-def _pieces(row: dict, length: int) -> Iterator[tuple[int, int, Shard]]:
-    """(number, first byte, shard) of a row: as it is, or a long document in pieces that overlap by length - 1 bytes."""
-    ids, sizes, data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["data"], np.uint8)
-    if len(data) <= SHARD:
-        inside = np.unpackbits(np.frombuffer(row["inside"], np.uint8), count=len(data)).astype(bool) if row["inside"] else np.zeros(len(data), bool)
-        yield 0, 0, Shard(ids, sizes, data, inside, length)
-        return
-    for k, at in enumerate(range(0, len(data), SHARD)):
-        part = data[at : at + SHARD + length - 1]
-        yield k, at, Shard(ids, np.array([len(part)]), part, np.zeros(len(part), bool), length)
-
-
-def _marks_of(row: dict, name: str, kind: int, piece: int) -> list[dict]:
-    return [m for m in row[name] if m["piece"] == piece and m["kind"] == kind]
+def _marks_of(row: dict, name: str, kind: int) -> list[dict]:
+    return [m for m in row[name] if m["kind"] == kind]
 
 
-def _looked_at(row: dict, length: int, bits: int) -> Iterator[tuple[int, int, Shard]]:
-    """The row's pieces with the stretches of their hit keys and the windows of their hot ones."""
-    for piece, at, s in _pieces(row, length):
-        marks = _marks_of(row, "marks", KEYS, piece)
-        hot = _bits(marks, s.keys, bits, "hot")
-        s.variants(_bits(marks, s.keys, bits) & ~hot)
-        s.windows(hot)
-        yield piece, at, s
+def _looked_at(row: dict, length: int, bits: int) -> Bundle:
+    """The row's bundle with the stretches of its hit keys and the windows of its hot ones."""
+    b = Bundle(row, length)
+    hot = _bits(row["marks"], b.keys, bits, "hot")
+    b.variants((_bits(row["marks"], b.keys, bits) | b.twice) & ~hot)
+    b.windows(hot)
+    return b
 
 
 def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -353,11 +369,11 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _sent(row: dict, kind: int, piece: int, cuts: np.ndarray, **columns: tuple) -> pa.RecordBatch:
+def _sent(row: dict, kind: int, cuts: np.ndarray, **columns: tuple) -> pa.RecordBatch:
     """A row for each range that holds something; columns: an array, and where its ranges' parts end if not at cuts."""
     some = np.flatnonzero(np.diff(cuts))
     at = np.append(some, len(cuts) - 1)
-    known = {"kind": np.full(len(some), kind, np.int32), "range": some.astype(np.int32), "shard": np.full(len(some), row["shard"]), "piece": np.full(len(some), piece, np.int32)}
+    known = {"kind": np.full(len(some), kind, np.int32), "range": some.astype(np.int32), "bundle": np.full(len(some), row["bundle"])}
     given = {k: _binary(x, (ends if len(ends) else cuts)[at]) if len(x) or len(some) else pa.array([], pa.binary()) for k, (x, ends) in columns.items()}
     return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in known.items()} | given)
 
@@ -373,7 +389,7 @@ def _marked(rows: pa.Table, sizes: np.ndarray, **masks: np.ndarray) -> pa.Table:
     bytes_ = np.concatenate(([0], np.cumsum((sizes + 7) // 8)))
     first = np.cumsum(sizes) - sizes
     at = np.repeat(8 * bytes_[:-1] - first, sizes) + np.arange(sizes.sum())
-    out = {k: rows[k] for k in ("kind", "range", "shard", "piece")}
+    out = {k: rows[k] for k in ("kind", "range", "bundle")}
     for name, mask in masks.items():
         bits = np.zeros(8 * bytes_[-1], bool)
         bits[at] = mask
@@ -382,33 +398,33 @@ def _marked(rows: pa.Table, sizes: np.ndarray, **masks: np.ndarray) -> pa.Table:
     return pa.table(out | ({} if "hot" in out else {"hot": pa.nulls(len(rows), pa.binary())})).filter(pa.array(np.logical_or.reduceat(masks["marks"], first)))
 
 
-def _by_shard(rows: pa.Table) -> pa.Table:
-    """All marks of a shard in one value, an Arrow stream of (kind, piece, range, marks, hot)."""
+def _by_bundle(rows: pa.Table) -> pa.Table:
+    """All marks of a bundle in one value, an Arrow stream of (kind, range, marks, hot)."""
     sink = pa.BufferOutputStream()
-    table = rows.select(["kind", "piece", "range", "marks", "hot"]).combine_chunks()
+    table = rows.select(["kind", "range", "marks", "hot"]).combine_chunks()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int64()), "marks": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    return pa.table({"bundle": pa.array([rows["bundle"][0].as_py()], pa.int64()), "marks": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
 def _keys_sent(length: int, bits: int):
-    """For each piece and range the sorted keys, as the 32 bits below the range's, and place and count of keys with many stretches."""
+    """For each bundle and range the sorted keys, as the 32 bits below the range's, and place and count of keys with many stretches."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            for piece, _, s in _pieces(row, length):
-                cuts = _cuts(s.keys, bits)
-                count = np.bincount(s.of, minlength=len(s.keys))
-                at = np.flatnonzero(count > HEAVY)
-                heavy = np.stack((at - cuts[np.searchsorted(cuts, at, "right") - 1], count[at]), axis=1).ravel()
-                yield _sent(row, KEYS, piece, cuts, sent=((s.keys >> np.uint64(32 - bits)).astype(np.uint32), ()), heavy=(heavy, 2 * np.searchsorted(at, cuts)))
+            b = Bundle(row, length)
+            cuts = _cuts(b.keys, bits)
+            count = np.bincount(b.of, minlength=len(b.keys))
+            at = np.flatnonzero(count > HEAVY)
+            heavy = np.stack((at - cuts[np.searchsorted(cuts, at, "right") - 1], count[at]), axis=1).ravel()
+            yield _sent(row, KEYS, cuts, sent=((b.keys >> np.uint64(32 - bits)).astype(np.uint32), ()), heavy=(heavy, 2 * np.searchsorted(at, cuts)))
 
     return of
 
 
 def _keys_merged(most: int):
     def of(rows: pa.Table) -> pa.Table:
-        """Keys of two pieces or more, and those of them that are hot: each piece's sorted run is looked up in them by binary search."""
+        """Keys of two bundles or more, and those of them that are hot: each bundle's sorted run is looked up in them by binary search."""
         keys, sizes = _received(rows["sent"], np.uint32)
         first = np.cumsum(sizes) - sizes
         new = np.append(True, keys[1:] != keys[:-1])
@@ -417,7 +433,7 @@ def _keys_merged(most: int):
         common, weight = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
         if not len(common):
             return _marked(rows, sizes, marks=np.zeros(len(keys), bool), hot=np.zeros(len(keys), bool))
-        weight += 1  # pieces
+        weight += 1  # bundles
         place = np.minimum(np.searchsorted(common, keys), len(common) - 1)
         hit = common[place] == keys
         heavy, pairs = _received(rows["heavy"], np.int64)
@@ -433,26 +449,26 @@ def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[_steps(size) + np.repeat(first, size)]
 
 
-def _variant_cuts(s: Shard, bits: int) -> np.ndarray:
-    return _cuts(s.keys[s.of[s.head]], bits)
+def _variant_cuts(b: Bundle, bits: int) -> np.ndarray:
+    return _cuts(b.keys[b.of[b.head]], bits)
 
 
 def _stretches_sent(length: int, bits: int, bits2: int):
-    """For each piece and range of keys the distinct stretches that may repeat, with each one's length and smallest id;
+    """For each bundle and range of keys the distinct stretches that may repeat, with each one's length and smallest id;
     for each range of hashes the distinct windows under hot keys, with each one's smallest id."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            for piece, _, s in _looked_at(row, length, bits):
-                if len(s.head):
-                    first, size = s.first[s.head], s.last[s.head] - s.first[s.head] + length
-                    cuts = _variant_cuts(s, bits2)
-                    low = (s.keys[s.of[s.head]] >> np.uint64(32 - bits2)).astype(np.uint32)
-                    text = _gathered(s.data, first, size), np.concatenate(([0], np.cumsum(size)))[cuts]
-                    yield _sent(row, STRETCHES, piece, cuts, sent=(low, ()), more=((size - length).astype(np.uint8), ()), least=(s.least, ()), text=text)
-                if len(s.hot_hash):
-                    cuts = _cuts(s.hot_hash, bits2)
-                    yield _sent(row, WINDOWS, piece, cuts, sent=(s.hot_hash, ()), more=(s.hot_more, ()), least=(s.hot_least, ()), text=(np.zeros(0, np.uint8), 0 * cuts))
+            b = _looked_at(row, length, bits)
+            if len(b.head):
+                first, size = b.first[b.head], b.last[b.head] - b.first[b.head] + length
+                cuts = _variant_cuts(b, bits2)
+                low = (b.keys[b.of[b.head]] >> np.uint64(32 - bits2)).astype(np.uint32)
+                text = _gathered(b.data, first, size), np.concatenate(([0], np.cumsum(size)))[cuts]
+                yield _sent(row, STRETCHES, cuts, sent=(low, ()), more=((size - length).astype(np.uint8), ()), least=(b.least, ()), text=text)
+            if len(b.hot_hash):
+                cuts = _cuts(b.hot_hash, bits2)
+                yield _sent(row, WINDOWS, cuts, sent=(b.hot_hash, ()), more=(b.hot_more, ()), least=(b.hot_least, ()), text=(np.zeros(0, np.uint8), 0 * cuts))
 
     return of
 
@@ -512,7 +528,7 @@ def _variants_merged(length: int):
 
 
 def _windows_merged(rows: pa.Table) -> pa.Table:
-    """Windows under hot keys that another piece has in a document with a smaller id than any of this piece."""
+    """Windows under hot keys that another bundle has in a document with a smaller id than any of this one."""
     ids, sizes = _received(rows["least"], np.int64)
     prints, more = (_received(rows[c], np.uint64)[0] for c in ("sent", "more"))
     by = np.lexsort((more, prints))
@@ -525,12 +541,10 @@ def _windows_merged(rows: pa.Table) -> pa.Table:
 def _removed(length: int, bits: int, bits2: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, size, data = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["data"], np.uint8)
-            offsets = np.concatenate(([0], np.cumsum(size)))
-            gone = np.zeros(len(data) + 1, bool)
-            for piece, at, s in _looked_at(row, length, bits):
-                hot = _bits(_marks_of(row, "more", WINDOWS, piece), s.hot_hash, bits2)
-                gone[at : at + len(s.data)] |= s.covered(_marks_of(row, "more", STRETCHES, piece), _variant_cuts(s, bits2), hot)
+            b = _looked_at(row, length, bits)
+            hot = _bits(_marks_of(row, "more", WINDOWS), b.hot_hash, bits2)
+            gone = np.append(b.covered(_marks_of(row, "more", STRETCHES), _variant_cuts(b, bits2), hot), False)
+            ids, size, data, offsets = b.ids, b.sizes, b.data, b.offsets
             start, end = gone[:-1].copy(), gone[:-1] & ~gone[1:]
             start[1:] &= ~gone[:-2]
             edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
@@ -549,11 +563,11 @@ def _removed(length: int, bits: int, bits2: int):
     return of
 
 
-def _with_marks(shards: DataFrame, marks: DataFrame, name: str) -> DataFrame:
-    """shards with the marks of each; they are broadcast if they are few bytes, else joined by a shuffle."""
-    by_shard = stash(marks.groupBy("shard").applyInArrow(_by_shard, "shard long, marks binary"), "marks").withColumnRenamed("marks", name)
-    size = by_shard.agg(F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()[0]
-    return shards.join(F.broadcast(by_shard) if size <= MARKS else by_shard, "shard", "left")
+def _with_marks(bundles: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+    """bundles with the marks of each; they are broadcast if they are few bytes, else joined by a shuffle."""
+    each = stash(marks.groupBy("bundle").applyInArrow(_by_bundle, "bundle long, marks binary"), "marks").withColumnRenamed("marks", name)
+    size = each.agg(F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()[0]
+    return bundles.join(F.broadcast(each) if size <= MARKS else each, "bundle", "left")
 
 
 def _range_bits(amount: float, each: int) -> int:
@@ -564,23 +578,23 @@ def _range_bits(amount: float, each: int) -> int:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row: bytes under a string of `length` bytes that also starts in a document with a smaller key.
 
-    1. Whole documents are packed into shards. Each shard gets its suffix array and the common prefixes of neighbours;
-       runs of `length` or more are the classes of equal windows, and every window but those of a class's smallest
-       document is a repeat. Shards are written once with that mask and read by the passes below, which deal with what
-       it leaves: the heads of the classes.
+    1. Whole documents are packed into shards, and shards into bundles, the rows that are written once and read by the
+       passes below. Each shard gets its suffix array and the common prefixes of neighbours; runs of `length` or more are
+       the classes of equal windows, and every window but those of a class's smallest document is a repeat. The passes
+       deal with what that mask leaves: the heads of the classes.
     2. Each window of `length` bytes has a key (SPREAD), the same wherever the window stands; about one key serves 12
-       windows. A shard's sorted keys are sent to merges by range, which mark, by binary search in the keys they have
-       in common, those of two shards or more. A window whose key is in one shard only cannot repeat in another; most of
-       a corpus ends here.
-    3. The stretches under the remaining keys (at most length + 23 bytes each) are sent, once from each shard, to merges
+       windows. A bundle's sorted keys are sent to merges by range, which mark, by binary search in the keys they have
+       in common, those of two bundles or more. A window whose key is in one document only cannot repeat; most of a
+       corpus ends here.
+    3. The stretches under the remaining keys (at most length + 23 bytes each) are sent, once from each bundle, to merges
        by range of keys, so equal windows meet. Stretches of equal bytes are one there; of stretches that differ under
        one key, a merge builds the suffix array and the common prefixes. A window is marked if its class has a smaller
        document key.
-    4. Under a key held by more than `hot` shards (HOT) stretches are not sent, since all of a key go to one task: each
-       shard sends a 128-bit hash of each distinct window with its smallest document key, to merges by range of that hash.
-    5. Marks give each shard its removed bytes.
+    4. Under a key held by more than `hot` bundles (HOT) stretches are not sent, since all of a key go to one task: each
+       bundle sends a 128-bit hash of each distinct window with its smallest document key, to merges by range of that hash.
+    5. Marks give each bundle its removed bytes.
 
-    A stretch or window of a hot passage is sent once by each shard, whatever its count. Sending whole suffix arrays
+    A stretch or window of a hot passage is sent once by each bundle, whatever its count. Sending whole suffix arrays
     would take 8 bytes or more for each byte of the corpus; the keys (about a third of a byte for each byte) leave only
     what may repeat. Hashes only choose what meets, bytes decide what is equal; but for windows of hot keys, which are
     equal if 128 bits are.
@@ -588,19 +602,19 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     Nulls: a null text is empty; a null key counts as larger than all others. Rows that share a key are not smaller than
     each other. spans are removed stretches (start, end in bytes). An empty table gives an empty one. Other columns are
     not read, whatever their names. A document longer than a shard is worked on in overlapping pieces (some 100 bytes of
-    memory for each byte of a piece); only its text and a mask of its bytes are held whole.
+    memory for each byte of a piece); only its text, a mask of its bytes and its runs are held whole.
     """
     if length < 32:
         raise ValueError("length must be at least 32 bytes")
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    shards = stash(slim.mapInArrow(_packed(length), "shard long, ids binary, sizes binary, data binary, inside binary"), "shards")
-    total = shards.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    bundles = stash(slim.mapInArrow(_packed(length), "bundle long, ids binary, sizes binary, data binary, inside binary"), "bundles")
+    total = bundles.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     bits, bits2 = _range_bits(total / 12, MERGE), _range_bits(total, MERGE_BYTES)
-    spot = "kind int, range int, shard long, piece int"
+    spot = "kind int, range int, bundle long"
     marks = f"{spot}, marks binary, hot binary"
-    keys = shards.mapInArrow(_keys_sent(length, bits), f"{spot}, sent binary, heavy binary")
-    marked = _with_marks(shards, keys.groupBy("range").applyInArrow(_keys_merged(hot), marks), "marks")
+    keys = bundles.mapInArrow(_keys_sent(length, bits), f"{spot}, sent binary, heavy binary")
+    marked = _with_marks(bundles, keys.groupBy("range").applyInArrow(_keys_merged(hot), marks), "marks")
     stretches = marked.mapInArrow(_stretches_sent(length, bits, bits2), f"{spot}, sent binary, more binary, least binary, text binary")
     both = _with_marks(marked, stretches.groupBy("kind", "range").applyInArrow(_stretches_merged(length), marks), "more")
     spans = "array<struct<start: long, end: long>>"

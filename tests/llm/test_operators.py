@@ -111,35 +111,35 @@ def test_repeats_merges_hot_keys_by_window(spark):
 
 
 def merged(rows, sent, merge):
-    """A merge's marks of several shards, one value for each."""
+    """A merge's marks of several bundles, one value for each."""
     table = pa.Table.from_batches(list(sent(iter([pa.RecordBatch.from_pylist(rows)]))))
     groups = sorted(set(zip(table["kind"].to_pylist(), table["range"].to_pylist(), strict=True)))
     marks = pa.concat_tables([merge(table.filter(pc.and_(pc.equal(table["kind"], k), pc.equal(table["range"], r)))) for k, r in groups])
-    return [repeats._by_shard(marks.filter(pc.equal(marks["shard"], r["shard"])))["marks"][0].as_py() for r in rows]
+    own = [marks.filter(pc.equal(marks["bundle"], r["bundle"])) for r in rows]
+    return [repeats._by_bundle(m)["marks"][0].as_py() if len(m) else None for m in own]
 
 
-def shards(*texts, ids=None):
+def bundles(*texts):
     first = np.cumsum([0, *map(len, texts)])
-    every = [np.arange(first[k], first[k + 1]) if ids is None else np.array(ids[k]) for k in range(len(texts))]
     rows = []
     for k, ts in enumerate(texts):
-        data, sizes = "".join(ts).encode(), np.array([len(t.encode()) for t in ts])
-        inside = repeats.repeated_inside(np.frombuffer(data, np.uint8), sizes, every[k], 50)
-        rows.append({"shard": k, "ids": every[k].tobytes(), "sizes": sizes.tobytes(), "data": data, "inside": np.packbits(inside).tobytes()})
+        data, sizes, ids = "".join(ts).encode(), np.array([len(t.encode()) for t in ts]), np.arange(first[k], first[k + 1])
+        inside = repeats.repeated_inside(np.frombuffer(data, np.uint8), sizes, ids, 50)
+        rows.append({"bundle": k, "ids": ids.tobytes(), "sizes": sizes.tobytes(), "data": data, "inside": np.packbits(inside).tobytes()})
     return rows
 
 
 def test_repeats_sends_no_stretches_of_hot_keys():
-    rows = shards(hot_texts(200, 1), hot_texts(200, 2))
+    rows = bundles(hot_texts(200, 1), hot_texts(200, 2))
     for r, marks in zip(rows, merged(rows, repeats._keys_sent(50, 5), repeats._keys_merged(100)), strict=True):
-        for _, _, s in repeats._looked_at(next(repeats._rows([pa.RecordBatch.from_pylist([r | {"marks": marks}])])), 50, 5):
-            assert len(s.hot_at) > 200 and (not len(s.run) or np.bincount(s.of[s.run]).max() <= 100)
-            assert len(s.hot_hash) == len({r["data"][a : a + 50] for a in s.hot_at})
+        b = repeats._looked_at(next(repeats._rows([pa.RecordBatch.from_pylist([r | {"marks": marks}])])), 50, 5)
+        assert len(b.hot_at) > 200 and (not len(b.run) or np.bincount(b.of[b.run]).max() <= 100)
+        assert len(b.hot_hash) == len({r["data"][a : a + 50] for a in b.hot_at})
 
 
 def test_repeats_inside_a_shard_by_its_suffix_array():
     texts = hot_texts(60, 3) + ["x" * 200, "", "x" * 120, "short"]
-    rows = shards(texts)[0]
+    rows = bundles(texts)[0]
     inside = np.unpackbits(np.frombuffer(rows["inside"], np.uint8))
     first, at = {}, 0
     for i, t in enumerate(texts):
@@ -153,7 +153,7 @@ def test_repeats_with_equal_prints_and_keys(spark, monkeypatch):
     """Nothing depends on hashes that differ: keys of 37 bits and prints that all collide give the same result."""
     docs = list(enumerate(hot_texts(80, 5)))
     monkeypatch.setattr(repeats, "_prints", lambda prefix, first, size: np.zeros(len(first), np.uint64))
-    rows = shards([t for _, t in docs[:40]], [t for _, t in docs[40:]])
+    rows = bundles([t for _, t in docs[:40]], [t for _, t in docs[40:]])
     for name, sent, merge in (("marks", repeats._keys_sent(50, 5), repeats._keys_merged(10**9)), ("more", repeats._stretches_sent(50, 5, 5), repeats._stretches_merged(50))):
         for r, marks in zip(rows, merged(rows, sent, merge), strict=True):
             r[name] = marks
@@ -161,6 +161,24 @@ def test_repeats_with_equal_prints_and_keys(spark, monkeypatch):
     assert {r["_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute.repeats(docs)
 
 
+def test_repeats_across_shards_of_a_bundle_and_bundles(spark, monkeypatch):
+    docs = list(enumerate(hot_texts(300, 7)))
+    for shard, bundle in ((500, 3000), (3000, 20000), (1 << 17, 300)):
+        monkeypatch.setattr(repeats, "SHARD", shard)
+        batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
+        monkeypatch.setattr(repeats, "BUNDLE", bundle)
+        monkeypatch.setattr(repeats.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+        rows = [r for b in repeats._packed(50)(iter([batch])) for r in b.to_pylist()]
+        assert len(rows) > 1
+        for most in (3, 10**9):
+            for name, sent, merge in (("marks", repeats._keys_sent(50, 5), repeats._keys_merged(most)), ("more", repeats._stretches_sent(50, 5, 5), repeats._stretches_merged(50))):
+                for r, marks in zip(rows, merged(rows, sent, merge), strict=True):
+                    r[name] = marks
+            out = pa.Table.from_batches(list(repeats._removed(50, 5, 5)(iter([pa.RecordBatch.from_pylist(rows)])))).to_pylist()
+            assert {r["_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute.repeats(docs)
+            rows = [{k: v for k, v in r.items() if k not in ("marks", "more")} for r in rows]
+
+
 def test_repeats_of_documents_longer_than_a_shard(spark, monkeypatch):
     rng = random.Random(3)
     long = "".join(rng.choice("abc") for _ in range(repeats.SHARD + 5000))
