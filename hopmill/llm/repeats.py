@@ -16,7 +16,7 @@ from hopmill.llm.arrays import flat, mixed, powers, prefix_hashes
 from hopmill.llm.common import small_batches, stash
 
 #: Bytes of text in a shard, which has one suffix array, and in a bundle of shards, which is a row and what merges answer to.
-SHARD, BUNDLE = 1 << 17, 1 << 21
+SHARD, BUNDLE = 1 << 17, 1 << 20
 #: Every string of `length` bytes holds SPREAD substrings of length - SPREAD + 1 bytes; the one of least hash is its key.
 SPREAD = 24
 #: Keys, and bytes of text, that one task of a merge should hold; bytes of marks that are broadcast at most.
@@ -445,8 +445,9 @@ def _keys_merged(most: int):
 
 
 def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of several stretches, one after another."""
-    return data[_steps(size) + np.repeat(first, size)]
+    """The bytes of several stretches, one after another; a few at a time, since places take 8 bytes for each byte."""
+    parts = [data[_steps(n) + np.repeat(a, n)] for a, n in ((first[k : k + 4096], size[k : k + 4096]) for k in range(0, len(size), 4096))]
+    return np.concatenate([data[:0], *parts])
 
 
 def _variant_cuts(b: Bundle, bits: int) -> np.ndarray:
