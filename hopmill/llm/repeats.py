@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopmill.llm.arrays import flat, mixed, powers, prefix_hashes
-from hopmill.llm.common import small_batches, stash
+from hopmill.llm.common import release, small_batches, stash
 
 #: Bytes of text in a shard, which has one suffix array, and in a bundle of shards, which is a row and what merges answer to.
 SHARD, BUNDLE = 1 << 17, 1 << 20
@@ -333,7 +333,7 @@ def _packed(length: int):
                 if held >= BUNDLE or i < len(keys):
                     yield bundle()
                     ids, sizes, parts, held, count = [], [], [], 0, count + 1
-            pa.default_memory_pool().release_unused()
+                    release()
         if ids:
             yield bundle()
 
@@ -347,8 +347,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             for name in ("marks", "more"):
                 row[name] = pa.ipc.open_stream(row[name]).read_all().to_pylist() if row.get(name) else []
             yield row
-        del batch
-        pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
+            del row
+            release()
 
 
 def _marks_of(row: dict, name: str, kind: int) -> list[dict]:
@@ -425,6 +425,7 @@ def _keys_sent(length: int, bits: int):
 def _keys_merged(most: int):
     def of(rows: pa.Table) -> pa.Table:
         """Keys of two bundles or more, and those of them that are hot: each bundle's sorted run is looked up in them by binary search."""
+        release()
         keys, sizes = _received(rows["sent"], np.uint32)
         first = np.cumsum(sizes) - sizes
         new = np.append(True, keys[1:] != keys[:-1])
@@ -476,6 +477,7 @@ def _stretches_sent(length: int, bits: int, bits2: int):
 
 def _stretches_merged(length: int):
     def of(rows: pa.Table) -> pa.Table:
+        release()
         return (_windows_merged if rows["kind"][0].as_py() == WINDOWS else _variants_merged(length))(rows)
 
     return of
