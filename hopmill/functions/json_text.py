@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -89,32 +90,30 @@ def forbidden_paths(text: Column, names: list[str]) -> Column:
     return _mapped("array<string>", pa.list_(pa.string()), of)(text)
 
 
+#: A whole string, or a bracket outside of strings.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[][{}]', re.DOTALL)
+
+
 def _repaired(v: str) -> dict | None:
     if _lenient(v):
         return {"text": v, "edits": []}
-    if len(v) > MOST_CHARACTERS:
+    if len(v) > MOST_CHARACTERS or '"' in TOKEN.sub("", v):
         return None
-    closer = {"{": "}", "[": "]"}
-    open_, out, edits = [], [], []
-    quoted = skip = False
-    for at, c in enumerate(v):
-        if quoted:
-            quoted, skip = skip or c != '"', not skip and c == "\\"
-        elif c == '"':
-            quoted = True
-        elif c in closer:
-            open_.append(closer[c])
-        elif c in "]}":
-            while open_ and open_[-1] != c:
-                edits.append({"before": at, "inserted": open_[-1]})
-                out.append(open_.pop())
-            if not open_:
+    owed = ""  # closers of what is open, the innermost first
+    edits = []
+    for token in TOKEN.finditer(v):
+        if token[0] in "{[":
+            owed = ("}" if token[0] == "{" else "]") + owed
+        elif token[0] in "}]":
+            missing, found, owed = owed.partition(token[0])
+            if not found:
                 return None
-            open_.pop()
-        out.append(c)
-    edits += [{"before": len(v), "inserted": c} for c in reversed(open_)]
-    text = "".join(out + open_[::-1])
-    return {"text": text, "edits": edits} if not quoted and 0 < len(edits) <= MOST_EDITS and _lenient(text) else None
+            edits += [{"before": token.start(), "inserted": c} for c in missing]
+    edits += [{"before": len(v), "inserted": c} for c in owed]
+    cuts = [0, *(e["before"] for e in edits), len(v)]
+    pieces = [v[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    text = "".join(p + e["inserted"] for p, e in zip(pieces, edits, strict=False)) + pieces[-1]
+    return {"text": text, "edits": edits} if len(edits) <= MOST_EDITS and _lenient(text) else None
 
 
 def close_brackets(text: Column) -> Column:

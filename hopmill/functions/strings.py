@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
@@ -51,16 +52,15 @@ def _only_names(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
     for quotes, names in batches:
         out = []
         for q, known in zip(quotes.to_pylist(), names.to_pylist(), strict=True):
-            parts = sorted({n for n in known or [] if n}, key=lambda n: (-len(n), n))
-            rest = q or ""
-            if parts:
-                rest = re.sub("|".join(map(re.escape, parts)), "", rest)
-            out.append(bool(q) and not re.sub(r"[\s\W_和与及]", "", rest))
+            each = "|".join(regex.escape(n) for n in sorted({n for n in known or [] if n}, key=lambda n: (-len(n), n)))
+            value = unicodedata.normalize("NFKC", q or "").strip()
+            found = regex.fullmatch(rf"(?:(?P<name>{each})|[\s\p{{P}}和与及])*+", value) if each and value else None
+            out.append(bool(found and found["name"]))
         yield pa.array(out, pa.bool_())
 
 
 def identity_only(quote: Column, names: Column) -> Column:
-    """Whether a quote is only registered names, spaces, punctuation and conjunctions; names are taken longest first."""
+    """Whether a quote is only registered names, one at least, white space, punctuation and 和, 与, 及: matched from the left, the longest name first."""
     return _only_names(quote, names)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopmill.functions.json_text import is_json
+
 
 def union_cohorts(cohorts: dict[str, DataFrame], key: str, payload: str) -> DataFrame:
     """One catalog of cohorts with different columns: key is cohort:id, with a digest of the payload."""
@@ -33,8 +35,8 @@ def overlay(catalog: DataFrame, hits: DataFrame, key: str = "key") -> DataFrame:
 
 
 def attach_answers(catalog: DataFrame, answers: DataFrame, key: str = "key") -> DataFrame:
-    """Questions with their first answers, the digest of the raw text, and whether it is an object or list."""
-    a = answers.select(key, "model", "raw_response", F.sha2("raw_response", 256).alias("raw_text_sha256"), F.coalesce(F.try_parse_json("raw_response").isNotNull(), F.lit(False)).alias("parses"))
+    """Questions with their first answers, the digest of the raw text, and whether it is one JSON value (repeated keys and NaN allowed)."""
+    a = answers.select(key, "model", "raw_response", F.sha2("raw_response", 256).alias("raw_text_sha256"), F.coalesce(is_json(F.col("raw_response")), F.lit(False)).alias("parses"))
     return catalog.join(a, key, "left")
 
 

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
-def parent_paths(queries: DataFrame, steps: DataFrame, facts: DataFrame, hops: int, bar_facts: bool = True) -> DataFrame:
-    """(query_id, entities, facts, length) of all complete child-to-parent paths, for queries of 1 to `hops` steps.
+def _longest(steps: DataFrame, hops: int | None) -> int:
+    """The largest hop of the steps; one beyond a stated limit raises rather than being left out."""
+    most = steps.agg(F.max("hop")).first()[0] or 0
+    if hops is not None and most > hops:
+        raise ValueError(f"steps have {most} hops, more than the limit of {hops}")
+    return most
+
+
+def parent_paths(queries: DataFrame, steps: DataFrame, facts: DataFrame, hops: int | None = None, bar_facts: bool = True) -> DataFrame:
+    """(query_id, entities, facts, length) of all complete child-to-parent paths, of as many hops as each query has steps; more than `hops`, if given, raise.
 
     queries: query_id, owner_id, start; steps: query_id, hop (from 1), role, scope; facts: owner_id, fact_id, child,
     parent, parent_role, scope. A requested role `parent` takes any role, no other does. Entities never repeat in a
@@ -18,8 +29,8 @@ def parent_paths(queries: DataFrame, steps: DataFrame, facts: DataFrame, hops: i
     lengths = steps.groupBy("query_id").agg(F.max("hop").alias("_hops"))
     paths = queries.join(lengths, "query_id").select("query_id", "owner_id", "_hops", F.array("start").alias("entities"), F.array().cast("array<string>").alias("facts"))
     edge = facts.select("owner_id", F.col("child").alias("_at"), F.col("scope").alias("_scope"), F.col("fact_id").cast("string").alias("_fact"), "parent", "parent_role")
-    done = []
-    for hop in range(1, hops + 1):
+    done = [paths.where("false")]
+    for hop in range(1, _longest(steps, hops) + 1):
         step = steps.where(F.col("hop") == hop).select("query_id", "role", F.col("scope").alias("_scope"))
         grown = paths.where(F.col("_hops") >= hop).withColumn("_at", F.element_at("entities", -1)).join(step, "query_id").join(edge, ["owner_id", "_at", "_scope"])
         grown = grown.where(((F.col("role") == "parent") | (F.col("role") == F.col("parent_role"))) & ~F.array_contains("entities", F.col("parent")))
@@ -38,18 +49,19 @@ def answers(queries: DataFrame, paths: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(n == 0, "insufficient_evidence").when(n == 1, "answerable").otherwise("ambiguous"))
 
 
-def walks(queries: DataFrame, steps: DataFrame, triples: DataFrame, hops: int) -> DataFrame:
+def walks(queries: DataFrame, steps: DataFrame, triples: DataFrame, hops: int | None = None) -> DataFrame:
     """(query_id, value, facts) of walks with a direction (out: subject to object; in: back) for each step.
 
     A fact counts if its period (inclusive lo and hi) holds the query's at_time, or either is null. Repeats are allowed.
+    There are as many hops as the steps have; more than `hops`, if given, raise.
     """
     out = triples.select("owner_id", "fact_id", "relation", "period", F.lit("out").alias("direction"), F.col("subject").alias("_at"), F.col("object").alias("_to"))
     back = triples.select("owner_id", "fact_id", "relation", "period", F.lit("in").alias("direction"), F.col("object").alias("_at"), F.col("subject").alias("_to"))
     edge = out.unionByName(back)
     lengths = steps.groupBy("query_id").agg(F.max("hop").alias("_hops"))
     paths = queries.join(lengths, "query_id").select("query_id", "owner_id", "at_time", "_hops", F.col("start").alias("_at"), F.array().cast("array<string>").alias("facts"))
-    done = []
-    for hop in range(1, hops + 1):
+    done = [paths.where("false")]
+    for hop in range(1, _longest(steps, hops) + 1):
         step = steps.where(F.col("hop") == hop).select("query_id", "relation", "direction")
         valid = F.col("period").isNull() | F.col("at_time").isNull() | F.col("at_time").between(F.col("period.lo"), F.col("period.hi"))
         grown = paths.where(F.col("_hops") >= hop).join(step, "query_id").join(edge, ["owner_id", "relation", "direction", "_at"]).where(valid)
@@ -103,17 +115,38 @@ def abduction(candidates: DataFrame, rules: DataFrame, query: str, keys: list[st
     return out.select(query, F.when(F.col("_n") == 1, F.col("_c")).alias("hypothesis"), F.when(F.col("_n").isNull(), "none").when(F.col("_n") == 1, "single").otherwise("ambiguous").alias("status"))
 
 
-def proof_depths(nodes: DataFrame, longest: int) -> DataFrame:
-    """(proof_id, depth): the longest chain of dependencies. nodes: proof_id, node_id, dependencies.
-
-    Depths are relaxed once for each level, at most `longest` times; each round is one join and one sum by node.
+@F.arrow_udf(IntegerType())
+def _depth(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Nodes on the longest chain of each proof; null if there is a cycle."""
+    for batch in batches:
+        out = []
+        for proof in batch.to_pylist():
+            after = {n["node_id"]: [] for n in proof}
+            waits = dict.fromkeys(after, 0)
+            for n in proof:
+                for d in set(n["dependencies"] or []) & after.keys():
+                    after[d].append(n["node_id"])
+                    waits[n["node_id"]] += 1
+            level, depth, seen = [n for n, w in waits.items() if not w], 0, 0
+            while level:
+                depth, seen, free = depth + 1, seen + len(level), []
+                for n in level:
+                    for m in after[n]:
+                        waits[m] -= 1
+                        if not waits[m]:
+                            free.append(m)
+                level = free
+            out.append(depth if seen == len(after) else None)
+        yield pa.array(out, pa.int32())
+
+
+def proof_depths(nodes: DataFrame) -> DataFrame:
+    """(proof_id, depth): the longest chain of dependencies, however long; null for a proof with a cycle. nodes: proof_id, node_id, dependencies.
+
+    A proof, which has a bounded number of nodes by its nature, meets in one row; dependencies on unknown nodes count for nothing.
     """
-    edges = nodes.select("proof_id", "node_id", F.explode("dependencies").alias("_d"))
-    depth = nodes.select("proof_id", "node_id", F.lit(1).alias("depth"))
-    for _ in range(longest - 1):
-        up = edges.join(depth.select("proof_id", F.col("node_id").alias("_d"), F.col("depth").alias("_below")), ["proof_id", "_d"]).groupBy("proof_id", "node_id").agg((F.max("_below") + 1).alias("_up"))
-        depth = depth.join(up, ["proof_id", "node_id"], "left").select("proof_id", "node_id", F.greatest("depth", F.coalesce("_up", F.lit(1))).alias("depth"))
-    return depth.groupBy("proof_id").agg(F.max("depth").alias("depth"))
+    proofs = nodes.groupBy("proof_id").agg(F.collect_list(F.struct("node_id", "dependencies")).alias("_nodes"))
+    return proofs.select("proof_id", _depth("_nodes").alias("depth"))
 
 
 def dag_violations(nodes: DataFrame, supports: DataFrame) -> DataFrame:
@@ -185,13 +218,14 @@ def path_difference(expected: DataFrame, submitted: DataFrame, key: str = "query
     return e.join(s, [key, "facts"], "left_anti").withColumn("side", F.lit("omitted")).unionByName(s.join(e, [key, "facts"], "left_anti").withColumn("side", F.lit("invented")))
 
 
-def frontier_violations(reviews: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+def frontier_violations(reviews: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
     """(query_id, hop, entity, check): children reviewed twice in a hop, not reached (unexpected) or reached and not reviewed (missing).
 
-    reviews: query_id, hop, child, parents (array, the reviewed result); start: query_id, entity.
+    reviews: query_id, hop, child, parents (array, the reviewed result); start: query_id, entity. There are as many hops
+    as the reviews have, one at least; more than `hops`, if given, raise.
     """
     frontier, out = start, []
-    for hop in range(1, hops + 1):
+    for hop in range(1, max(1, hops or 0, _longest(reviews, hops)) + 1):
         seen = reviews.where(F.col("hop") == hop).groupBy("query_id", F.col("child").alias("entity")).agg(F.count("*").alias("_n"))
         both = frontier.distinct().withColumn("_f", F.lit(True)).join(seen, ["query_id", "entity"], "full")
         check = F.when(F.col("_n").isNull(), "missing").when(F.col("_f").isNull(), "unexpected").when(F.col("_n") > 1, "repeated")

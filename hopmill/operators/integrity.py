@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 #: Patterns of secrets and local paths.
 SECRETS = {
-    "api_key": r"sk-[A-Za-z0-9_-]{20,}",
-    "code_host_token": r"gh[pousr]_[A-Za-z0-9]{20,}",
-    "bearer": r"(?i)bearer\s+[A-Za-z0-9._-]{20,}",
-    "user_path": r"(?i)[A-Z]:\\Users\\[^\\\s]+",
+    "api_key": r"\bsk-[A-Za-z0-9_-]{12,}",
+    "bearer": r"(?i)Bearer\s+[A-Za-z0-9_.-]{16,}",
+    "local_path": r"(?i)[A-Z]:[\\/](?:Users|Program\sFiles|个人经历)",
+    "escaped_path": r"(?i)C:\\\\Users\\\\",
+    "host_token": r"gh[pousr]_[A-Za-z0-9]{20,}",
+    "personal_token": r"github_pat_[A-Za-z0-9_]{20,}",
 }
 
 

@@ -18,29 +18,29 @@ PARTITIONS = ("primary", "node", "control")
 
 
 def falling(n: Column, k: int) -> Column:
-    """n (n - 1) ... (n - k + 1) as a long; 0 where n < k (n >= 0). For k = 5 it fits up to n of about 6000."""
-    product = reduce(lambda a, i: a * (n.cast("long") - i), range(1, k), n.cast("long"))
-    return F.when(n >= k, product).otherwise(F.lit(0).cast("long"))
+    """n (n - 1) ... (n - k + 1) as a decimal; 0 where n < k (n >= 0). For k = 5 it fits up to n of 39 million."""
+    each = [(n - i).cast("decimal(12,0)") for i in range(k)]
+    return F.when(n >= k, reduce(lambda a, b: a * b, each).cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of non-negative longs: Euclid's steps, of which longs need 91 at most."""
-    start = F.struct(F.greatest(a, b).cast("long").alias("x"), F.least(a, b).cast("long").alias("y"))
-    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.try_mod(s["x"], s["y"]).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(91)), start, step, lambda s: s["x"])
+    """Greatest common divisor of whole decimals, not negative: Euclid's steps, of which 38 digits need 183 at most."""
+    start = F.struct(F.greatest(a, b).cast("decimal(38,0)").alias("x"), F.least(a, b).cast("decimal(38,0)").alias("y"))
+    step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.try_mod(s["x"], s["y"]).cast("decimal(38,0)").alias("y")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(183)), start, step, lambda s: s["x"])
 
 
 def estimate(n: Column, c: Column, k: int, every: bool) -> Column:
     """struct(numerator, denominator, value): pass@k, or pass^k if every; null where n < k. The fraction is not reduced."""
     whole = falling(n, k)
     hit = falling(c, k) if every else whole - falling(n - c, k)
-    return F.when(n >= k, F.struct(hit.alias("numerator"), whole.alias("denominator"), F.try_divide(hit, whole).alias("value")))
+    return F.when(n >= k, F.struct(hit.alias("numerator"), whole.alias("denominator"), F.try_divide(hit.cast("double"), whole.cast("double")).alias("value")))
 
 
 def lowest_terms(fraction: Column) -> Column:
     """struct(numerator, denominator) without common factors."""
     by = gcd(fraction["numerator"], fraction["denominator"])
-    return F.when(fraction.isNotNull(), F.struct((fraction["numerator"] / by).cast("long").alias("numerator"), (fraction["denominator"] / by).cast("long").alias("denominator")))
+    return F.when(fraction.isNotNull(), F.struct((fraction["numerator"] / by).cast("decimal(38,0)").alias("numerator"), (fraction["denominator"] / by).cast("decimal(38,0)").alias("denominator")))
 
 
 def verdict_counts(trials: DataFrame, keys: list[str], verdict: str = "verdict") -> DataFrame:

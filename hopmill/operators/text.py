@@ -11,10 +11,23 @@ from pyspark.sql import functions as F
 
 from hopmill.functions.strings import identity_only, occurrences, surface
 
-SENTENCE_ENDS, CLAUSE_ENDS, CLOSERS = "。！？!?\n", "。！？!?\n，,；;：:、", "”’」』）)]》\"'\r"
+#: What ends a sentence and a clause, and closing marks that go with an end.
+SENTENCE_ENDS = "。！？!?．.\n\r"
+CLAUSE_ENDS = SENTENCE_ENDS + "，,；;：:"
+CLOSERS = "”’\"'」』）)]}》〉】〕"
 SENTENCE = r"[^。！？\n]+[。！？\n]?|[。！？\n]"
 SPAN = "struct<start int, `end` int>"
-KIN = "父|母|子|女|兄|弟|姐|妹|祖|孙|叔|伯|姑|舅|姨|夫|妻"
+#: A described relation, words of relations beside a name, predicates, role words, and titles that are role words themselves.
+DESCRIBED = r"(?:之|的).*(?:父|母|子|女|祖|兄|弟|姐|妹)"
+KIN = "父|母|爹|娘|爸|妈|爷|奶|祖|子|女|夫|妻|兄|弟|姐|妹|生|育|所出|所养|诞|后裔|后代"
+PREDICATE = "父|母|爹|娘|爸|妈|亲|子|女|生|所出|所育|后代"
+ROLES = {
+    "father": "父|爹|爸|男|丈夫|夫君|夫婿|老爷|公子|长子|次子|舅|伯|叔|爷|娶|翁",
+    "mother": "母|娘|妈|女|妻|太太|夫人|姑娘|小姐|姑|姨|姥|奶|婆|生下|所生|妊|孕|产",
+}
+OTHER_ROLE = "父|母|爹|娘|爸|妈|亲|子|女|生|所出|所育"
+FATHER_TITLE = "(?:老爹|爹爹|老爸|爸爸)$"
+TITLE_OF = "(?:的|之)(?:亲生)?(?:长女|次女|幼女|女儿|长子|次子|幼子|儿子|子女|孩子)"
 
 
 def quote_located(citations: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,13 +145,21 @@ def resolve(mentions: DataFrame, index: DataFrame, owner: str = "owner_id", ment
     return out.select(*mentions.columns, "status", "entity_id")
 
 
-def pure_surfaces(named: DataFrame, owner: str = "owner_id", kin: str = KIN) -> DataFrame:
-    """Surfaces of one entity that are no relational description: another entity's name with a kinship word beside it."""
-    shared = named.groupBy(owner, "surface").agg(F.count_distinct("entity_id").alias("_n")).where("_n > 1").select(owner, "surface")
-    own = named.join(shared, [owner, "surface"], "left_anti")
-    other = named.where("is_name").select(owner, F.col("entity_id").alias("_e"), F.col("surface").alias("_o"))
-    described = own.join(other, owner).where((F.col("_e") != F.col("entity_id")) & (F.col("surface") != F.col("_o")) & F.col("surface").contains(F.col("_o")) & F.replace(F.col("surface"), F.col("_o"), F.lit("")).rlike(kin))
-    return own.join(described.select(owner, "entity_id", "surface").distinct(), [owner, "entity_id", "surface"], "left_anti")
+def pure_surfaces(named: DataFrame, owner: str = "owner_id", kin: str = KIN, described: str = DESCRIBED) -> DataFrame:
+    """Surfaces of one entity that are no relational description: no described relation, nor a surface of others with a word of kinship beside it.
+
+    A surface is cut into the stretches that have the length of some surface of its owner, and these are looked up: no
+    pairs of surfaces are made.
+    """
+    owned = named.groupBy(owner, "surface").agg(F.collect_set("entity_id").alias("_ids"))
+    own = named.join(owned.where(F.size("_ids") == 1).select(owner, "surface"), [owner, "surface"]).where(~F.col("surface").rlike(described))
+    lengths = owned.groupBy(owner).agg(F.collect_set(F.length("surface")).alias("_lengths"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length("surface") - n + 1), lambda i: F.substring(F.col("surface"), i, n))
+    parts = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length("surface")), of))
+    cut_up = own.join(lengths, owner).select(owner, "entity_id", "surface", F.explode(F.array_distinct(parts)).alias("_o"))
+    others = cut_up.join(owned.withColumnRenamed("surface", "_o"), [owner, "_o"]).where(~F.array_contains("_ids", F.col("entity_id")))
+    beside = others.where(F.replace(F.col("surface"), F.col("_o"), F.lit("")).rlike(kin))
+    return own.join(beside.select(owner, "entity_id", "surface").distinct(), [owner, "entity_id", "surface"], "left_anti")
 
 
 def display_surface(named: DataFrame, contexts: DataFrame, owner: str = "owner_id") -> DataFrame:
@@ -163,16 +184,27 @@ def identity_guard(citations: DataFrame, named: DataFrame, owner: str = "owner_i
 def shortcut_candidates(contexts: DataFrame, starts: DataFrame, terms: DataFrame, owner: str = "owner_id", gap: int = 6) -> DataFrame:
     """Sentences with a query's start name, at most `gap` characters, and a kin term of its pair of roles: for review only."""
     sent = contexts.select(owner, "context_id", F.explode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("sentence"))
-    rows = sent.join(starts, owner).join(F.broadcast(terms), "roles")
-    pattern = F.concat(F.lit("\\Q"), F.col("start_name"), F.lit(f"\\E.{{0,{gap}}}\\Q"), F.col("term"), F.lit("\\E"))
+    rows = sent.join(starts, owner).join(terms, "roles")
+    pattern = F.concat(F.lit("(?s)\\Q"), F.col("start_name"), F.lit(f"\\E.{{0,{gap}}}\\Q"), F.col("term"), F.lit("\\E"))
     return rows.where(F.col("sentence").contains(F.col("start_name")) & F.regexp_like(F.col("sentence"), pattern)).select(owner, "context_id", "query_id", "term", "sentence").distinct()
 
 
-def marker_guards(quote: Column, a: Column, b: Column, predicate: str = KIN, roles: str = "父亲|母亲|父|母") -> Column:
-    """struct(has_a, has_b, predicate, role): names present, and what is left of the quote without them (longer name first)."""
-    long, short = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    rest = F.replace(F.replace(quote, long, F.lit("")), short, F.lit(""))
-    return F.struct(quote.contains(a).alias("has_a"), quote.contains(b).alias("has_b"), rest.rlike(predicate).alias("predicate"), rest.rlike(roles).alias("role"))
+def marker_guards(quote: Column, child: Column, parent: Column, role: Column, predicate: str = PREDICATE, roles: dict[str, str] = ROLES, other: str = OTHER_ROLE) -> Column:
+    """struct(has_child, has_parent, predicate, role): names present, and what the quote without all names holds. Negative guards only.
+
+    child and parent are arrays of names, taken out longest first, ties by code point. A role without words of its own
+    has `other`. For the role father a name of the parent that is a title counts, before one of its children (TITLE_OF).
+    """
+    names = F.filter(F.array_distinct(F.concat(child, parent)), lambda n: n != "")
+    longest = F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
+    rest = F.aggregate(longest, quote, lambda left, n: F.replace(left, n["n"], F.lit("")))
+    words = F.lit(False)
+    for name, pattern in roles.items():
+        words = words | ((role == name) & rest.rlike(pattern))
+    words = words | (~role.isin(*roles) & rest.rlike(other))
+    title = (role == "father") & F.exists(parent, lambda n: n.rlike(FATHER_TITLE) & F.regexp_like(quote, F.concat(F.lit("\\Q"), n, F.lit(f"\\E{TITLE_OF}"))))
+    there = lambda some: F.exists(some, lambda n: (n != "") & quote.contains(n))
+    return F.struct(there(child).alias("has_child"), there(parent).alias("has_parent"), rest.rlike(predicate).alias("predicate"), (words | title).alias("role"))
 
 
 def merged(spans: Column) -> Column:

@@ -125,7 +125,7 @@ def x28_routing(spark, sf_dir):
     drafts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("source_sha256"), F.col("o_orderstatus").alias("draft_sha256"), (F.col("o_totalprice") < 20000).alias("source_empty"), (F.col("o_custkey") % 2 == 0).alias("closed_world"))
     facets = F.when(F.col("l_quantity") > 10, F.array(F.lit("coverage"), F.lit("scope"))).otherwise(F.array(F.lit("scope")))
     receipts = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
-    receipts = receipts.where("l_linenumber < 3").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "R", "stale").otherwise(F.col("o_orderpriority")).alias("source_sha256"), F.col("o_orderstatus").alias("draft_sha256"), facets.alias("facets"), (F.col("l_linestatus") == "F").alias("trusted"))
+    receipts = receipts.select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "R", "stale").otherwise(F.col("o_orderpriority")).alias("source_sha256"), F.col("o_orderstatus").alias("draft_sha256"), facets.alias("facets"), (F.col("l_linestatus") == "F").alias("trusted"))
     return X.review_routing(drafts, receipts, ["coverage", "scope"]).groupBy("route", "reason").agg(F.count("*").alias("jobs"))
 
 
@@ -180,7 +180,7 @@ SELECT *, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY footprint) - 1 AS g
     "x26_outcome": "WITH g AS (SELECT l_orderkey, bool_or(l_quantity > 48) AS bad, bool_or(l_returnflag <> 'A' OR l_linestatus <> 'F') AS open FROM lineitem GROUP BY 1) SELECT CASE WHEN bad THEN 'rejected' WHEN open THEN 'needs_adjudication' ELSE 'passed' END AS outcome, count(*) AS groups FROM g GROUP BY 1",
     "x27_cells": """WITH e AS (SELECT o_orderkey AS f, unnest(range(1, 8)) AS u FROM orders), s AS (SELECT l_orderkey AS f, l_linenumber AS u, count(*) AS n FROM lineitem GROUP BY ALL),
 b AS (SELECT coalesce(e.u, s.u)::INT AS unit_id, CASE WHEN s.f IS NULL THEN 'missing' WHEN e.f IS NULL THEN 'unexpected' WHEN n > 1 THEN 'repeated' END AS "check" FROM e FULL JOIN s ON e.f = s.f AND e.u = s.u) SELECT unit_id, "check", count(*) AS cells FROM b WHERE "check" IS NOT NULL GROUP BY ALL""",
-    "x28_routing": """WITH r AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_linestatus <> 'F' THEN 2 WHEN l_quantity <= 10 THEN 3 ELSE 4 END) AS l FROM lineitem WHERE l_linenumber < 3 GROUP BY 1),
+    "x28_routing": """WITH r AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_linestatus <> 'F' THEN 2 WHEN l_quantity <= 10 THEN 3 ELSE 4 END) AS l FROM lineitem GROUP BY 1),
 d AS (SELECT CASE WHEN o_totalprice < 20000 AND o_custkey % 2 = 0 THEN 'closed_world_empty' ELSE ['no_receipt', 'stale_receipt', 'untrusted_receipt', 'facets_missing', 'trusted_receipt'][coalesce(l, 0) + 1] END AS reason FROM orders LEFT JOIN r ON o_orderkey = l_orderkey)
 SELECT CASE WHEN reason IN ('closed_world_empty', 'trusted_receipt') THEN 'determinate' ELSE 'requires_review' END AS route, reason, count(*) AS jobs FROM d GROUP BY ALL""",
 }

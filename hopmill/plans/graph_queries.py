@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hopmill.operators import families as V
 from hopmill.operators import graph as G
+from hopmill.operators import reviews as R
 from hopmill.plans.bindings import table
 
 
@@ -28,7 +29,7 @@ def _asked(spark, sf_dir):
 
 def g01_paths(spark, sf_dir):
     q, s = _asked(spark, sf_dir)
-    a = G.answers(q, G.parent_paths(q, s, _facts(spark, sf_dir), 2))
+    a = G.answers(q, G.parent_paths(q, s, _facts(spark, sf_dir)))
     return a.select("query_id", "status", F.array_join("answers", ",").alias("answers"), "proofs")
 
 
@@ -38,7 +39,7 @@ def g02_walks(spark, sf_dir):
     triples = li.unionByName(su).withColumn("owner_id", F.lit("all"))
     q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.lit("all").alias("owner_id"), F.col("p_partkey").cast("string").alias("start"), F.lit(1995).alias("at_time"))
     s = q.select("query_id", F.explode(F.array(F.struct(F.lit(1).alias("hop"), F.lit("sold_by").alias("relation"), F.lit("out").alias("direction")), F.struct(F.lit(2).alias("hop"), F.lit("in").alias("relation"), F.lit("out").alias("direction")))).alias("_s")).select("query_id", "_s.*")
-    return G.walks(q, s, triples, 2).groupBy("query_id", "value").agg(F.count("*").alias("walks"))
+    return G.walks(q, s, triples).groupBy("query_id", "value").agg(F.count("*").alias("walks"))
 
 
 def g03_options(spark, sf_dir):
@@ -49,6 +50,27 @@ def _prices(spark, sf_dir, flag):
     return table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("value"))
 
 
+def g04_alternatives(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    walked = o.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderstatus").alias("value"))
+    labels = o.select(F.col("o_orderkey").alias("alternative_id"), F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("label"))
+    return G.alternatives(walked, labels).select("query_id", "label", F.array_join("answers", ",").alias("answers"))
+
+
+def g13_difference(spark, sf_dir):
+    """Paths of orders: submitted ones leave out line 3 and turn line 2 round."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), "l_linenumber", F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("facts"))
+    given = li.where("l_linenumber <> 3").withColumn("facts", F.when(F.col("l_linenumber") == 2, F.reverse("facts")).otherwise(F.col("facts")))
+    return G.path_difference(li, given)
+
+
+def g15_findings(spark, sf_dir):
+    """The queries of g01; every seventh has an undetermined review."""
+    q, s = _asked(spark, sf_dir)
+    verdicts = q.select("query_id", F.col("start").alias("child"), F.when(F.col("query_id") % 7 == 0, "undetermined").otherwise("supported").alias("verdict"))
+    return R.reviewed_findings(q, s, _facts(spark, sf_dir), verdicts).select("query_id", "status", F.array_join("answers", ",").alias("answers"))
+
+
 def g05_compare(spark, sf_dir):
     return G.compare_branches(_prices(spark, sf_dir, "A"), _prices(spark, sf_dir, "R"))
 
@@ -77,7 +99,7 @@ def _nodes(spark, sf_dir):
 
 
 def g08_depth(spark, sf_dir):
-    return G.proof_depths(_nodes(spark, sf_dir), 4)
+    return G.proof_depths(_nodes(spark, sf_dir))
 
 
 def g09_dag(spark, sf_dir):
@@ -117,7 +139,7 @@ def g16_distractors(spark, sf_dir):
 
 def g17_roles(spark, sf_dir):
     docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"))
-    uses = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_partkey").alias("document_id"), F.when(F.col("l_linenumber") == 1, "proof").when(F.col("l_linenumber") == 2, "alternative").otherwise("noise").alias("use"))
+    uses = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("document_id"), F.when(F.col("l_linenumber") == 1, "proof").when(F.col("l_linenumber") == 2, "alternative").otherwise("noise").alias("use"))
     return G.document_roles(docs, uses)
 
 
@@ -190,8 +212,9 @@ def v09_codes(spark, sf_dir):
 
 
 def v08_equivariance(spark, sf_dir):
-    codes = V.name_codes(table(spark, sf_dir, "customer").withColumn("g", F.lit("all")), "g", "c_custkey", "seed-3").withColumn("c_custkey", F.col("c_custkey").cast("string"))
-    facts = table(spark, sf_dir, "orders").select(F.lit("all").alias("g"), F.col("o_orderkey").alias("q"), F.col("o_custkey").cast("string").alias("c_custkey"))
+    customers = table(spark, sf_dir, "customer").select(F.concat("c_nationkey", F.lit("|"), "c_mktsegment").alias("g"), "c_custkey")
+    codes = V.name_codes(customers, "g", "c_custkey", "seed-3").withColumn("c_custkey", F.col("c_custkey").cast("string"))
+    facts = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("g", F.col("o_orderkey").alias("q"), F.col("o_custkey").cast("string").alias("c_custkey"))
     renamed = V.renamed_facts(facts, codes, "g", "c_custkey", ["c_custkey"])
     bad = V.equivariance_violations(facts, renamed.where("q % 100 <> 0"), codes, "q", "g", "c_custkey")
     return bad.groupBy("side").agg(F.count("*").alias("answers"))
@@ -208,7 +231,7 @@ def v11_rebuild(spark, sf_dir):
     return V.rebuild_differences(s, r, ["o_orderkey"]).groupBy("check").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (g01_paths, g02_walks, g03_options, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g14_frontier, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
+QUERIES = {f.__name__: f for f in (g01_paths, g02_walks, g03_options, g04_alternatives, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g13_difference, g14_frontier, g15_findings, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
 
 _FACTS = "f AS (SELECT 'fc' || c_custkey AS fact_id, 'c' || c_custkey AS child, 'n' || c_nationkey AS parent, CASE WHEN c_nationkey % 2 = 1 THEN 'father' ELSE 'mother' END AS parent_role FROM customer UNION ALL SELECT 'fn' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'mother' FROM nation)"
 _DEGREES = f"{_FACTS}, s AS (SELECT child AS entity, parent_role AS relation, 'out' AS direction, child FROM f UNION ALL SELECT parent, parent_role, 'in', child FROM f)"
@@ -218,6 +241,10 @@ SQL = {
     "g01_paths": f"WITH {_FACTS} SELECT c_custkey AS query_id, CASE WHEN b.fact_id IS NULL THEN 'insufficient_evidence' ELSE 'answerable' END AS status, coalesce(b.parent, '') AS answers, count(b.fact_id) AS proofs FROM customer LEFT JOIN f a ON a.child = 'c' || c_custkey AND a.parent_role = 'father' LEFT JOIN f b ON b.child = a.parent GROUP BY ALL",
     "g02_walks": "WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, year(l_shipdate) AS y FROM lineitem) SELECT l_partkey AS query_id, 'n' || s_nationkey AS value, count(*) AS walks FROM t JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE 1995 BETWEEN y AND y + 1 GROUP BY ALL",
     "g03_options": f"WITH {_FACTS} SELECT a.child AS start, a.parent_role AS first_role, b.parent_role AS second_role, b.parent AS answer, a.fact_id AS \"first\", b.fact_id AS \"second\" FROM f a JOIN f b ON b.child = a.parent",
+    "g04_alternatives": "SELECT o_custkey AS query_id, o_orderpriority AS label, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS answers FROM orders GROUP BY ALL",
+    "g13_difference": """WITH e AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey || '>' || l_suppkey AS facts FROM lineitem), s AS (SELECT DISTINCT l_orderkey AS query_id, CASE WHEN l_linenumber = 2 THEN l_suppkey || '>' || l_partkey ELSE l_partkey || '>' || l_suppkey END AS facts FROM lineitem WHERE l_linenumber <> 3)
+(SELECT *, 'omitted' AS side FROM (SELECT * FROM e EXCEPT SELECT * FROM s)) UNION ALL (SELECT *, 'invented' FROM (SELECT * FROM s EXCEPT SELECT * FROM e))""",
+    "g15_findings": f"WITH {_FACTS} SELECT DISTINCT c_custkey AS query_id, CASE WHEN c_custkey % 7 = 0 THEN 'undetermined' WHEN b.fact_id IS NULL THEN 'insufficient_evidence' ELSE 'answerable' END AS status, coalesce(b.parent, '') AS answers FROM customer LEFT JOIN f a ON a.child = 'c' || c_custkey AND a.parent_role = 'father' LEFT JOIN f b ON b.child = a.parent",
     "g05_compare": """WITH s AS (SELECT l_orderkey AS query_id, count(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'A') AS a, count(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'R') AS r, min(l_partkey) FILTER (WHERE l_returnflag = 'A') AS left_value, min(l_partkey) FILTER (WHERE l_returnflag = 'R') AS right_value FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1),
 c AS (SELECT *, CASE WHEN NOT (a = 1 AND r = 1) THEN 'not_single' WHEN left_value = right_value THEN 'tie' ELSE 'answerable' END AS status FROM s) SELECT query_id, status, CASE WHEN status = 'answerable' THEN CASE WHEN left_value < right_value THEN 'left' ELSE 'right' END END AS smaller, left_value, right_value FROM c""",
     "g06_roster": "SELECT l_orderkey AS query_id, sum(l_linenumber)::BIGINT AS total, count(*) AS items FROM lineitem WHERE (l_orderkey, l_suppkey) IN (SELECT (l_orderkey, l_suppkey) FROM lineitem WHERE l_linenumber = 1) GROUP BY 1",
@@ -235,7 +262,7 @@ v AS (SELECT 1 AS hop, CASE WHEN r1.e IS NULL THEN 'missing' ELSE 'unexpected' E
 UNION ALL SELECT 2, CASE WHEN r2.e IS NULL THEN 'missing' ELSE 'unexpected' END FROM f2 FULL JOIN r2 ON f2.q = r2.q AND f2.e = r2.e WHERE r2.e IS NULL OR f2.e IS NULL) SELECT hop, "check", count(*) AS entities FROM v GROUP BY ALL""",
     "g18_probes": "SELECT l_orderkey AS question_id, l_partkey AS upstream, l_returnflag AS relation, l_suppkey AS answer FROM lineitem WHERE l_returnflag <> 'N'",
     "g16_distractors": f"WITH {_FACTS}, o AS (SELECT * FROM f WHERE fact_id <> 'fc3'), d AS (SELECT r_regionkey AS node_id, 'other_relation' AS kind FROM region JOIN o ON child = 'n' || r_regionkey AND parent_role <> 'father' UNION ALL SELECT r_regionkey, 'other_upstream' FROM region JOIN o ON parent_role = 'father' AND child <> 'n' || r_regionkey) SELECT node_id, kind, count(*) AS facts FROM d GROUP BY ALL",
-    "g17_roles": "WITH u AS (SELECT l_partkey, min(CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS r FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1) SELECT p_partkey AS document_id, ['current_proof', 'alternative', 'background', 'unreferenced'][coalesce(r, 4)] AS role FROM part LEFT JOIN u ON l_partkey = p_partkey",
+    "g17_roles": "WITH u AS (SELECT l_partkey, min(CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS r FROM lineitem GROUP BY 1) SELECT p_partkey AS document_id, ['current_proof', 'alternative', 'background', 'unreferenced'][coalesce(r, 4)] AS role FROM part LEFT JOIN u ON l_partkey = p_partkey",
     "g19_normal": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN o_custkey ELSE o_orderkey END AS parent, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey ELSE o_custkey END AS child, ['father', 'parent', 'mother'][o_orderkey % 4 + 1] AS parent_role FROM orders WHERE o_orderkey % 4 <> 3",
     "g20_libraries": f"""WITH {_LIB}, fa AS (SELECT c_custkey AS id, c_nationkey AS p, CASE WHEN c_custkey % 2 = 0 THEN 'father' ELSE 'parent' END AS r, c_custkey % 9 <> 0 AS safe FROM customer),
 j AS (SELECT fa.id, b.library, fa.safe, coalesce(l.p = fa.p AND (l.r = fa.r OR l.r = 'parent' OR fa.r = 'parent'), false) AS m, fa.p AS fp, fa.r AS fr, l.p AS lp, l.r AS lr FROM fa CROSS JOIN (VALUES ('C01'), ('C02')) AS b(library) LEFT JOIN l ON l.library = b.library AND l.c = fa.id),
@@ -247,7 +274,7 @@ SELECT library, CASE WHEN NOT s THEN 'not_comparable' WHEN c THEN 'conflict_hint
     "v05_missing": "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 = 0",
     "v06_primary": "SELECT l_orderkey AS family_id, count(*) AS generated, count(*) - count(*) FILTER (WHERE l_linenumber = m) AS removed FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) GROUP BY 1",
     "v07_complete": "WITH g AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS v, list(DISTINCT l_linestatus) AS d FROM lineitem GROUP BY 1), m AS (SELECT l_orderkey, unnest(list_concat(list_filter(['A', 'R'], lambda x: NOT list_contains(v, x)), list_filter(['F', 'O'], lambda x: NOT list_contains(d, x)))) AS missing FROM g) SELECT * FROM m",
-    "v08_equivariance": "SELECT 'lost' AS side, count(*) AS answers FROM orders WHERE o_orderkey % 100 = 0 HAVING count(*) > 0",
+    "v08_equivariance": "SELECT 'lost' AS side, count(*) AS answers FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 100 = 0 HAVING count(*) > 0",
     "v09_codes": "SELECT c_nationkey, c_custkey, 'E' || lpad((row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('seed-3|' || c_custkey), c_custkey))::VARCHAR, 4, '0') AS code FROM customer",
     "v11_rebuild": "SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'not_rebuilt' ELSE 'changed' END AS \"check\", count(*) AS rows FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0 GROUP BY 1",
     "v12_order": "SELECT l_orderkey, string_agg(d, ',' ORDER BY sha256(l_orderkey || '|v1|' || d)) AS documents FROM (SELECT DISTINCT l_orderkey, l_linenumber::VARCHAR AS d FROM lineitem) GROUP BY 1",

@@ -27,7 +27,8 @@ def i01_digests(spark, sf_dir):
 
 
 def i02_fingerprint(spark, sf_dir):
-    return I.fingerprint(table(spark, sf_dir, "nation")).crossJoin(I.fingerprint(table(spark, sf_dir, "nation").orderBy(F.desc("n_name"))).withColumnsRenamed({"rows": "rows_again", "fingerprint": "again"})).select("rows", (F.col("fingerprint") == F.col("again")).alias("same"))
+    docs = table(spark, sf_dir, "documents")
+    return I.fingerprint(docs).crossJoin(I.fingerprint(docs.repartition("lang")).withColumnsRenamed({"rows": "rows_again", "fingerprint": "again"})).select("rows", (F.col("fingerprint") == F.col("again")).alias("same"))
 
 
 def i03_repeated(spark, sf_dir):
@@ -72,6 +73,19 @@ def i11_reused(spark, sf_dir):
     return I.reused(table(spark, sf_dir, "events"), "event_id", "user_id")
 
 
+def i12_fields(spark, sf_dir):
+    n = F.col("event_id") % 3
+    json = F.when(n == 0, F.lit('{"a": 1, "b": {"a": 2}}')).when(n == 1, F.lit('{"a": 1}')).otherwise(F.concat(F.lit('{"b": '), "event_id", F.lit(', "c": 2}')))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(I.unknown_fields(json, ["a"]), ",").alias("unknown"))
+
+
+def i15_closed(spark, sf_dir):
+    """Events as JSON that lacks its last closers, one in the middle, or nothing; of some that closes what is not open."""
+    n, id_ = F.col("event_id") % 4, F.col("event_id").cast("string")
+    text = F.when(n == 0, F.concat(F.lit('{"a": [1, {"]": '), id_)).when(n == 1, F.concat(F.lit('{"a": [1, '), id_, F.lit(', "b": 2}]}'))).when(n == 2, F.concat(F.lit('{"a": '), id_, F.lit("}"))).otherwise(F.concat(F.lit('{"a": ['), id_, F.lit('}, 2')))
+    return table(spark, sf_dir, "events").select("event_id", J.close_brackets(text).alias("c")).select("event_id", F.col("c.text").alias("text"), F.array_join(F.transform("c.edits", lambda e: F.concat(e["before"].cast("string"), e["inserted"])), ",").alias("edits"))
+
+
 def i13_validity(spark, sf_dir):
     props = F.when(F.col("event_id") % 5 == 0, F.concat(F.col("props"), F.lit(" x"))).when(F.col("event_id") % 5 == 1, '{"a": NaN}').when(F.col("event_id") % 5 == 2, '{"a": 1, "a": 2}').otherwise(F.col("props"))
     rows = table(spark, sf_dir, "events").select((F.col("event_id") % 5).alias("kind"), props.alias("raw"))
@@ -134,7 +148,9 @@ def c04_overlay(spark, sf_dir):
 
 def c05_answers(spark, sf_dir):
     cat = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    answers = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("model"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('{"a": '), "o_orderkey", F.lit("}"))).otherwise(F.col("o_orderpriority")).alias("raw_response"))
+    n = F.col("o_orderkey") % 5
+    raw = F.when(n == 0, F.concat(F.lit('{"a": '), "o_orderkey", F.lit("}"))).when(n == 1, F.lit('{"a": NaN}')).when(n == 2, F.lit('{"a": 1, "a": 2}')).when(n == 3, F.col("o_orderkey").cast("string")).otherwise(F.col("o_orderpriority"))
+    answers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("model"), raw.alias("raw_response"))
     return C.attach_answers(cat, answers).select("key", "model", "raw_text_sha256", "parses")
 
 
@@ -172,7 +188,7 @@ def c11_summary(spark, sf_dir):
 
 
 def c12_grid(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", F.col("l_linenumber").cast("string").alias("model"), F.col("l_returnflag").alias("input_sha256"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("string").alias("model"), F.col("l_returnflag").alias("input_sha256"))
     return C.grid_violations(rows, "l_orderkey", ["1", "2"])
 
 
@@ -196,14 +212,24 @@ def c15_conflicts(spark, sf_dir):
     return C.revision_conflicts(e, ["user_id", "kind"]).groupBy("kind").agg(F.count("*").alias("conflicts"))
 
 
-QUERIES = {f.__name__: f for f in (s06_spreadsheet, s09_registry, i01_digests, i02_fingerprint, i03_repeated, i04_coverage, i05_dangling, i06_stale, i07_split_leaks, i08_hidden, i09_projection, i10_secrets, i11_reused, i13_validity, i14_contract, i16_plan, i17_events, i17_messages, i18_ledger, c01_catalog, c02_kinds, c03_reconcile, c04_overlay, c05_answers, c06_facets, c07_counts, c08_filter, c09_page, c10_siblings, c11_summary, c12_grid, c13_owners, c14_progress, c15_latest, c15_conflicts)}
+QUERIES = {f.__name__: f for f in (s06_spreadsheet, s09_registry, i01_digests, i02_fingerprint, i03_repeated, i04_coverage, i05_dangling, i06_stale, i07_split_leaks, i08_hidden, i09_projection, i10_secrets, i11_reused, i12_fields, i13_validity, i14_contract, i15_closed, i16_plan, i17_events, i17_messages, i18_ledger, c01_catalog, c02_kinds, c03_reconcile, c04_overlay, c05_answers, c06_facets, c07_counts, c08_filter, c09_page, c10_siblings, c11_summary, c12_grid, c13_owners, c14_progress, c15_latest, c15_conflicts)}
 
 _FACETS = "WITH r AS (SELECT p_partkey AS key, p_brand, CASE WHEN p_size % 4 = 0 THEN [] ELSE list_distinct(string_split(p_type, ' ')) END AS scenes FROM part), f AS (SELECT key, 'p_brand' AS facet, p_brand AS value FROM r UNION ALL SELECT key, 'scenes', unnest(CASE WHEN len(scenes) = 0 THEN ['none'] ELSE scenes END) FROM r)"
-_SECRET = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern FROM documents WHERE regexp_matches(text, '{p}')" for n, p in (I.SECRETS | {"ip_address": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "token": "token = "}).items())
+_PATTERNS = {
+    "api_key": r"\bsk-[A-Za-z0-9_-]{12,}",
+    "bearer": r"(?i)Bearer\s+[A-Za-z0-9_.-]{16,}",
+    "local_path": r"(?i)[A-Z]:[\\/](?:Users|Program\sFiles|个人经历)",
+    "escaped_path": r"(?i)C:\\\\Users\\\\",
+    "host_token": r"gh[pousr]_[A-Za-z0-9]{20,}",
+    "personal_token": r"github_pat_[A-Za-z0-9_]{20,}",
+    "ip_address": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "token": "token = ",
+}
+_SECRET = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern FROM documents WHERE regexp_matches(text, '{p}')" for n, p in _PATTERNS.items())
 SQL = {
     "s06_spreadsheet": r"WITH r AS (SELECT page_id, ['=', ' ' || chr(9) || '=', '-', '', 'a='][page_id % 5 + 1] || url AS cell FROM pages), f AS (SELECT *, regexp_matches(cell, '^[ \t\r\n]*[=+\-@]') AS prefixed FROM r) SELECT page_id, CASE WHEN prefixed THEN '''' || cell ELSE cell END AS cell, prefixed FROM f",
     "s09_registry": "SELECT p_partkey, 'S' || lpad((p_partkey % 100)::VARCHAR, 2, '0') AS id, p_name AS title FROM part",
-    "i02_fingerprint": "SELECT count(*) AS rows, true AS same FROM nation",
+    "i02_fingerprint": "SELECT count(*) AS rows, true AS same FROM documents",
     "i03_repeated": "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "i04_coverage": "WITH o AS (SELECT DISTINCT o_orderkey AS key FROM orders WHERE o_orderkey % 7 <> 0), l AS (SELECT DISTINCT l_orderkey AS key FROM lineitem) SELECT key, 'missing' AS side FROM o WHERE key NOT IN (SELECT key FROM l) UNION ALL SELECT key, 'unexpected' FROM l WHERE key NOT IN (SELECT key FROM o)",
     "i05_dangling": "SELECT DISTINCT l_orderkey, l_partkey AS reference FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2)",
@@ -213,6 +239,10 @@ SELECT key, 'row' AS field FROM b WHERE key % 17 = 0 UNION ALL SELECT key, 'inpu
     "i09_projection": "SELECT 'Q-' || substr(sha256('salt:' || o_orderkey), 1, 16) AS id, o_orderpriority FROM orders",
     "i10_secrets": _SECRET,
     "i11_reused": "SELECT user_id, count(DISTINCT event_id) AS slots FROM events WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT event_id) > 1",
+    "i12_fields": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'b' WHEN 1 THEN '' ELSE 'b,c' END AS unknown FROM events",
+    "i15_closed": """WITH e AS (SELECT event_id, event_id::VARCHAR AS i, length(event_id::VARCHAR) AS n FROM events) SELECT event_id,
+CASE event_id % 4 WHEN 0 THEN '{"a": [1, {"]": ' || i || '}]}' WHEN 2 THEN '{"a": ' || i || '}' END AS text,
+CASE event_id % 4 WHEN 0 THEN (16 + n) || '},' || (16 + n) || '],' || (16 + n) || '}' WHEN 2 THEN '' END AS edits FROM e""",
     "i13_validity": "SELECT event_id % 5 AS kind, event_id % 5 <> 0 AS lenient, event_id % 5 > 2 AS strict, count(*) AS events FROM events GROUP BY ALL",
     "i14_contract": "SELECT \"check\", count(*) AS answers FROM (SELECT unnest(CASE event_id % 3 WHEN 0 THEN ['missing:answers', 'unknown:more', 'type:status'] WHEN 1 THEN [] ELSE ['not_json'] END) AS \"check\" FROM events) GROUP BY 1",
     "i16_plan": """WITH g AS (SELECT l_orderkey, l_linenumber - 1 AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n, l_linestatus FROM lineitem)
@@ -225,15 +255,15 @@ UNION ALL SELECT 'request', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_ord
     "c02_kinds": f"{CATALOG} SELECT cohort, CASE WHEN status = 'F' THEN 'finished' WHEN mother IS NOT NULL THEN 'derived' ELSE 'plain' END AS kind, count(*) AS cases FROM c GROUP BY ALL",
     "c03_reconcile": f"{CATALOG}, a AS (SELECT cohort, count(*) AS actual FROM c GROUP BY 1), d AS (SELECT ['orders', 'parts', 'x', 'y', 'z'][r_regionkey + 1] AS cohort, 7 AS declared FROM region) SELECT coalesce(a.cohort, d.cohort) AS cohort, coalesce(declared, 0)::BIGINT AS declared, coalesce(actual, 0) AS actual FROM a FULL JOIN d ON a.cohort = d.cohort WHERE coalesce(declared, 0) <> coalesce(actual, 0)",
     "c04_overlay": f"{CATALOG} SELECT cohort, CASE WHEN id % 3 = 0 THEN 'requires_review' ELSE coalesce(status, 'accepted') END AS gold_status, CASE WHEN id % 3 = 0 THEN coalesce(status, 'accepted') END AS previous_status, count(*) AS cases FROM c GROUP BY ALL",
-    "c05_answers": """WITH a AS (SELECT o_custkey, o_orderstatus, o_orderkey % 4 = 0 AS j, CASE WHEN o_orderkey % 4 = 0 THEN '{"a": ' || o_orderkey || '}' ELSE o_orderpriority END AS raw FROM orders WHERE o_orderkey % 2 = 0)
-SELECT c_custkey AS key, o_orderstatus AS model, sha256(raw) AS raw_text_sha256, j AS parses FROM customer LEFT JOIN a ON c_custkey = o_custkey""",
+    "c05_answers": """WITH a AS (SELECT o_custkey, o_orderstatus, o_orderkey % 5 < 4 AS j, CASE o_orderkey % 5 WHEN 0 THEN '{"a": ' || o_orderkey || '}' WHEN 1 THEN '{"a": NaN}' WHEN 2 THEN '{"a": 1, "a": 2}' WHEN 3 THEN o_orderkey::VARCHAR ELSE o_orderpriority END AS raw FROM orders)
+SELECT c_custkey AS key, o_orderstatus AS model, sha256(raw) AS raw_text_sha256, coalesce(j, false) AS parses FROM customer LEFT JOIN a ON c_custkey = o_custkey""",
     "c06_facets": f"{_FACETS} SELECT * FROM f",
     "c07_counts": f"{_FACETS} SELECT facet, value, count(*) AS rows FROM f GROUP BY ALL",
     "c08_filter": "SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#12', 'Brand#23') AND list_has_any(string_split(p_type, ' '), ['STEEL', 'BRASS', 'ECONOMY', 'PROMO']) AND (contains(lower(p_name), '1') OR contains(lower(p_brand), '1'))",
     "c09_page": "WITH r AS (SELECT row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_custkey, o_orderkey) AS position, o_orderstatus, o_custkey, o_orderkey FROM orders) SELECT * FROM r WHERE position BETWEEN 49 AND 60",
     "c10_siblings": "WITH g AS (SELECT o_orderkey AS key, count(*) OVER (PARTITION BY o_orderstatus, o_custkey) - 1 AS siblings FROM orders) SELECT * FROM g WHERE siblings > 0",
     "c11_summary": "SELECT coalesce(c.value, g.value) AS value, coalesce(n, 0) AS rows FROM (VALUES ('F'), ('X'), ('P')) AS c(value) FULL JOIN (SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1) AS g ON c.value = g.value",
-    "c12_grid": "WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS m, count(DISTINCT l_returnflag) AS d FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) SELECT l_orderkey, 'models' AS \"check\" FROM g WHERE n <> 2 OR m <> 2 UNION ALL SELECT l_orderkey, 'inputs' FROM g WHERE d > 1",
+    "c12_grid": "WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS m, count(DISTINCT l_returnflag) AS d, count(*) FILTER (WHERE l_linenumber > 2) AS x FROM lineitem GROUP BY 1) SELECT l_orderkey, 'models' AS \"check\" FROM g WHERE n <> 2 OR m <> 2 OR x > 0 UNION ALL SELECT l_orderkey, 'inputs' FROM g WHERE d > 1",
     "c13_owners": "SELECT o_custkey, o_orderkey, ['A', 'B'][(row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1) % 2 + 1] AS owner FROM orders",
     "c14_progress": """WITH r AS (SELECT substr(o_orderpriority, 1, 1) AS owner, o_orderkey % 4 AS judged, coalesce(o_orderstatus IN ('F', 'O') AND o_orderkey % 4 = 3 AND o_custkey % 5 <> 0 AND (o_orderstatus = 'F' OR o_custkey % 2 = 0), false) AS done FROM orders)
 SELECT owner, count(*) AS total, count(*) FILTER (WHERE done) AS complete, count(*) FILTER (WHERE NOT done AND judged > 0) AS draft FROM r GROUP BY 1""",

@@ -31,13 +31,13 @@ MEANS = "round(point, 6) AS point, round(lower, 6) AS lower, round(upper, 6) AS
 
 def m01_estimates(spark, sf_dir):
     q = M.question_metrics(M.verdict_counts(trials(spark, sf_dir), ["case_id"]))
-    return q.select("case_id", "metric", "n", "passed", "failed", "unknown", F.col("lower.numerator").alias("lower_num"), F.col("upper.numerator").alias("upper_num"), F.round("lower.value", 9).alias("lower"), F.round("point.value", 9).alias("point"), "status")
+    return q.select("case_id", "metric", "n", "passed", "failed", "unknown", F.col("lower.numerator").cast("long").alias("lower_num"), F.col("upper.numerator").cast("long").alias("upper_num"), F.round("lower.value", 9).alias("lower"), F.round("point.value", 9).alias("point"), "status")
 
 
 def m01_lowest_terms(spark, sf_dir):
     c = M.verdict_counts(trials(spark, sf_dir), ["case_id"])
     f = M.lowest_terms(M.estimate(F.col("n"), F.col("passed"), 5, False))
-    return c.select("case_id", f["numerator"].alias("numerator"), f["denominator"].alias("denominator"))
+    return c.select("case_id", f["numerator"].cast("long").alias("numerator"), f["denominator"].cast("long").alias("denominator"))
 
 
 def m03_slots(spark, sf_dir):

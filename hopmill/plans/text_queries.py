@@ -35,7 +35,7 @@ def t03_unique(spark, sf_dir):
 
 def t04_sole(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("owner_id"), F.col("turn").alias("context_id"), "text")
-    q = c.where("context_id = 0").select("owner_id", F.lit(1).alias("quote_id"), F.substring("text", 1, 8).alias("quote"))
+    q = c.where("context_id = 0").select("owner_id", F.lit(1).alias("quote_id"), F.col("text").alias("quote"))
     return T.sole_context(q, c, "owner_id", "quote_id", "context_id")
 
 
@@ -51,7 +51,7 @@ def t06_overlap(spark, sf_dir):
 
 
 def t07_segments(spark, sf_dir):
-    s = F.explode(T.segments(F.col("text"), ".\n", "!? ")).alias("s")
+    s = F.explode(T.segments(F.col("text"), T.SENTENCE_ENDS)).alias("s")
     return _docs(spark, sf_dir).select("owner_id", s).select("owner_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
 
 
@@ -92,13 +92,13 @@ def t11_pure(spark, sf_dir):
 
 def t21_defects(spark, sf_dir):
     """A document's fact: its endpoints are two of its first words; some have an unknown parent, some are their own parent."""
-    d = table(spark, sf_dir, "documents").where("length(text) > 200").select(F.col("doc_id").alias("owner_id"), F.col("doc_id").alias("unit_id"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("owner_id"), F.col("doc_id").alias("unit_id"), "text")
     n = F.col("owner_id") % 4
     facts = d.select("owner_id", F.lit("f").alias("fact_id"), F.when(n == 1, "zz").when(n == 2, "b").otherwise("a").alias("parent"), F.lit("b").alias("child"))
     entities = d.select("owner_id", F.explode(F.array(F.struct(F.lit("a").alias("entity_id"), F.substring("text", 21, 10).alias("name")), F.struct(F.lit("b").alias("entity_id"), F.substring("text", 101, 10).alias("name")))).alias("_e")).select("owner_id", "_e.*", F.array().cast("array<string>").alias("aliases"))
     quote = F.when(n == 3, F.lit("☃")).otherwise(F.substring("text", 11, 120))
     evidence = d.select("owner_id", F.lit("f").alias("fact_id"), F.lit(1).alias("group_no"), "unit_id", quote.alias("quote"))
-    return T.evidence_defects(facts, entities, evidence, d).where("check <> 'endpoint_unnamed'").groupBy("check").agg(F.count("*").alias("facts"))
+    return T.evidence_defects(facts, entities, evidence, d).groupBy("check").agg(F.count("*").alias("facts"))
 
 
 def t12_display(spark, sf_dir):
@@ -114,11 +114,34 @@ def t13_visible(spark, sf_dir):
 
 
 def t16_markers(spark, sf_dir):
-    q = F.substring("text", 1, 40)
-    m = T.marker_guards(q, F.lit("then"), F.lit("the"), "and|tion", "ou")
+    role = F.when(F.col("owner_id") % 3 == 0, "father").when(F.col("owner_id") % 3 == 1, "mother").otherwise("parent")
+    m = T.marker_guards(F.col("text"), F.array(F.lit("then"), F.lit("")), F.array(F.lit("the"), F.lit("tion")), role, "ship|ring", {"father": "ou|ment", "mother": "zz|ght"}, "ness")
     return _docs(spark, sf_dir).select("owner_id", m.alias("m")).select("owner_id", "m.*")
 
 
+def t14_names(spark, sf_dir):
+    """Quotes of parts: the name; two names and a mark; marks alone; a symbol between names; a word that is no name."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("owner_id"), "p_partkey", F.col("p_name").alias("surface"))
+    n = F.col("p_partkey") % 5
+    quote = F.when(n == 0, F.col("surface")).when(n == 1, F.concat("surface", F.lit("，"), "surface", F.lit("!"))).when(n == 2, F.lit("?!")).when(n == 3, F.concat("surface", F.lit("$"), "surface")).otherwise(F.concat("surface", F.lit(" begat")))
+    return T.identity_guard(p.withColumn("quote", quote), p).select("p_partkey", "identity_only")
+
+
+def t15_shortcuts(spark, sf_dir):
+    ctx = _docs(spark, sf_dir).withColumnRenamed("unit_id", "context_id")
+    starts = ctx.select("owner_id", F.col("owner_id").alias("query_id"), F.lit("the").alias("start_name"), F.when(F.col("owner_id") % 2 == 0, "a").otherwise("b").alias("roles"))
+    terms = spark.createDataFrame([("a", "and"), ("a", "er"), ("b", "ion")], "roles string, term string")
+    found = T.shortcut_candidates(ctx, starts, terms, gap=20)
+    return found.select("query_id", "term", F.sha2("sentence", 256).alias("sha256"))
+
+
+def t23_replayed(spark, sf_dir):
+    """A logged change of each text; of every third the log names what is not there."""
+    before = F.when(F.col("owner_id") % 3 == 0, F.lit("☃☃☃☃")).otherwise(F.substring("text", 11, 4))
+    change = F.array(F.struct(F.lit(10).alias("start"), F.lit(14).alias("end"), before.alias("before"), F.lit("<x>").alias("after")))
+    return _docs(spark, sf_dir).select("owner_id", F.sha2(strings.replay(F.col("text"), change), 256).alias("sha256"))
+
+
 def _cuts(spark, sf_dir):
     start = F.col("owner_id") % 7
     return _docs(spark, sf_dir).where("length(text) > 60").select("owner_id", "unit_id", F.explode(F.array(F.struct(start.cast("int").alias("start"), (start + 10).cast("int").alias("end")), F.struct((start + 10).cast("int").alias("start"), (start + 15).cast("int").alias("end")), F.struct((start + 30).cast("int").alias("start"), (start + 40).cast("int").alias("end")))).alias("_c"), "text").select("owner_id", "unit_id", "_c.start", "_c.end", F.substring(F.col("text"), F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start")).alias("quote"))
@@ -137,7 +160,7 @@ def t18_cut(spark, sf_dir):
 
 
 def t19_survivors(spark, sf_dir):
-    cites = _docs(spark, sf_dir).where("length(text) > 60").select("owner_id", "unit_id", F.lit("f").alias("fact_id"), F.explode(F.array(*(F.struct(F.lit(g).alias("group_no"), F.lit(a).alias("start"), F.lit(b).alias("end")) for g, a, b in ((1, 20, 24), (1, 50, 55), (2, 5, 8), (3, 45, 60))))).alias("_c")).select("owner_id", "unit_id", "fact_id", "_c.*")
+    cites = _docs(spark, sf_dir).select("owner_id", "unit_id", F.lit("f").alias("fact_id"), F.explode(F.array(*(F.struct(F.lit(g).alias("group_no"), F.lit(a).alias("start"), F.lit(b).alias("end")) for g, a, b in ((1, 20, 24), (1, 50, 55), (2, 5, 8), (3, 45, 60))))).alias("_c")).select("owner_id", "unit_id", "fact_id", "_c.*")
     kept, _ = T.surviving_groups(cites, _cuts(spark, sf_dir), ["owner_id", "unit_id"], ["owner_id", "fact_id"])
     return kept.select("owner_id", "group_no", "start", "end")
 
@@ -154,7 +177,8 @@ def t22_replaced(spark, sf_dir):
 
 
 def t24_composed(spark, sf_dir):
-    pieces = _docs(spark, sf_dir).select("owner_id", "unit_id", F.explode(F.array(*(F.struct(F.lit(n).alias("piece_no"), F.lit(a).alias("start"), F.lit(b).alias("end")) for n, a, b in ((2, 0, 5), (1, 8, 20))))).alias("_p")).select("owner_id", "unit_id", (F.col("owner_id") % 50).alias("target"), ((F.col("owner_id") * 4) + F.col("_p.piece_no")).alias("piece_no"), F.col("_p.start").alias("start"), F.col("_p.end").alias("end"))
+    half, whole = F.floor(F.length("text") / 2).cast("int"), F.length("text")
+    pieces = _docs(spark, sf_dir).select("owner_id", "unit_id", F.explode(F.array(*(F.struct(F.lit(n).alias("piece_no"), a.alias("start"), b.alias("end")) for n, a, b in ((2, F.lit(0), half), (1, half, whole))))).alias("_p")).select("owner_id", "unit_id", (F.col("owner_id") % 50).alias("target"), ((F.col("owner_id") * 4) + F.col("_p.piece_no")).alias("piece_no"), F.col("_p.start").alias("start"), F.col("_p.end").alias("end"))
     return T.composed(pieces, _docs(spark, sf_dir), ["owner_id", "unit_id"], "target").select("target", F.sha2("text", 256).alias("sha256"))
 
 
@@ -163,7 +187,7 @@ def t25_padded(spark, sf_dir):
     return _docs(spark, sf_dir).select("owner_id", F.sha2(a, 256).alias("first"), F.length(b).alias("second"))
 
 
-QUERIES = {f.__name__: f for f in (t01_located, t02_occurrences, t03_unique, t04_sole, t05_citations, t06_overlap, t07_segments, t07_catalog, t08_windows, t09_index, t10_resolve, t11_pure, t12_display, t13_visible, t16_markers, t17_deleted, t18_cut, t19_survivors, t20_active, t21_defects, t22_replaced, t24_composed, t25_padded)}
+QUERIES = {f.__name__: f for f in (t01_located, t02_occurrences, t03_unique, t04_sole, t05_citations, t06_overlap, t07_segments, t07_catalog, t08_windows, t09_index, t10_resolve, t11_pure, t12_display, t13_visible, t14_names, t15_shortcuts, t16_markers, t17_deleted, t18_cut, t19_survivors, t20_active, t21_defects, t22_replaced, t23_replayed, t24_composed, t25_padded)}
 
 _D = "d AS (SELECT doc_id AS owner_id, lower(text) AS text FROM documents)"
 
@@ -174,6 +198,8 @@ def _hits(word: str, name: str) -> str:
     return f"{name} AS (SELECT owner_id, n, (sum(length(p)) OVER (PARTITION BY owner_id ORDER BY n) + n * {len(word)})::INT AS s FROM ({parts}) QUALIFY n < m)"
 
 
+_SENTENCE = r"""[^。！？!?．.\n\r]*[。！？!?．.\n\r][。！？!?．.\n\r”’"''」』）)\]}》〉】〕]*|[^。！？!?．.\n\r]+"""
+_CLAUSE = r"""[^。！？!?．.\n\r，,；;：:]*[。！？!?．.\n\r，,；;：:][。！？!?．.\n\r，,；;：:”’"''」』）)\]}》〉】〕]*|[^。！？!?．.\n\r，,；;：:]+"""
 _START = "(owner_id % 7)"
 _NAMED = """e AS (SELECT p_size AS owner_id, p_partkey AS entity_id, trim(unnest([p_name, p_brand || ' ', p_type])) AS surface FROM part),
 i AS (SELECT owner_id, surface, count(DISTINCT entity_id) AS n, CASE WHEN count(DISTINCT entity_id) = 1 THEN min(entity_id) END AS id FROM e WHERE surface <> '' GROUP BY ALL)"""
@@ -182,10 +208,10 @@ SQL = {
     "t01_located": f"WITH {_D} SELECT owner_id, g::INT AS group_no, g = 1 AND substr(text, 11, 20) <> '' AS located FROM d, range(1, 3) AS r(g)",
     "t02_occurrences": f"WITH {_D}, {_hits('the', 'h')} SELECT owner_id, n::INT AS hit_no, s AS start, s + 3 AS \"end\" FROM h",
     "t03_unique": f"WITH {_D}, n AS (SELECT owner_id, text, substr(text, 21, 6) AS q FROM d), p AS (SELECT *, instr(text, q) AS pos FROM n) SELECT owner_id, CASE WHEN q <> '' AND pos > 0 AND instr(substr(text, pos + 1), q) = 0 THEN pos - 1 END AS start, CASE WHEN q = '' THEN 0 ELSE (length(text) - length(replace(text, q, ''))) // length(q) END AS apart FROM p",
-    "t04_sole": "WITH q AS (SELECT conv_id, substr(text, 1, 8) AS q FROM conversations WHERE turn = 0), h AS (SELECT c.conv_id, turn FROM conversations c JOIN q ON c.conv_id = q.conv_id WHERE q <> '' AND contains(text, q)) SELECT conv_id AS owner_id, 1 AS quote_id, min(turn) AS context_id FROM h GROUP BY 1 HAVING count(*) = 1",
+    "t04_sole": "WITH q AS (SELECT conv_id, text AS q FROM conversations WHERE turn = 0), h AS (SELECT c.conv_id, turn FROM conversations c JOIN q ON c.conv_id = q.conv_id WHERE q <> '' AND contains(text, q)) SELECT conv_id AS owner_id, 1 AS quote_id, min(turn) AS context_id FROM h GROUP BY 1 HAVING count(*) = 1",
     "t05_citations": f"WITH {_D} SELECT owner_id, owner_id % 3 = 0 AND length(text) >= 30 AS valid FROM d",
     "t06_overlap": f"WITH {_D}, {_hits('the', 'a')}, {_hits('hen', 'b')} SELECT a.owner_id, a.s AS start, a.s + 3 AS \"end\", b.s AS other_start, b.s + 3 AS other_end FROM a JOIN b ON a.owner_id = b.owner_id AND a.s < b.s + 3 AND b.s < a.s + 3",
-    "t07_segments": rf'''WITH {_D}, p AS (SELECT owner_id, regexp_extract_all(text, '[^.\n]*[.\n][.\n!? ]*|[^.\n]+') AS p FROM d), u AS (SELECT owner_id, unnest(p) AS t, unnest(range(len(p))) AS n FROM p), r AS (SELECT owner_id, t, sum(length(t)) OVER (PARTITION BY owner_id ORDER BY n) AS e FROM u) SELECT owner_id, (e - length(t))::INT AS start, e::INT AS "end", t AS text FROM r''',
+    "t07_segments": rf'''WITH {_D}, p AS (SELECT owner_id, regexp_extract_all(text, '{_SENTENCE}') AS p FROM d), u AS (SELECT owner_id, unnest(p) AS t, unnest(range(len(p))) AS n FROM p), r AS (SELECT owner_id, t, sum(length(t)) OVER (PARTITION BY owner_id ORDER BY n) AS e FROM u) SELECT owner_id, (e - length(t))::INT AS start, e::INT AS "end", t AS text FROM r''',
     "t08_windows": rf"""WITH {_D}, p AS (SELECT owner_id, text, regexp_extract_all(text, '[^。！？\n]+[。！？\n]?|[。！？\n]') AS p FROM d), u AS (SELECT owner_id, unnest(p) AS t, unnest(range(len(p))) AS n FROM p), s AS (SELECT owner_id, n, sum(length(t)) OVER w AS e, sum(length(t)) OVER w - length(t) AS b FROM u WINDOW w AS (PARTITION BY owner_id ORDER BY n)),
 {_hits('tion', 'h1')}, {_hits('ation', 'h2')}, h AS (SELECT owner_id, 'tion' AS w, s AS a FROM h1 UNION ALL SELECT owner_id, 'ation', s FROM h2),
 x AS (SELECT h.owner_id, w, (SELECT min(b) FROM s q WHERE q.owner_id = h.owner_id AND q.n >= s.n - 1) AS b, (SELECT max(e) FROM s q WHERE q.owner_id = h.owner_id AND q.n <= s.n + 1) AS e FROM h JOIN s ON h.owner_id = s.owner_id AND a >= s.b AND a < s.e)
@@ -198,14 +224,23 @@ SELECT owner_id, asked, status, CASE WHEN status = 'resolved' THEN aid END AS en
     "t11_pure": """WITH f AS (SELECT c_nationkey, min(c_name) AS f FROM customer GROUP BY 1), r AS (SELECT c_nationkey AS owner_id, c_custkey AS entity_id, c_name AS surface, true AS named, NULL AS f FROM customer UNION ALL
 SELECT c.c_nationkey, c_custkey, f || CASE WHEN c_custkey % 2 = 0 THEN ' kin ' ELSE ' of ' END || c_custkey % 40, false, CASE WHEN c_custkey % 2 = 0 AND c_name <> f THEN f END FROM customer c JOIN f ON c.c_nationkey = f.c_nationkey),
 s AS (SELECT *, count(*) OVER (PARTITION BY owner_id, surface) AS n FROM r) SELECT owner_id, entity_id, surface FROM s WHERE n = 1 AND f IS NULL""",
-    "t21_defects": """WITH d AS (SELECT doc_id % 4 AS n FROM documents WHERE length(text) > 200), v AS (SELECT 'endpoint' AS "check" FROM d WHERE n = 1 UNION ALL SELECT 'self_parent' FROM d WHERE n = 2 UNION ALL SELECT 'quote_absent' FROM d WHERE n = 3) SELECT "check", count(*) AS facts FROM v GROUP BY 1""",
+    "t21_defects": r"""WITH d AS (SELECT doc_id % 4 AS n, coalesce(substr(text, 11, 120), '') AS q, coalesce(regexp_replace(substr(text, 21, 10), '^\s+|\s+$', '', 'g'), '') AS a, coalesce(regexp_replace(substr(text, 101, 10), '^\s+|\s+$', '', 'g'), '') AS b FROM documents),
+v AS (SELECT 'endpoint' AS "check" FROM d WHERE n = 1 UNION ALL SELECT 'self_parent' FROM d WHERE n = 2 UNION ALL SELECT 'quote_absent' FROM d WHERE n = 3 OR q = '' UNION ALL SELECT 'endpoint_unnamed' FROM d WHERE n = 3 AND (a <> '' OR b <> '')) SELECT "check", count(*) AS facts FROM v GROUP BY 1""",
     "t12_display": f"WITH {_SURFACES}, v AS (SELECT owner_id, surface, named FROM c, s WHERE contains(text, surface)), b AS (SELECT owner_id, first(surface ORDER BY named DESC, length(surface) DESC, surface) AS display FROM v GROUP BY 1) SELECT owner_id, 'x' AS entity_id, coalesce(display, '') AS display FROM (SELECT DISTINCT owner_id FROM c) LEFT JOIN b USING (owner_id)",
     "t13_visible": f"WITH {_SURFACES} SELECT owner_id, context_id, string_agg(surface, ',' ORDER BY surface) AS surfaces FROM c, s WHERE contains(text, surface) GROUP BY ALL HAVING count(*) >= 2",
-    "t16_markers": f"WITH {_D}, q AS (SELECT owner_id, substr(text, 1, 40) AS q, replace(replace(substr(text, 1, 40), 'then', ''), 'the', '') AS r FROM d) SELECT owner_id, contains(q, 'then') AS has_a, contains(q, 'the') AS has_b, regexp_matches(r, 'and|tion') AS predicate, regexp_matches(r, 'ou') AS role FROM q",
+    "t16_markers": f"""WITH {_D}, q AS (SELECT owner_id, text AS q, replace(replace(replace(text, 'then', ''), 'tion', ''), 'the', '') AS r FROM d) SELECT owner_id, contains(q, 'then') AS has_child, contains(q, 'the') OR contains(q, 'tion') AS has_parent,
+regexp_matches(r, 'ship|ring') AS predicate, CASE owner_id % 3 WHEN 0 THEN regexp_matches(r, 'ou|ment') WHEN 1 THEN regexp_matches(r, 'zz|ght') ELSE contains(r, 'ness') END AS role FROM q""",
+    "t07_catalog": f"""WITH {_D}, p AS (SELECT owner_id, 'sentence' AS l, regexp_extract_all(text, '{_SENTENCE}') AS p FROM d UNION ALL SELECT owner_id, 'clause', regexp_extract_all(text, '{_CLAUSE}') FROM d), u AS (SELECT owner_id, l, unnest(p) AS t, unnest(range(len(p))) AS n FROM p),
+r AS (SELECT owner_id, l, length(t) AS len, sum(length(t)) OVER (PARTITION BY owner_id, l ORDER BY n) AS e FROM u), g AS (SELECT owner_id, e, len, bool_or(l = 'sentence') AS s, count(DISTINCT l) AS m FROM r GROUP BY ALL)
+SELECT owner_id, count(*) AS spans, count(*) FILTER (WHERE m = 2) AS "both", sum(CASE WHEN s THEN len ELSE 0 END)::BIGINT AS characters FROM g GROUP BY 1""",
+    "t14_names": "SELECT p_partkey, p_partkey % 5 < 2 AS identity_only FROM part",
+    "t15_shortcuts": rf"""WITH {_D}, s AS (SELECT owner_id, unnest(regexp_extract_all(text, '[^。！？\n]+[。！？\n]?|[。！？\n]')) AS s FROM d), t(m, term) AS (VALUES (0, 'and'), (0, 'er'), (1, 'ion'))
+SELECT DISTINCT owner_id AS query_id, term, sha256(s) AS sha256 FROM s JOIN t ON owner_id % 2 = m WHERE regexp_matches(s, '(?s)the.{{0,20}}' || term)""",
+    "t23_replayed": f"WITH {_D} SELECT owner_id, CASE WHEN owner_id % 3 <> 0 THEN sha256(substr(text, 1, 10) || '<x>' || substr(text, 15)) END AS sha256 FROM d",
     "t18_cut": f"WITH {_D} SELECT owner_id, sha256(CASE WHEN length(text) > 60 THEN substr(text, 1, {_START}) || substr(text, {_START} + 16, 15) || substr(text, {_START} + 41) ELSE text END) AS sha256 FROM d",
-    "t19_survivors": f"""WITH {_D}, c(g, a, b) AS (VALUES (1, 20, 24), (1, 50, 55), (2, 5, 8), (3, 45, 60)), j AS (SELECT owner_id, g, a, b, ((a < {_START} + 15 AND b > {_START}) OR (a < {_START} + 40 AND b > {_START} + 30)) AS hit, CASE WHEN a >= {_START} + 15 THEN 15 ELSE 0 END + CASE WHEN a >= {_START} + 40 THEN 10 ELSE 0 END AS shift FROM d, c WHERE length(text) > 60),
-k AS (SELECT *, bool_or(hit) OVER (PARTITION BY owner_id, g) AS gone FROM j) SELECT owner_id, g AS group_no, a - shift AS start, b - shift AS "end" FROM k WHERE NOT gone""",
+    "t19_survivors": f"""WITH {_D}, c(g, a, b) AS (VALUES (1, 20, 24), (1, 50, 55), (2, 5, 8), (3, 45, 60)), j AS (SELECT owner_id, g, a, b, ((a < {_START} + 15 AND b > {_START}) OR (a < {_START} + 40 AND b > {_START} + 30)) AS hit, CASE WHEN a >= {_START} + 15 THEN 15 ELSE 0 END + CASE WHEN a >= {_START} + 40 THEN 10 ELSE 0 END AS shift, coalesce(length(text) > 60, false) AS cut FROM d, c),
+k AS (SELECT *, bool_or(hit AND cut) OVER (PARTITION BY owner_id, g) AS gone FROM j) SELECT owner_id, g AS group_no, a - CASE WHEN cut THEN shift ELSE 0 END AS start, b - CASE WHEN cut THEN shift ELSE 0 END AS "end" FROM k WHERE NOT gone""",
     "t20_active": f"WITH {_D} SELECT owner_id, 'f' AS fact_id, CASE WHEN substr(text, 11, 20) <> '' THEN 1 ELSE 0 END AS support_count, substr(text, 11, 20) <> '' AS active FROM d",
-    "t24_composed": f"WITH {_D}, p AS (SELECT owner_id % 50 AS target, owner_id * 4 + n AS k, CASE n WHEN 2 THEN substr(text, 1, 5) ELSE substr(text, 9, 12) END AS t FROM d, range(1, 3) AS r(n)) SELECT target, sha256(string_agg(t, '' ORDER BY k, t)) AS sha256 FROM p GROUP BY 1",
+    "t24_composed": f"WITH {_D}, p AS (SELECT owner_id % 50 AS target, owner_id * 4 + n AS k, CASE n WHEN 2 THEN substr(text, 1, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END AS t FROM d, range(1, 3) AS r(n)) SELECT target, sha256(string_agg(t, '' ORDER BY k, t)) AS sha256 FROM p GROUP BY 1",
     "t25_padded": f"WITH {_D} SELECT owner_id, sha256(substr(repeat(text, ceil(1001 / length(text))::INT), 1, 500)) AS \"first\", CASE WHEN length(text) > 0 THEN 501 ELSE 0 END AS \"second\" FROM d",
 }

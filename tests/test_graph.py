@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -104,3 +105,15 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "p")).columns == ["id"]
     (tmp_path / "r.md").write_text("| S07 | Seven |\nnone\n- S08: Eight\n")
     assert {(r.id, r.title) for r in S.registry(spark, str(tmp_path / "r.md")).collect()} == {("S07", "Seven |"), ("S08", "Eight")}
+
+
+def test_no_cap_on_steps_or_depth(spark):
+    facts = spark.createDataFrame([("o", f"f{i}", f"e{i}", f"e{i + 1}", "father", "s") for i in range(5)], "owner_id string, fact_id string, child string, parent string, parent_role string, scope string")
+    steps = spark.createDataFrame([(1, h, "parent", "s") for h in (1, 2, 3)], "query_id int, hop int, role string, scope string")
+    asked = spark.createDataFrame([(1, "o", "e0")], "query_id int, owner_id string, start string")
+    assert [r.answers for r in G.answers(asked, G.parent_paths(asked, steps, facts)).collect()] == [["e3"]]
+    with pytest.raises(ValueError):
+        G.parent_paths(asked, steps, facts, hops=2)
+    nodes = [("p", str(i), [str(i - 1)] if i else []) for i in range(40)] + [("c", "a", ["b"]), ("c", "b", ["a"]), ("x", "a", ["lost"])]
+    got = {r.proof_id: r.depth for r in G.proof_depths(spark.createDataFrame(nodes, "proof_id string, node_id string, dependencies array<string>")).collect()}
+    assert got == {"p": 40, "c": None, "x": 1}

@@ -1,3 +1,4 @@
+import math
 from fractions import Fraction
 from itertools import combinations, product
 
@@ -90,3 +91,10 @@ def test_hint_stratum_and_empty_tables(spark):
     assert {r.case_id: r.stratum for r in X.hint_stratum(h).collect()} == {"a": "proof_hint", "b": "warning_only", "c": "noise_hint"}
     empty = spark.createDataFrame([], "case_id string, verdict string")
     assert M.question_metrics(M.verdict_counts(empty, ["case_id"])).count() == 0
+
+
+def test_estimates_of_many_trials(spark):
+    r = spark.createDataFrame([(7000, 3), (1_000_000, 999_999)], "n long, c long").select(M.estimate(F.col("n"), F.col("c"), 5, False)["value"].alias("v"), M.lowest_terms(M.estimate(F.col("n"), F.col("c"), 5, False)).alias("f")).collect()
+    for (n, c), x in zip(((7000, 3), (1_000_000, 999_999)), r, strict=True):
+        want = 1 - Fraction(math.comb(n - c, 5), math.comb(n, 5))
+        assert abs(x.v - float(want)) < 1e-12 and Fraction(int(x.f.numerator), int(x.f.denominator)) == want

@@ -69,3 +69,38 @@ def test_json_helpers(spark):
     assert r[7].p == ["$.a.gold", "$.a.gold[].key"]
     assert json.loads(r[8].c.text) == [{"x": "]"}] and [e.before for e in r[8].c.edits] == [len(raw[8])]
     assert r[9].c is None and r[10].c is None and json.loads(r[11].c.text) == {"a": [1, 2]}
+
+
+def test_quotes_of_names_alone(spark):
+    named = spark.createDataFrame([("o", "甲"), ("o", "甲乙"), ("o", "丙")], "owner_id string, surface string")
+    cases = {"甲": True, "甲乙、丙": True, "甲和丙": True, "！？": False, "甲$丙": False, "甲之父丙": False, "": False, " 丙 ": True, "甲（丙）": True}
+    rows = spark.createDataFrame([("o", q) for q in cases] + [("o", None), ("p", "甲")], "owner_id string, quote string")
+    got = {(r.owner_id, r.quote): r.identity_only for r in T.identity_guard(rows, named).collect()}
+    assert got == {("o", q): v for q, v in cases.items()} | {("o", None): False, ("p", "甲"): False}
+
+
+def test_pure_surfaces_by_rule(spark):
+    """贾母 holds the name 贾 of another and a word of kinship; 乙的次子 is described; an alias of another counts like a name."""
+    rows = [("o", "1", "贾", True), ("o", "2", "贾母", True), ("o", "3", "乙的次子", False), ("o", "4", "老丙", False), ("o", "5", "老丙之妻", False), ("o", "6", "丁", True), ("o", "7", "丁", False), ("o", "8", "生平", True)]
+    named = spark.createDataFrame(rows, "owner_id string, entity_id string, surface string, is_name boolean")
+    assert {r.surface for r in T.pure_surfaces(named).collect()} == {"贾", "老丙", "生平"}
+
+
+def test_marker_guards_keep_titles(spark):
+    rows = [("政老爹的长女甲", ["甲"], ["政老爹"], "father"), ("甲见政老爹", ["甲"], ["政老爹"], "father"), ("丙生甲", ["甲"], ["丙"], "other"), ("甲与丙", ["甲"], ["丙"], "mother"), ("太太丙", ["甲"], ["丙"], "mother")]
+    df = spark.createDataFrame(rows, "q string, c array<string>, p array<string>, r string")
+    got = [tuple(r.m) for r in df.select(T.marker_guards(F.col("q"), F.col("c"), F.col("p"), F.col("r")).alias("m")).collect()]
+    assert got == [(True, True, True, True), (True, True, False, False), (True, True, True, True), (True, True, False, False), (False, True, False, True)]
+
+
+def test_segment_marks(spark):
+    """Full and half-width stops, CR and LF together, closers after an end; an ideographic comma ends nothing."""
+    one = lambda t, ends: [x.text for x in spark.createDataFrame([(t,)], "t string").select(T.segments(F.col("t"), ends).alias("s")).first().s]
+    assert one("a.b．c\r\nd〉。〕e", T.SENTENCE_ENDS) == ["a.", "b．", "c\r\n", "d〉。〕", "e"]
+    assert one("a、b，c；d：e", T.CLAUSE_ENDS) == ["a、b，", "c；", "d：", "e"]
+
+
+def test_closing_brackets_rule(spark):
+    cases = {'{"a": [1': '{"a": [1]}', '[{"a": "]"': '[{"a": "]"}]', '{"a": [1}': '{"a": [1]}', "]": None, '{"a": "x': None, '["\\""': '["\\""]', "{}": "{}", "[" * 101: None, '{"a"': None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c and r.c.text for r in df.select("t", J.close_brackets(F.col("t")).alias("c")).collect()} == cases
