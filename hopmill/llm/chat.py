@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ class Mapping:
     """A layout by its field paths, and how it becomes turns.
 
     fields: (path in the record, role) in order, where a record holds one text per field; or, with each, the path of a
-    list whose items hold the role at role_path and the text at text_path, roles being renamed by rename.
+    list whose items hold the role at role_path and the text at text_path, roles being renamed by rename. Items (or, with
+    no list, the record) may have the optional fields, too, some of them or all; they are not part of the turns.
     """
 
     name: str
@@ -25,13 +27,14 @@ class Mapping:
     each: str = ""
     role_path: str = ""
     text_path: str = ""
+    optional: tuple[str, ...] = ()
     rename: tuple[tuple[str, str], ...] = ()
 
 
 #: Field paths in code point order; [] steps into a list.
 MAPPINGS = (
-    Mapping("messages", ("messages[].content", "messages[].role"), each="messages", role_path="role", text_path="content"),
-    Mapping("sharegpt", ("conversations[].from", "conversations[].value"), each="conversations", role_path="from", text_path="value", rename=(("human", "user"), ("gpt", "assistant"))),
+    Mapping("messages", ("messages[].content", "messages[].role"), each="messages", role_path="role", text_path="content", optional=("name", "weight")),
+    Mapping("sharegpt", ("conversations[].from", "conversations[].value"), each="conversations", role_path="from", text_path="value", optional=("weight",), rename=(("human", "user"), ("gpt", "assistant"))),
     Mapping("prompt", ("prompt", "response"), fields=(("prompt", "user"), ("response", "assistant"))),
     Mapping("completion", ("completion", "prompt"), fields=(("prompt", "user"), ("completion", "assistant"))),
     Mapping("question", ("answer", "question"), fields=(("question", "user"), ("answer", "assistant"))),
@@ -41,21 +44,25 @@ MAPPINGS = (
 )
 
 
-def _shape(m: Mapping) -> str:
-    """The schema text of a record in this layout, types left out; a record's own is brought to the same form."""
-    if m.each:
-        inner = ",".join(f"{p.split('[].')[1]}:_" for p in m.paths)
-        return f"OBJECT<{m.each}:ARRAY<OBJECT<{inner}>>>"
-    return f"OBJECT<{','.join(f'{p}:_' for p in m.paths)}>"
+def _shapes(m: Mapping) -> list[str]:
+    """The schema texts of records in this layout, types left out; a record's own is brought to the same form. One for each choice of optional fields."""
+    shapes = []
+    for more in chain.from_iterable(combinations(m.optional, n) for n in range(len(m.optional) + 1)):
+        names = sorted([p.split("[].")[-1] for p in m.paths] + list(more))
+        inner = f"OBJECT<{','.join(f'{p}:_' for p in names)}>"
+        shapes.append(f"OBJECT<{m.each}:ARRAY<{inner}>>" if m.each else inner)
+    return shapes
 
 
 def fingerprint(record: Column) -> Column:
     """64-bit hash (long) of a variant record's nested field names and list levels, without the types of its values.
 
+    A field that has different types in a list, and so the type variant, is a field like others.
+
     Variant objects keep their fields sorted, so the order of fields in the source does not matter. Null for null.
     """
     shape = F.regexp_replace(F.schema_of_variant(record), r"\s+", "")
-    return F.xxhash64(F.regexp_replace(shape, r":(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DATE|TIMESTAMP(?:_NTZ)?|DECIMAL\(\d+,\d+\))(?=[,>])", ":_"))
+    return F.xxhash64(F.regexp_replace(shape, r":[A-Z_]+(?:\(\d+,\d+\))?(?=[,>])", ":_"))
 
 
 def _turns(record: Column, m: Mapping) -> Column:
@@ -71,13 +78,13 @@ def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mappin
     """records with layout (string) and turns (array of role and text), from a variant column of mixed layouts.
 
     The record's fingerprint is compared with those of the mappings; the one that fits is applied. Null texts and roles
-    become empty. A record that no mapping fits, or a null one, keeps layout and turns null: no row is dropped. An empty
+    become empty; numbers and truth values in their place are spelled out. A record that no mapping fits, or a null one, keeps layout and turns null: no row is dropped. An empty
     list of messages has no fields to tell it by and counts as unknown. Columns named like the new ones are replaced.
     """
     rows = records.drop("layout", "turns").withColumn("_print", fingerprint(F.col(record)))
     layout = turns = None
     for m in mappings:
-        fits = F.col("_print") == F.xxhash64(F.lit(_shape(m)))
+        fits = F.col("_print").isin(*(F.xxhash64(F.lit(x)) for x in _shapes(m)))
         layout = F.when(fits, m.name) if layout is None else layout.when(fits, m.name)
         turns = F.when(fits, _turns(F.col(record), m).cast(TURNS)) if turns is None else turns.when(fits, _turns(F.col(record), m).cast(TURNS))
     return rows.withColumns({"layout": layout, "turns": turns}).drop("_print")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A side with at most so many narrow rows is broadcast (some tens of MB); a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -63,8 +63,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a stashed table, so that its count is read from file footers) marked for broadcast if it has at most limit rows."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """df (a stashed table, so that its count is read from file footers) marked for broadcast if it has at most limit rows, and BROADCAST_BYTES in its texts."""
+    if df.count() > limit:
+        return df
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return F.broadcast(df) if not texts or (df.agg(F.sum(sum(texts, F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmill.llm.common import stash
+from hopmill.llm.common import small, stash
+
+#: Neighbours from which on a node is a hub.
+HUB = 1000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -14,26 +17,35 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with m of their u, from least (u, m, n): hubs by broadcast, the rest by a join."""
+    hubs = small(least.where(F.col("n") >= HUB).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") < HUB).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node reachable.
 
     Large star and small star in turn until the edges rest (Kiveris and others, 2014): every round keeps at most as many
-    edges as there are nodes and edges, a node's neighbours are never gathered (only their minimum), and the joins on a
-    hub's key have one row on the other side, which adaptive execution may split. Rows with a null end are ignored; self
+    edges as there are nodes and edges, and a node's neighbours are never gathered (only their minimum). The minima of
+    hubs (HUB neighbours or more, so they are few) are broadcast, so that a hub's rows do not meet in one task. The edges
+    given are evaluated once. Rows with a null end are ignored; self
     loops name isolated nodes. An empty table gives an empty one.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
+    e = stash(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null"), "given")
     nodes = e.select(F.explode(F.array("u", "v")).alias("node"))
     e = stash(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while (mark := _mark(e)) != before and mark[0]:
         before = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, stash(least, "least")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.where("v < u")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
+        down = stash(down, "down")
+        least = stash(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        joined = _with_least(down, least)
         e = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         e = stash(e, "edges")
     return nodes.distinct().join(e.withColumnsRenamed({"u": "node", "v": "component"}), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

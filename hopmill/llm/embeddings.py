@@ -171,7 +171,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     part = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     m = full.withColumn("_cell", F.col("_home")).join(grid, spot).select(*spot, *payload, part("_mb").alias("_i"), every("_qb").alias("_j"), F.lit(True).alias("_member"))
-    q = full.withColumn("_cell", F.explode("_visits")).join(grid, spot).select(*spot, *payload, every("_mb").alias("_i"), part("_qb").alias("_j"), F.lit(False).alias("_member"))
+    q = full.withColumn("_cell", F.explode("_visits")).join(grid, spot).select(*spot, *payload[:-1], F.lit(None).cast("array<int>").alias("_visits"), every("_mb").alias("_i"), part("_qb").alias("_j"), F.lit(False).alias("_member"))
     found = stash(m.unionByName(q).groupBy(*spot, "_i", "_j").applyInPandas(_compared(cosine), "a long, b long, n long"), "found")
     sums = found.where("n > 0").groupBy(F.col("a").alias("_node")).agg(F.sum("n").alias("_others"))
     groups = components(found.where("n = 0")).select(F.col("node").alias("_node"), "component")

@@ -119,19 +119,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = LEARN, size: int = PROFILE) -> dict[str, list[str]]:
     """Profiles: for each language its `size` most frequent grams in order (ties by code points).
 
-    Learned from at most `most` documents of each language, the first by a hash of their key. Hashes are even, so those
-    above twice the share that `most` has of the language are left out before anything is sorted: a task orders some
-    2 * most short rows, whatever the language's size. Rows with a null language
-    or text are left out. The profiles, `size` grams a language, are what the driver gets.
+    Learned from at most `most` documents of each language, the first by a hash of key and text. Rows that repeat both
+    count once, so the hashes of a language differ and are even: those above twice the share that `most` has of the
+    language are left out before anything is sorted, and a task orders some 2 * most short rows, whatever the language's
+    size. Rows that share a key alone are documents of their own. Rows with a null language or text are left out; a
+    null key is a key like any other. The profiles, `size` grams a language, are what the driver gets; none for an empty table.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    slim = labelled.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.pmod(F.xxhash64(key), F.lit(SPAN)).alias("_hash"))
+    hashed = labelled.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), F.xxhash64(F.col(key), F.col(text)).alias("_h"))
+    slim = stash(hashed.select(F.col("_l").alias("_lang"), "_h").distinct(), "labelled")
     counts = small(stash(slim.groupBy("_lang").agg(F.count("*").alias("_of")), "languages"))
-    near = slim.join(counts, "_lang").where(F.col("_hash") <= F.lit(2.0 * most * SPAN) / F.col("_of"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_key"))
-    chosen = near.withColumn("_n", rank).where(F.col("_n") <= most)
-    chosen = small(stash(chosen.select("_lang", "_key").distinct(), "chosen"))
-    rows = labelled.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), F.col(key).alias("_k")).join(chosen, F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_k").eqNullSafe(F.col("_key")), "left_semi")
+    near = slim.join(counts, "_lang").where(F.pmod("_h", F.lit(SPAN)) <= F.lit(2.0 * most * SPAN) / F.col("_of"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.pmod("_h", F.lit(SPAN)), "_h"))
+    chosen = small(stash(near.withColumn("_n", rank).where(F.col("_n") <= most).select("_lang", F.col("_h").alias("_hash")), "chosen"))
+    rows = hashed.join(chosen, (F.col("_l") == F.col("_lang")) & (F.col("_h") == F.col("_hash")), "left_semi").groupBy("_l", "_h").agg(F.first("_t").alias("_t"))
     counts = rows.select("_l", "_t").mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), F.length("gram"), "gram"))
     top = counts.withColumn("place", place).where(F.col("place") <= size).collect()
@@ -197,6 +198,9 @@ def predicted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """docs with held_out, lang_pred and score; profiles are learned from the rows that are not held out.
 
     Only the text is an input of a prediction. Columns named like the new ones are replaced. Map-only after learning.
+
+    Null, empty and letterless texts are `und` with score 0; texts are taken whole, a long one alone in its chunk; ties go
+    to the first language by code point; each repeated row gets its row; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     profiles = learn(docs.where(~held_out(F.col(key))), key, text, lang)

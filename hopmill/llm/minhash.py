@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
        each pair of blocks is a task of bounded size.
     4. The verified links' connected components are the result.
 
-    A link at the threshold is missed if none of 36 bands of 6 registers agrees: 2 in 100,000.
+    A link at the threshold is missed if none of 36 bands of 6 registers agrees (2 in 100,000), or if the joint estimate
+    from 216 registers is five standard deviations too low (less than 1 in a million). Texts are taken whole, a long one alone in its chunk.
 
     Words are lower-cased (A-Z). Texts of fewer words than a shingle are one shingle; null and wordless texts have none,
     link with nothing and are kept. A null key links with nothing, has a null component and is kept. Rows that share a

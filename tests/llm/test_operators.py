@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -461,3 +462,79 @@ def test_registered_queries_keep_their_columns(spark):
     }
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, SF).columns == columns
+
+
+def test_language_id_learns_from_rows_that_share_a_key(spark):
+    """Many rows of a language under one key, and one row over and over, are neither lost nor all read."""
+    for key in (7, 9, 11, 12, 13):
+        rows = [(key, f"der wald und die strasse nummer {'x' * (i % 7)} {i} liegen im norden", "de") for i in range(300)]
+        rows += [(1000 + i, f"the wood and the street {i} lie in the north", "en") for i in range(300)] + [(key, "la forêt est au nord de la ville", "fr")] * 300
+        profiles = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=40)
+        assert sorted(profiles) == ["de", "en", "fr"]
+        assert "ald" in profiles["de"][:100] and profiles["fr"][:1] in (["e"], ["l"], ["a"])
+
+
+def test_language_id_against_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        s = " " + " ".join(s.split()) + " " if s.split() else " "
+        every = (s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+        return Counter(g for g in every if g != " " and " " not in g[1:-1])
+
+    def ranked(counts):
+        return sorted(counts, key=lambda g: (-counts[g], len(g), [0 if c == " " else ord(c) for c in g]))[: langid.PROFILE]
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    total = {}
+    for lang, text in {(r.doc_id, r.text): (r.lang, r.text) for r in docs if r.lang is not None and r.text is not None and not held(r.doc_id)}.values():
+        total.setdefault(lang, Counter()).update(grams(text))
+    profiles = {k: ranked(total[k]) for k in sorted(total)}
+    df = spark.createDataFrame([tuple(r) for r in docs], "doc_id long, text string, lang string")
+    assert langid.learn(df.where(~langid.held_out(F.col("doc_id")))) == profiles
+    for r in langid.predicted(df).collect():
+        own = ranked(grams(r.text or ""))
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        away = {k: sum(abs(i - p.index(g)) if g in p else langid.PROFILE for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(away, key=lambda k: (away[k], k))
+        assert r.lang_pred == best and r.score == pytest.approx(1 - away[best] / (langid.PROFILE * len(own)))
+
+
+def test_chat_layouts_with_optional_fields_and_mixed_types(spark):
+    records = [
+        ('{"messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "assistant", "content": 5}]}', "messages", [("user", "a"), ("assistant", "5")]),
+        ('{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": null, "weight": 0}]}', "messages", [("user", "a"), ("assistant", "")]),
+        ('{"conversations": [{"from": "human", "value": "a", "weight": 1}, {"from": "gpt", "value": true}]}', "sharegpt", [("user", "a"), ("assistant", "true")]),
+        ('{"messages": [{"role": "user", "content": "a", "tool": "x"}]}', None, None),
+        ('{"messages": [5, {"role": "user", "content": "a"}]}', None, None),
+        ('{"prompt": 1.5, "response": null}', "prompt", [("user", "1.5"), ("assistant", "")]),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(records)], "i int, json string").withColumn("record", F.try_parse_json("json"))
+    for r in chat.format_chats(df).drop("record").collect():
+        assert (r.layout, r.turns and [tuple(t) for t in r.turns]) == records[r.i][1:]
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 20)
+    rng = random.Random(4)
+    edges = [(5000, i) for i in range(1000, 1400)] + [(rng.randrange(1000, 1400), 6000 + i % 60) for i in range(300)] + [(7000 + i, 7001 + i) for i in range(50)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == brute.components({x for e in edges for x in e}, edges)
+
+
+def test_vectors_of_a_cell_larger_than_a_block_and_clashing_names(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(8)
+    x = base + 0.18 * rng.standard_normal((700, 8))
+    df = spark.createDataFrame([(i, "a", [float(v) for v in row], "clash", 1) for i, row in enumerate(x)], "vec_id long, label string, embedding array<double>, kept string, component_id int")
+    near = x / np.linalg.norm(x, axis=1)[:, None]
+    link = near @ near.T >= 0.93
+    np.fill_diagonal(link, False)
+    want = brute.components(range(700), [(int(a), int(b)) for a, b in zip(*np.nonzero(link), strict=True)])
+    got = embeddings.near_vectors(df).collect()
+    for r in got:
+        assert r.n_links <= link[r.vec_id].sum() and (r.component_id, r.kept) == (want[r.vec_id], want[r.vec_id] == r.vec_id)
+    assert sum(r.n_links for r in got) >= 0.98 * link.sum()
