@@ -19,22 +19,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest doc_id.
+
+    Null, empty and wordless texts and rows with a null doc_id stay; of rows that share a doc_id one stays; texts are taken
+    whole; an empty table gives an empty one. Only the columns of documents are read and returned.
+    """
     return minhash.deduplicated(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; texts are taken whole; an empty table on
+    either side takes nothing away. Only the columns of documents are returned.
+    """
     return decontam.decontaminated(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn, three epochs at most."""
+    """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn, three epochs at most.
+
+    A null source is a source of its own, the last; null and empty texts have no words; repeated rows count each; an empty
+    table gives an empty one.
+    """
     return mixing.repeat(mixing.mix(docs.withColumn("_words", word_count(F.col("text"))), size="_words")).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and place in it: contiguous shards of nearly equal bytes."""
+    """Each row's shard and place in it: contiguous shards of nearly equal bytes.
+
+    A null doc_id comes first and a null text has no bytes; repeated rows each have a slot; an empty table gives an empty one.
+    """
     return sharding.shards(docs, SHARDS)
 
 
