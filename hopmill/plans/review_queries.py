@@ -71,7 +71,7 @@ def x18_reviews(spark, sf_dir):
         F.element_at(F.array(*map(F.lit, ("shortcut", "necessary", "necessary", "not_applicable"))), (k % 4 + 1).cast("int")).alias("two_hop_verdict"),
         F.when(k % 6 == 0, F.array(cite(F.col("lang")))).when(k % 6 > 1, none).alias("two_hop_evidence"),
         F.transform(F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: i < k % 4), step).alias("step_reviews"),
-        F.when(k % 9 == 0, "insufficient_evidence").when(k % 9 == 1, "ambiguous").otherwise("answerable").alias("candidate_status"),
+        F.when(k % 10 == 0, "insufficient_evidence").when(k % 10 == 1, "ambiguous").otherwise("answerable").alias("candidate_status"),
         F.when(k % 8 > 0, 2).alias("n_steps"), (k % 17 > 0).alias("structural_valid"), (k % 19 == 0).alias("review_required"),
     )
     out = R.review_gate(rows, d.select("owner_id", k.cast("string").alias("context_id"), "text"))
@@ -169,7 +169,7 @@ SELECT o_orderkey AS trial_id, o_custkey AS case_id, coalesce(a, 'U') AS answer,
 p AS (SELECT track, CASE c_nationkey % 3 WHEN 0 THEN 'proof_hint' WHEN 1 THEN 'noise_only' ELSE 'no_hint' END AS stratum, case_id, repeat, bool_or(v.e) AS e, coalesce(bool_or(CASE WHEN arm = '1' THEN v.s = 'completed' END), false) AS ok1, coalesce(bool_or(CASE WHEN arm = '2' THEN v.s = 'completed' END), false) AS ok2, bool_or(CASE WHEN arm = '1' THEN v.d END) AS b, bool_or(CASE WHEN arm = '2' THEN v.d END) AS a FROM one JOIN customer ON case_id = c_custkey GROUP BY ALL),
 r AS (SELECT *, CASE WHEN e IS NULL THEN 'unadjudicated' WHEN NOT (ok1 AND ok2) THEN 'not_completed' WHEN a IS NULL OR b IS NULL THEN 'undecided' END AS reason FROM p)
 SELECT track, stratum, count(*) AS scheduled_pairs, {_N("reason = 'unadjudicated'")} AS excluded_unadjudicated, {_N("reason = 'not_completed'")} AS excluded_not_completed, {_N("reason = 'undecided'")} AS excluded_undecided, {_N('reason IS NULL')} AS paired_decisive, {_N('reason IS NULL AND b <> e AND a = e')} AS corrections, {_N('reason IS NULL AND b = e AND a <> e')} AS introduced_errors FROM r GROUP BY ALL""",
-    "x18_reviews": """WITH d AS (SELECT doc_id AS k, text, source, lang, doc_id % 3 > 0 AS passed, doc_id % 9 > 0 AS posed, doc_id % 4 AS n, CASE WHEN doc_id % 4 = 0 THEN 'shortcut' WHEN doc_id % 4 = 3 THEN 'not_applicable' ELSE 'necessary' END AS v FROM documents),
+    "x18_reviews": """WITH d AS (SELECT doc_id AS k, text, source, lang, doc_id % 3 > 0 AS passed, doc_id % 10 > 0 AS posed, doc_id % 4 AS n, CASE WHEN doc_id % 4 = 0 THEN 'shortcut' WHEN doc_id % 4 = 3 THEN 'not_applicable' ELSE 'necessary' END AS v FROM documents),
 q AS (SELECT *, [0, 1, 2][:n] AS st FROM d),
 e AS (SELECT *, coalesce(list_bool_or(list_transform(st, lambda i: (k + i) % 29 > 0 AND NOT coalesce(substr(text, i * 10 + 1, 12) <> '' AND contains(text, substr(text, i * 10 + 1, 12)), false))), false) OR (k % 6 = 0 AND NOT coalesce(lang <> '' AND contains(text, lang), false)) AS lost,
   coalesce(list_bool_or(list_transform(st, lambda i: (k + i) % 23 = 0 OR (k + i) % 29 = 0)), false) AS bare FROM q),
