@@ -55,10 +55,10 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors, and has known sizes."""
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, survives lost executors, and has known sizes. options go to the writer."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

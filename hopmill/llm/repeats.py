@@ -32,6 +32,8 @@ WALK = 16
 #: What a row sent to a merge holds.
 KEYS, STRETCHES, WINDOWS = 0, 1, 2
 NO_ID = np.iinfo(np.int64).max
+#: How bundles are written: a page of one row, since codecs hold whole pages in buffers outside the heap.
+PAGE_A_ROW = {"parquet.page.row.count.limit": "1"}
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -611,7 +613,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         raise ValueError("length must be at least 32 bytes")
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    bundles = stash(slim.mapInArrow(_packed(length), "bundle long, ids binary, sizes binary, data binary, inside binary"), "bundles")
+    bundles = stash(slim.mapInArrow(_packed(length), "bundle long, ids binary, sizes binary, data binary, inside binary"), "bundles", **PAGE_A_ROW)
     total = bundles.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     bits, bits2 = _range_bits(total / 12, MERGE), _range_bits(total, MERGE_BYTES)
     spot = "kind int, range int, bundle long"
