@@ -234,13 +234,28 @@ def frontier_violations(reviews: DataFrame, start: DataFrame, hops: int | None =
     return reduce(DataFrame.unionByName, out)
 
 
-def distractors(nodes: DataFrame, triples: DataFrame, legal: DataFrame) -> DataFrame:
-    """(node_id, fact_id, kind): facts off the proof that share the node's upstream with another relation, or its relation with another upstream."""
-    off = triples.join(legal.select("fact_id").distinct(), "fact_id", "left_anti").select("owner_id", "fact_id", F.col("subject").alias("_s"), F.col("relation").alias("_r"))
-    n = nodes.select("owner_id", "node_id", "upstream", "relation")
-    same = n.join(off, (n["owner_id"] == off["owner_id"]) & (F.col("upstream") == F.col("_s")) & (F.col("relation") != F.col("_r"))).select("node_id", "fact_id", F.lit("other_relation").alias("kind"))
-    other = n.join(off, (n["owner_id"] == off["owner_id"]) & (F.col("relation") == F.col("_r")) & (F.col("upstream") != F.col("_s"))).select("node_id", "fact_id", F.lit("other_upstream").alias("kind"))
-    return same.unionByName(other).distinct()
+def distractors(nodes: DataFrame, triples: DataFrame, legal: DataFrame, levels: int = 2) -> DataFrame:
+    """(node_id, fact_id, kind): facts off the proof that a reader may take for the node's own.
+
+    nodes: owner_id, node_id, upstream, relation, direction (out: upstream is the subject; in: the object), at_time; triples:
+    owner_id, fact_id, subject, relation, object, period (lo, hi), is_entity (of the object's value); legal: fact_id.
+    Adjacent kinds: other_relation (same upstream), other_upstream (same relation), out_of_period (both the same, but at_time lies
+    outside; no period or no time gives none). continuation: facts that go on from the far end of those, in two levels.
+    """
+    off = triples.join(legal.select("fact_id").distinct(), "fact_id", "left_anti")
+    ends = F.explode(F.array(F.struct(F.lit("out").alias("direction"), F.col("subject").alias("_at"), F.col("object").alias("_to")), F.struct(F.lit("in").alias("direction"), F.col("object").alias("_at"), F.col("subject").alias("_to")))).alias("_e")
+    edge = off.select("owner_id", "fact_id", F.col("relation").alias("_r"), "period", F.col("is_entity").alias("_ent"), ends).select("owner_id", "fact_id", "_r", "period", "_ent", "_e.*")
+    n = nodes.select("owner_id", "node_id", "upstream", "relation", "direction", "at_time")
+    late = F.col("period").isNotNull() & F.col("at_time").isNotNull() & ~F.col("at_time").between(F.col("period.lo"), F.col("period.hi"))
+    beside = n.join(edge.withColumn("upstream", F.col("_at")), ["owner_id", "direction", "upstream"]).withColumn("kind", F.when(F.col("relation") != F.col("_r"), "other_relation").when((F.col("relation") == F.col("_r")) & late, "out_of_period")).where("kind is not null")
+    alike = n.join(edge.withColumn("relation", F.col("_r")), ["owner_id", "direction", "relation"]).where("upstream <> _at").withColumn("kind", F.lit("other_upstream"))
+    columns = ["owner_id", "node_id", "direction", "fact_id", "_to", "_ent", "kind"]
+    found = new = beside.select(*columns).unionByName(alike.select(*columns)).distinct()
+    for _ in range(levels):
+        ahead = new.where("_ent").select("owner_id", "node_id", "direction", F.col("_to").alias("_at")).distinct()
+        new = ahead.join(edge, ["owner_id", "direction", "_at"]).join(found.select("node_id", "fact_id").distinct(), ["node_id", "fact_id"], "left_anti").withColumn("kind", F.lit("continuation")).select(*columns).distinct()
+        found = found.unionByName(new)
+    return found.select("node_id", "fact_id", "kind").distinct()
 
 
 def document_roles(documents: DataFrame, supports: DataFrame, key: str = "document_id") -> DataFrame:
@@ -263,36 +278,45 @@ def normal_relations(records: DataFrame) -> DataFrame:
     return rows.select("*", F.when(up, F.col("tail")).otherwise(F.col("head")).alias("parent"), F.when(up, F.col("head")).otherwise(F.col("tail")).alias("child"), F.when(up, F.col("label")).otherwise("parent").alias("parent_role"))
 
 
-def compare_libraries(facts: DataFrame, records: DataFrame, matching: list[str]) -> DataFrame:
-    """(fact_id, library, status): conflict_hint, static_compatible_hint or not_covered; not_comparable for facts that are not safe.
+def compare_libraries(facts: DataFrame, records: DataFrame, matching: list[str], hints_only: list[str]) -> DataFrame:
+    """(fact_id, library, status) for each library named.
 
-    facts: fact_id, parent, child, parent_role, safe (names of one owner, no time); records: library, parent, child,
-    parent_role, known_issue. Only libraries in `matching` give matches. `parent` agrees with any role, both ways.
+    facts: fact_id, parent, child, parent_role, safe (names of one owner, no time); records: library, parent, child, parent_role,
+    known_issue. Rows with a known issue take no part (known_issues lists them). Libraries in `matching` give matches, those in
+    `hints_only` conflict hints alone. `parent` agrees with any role, both ways.
     """
-    libraries = records.select("library").distinct()
     good = records.where("not known_issue").select("library", "child", F.col("parent").alias("_p"), F.col("parent_role").alias("_r"))
-    j = facts.crossJoin(F.broadcast(libraries)).join(good, ["library", "child"], "left")
+    j = facts.withColumn("library", F.explode(F.array(*map(F.lit, [*matching, *hints_only])))).join(good, ["library", "child"], "left")
     same_parent, same_role = F.col("_p") == F.col("parent"), F.col("_r") == F.col("parent_role")
     wild, own_wild = F.col("_r") == "parent", F.col("parent_role") == "parent"
     match = same_parent & (same_role | wild | own_wild)
     conflict = ~match & ((same_role & ~own_wild) | (same_parent & ~wild & ~own_wild))
     g = j.groupBy("fact_id", "library").agg(F.bool_or(match).alias("_m"), F.bool_or(conflict).alias("_c"), F.bool_and("safe").alias("_s"))
-    status = F.when(~F.col("_s"), "not_comparable").when(F.col("_c"), "conflict_hint").when(F.coalesce("_m", F.lit(False)) & F.col("library").isin(*matching), "static_compatible_hint").otherwise("not_covered")
+    hinting = F.col("library").isin(*hints_only) if hints_only else F.lit(False)
+    status = F.when(~F.col("_s"), "not_comparable_temporal_or_ambiguous_identity").when(F.col("_c"), "conflict_hint").when(hinting, "conflict_hints_only_none_found").when(F.col("_m"), "static_compatible_hint").otherwise("not_covered")
     return g.select("fact_id", "library", status.alias("status"))
 
 
-def omissions(records: DataFrame, facts: DataFrame, safe_names: DataFrame, temporal: bool = False) -> DataFrame:
-    """(parent, child, source_row): pairs of safe names that a library has and no fact, each once, by its first row. None if any fact is temporal."""
-    rows = records.where("not known_issue")
+def known_issues(facts: DataFrame, records: DataFrame) -> DataFrame:
+    """Library rows with a known issue on the child of a safe fact, each once: they were left out of compare_libraries."""
+    return records.where("known_issue").join(facts.where("safe").select("child").distinct(), "child", "left_semi").select(*records.columns)
+
+
+def omissions(records: DataFrame, facts: DataFrame, safe_names: DataFrame, library: str, temporal: bool = False) -> DataFrame:
+    """(library, parent, child, source_row): pairs of safe names that the library has and no fact, each once, by its first row, whether
+    that has a known issue or not. None if any fact is temporal."""
+    rows = records.where(F.col("library") == library)
     for side in ("parent", "child"):
         rows = rows.join(safe_names.select(F.col("name").alias(side)).distinct(), side, "left_semi")
     rows = rows.join(facts.select("parent", "child").distinct(), ["parent", "child"], "left_anti")
-    return rows.where(F.lit(not temporal)).groupBy("parent", "child").agg(F.min("source_row").alias("source_row"))
+    return rows.where(F.lit(not temporal)).groupBy("library", "parent", "child").agg(F.min("source_row").alias("source_row"))
 
 
 def source_clusters(uses: DataFrame, item: str, family: str) -> DataFrame:
-    """(item, families, n) of items that two or more families use."""
-    return uses.groupBy(item).agg(F.count_distinct(family).alias("n")).where("n > 1")
+    """(item, family, n): the families of items that two or more families use, a row for each, with their number."""
+    each = uses.select(item, family).where(F.col(family).isNotNull()).distinct()
+    shared = each.groupBy(item).agg(F.count("*").alias("n")).where("n > 1")
+    return each.join(shared, item)
 
 
 def interval(lo: Column, hi: Column) -> Column:

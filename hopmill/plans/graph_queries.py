@@ -132,9 +132,13 @@ def g12_shape(spark, sf_dir):
 
 
 def g16_distractors(spark, sf_dir):
-    t = _facts(spark, sf_dir).select("owner_id", "fact_id", F.col("child").alias("subject"), F.col("parent_role").alias("relation"))
-    nodes = table(spark, sf_dir, "region").select(F.lit("all").alias("owner_id"), F.col("r_regionkey").alias("node_id"), F.concat(F.lit("n"), "r_regionkey").alias("upstream"), F.lit("father").alias("relation"))
-    return G.distractors(nodes, t, t.where("fact_id = 'fc3'")).groupBy("node_id", "kind").agg(F.count("*").alias("facts"))
+    k, month = F.col("o_orderkey"), F.month("o_orderdate")
+    t = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("owner_id"), k.alias("fact_id"), (k % 5).alias("subject"), F.col("o_orderstatus").alias("relation"), (F.floor(k / 5) % 5).alias("object"),
+        F.when(k % 3 > 0, F.struct(month.alias("lo"), (month + 3).alias("hi"))).alias("period"), (k % 7 > 0).alias("is_entity"))
+    c = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(c.alias("owner_id"), c.alias("node_id"), (c % 5).alias("upstream"), F.lit("F").alias("relation"), F.when(c % 2 == 1, "out").otherwise("in").alias("direction"), F.when(c % 4 > 0, 6).alias("at_time"))
+    return G.distractors(nodes, t, t.where("fact_id % 11 = 0"))
 
 
 def g17_roles(spark, sf_dir):
@@ -171,13 +175,14 @@ def _library(spark, sf_dir):
 
 def g20_libraries(spark, sf_dir):
     facts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fact_id"), F.col("c_nationkey").alias("parent"), F.col("c_custkey").alias("child"), F.when(F.col("c_custkey") % 2 == 0, "father").otherwise("parent").alias("parent_role"), (F.col("c_custkey") % 9 != 0).alias("safe"))
-    return G.compare_libraries(facts, _library(spark, sf_dir), ["C01"]).groupBy("library", "status").agg(F.count("*").alias("facts"))
+    known = G.known_issues(facts, _library(spark, sf_dir)).select("library", F.lit("known_issue").alias("status"))
+    return G.compare_libraries(facts, _library(spark, sf_dir), ["C01"], ["C02"]).select("library", "status").unionByName(known).groupBy("library", "status").agg(F.count("*").alias("facts"))
 
 
 def g21_omissions(spark, sf_dir):
     facts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("parent"), F.col("c_custkey").alias("child"))
     safe = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("name"))
-    return G.omissions(_library(spark, sf_dir), facts, safe)
+    return G.omissions(_library(spark, sf_dir), facts, safe, "C01")
 
 
 def g22_clusters(spark, sf_dir):
@@ -261,15 +266,22 @@ r2 AS (SELECT n_nationkey % 10 AS q, 'n' || n_nationkey AS e FROM nation), f2 AS
 v AS (SELECT 1 AS hop, CASE WHEN r1.e IS NULL THEN 'missing' ELSE 'unexpected' END AS "check" FROM s FULL JOIN r1 ON s.q = r1.q AND s.e = r1.e WHERE r1.e IS NULL OR s.e IS NULL
 UNION ALL SELECT 2, CASE WHEN r2.e IS NULL THEN 'missing' ELSE 'unexpected' END FROM f2 FULL JOIN r2 ON f2.q = r2.q AND f2.e = r2.e WHERE r2.e IS NULL OR f2.e IS NULL) SELECT hop, "check", count(*) AS entities FROM v GROUP BY ALL""",
     "g18_probes": "SELECT l_orderkey AS question_id, l_partkey AS upstream, l_returnflag AS relation, l_suppkey AS answer FROM lineitem WHERE l_returnflag <> 'N'",
-    "g16_distractors": f"WITH {_FACTS}, o AS (SELECT * FROM f WHERE fact_id <> 'fc3'), d AS (SELECT r_regionkey AS node_id, 'other_relation' AS kind FROM region JOIN o ON child = 'n' || r_regionkey AND parent_role <> 'father' UNION ALL SELECT r_regionkey, 'other_upstream' FROM region JOIN o ON parent_role = 'father' AND child <> 'n' || r_regionkey) SELECT node_id, kind, count(*) AS facts FROM d GROUP BY ALL",
+    "g16_distractors": """WITH t AS (SELECT o_custkey AS w, o_orderkey AS f, o_orderkey % 5 AS s, o_orderstatus AS r, (o_orderkey // 5) % 5 AS o, o_orderkey % 3 > 0 AS bound, month(o_orderdate) AS lo, o_orderkey % 7 > 0 AS ent FROM orders WHERE o_orderkey % 11 > 0),
+e AS (SELECT c_custkey AS n, f, r, c_custkey % 5 AS u, CASE WHEN c_custkey % 2 = 1 THEN s ELSE o END AS a, CASE WHEN c_custkey % 2 = 1 THEN o ELSE s END AS b, c_custkey % 4 > 0 AND bound AND NOT 6 BETWEEN lo AND lo + 3 AS late, ent FROM customer JOIN t ON w = c_custkey),
+d AS (SELECT * FROM (SELECT *, CASE WHEN a = u AND r <> 'F' THEN 'other_relation' WHEN a <> u AND r = 'F' THEN 'other_upstream' WHEN a = u AND late THEN 'out_of_period' END AS kind FROM e) WHERE kind IS NOT NULL),
+c1 AS (SELECT * FROM e WHERE EXISTS (FROM d WHERE d.n = e.n AND d.ent AND d.b = e.a) AND NOT EXISTS (FROM d WHERE d.n = e.n AND d.f = e.f)),
+c2 AS (SELECT * FROM e WHERE EXISTS (FROM c1 WHERE c1.n = e.n AND c1.ent AND c1.b = e.a) AND NOT EXISTS (FROM d WHERE d.n = e.n AND d.f = e.f) AND NOT EXISTS (FROM c1 WHERE c1.n = e.n AND c1.f = e.f))
+SELECT n AS node_id, f AS fact_id, kind FROM d UNION ALL SELECT n, f, 'continuation' FROM c1 UNION ALL SELECT n, f, 'continuation' FROM c2""",
     "g17_roles": "WITH u AS (SELECT l_partkey, min(CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS r FROM lineitem GROUP BY 1) SELECT p_partkey AS document_id, ['current_proof', 'alternative', 'background', 'unreferenced'][coalesce(r, 4)] AS role FROM part LEFT JOIN u ON l_partkey = p_partkey",
     "g19_normal": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN o_custkey ELSE o_orderkey END AS parent, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey ELSE o_custkey END AS child, ['father', 'parent', 'mother'][o_orderkey % 4 + 1] AS parent_role FROM orders WHERE o_orderkey % 4 <> 3",
     "g20_libraries": f"""WITH {_LIB}, fa AS (SELECT c_custkey AS id, c_nationkey AS p, CASE WHEN c_custkey % 2 = 0 THEN 'father' ELSE 'parent' END AS r, c_custkey % 9 <> 0 AS safe FROM customer),
 j AS (SELECT fa.id, b.library, fa.safe, coalesce(l.p = fa.p AND (l.r = fa.r OR l.r = 'parent' OR fa.r = 'parent'), false) AS m, fa.p AS fp, fa.r AS fr, l.p AS lp, l.r AS lr FROM fa CROSS JOIN (VALUES ('C01'), ('C02')) AS b(library) LEFT JOIN l ON l.library = b.library AND l.c = fa.id),
-g AS (SELECT id, library, bool_or(m) AS m, bool_or(NOT m AND coalesce((lr = fr AND fr <> 'parent') OR (lp = fp AND lr <> 'parent' AND fr <> 'parent'), false)) AS c, bool_and(safe) AS s FROM j GROUP BY ALL)
-SELECT library, CASE WHEN NOT s THEN 'not_comparable' WHEN c THEN 'conflict_hint' WHEN m AND library = 'C01' THEN 'static_compatible_hint' ELSE 'not_covered' END AS status, count(*) AS facts FROM g GROUP BY ALL""",
-    "g21_omissions": f"WITH {_LIB} SELECT p AS parent, c AS child, min(n) AS source_row FROM l WHERE p IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) AND c IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = p AND c_custkey = c) GROUP BY ALL",
-    "g22_clusters": "SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1",
+g AS (SELECT id, library, bool_or(m) AS m, bool_or(NOT m AND coalesce((lr = fr AND fr <> 'parent') OR (lp = fp AND lr <> 'parent' AND fr <> 'parent'), false)) AS c, bool_and(safe) AS s FROM j GROUP BY ALL),
+st AS (SELECT library, CASE WHEN NOT s THEN 'not_comparable_temporal_or_ambiguous_identity' WHEN c THEN 'conflict_hint' WHEN library = 'C02' THEN 'conflict_hints_only_none_found' WHEN m THEN 'static_compatible_hint' ELSE 'not_covered' END AS status FROM g
+  UNION ALL SELECT CASE WHEN o_orderstatus = 'F' THEN 'C02' ELSE 'C01' END, 'known_issue' FROM orders WHERE o_orderkey % 17 = 0 AND o_custkey IN (SELECT id FROM fa WHERE safe))
+SELECT library, status, count(*) AS facts FROM st GROUP BY ALL""",
+    "g21_omissions": "SELECT 'C01' AS library, o_custkey % 25 AS parent, o_custkey AS child, min(o_orderkey) AS source_row FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 25 IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0) AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = o_custkey % 25 AND c_custkey = o_custkey) GROUP BY ALL",
+    "g22_clusters": "WITH u AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT * FROM (SELECT l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_partkey) AS n FROM u) WHERE n > 1",
     "v04_changes": "WITH f AS (SELECT l_orderkey AS family_id, bool_or(l_linenumber = 1) AS a, bool_or(l_linenumber = 2) AS b, bool_or(l_linenumber = 3) AS c FROM lineitem GROUP BY 1) SELECT family_id, CASE WHEN a THEN '9' ELSE '' END AS added, CASE WHEN b THEN '2' ELSE '' END AS removed, CASE WHEN c THEN '3' ELSE '' END AS rewritten FROM f",
     "v05_missing": "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 = 0",
     "v06_primary": "SELECT l_orderkey AS family_id, count(*) AS generated, count(*) - count(*) FILTER (WHERE l_linenumber = m) AS removed FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) GROUP BY 1",

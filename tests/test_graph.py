@@ -117,3 +117,15 @@ def test_no_cap_on_steps_or_depth(spark):
     nodes = [("p", str(i), [str(i - 1)] if i else []) for i in range(40)] + [("c", "a", ["b"]), ("c", "b", ["a"]), ("x", "a", ["lost"])]
     got = {r.proof_id: r.depth for r in G.proof_depths(spark.createDataFrame(nodes, "proof_id string, node_id string, dependencies array<string>")).collect()}
     assert got == {"p": 40, "c": None, "x": 1}
+
+
+def test_distractors_by_hand(spark):
+    triples = [
+        ("o", "legal", "a", "r", "b", None, True), ("o", "late", "a", "r", "c", (1, 2), True), ("o", "fits", "a", "r", "c", (1, 9), True), ("o", "kin", "a", "q", "d", None, True),
+        ("o", "far", "z", "r", "y", None, False), ("o", "one", "d", "q", "e", None, True), ("o", "two", "e", "q", "f", None, True), ("o", "three", "f", "q", "g", None, True), ("o", "value", "y", "q", "h", None, True),
+    ]
+    t = spark.createDataFrame(triples, "owner_id string, fact_id string, subject string, relation string, object string, period struct<lo int, hi int>, is_entity boolean")
+    nodes = spark.createDataFrame([("o", "n", "a", "r", "out", 5), ("o", "back", "b", "q", "in", None)], "owner_id string, node_id string, upstream string, relation string, direction string, at_time int")
+    got = {(r.node_id, r.fact_id): r.kind for r in G.distractors(nodes, t, t.where("fact_id = 'legal'")).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "n"} == {"late": "out_of_period", "kin": "other_relation", "far": "other_upstream", "one": "continuation", "two": "continuation"}
+    assert {k[1] for k, v in got.items() if k[0] == "back" and v == "other_upstream"} == {"kin", "one", "two", "three", "value"}
