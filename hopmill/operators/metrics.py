@@ -168,6 +168,16 @@ def attach_grades(slots: DataFrame, grades: DataFrame, key: str = "trial_id") ->
     return out.withColumns({d: F.coalesce(d, F.lit("U")) for d in DIMENSIONS})
 
 
+def grade_violations(slots: DataFrame, grades: DataFrame, identity: list[str], key: str = "trial_id") -> DataFrame:
+    """(check, key): grades of no planned slot (extra), of a slot graded before (repeated), or whose identity columns differ from the slot's."""
+    mine = slots.select(key, *(F.col(c).alias(f"_{c}") for c in identity), F.lit(True).alias("_planned"))
+    differs = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in identity))
+    g = grades.join(mine, key, "left").groupBy(key).agg(F.bool_or(F.col("_planned")).alias("_in"), F.count("*").alias("_n"), F.bool_or(differs).alias("_d"))
+    planned = F.col("_in").isNotNull()
+    checks = F.array_compact(F.array(F.when(~planned, F.lit("extra")), F.when(F.col("_n") > 1, F.lit("repeated")), F.when(planned & F.col("_d"), F.lit("identity"))))
+    return g.select(F.explode(checks).alias("check"), F.col(key).alias("key"))
+
+
 def cohort_bounds(labels: DataFrame, axes: list[str], label: str = "label") -> DataFrame:
     """P, F, U counts and label bounds P / N and (P + U) / N: overall, by each axis alone and by all together.
 
@@ -179,11 +189,13 @@ def cohort_bounds(labels: DataFrame, axes: list[str], label: str = "label") -> D
     return out.withColumn("u", F.col("n") - F.col("p") - F.col("f")).withColumns({"lower": F.col("p") / F.col("n"), "upper": (F.col("p") + F.col("u")) / F.col("n")})
 
 
-def pair_transitions(rows: DataFrame, keys: list[str], side: str, left: str, right: str, label: str = "label") -> DataFrame:
-    """Counts of left -> right labels of rows that have both sides, without a self join."""
+def pair_transitions(rows: DataFrame, keys: list[str], side: str, left: str, right: str, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(counts of left -> right labels, (keys, reason) of rows without one of the sides), by one aggregation, without a self join."""
     of = lambda s: F.max(F.when(F.col(side) == s, F.col(label)))
-    pairs = rows.groupBy(*keys).agg(of(left).alias("_l"), of(right).alias("_r")).where("_l is not null and _r is not null")
-    return pairs.groupBy(F.concat("_l", F.lit("->"), "_r").alias("transition")).agg(F.count("*").alias("pairs"))
+    pairs = rows.groupBy(*keys).agg(of(left).alias("_l"), of(right).alias("_r"))
+    moved = pairs.where("_l is not null and _r is not null").groupBy(F.concat("_l", F.lit("->"), "_r").alias("transition")).agg(F.count("*").alias("pairs"))
+    reason = F.when(F.col("_l").isNull() & F.col("_r").isNull(), "no_side").when(F.col("_l").isNull(), "no_left").when(F.col("_r").isNull(), "no_right")
+    return moved, pairs.withColumn("reason", reason).where("reason is not null").select(*keys, "reason")
 
 
 def base_transitions(rows: DataFrame, keys: list[str], is_base: Column, label: str = "label") -> tuple[DataFrame, DataFrame]:

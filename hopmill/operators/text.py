@@ -228,7 +228,8 @@ def cut(text: Column, spans: Column) -> Column:
 def delete_quotes(units: DataFrame, cuts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units after deletion, log of cuts, violations): each quote must stand exactly once in its unit, else nothing of the unit is cut.
 
-    Touching cuts are joined. A unit that loses all its text is left out; a remainder of white space alone is a violation.
+    Touching cuts are joined. A unit that loses all its text is left out; a remainder of white space alone is a violation,
+    and so is an owner (all keys but the last) that loses all its units.
     """
     joined = cuts.join(units.select(*keys, F.col("text").alias("_text")), keys, "left")
     times = F.coalesce(count_apart(F.col("_text"), F.col("quote")), F.lit(0))
@@ -240,7 +241,9 @@ def delete_quotes(units: DataFrame, cuts: DataFrame, keys: list[str]) -> tuple[D
     log = after.where("_s is not null").select(*keys, "text", F.explode("_s").alias("_c")).select(*keys, "_c.start", "_c.end", F.substring(F.col("text"), F.col("_c.start") + 1, F.col("_c.end") - F.col("_c.start")).alias("removed"))
     blank = after.where((F.col("_after") != "") & (F.trim(F.regexp_replace("_after", r"\s", " ")) == "") & F.col("_s").isNotNull()).select(F.lit("only_space_left").alias("check"), F.concat_ws("/", *keys).alias("key"))
     rest = after.where((F.col("_after") != "") | F.col("_s").isNull()).withColumn("text", F.col("_after")).select(*units.columns)
-    return rest, log, bad.unionByName(blank)
+    gone = (F.col("_after") == "") & F.col("_s").isNotNull()
+    bare = after.groupBy(*keys[:-1]).agg(F.bool_and(F.coalesce(gone, F.lit(False))).alias("_all")).where("_all").select(F.lit("all_units_lost").alias("check"), F.concat_ws("/", *keys[:-1]).alias("key"))
+    return rest, log, bad.unionByName(blank).unionByName(bare)
 
 
 def delete_spans(contexts: DataFrame, cuts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

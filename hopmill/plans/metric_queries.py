@@ -95,7 +95,8 @@ LABELS = "SELECT l_orderkey, l_linenumber, l_suppkey, CASE l_returnflag WHEN 'A'
 
 
 def m13_model_pairs(spark, sf_dir):
-    return M.pair_transitions(_labels(spark, sf_dir).withColumn("side", F.col("l_linenumber").cast("string")), ["l_orderkey"], "side", "1", "2")
+    moved, missing = M.pair_transitions(_labels(spark, sf_dir).withColumn("side", F.col("l_linenumber").cast("string")), ["l_orderkey"], "side", "1", "2")
+    return moved.unionByName(missing.groupBy(F.col("reason").alias("transition")).agg(F.count("*").alias("pairs")))
 
 
 def m13_bases(spark, sf_dir):
@@ -130,7 +131,7 @@ SELECT *, 'descriptive' AS copy FROM d UNION ALL SELECT "partition", metric, que
     "m12_cohorts": """WITH r AS (SELECT p_brand, CASE WHEN p_size > 10 THEN p_size END AS p_size, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'F' ELSE 'U' END AS label FROM lineitem JOIN part ON l_partkey = p_partkey),
 g AS (SELECT p_brand, p_size, grouping(p_brand, p_size) AS "grouping", count(*) AS n, count(*) FILTER (WHERE label = 'P') AS p, count(*) FILTER (WHERE label = 'F') AS f FROM r GROUP BY GROUPING SETS ((), (p_brand), (p_size), (p_brand, p_size)))
 SELECT *, n - p - f AS u, round(p / n, 6) AS lower, round((n - f) / n, 6) AS upper FROM g""",
-    "m13_model_pairs": f"WITH p AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN label END) AS l, max(CASE WHEN l_linenumber = 2 THEN label END) AS r FROM ({LABELS}) GROUP BY 1) SELECT l || '->' || r AS transition, count(*) AS pairs FROM p WHERE l IS NOT NULL AND r IS NOT NULL GROUP BY 1",
+    "m13_model_pairs": f"WITH p AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN label END) AS l, max(CASE WHEN l_linenumber = 2 THEN label END) AS r FROM ({LABELS}) GROUP BY 1) SELECT coalesce(l || '->' || r, CASE WHEN l IS NULL AND r IS NULL THEN 'no_side' WHEN l IS NULL THEN 'no_left' ELSE 'no_right' END) AS transition, count(*) AS pairs FROM p GROUP BY 1",
     "m13_bases": f"""WITH m AS (SELECT *, l_linenumber = 1 AS base, count(*) FILTER (WHERE l_linenumber = 1) OVER (PARTITION BY l_orderkey) AS bases, max(CASE WHEN l_linenumber = 1 THEN label END) OVER (PARTITION BY l_orderkey) AS b FROM ({LABELS}))
 SELECT b || '->' || label AS transition, count(*) AS pairs FROM m WHERE bases = 1 AND NOT base GROUP BY 1 UNION ALL SELECT 'unavailable', count(DISTINCT l_orderkey) FROM m WHERE bases <> 1 HAVING count(*) > 0""",
     "m14_errors": "WITH r AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'P' ELSE 'F' END AS answer, CASE WHEN l_linestatus = 'F' THEN 'P' ELSE 'F' END AS logical_proof, CASE WHEN l_returnflag = 'A' THEN 'P' ELSE 'F' END AS output_contract FROM lineitem) SELECT *, count(*) AS rows FROM r WHERE answer <> 'P' OR logical_proof <> 'P' OR output_contract <> 'P' GROUP BY ALL",

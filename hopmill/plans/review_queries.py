@@ -53,6 +53,13 @@ def m11_grades(spark, sf_dir):
     return M.attach_grades(slots, g)
 
 
+def m11_violations(spark, sf_dir):
+    slots = table(spark, sf_dir, "orders").where("o_orderkey % 6 > 0").select(F.col("o_orderkey").alias("trial_id"), F.col("o_custkey").alias("case_id"))
+    grades = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("trial_id"), "l_linenumber").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trial_id"), "o_custkey"), "trial_id")
+    grades = grades.select("trial_id", F.when(F.col("l_linenumber") == 2, F.col("o_custkey") + F.col("trial_id") % 2).otherwise(F.col("o_custkey")).alias("case_id"))
+    return M.grade_violations(slots, grades, ["case_id"])
+
+
 def x14_strata(spark, sf_dir):
     one = jobs(spark, sf_dir).groupBy("track", "case_id", "repeat", "arm").agg(F.max_by(F.struct("status", "decision", "expected"), "job_id").alias("s")).select("track", "case_id", "repeat", "arm", "s.*")
     c = table(spark, sf_dir, "customer").where("c_nationkey % 3 < 2").select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_nationkey") % 3 == 0, "proof_hint").otherwise("noise_only").alias("stratum"))
@@ -145,7 +152,7 @@ def x23_registrations(spark, sf_dir):
     return R.registration_violations(facts.drop("quantity"), asked, x.where("n = 0").select(F.col("l_orderkey").alias("request_id"), F.lit("c").alias("context_id"), text.alias("text")))
 
 
-QUERIES = {f.__name__: f for f in (m02_tristate, m08_hops, m10_rules, m11_grades, x14_strata, x18_reviews, x18_checklists, x19_answers, x20_assessment, x22_steps, x23_registrations)}
+QUERIES = {f.__name__: f for f in (m02_tristate, m08_hops, m10_rules, m11_grades, m11_violations, x14_strata, x18_reviews, x18_checklists, x19_answers, x20_assessment, x22_steps, x23_registrations)}
 
 _RULES = """r AS (SELECT *, (['pass', 'fail', NULL])[o_orderkey % 3 + 1] AS a, (['pass', 'fail', NULL])[o_custkey % 3 + 1] AS p, (['pass', 'fail', NULL])[(o_orderkey + o_custkey) % 3 + 1] AS c, o_orderkey % 5 AS m FROM orders WHERE o_orderstatus <> 'P'),
 v AS (SELECT o_orderkey AS k, unnest(list_filter([
@@ -165,6 +172,8 @@ m AS (SELECT claim, declared_hops, dimension, metric, {MACRO} FROM h GROUP BY AL
     "m10_rules": f"""WITH {_RULES} SELECT "check", count(*) AS trials, sum(k)::BIGINT AS keys FROM v GROUP BY 1""",
     "m11_grades": """WITH g AS (SELECT l_orderkey, CASE WHEN max(l_quantity) > 20 THEN 'P' ELSE 'F' END AS a, max(CASE WHEN l_returnflag = 'A' THEN 'P' END) AS p, min(CASE WHEN l_linestatus = 'F' THEN 'F' ELSE 'P' END) AS c FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS trial_id, o_custkey AS case_id, coalesce(a, 'U') AS answer, coalesce(p, 'U') AS logical_proof, coalesce(c, 'U') AS output_contract FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""",
+    "m11_violations": """WITH g AS (SELECT l_orderkey AS k, count(*) AS n, bool_or(l_linenumber = 2 AND l_orderkey % 2 = 1) AS d FROM lineitem GROUP BY 1)
+SELECT unnest(list_filter([CASE WHEN k % 6 = 0 THEN 'extra' END, CASE WHEN n > 1 THEN 'repeated' END, CASE WHEN k % 6 > 0 AND d THEN 'identity' END], lambda x: x IS NOT NULL)) AS "check", k AS "key" FROM g""",
     "x14_strata": f"""{_J}, one AS (SELECT track, case_id, repeat, arm, max_by(struct_pack(s := status, d := decision, e := expected), job_id) AS v FROM j WHERE arm IN ('1', '2') GROUP BY ALL),
 p AS (SELECT track, CASE c_nationkey % 3 WHEN 0 THEN 'proof_hint' WHEN 1 THEN 'noise_only' ELSE 'no_hint' END AS stratum, case_id, repeat, bool_or(v.e) AS e, coalesce(bool_or(CASE WHEN arm = '1' THEN v.s = 'completed' END), false) AS ok1, coalesce(bool_or(CASE WHEN arm = '2' THEN v.s = 'completed' END), false) AS ok2, bool_or(CASE WHEN arm = '1' THEN v.d END) AS b, bool_or(CASE WHEN arm = '2' THEN v.d END) AS a FROM one JOIN customer ON case_id = c_custkey GROUP BY ALL),
 r AS (SELECT *, CASE WHEN e IS NULL THEN 'unadjudicated' WHEN NOT (ok1 AND ok2) THEN 'not_completed' WHEN a IS NULL OR b IS NULL THEN 'undecided' END AS reason FROM p)

@@ -26,12 +26,12 @@ def test_segments_keep_every_character(spark):
 
 
 def test_deletions(spark):
-    units = spark.createDataFrame([("f", "u1", "abcdefgh"), ("f", "u2", "xyz"), ("f", "u3", "aXaX"), ("f", "u4", "q r")], "family_id string, unit_id string, text string")
-    cuts = spark.createDataFrame([("f", "u1", "bc"), ("f", "u1", "de"), ("f", "u2", "xyz"), ("f", "u3", "a"), ("f", "u4", "q"), ("f", "u4", "r")], "family_id string, unit_id string, quote string")
+    units = spark.createDataFrame([("f", "u1", "abcdefgh"), ("f", "u2", "xyz"), ("f", "u3", "aXaX"), ("f", "u4", "q r"), ("g", "u1", "all"), ("h", "u1", "")], "family_id string, unit_id string, text string")
+    cuts = spark.createDataFrame([("g", "u1", "all"), ("f", "u1", "bc"), ("f", "u1", "de"), ("f", "u2", "xyz"), ("f", "u3", "a"), ("f", "u4", "q"), ("f", "u4", "r")], "family_id string, unit_id string, quote string")
     rest, log, bad = T.delete_quotes(units, cuts, ["family_id", "unit_id"])
-    assert {r.unit_id: r.text for r in rest.collect()} == {"u1": "afgh", "u3": "aXaX", "u4": " "}
+    assert {(r.family_id, r.unit_id): r.text for r in rest.collect()} == {("f", "u1"): "afgh", ("f", "u3"): "aXaX", ("f", "u4"): " ", ("h", "u1"): ""}
     assert {(r.unit_id, r.start, r.end, r.removed) for r in log.collect()} >= {("u1", 1, 5, "bcde"), ("u2", 0, 3, "xyz")}
-    assert {(r.check, r.key) for r in bad.collect()} == {("quote_not_unique", "f/u3"), ("only_space_left", "f/u4")}
+    assert {(r.check, r.key) for r in bad.collect()} == {("quote_not_unique", "f/u3"), ("only_space_left", "f/u4"), ("all_units_lost", "g")}
 
 
 def test_groups_survive_or_go_whole(spark):
