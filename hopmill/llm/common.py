@@ -63,11 +63,13 @@ def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a stashed table, so that its count is read from file footers) marked for broadcast if it has at most limit rows, and BROADCAST_BYTES in its texts."""
+    """df (a stashed table, so that its count is read from file footers) marked for broadcast if it has at most limit rows, and BROADCAST_BYTES in its texts and arrays."""
     if df.count() > limit:
         return df
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
-    return F.broadcast(df) if not texts or (df.agg(F.sum(sum(texts, F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES else df
+    n = lambda c, of: F.coalesce(of(c), F.lit(0)).cast("long")
+    sizes = [n(c, F.octet_length) for c, kind in df.dtypes if kind in ("string", "binary")]
+    sizes += [n(F.to_json(F.struct(c)), F.octet_length) if "string" in kind else n(c, F.size) * 8 * (kind.count(":") or 1) for c, kind in df.dtypes if kind.startswith("array")]
+    return F.broadcast(df) if not sizes or (df.agg(F.sum(sum(sizes, F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

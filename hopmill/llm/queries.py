@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmill.llm import chat, decontam, embeddings, langid, minhash, mixing, repeats, sharding, tokens, urls
+from hopmill.llm import chat, decontam, embeddings, langid, lexical, merkle, minhash, mixing, neighbours, repeats, sharding, tokens, urls
 from hopmill.llm.common import read, stash, word_count
 
 SHARDS, TOKEN_LIMIT = 16, 2048
@@ -64,6 +64,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    without = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle.manifest(read(spark, sf_dir, "documents"), "source", ["doc_id"], ["doc_id", "source", "lang", "n_chars", "text"], without)
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), merkle.folded(F.col("tampered_leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_decontam": op2_decontam,
@@ -75,4 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_chat": op9_chat,
     "op10_langid": op10_langid,
+    "op11_lexical": op11_lexical,
+    "op12_neighbours": op12_neighbours,
+    "op13_merkle": op13_merkle,
 }

@@ -90,6 +90,53 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM escaped GROUP BY conv_id
 """
 
+LEXICAL = r"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM d GROUP BY 1),
+total AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM sizes),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM d GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, nn),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // l))))::BIGINT AS score
+  FROM b JOIN tf USING (term) JOIN w USING (term) JOIN sizes USING (doc_id), total GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+MERKLE = """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, text, octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS f FROM documents),
+entries AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+crc AS (
+  SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM documents, entries),
+leaves AS (
+  SELECT f.*, sha256(f || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 2 = 0 AND contains(text, chr(10)) THEN sha256(f || octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), '')) END AS other,
+    (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT AS r, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g
+  FROM fields f JOIN crc USING (doc_id)),
+up AS (
+  SELECT 0 AS lvl, g, r, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT lvl + 1, g, r // 3, sha256(string_agg(h, '' ORDER BY r)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY lvl, g, r // 3, n),
+sub AS (SELECT g AS r, h, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, r, h, n FROM sub
+  UNION ALL
+  SELECT lvl + 1, r // 3, sha256(string_agg(h, '' ORDER BY r)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, r // 3, n),
+steps AS (
+  SELECT l.doc_id, u.lvl, coalesce(string_agg(u.h, '' ORDER BY u.r) FILTER (WHERE u.r < l.r // (3 ** u.lvl)::BIGINT), '') AS a, coalesce(string_agg(u.h, '' ORDER BY u.r) FILTER (WHERE u.r > l.r // (3 ** u.lvl)::BIGINT), '') AS b
+  FROM leaves l JOIN up u ON u.g = l.g AND u.n > 1 AND u.r // 3 = (l.r // (3 ** u.lvl)::BIGINT) // 3 GROUP BY l.doc_id, l.r, u.lvl
+  UNION ALL
+  SELECT l.doc_id, 100 + u.lvl, coalesce(string_agg(u.h, '' ORDER BY u.r) FILTER (WHERE u.r < l.g // (3 ** u.lvl)::BIGINT), ''), coalesce(string_agg(u.h, '' ORDER BY u.r) FILTER (WHERE u.r > l.g // (3 ** u.lvl)::BIGINT), '')
+  FROM leaves l JOIN top u ON u.n > 1 AND u.r // 3 = (l.g // (3 ** u.lvl)::BIGINT) // 3 GROUP BY l.doc_id, l.g, u.lvl),
+paths AS (SELECT doc_id, list({'a': a, 'b': b, 'h': ''} ORDER BY lvl) AS p FROM steps GROUP BY 1),
+done AS (
+  SELECT l.doc_id, leaf, sub.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(list_reduce(list_concat([''], list_transform(p, lambda x: x.a || x.b)), lambda x, y: x || y), '')) AS proof_sha256,
+    list_reduce(list_concat([{'a': '', 'b': '', 'h': coalesce(other, leaf)}], coalesce(p, [])), lambda x, y: {'a': '', 'b': '', 'h': sha256(y.a || x.h || y.b)}).h AS folded_root
+  FROM leaves l JOIN sub ON sub.r = l.g LEFT JOIN paths USING (doc_id))
+SELECT *, folded_root = root AS verified FROM done
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": MIXING,
     "op4_embeddings": EMBEDDINGS,
@@ -97,4 +144,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_minhash": MINHASH,
     "op8_repeats": REPEATS,
     "op9_chat": CHAT,
+    "op11_lexical": LEXICAL,
+    "op13_merkle": MERKLE,
 }
