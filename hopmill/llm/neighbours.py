@@ -14,10 +14,12 @@ from hopmill.llm.common import small, stash
 
 #: Vectors, the first by a hash, that fit the tree; children of a tree's node; leaves at most.
 SAMPLE, BRANCH, MAX_LEAVES = 32_768, 8, 2048
-#: Vectors that a leaf should hold on average, and that one task compares at a time: members with queries.
-LEAF, MEMBERS, ASKED = 500, 4096, 1024
+#: Vectors that a leaf should hold on average, and that one task compares: members with queries, these so many at a time.
+LEAF, MEMBERS, ASKED, TOGETHER = 2000, 8192, 2048, 512
+#: Each round of visits ends at so many times the leaves of the one before.
+WIDER = 4
 #: Query vectors whose exact neighbours say how many leaves to visit, and the share of those neighbours to be found.
-CALIBRATION, TARGET_RECALL = 512, 0.98
+CALIBRATION, TARGET_RECALL = 512, 0.95
 #: Query rows with one vector from which on their answer is broadcast.
 HOT = 1000
 
@@ -105,20 +107,26 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
-def nearest(q: np.ndarray, m: np.ndarray, key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, product) of the `top` members of each query: a matrix product proposes, products of one order decide, ties to smaller keys."""
-    rough = q @ m.T
-    if len(m) > top:
-        doubt = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(m, axis=1).max()
-        i, j = np.nonzero(rough >= (np.partition(rough, len(m) - top, axis=1)[:, -top] - 2 * doubt)[:, None])
-    else:
-        i, j = (x.ravel() for x in np.indices(rough.shape))
-    s = np.concatenate([_products(q[i[a : a + 65536]], m[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
-    order = np.lexsort((key[j], -s, i))
-    i, j, s = i[order], j[order], s[order]
-    start = np.searchsorted(i, i)
-    keep = np.arange(len(i)) - start < top
-    return i[keep], j[keep], s[keep]
+def nearest(q: np.ndarray, m: np.ndarray, key: np.ndarray, top: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, product) of the `top` members of each query, none below its least product.
+
+    A matrix product proposes, products added up in one order decide; ties go to smaller keys.
+    """
+    out = []
+    for at in range(0, len(q), TOGETHER):
+        own = q[at : at + TOGETHER]
+        rough = own @ m.T
+        doubt = 2e-12 * np.linalg.norm(own, axis=1) * np.linalg.norm(m, axis=1).max()
+        low = np.full(len(own), -np.inf) if least is None else least[at : at + TOGETHER]
+        bar = np.maximum(np.partition(rough, len(m) - top, axis=1)[:, -top], low) if len(m) > top else low
+        i, j = np.nonzero(rough >= (bar - doubt)[:, None])
+        s = np.concatenate([_products(own[i[a : a + 65536]], m[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
+        order = np.lexsort((key[j], -s, i))
+        order = order[s[order] >= low[i[order]]]
+        i, j, s = i[order], j[order], s[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < top
+        out.append((i[keep] + at, j[keep], s[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _placed(trees: dict[int, tuple[Tree, float]]):
@@ -174,12 +182,36 @@ def _compared(top: int):
         if not len(m) or not len(q):
             return pd.DataFrame({"_query": [], "_node": [], "score": []}).astype({"_query": "int64", "_node": "int64", "score": "float64"})
         key = m["_node"].to_numpy()
-        i, j, s = nearest(_stack(q["_vector"]), _stack(m["_vector"]), key, top)
+        i, j, s = nearest(_stack(q["_vector"]), _stack(m["_vector"]), key, top, q["_least"].fillna(-np.inf).to_numpy())
         return pd.DataFrame({"_query": q["_node"].to_numpy()[i], "_node": key[j], "score": s})
 
     return of
 
 
+def _searched(placed: DataFrame, visits: DataFrame, best: DataFrame | None, top: int) -> DataFrame:
+    """(_query, _node, score): the `top` best nodes of each query among those of `best` and of the leaves that it visits now.
+
+    visits has one row a query and leaf. A leaf is dealt into blocks of members and queries; a task returns only nodes that
+    are as good as the last of a query's `top` so far.
+    """
+    spot = ["_dim", "_leaf"]
+    if best is not None:
+        bars = best.groupBy(F.col("_query").alias("_node")).agg(F.when(F.count("*") >= top, F.min("score")).alias("_least"))
+        visits = visits.join(bars, "_node", "left")
+    else:
+        visits = visits.withColumn("_least", F.lit(None).cast("double"))
+    members = placed.groupBy(*spot).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_mb"))
+    grid = small(stash(members.join(visits.groupBy(*spot).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("_qb")), spot), "grid"))
+    part = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    m = placed.join(grid, spot).select(*spot, "_node", "_vector", F.lit(None).cast("double").alias("_least"), part("_mb").alias("_i"), every("_qb").alias("_j"), F.lit(True).alias("_member"))
+    q = visits.join(grid, spot).select(*spot, "_node", "_vector", "_least", every("_mb").alias("_i"), part("_qb").alias("_j"), F.lit(False).alias("_member"))
+    found = m.unionByName(q).groupBy(*spot, "_i", "_j").applyInPandas(_compared(top), "_query long, _node long, score double")
+    found = found if best is None else found.unionByName(best)
+    order = Window.partitionBy("_query").orderBy(F.desc("score"), "_node")
+    return stash(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).drop("_n"), "found")
+
+
 def fit(nodes: DataFrame) -> dict[int, tuple[Tree, float]]:
     """A tree for each length of vector in the sample, and the greatest norm among all vectors of that length."""
     size = {r["_dim"]: r for r in nodes.groupBy("_dim").agg(F.count("*").alias("n"), F.max(_square(F.col("_vector"))).alias("norm")).collect()}  # a row a length
@@ -219,8 +251,9 @@ def search(vectors: DataFrame, asks: Column, key: str = "vec_id", vector: str =
     its top + 1 smallest keys; equal queries are searched once. Trees are fitted on SAMPLE rows at most (LEAF vectors a leaf
     on average, MAX_LEAVES leaves at most), every node is placed in one, and queries visit leaves best bin first, as many
     as found the share `recall` of the exact neighbours of CALIBRATION queries (compared with all nodes, a batch at a
-    time). Leaves are dealt into blocks of MEMBERS nodes and ASKED queries, so that a large leaf is many tasks; each returns
-    top + 1 nodes a query. If all vectors fit one leaf, the search is exact.
+    time). Visits widen in rounds, each WIDER times the last, so that tasks return only what is as good as a query's
+    best of the rounds before. Leaves are dealt into blocks of MEMBERS nodes and ASKED queries: a large leaf is many
+    tasks. If all vectors fit one leaf, the search is exact.
 
     Vectors that are null, zero or hold null or non-finite components, and rows with a null key, neither ask nor answer.
     Vectors of other lengths never meet. Rows that repeat a key and a vector are each an answer, but no row with the key
@@ -241,16 +274,11 @@ def search(vectors: DataFrame, asks: Column, key: str = "vec_id", vector: str =
     truth = placed.mapInPandas(_exact(asked, top + 1), "_query long, _node long, _leaf long, score double").withColumn("_n", F.row_number().over(exact)).where(F.col("_n") <= top + 1)
     most = widened(trees, asked, truth.select("_query", "_leaf").toPandas(), recall)  # CALIBRATION queries at most
     visits = stash(queries.select("_node", "_dim", "_vector").mapInPandas(_visits(trees, most), "_node long, _visits array<int>").join(queries.select("_node", "_dim", "_vector"), "_node"), "visits")
-    spot = ["_dim", "_leaf"]
-    to_visit = visits.select("_node", "_dim", "_vector", F.explode(F.col("_visits").cast("array<long>")).alias("_leaf"))
-    members = placed.groupBy(*spot).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_mb"))
-    grid = small(stash(members.join(to_visit.groupBy(*spot).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("_qb")), spot), "grid"))
-    part = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    m = placed.join(grid, spot).select(*spot, "_node", "_vector", part("_mb").alias("_i"), every("_qb").alias("_j"), F.lit(True).alias("_member"))
-    q = to_visit.join(grid, spot).select(*spot, "_node", "_vector", every("_mb").alias("_i"), part("_qb").alias("_j"), F.lit(False).alias("_member"))
-    found = m.unionByName(q).groupBy(*spot, "_i", "_j").applyInPandas(_compared(top + 1), "_query long, _node long, score double")
-    found = found.withColumn("_n", F.row_number().over(exact)).where(F.col("_n") <= top + 1)
+    found, low = None, 0
+    while low < max(most.values(), default=1):
+        high = max(low * WIDER, WIDER)
+        turn = F.slice(F.col("_visits").cast("array<long>"), low + 1, high - low)
+        found, low = _searched(placed, visits.select("_node", "_dim", "_vector", F.explode(turn).alias("_leaf")), found, top + 1), high
     by_id = Window.partitionBy("_query").orderBy(F.desc("score"), "_id")
     found = found.join(nodes.select("_node", "_ids"), "_node").select("_query", "score", F.explode("_ids").alias("_id")).withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= top + 1)
     found = found.groupBy("_query").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "_id"))), lambda x: F.struct(x["_id"].alias("id"), (-x["less"]).alias("score"))).alias("_found"))
