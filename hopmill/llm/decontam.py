@@ -5,6 +5,8 @@ Everything here is built-in DataFrame and SQL functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,27 @@ def _window(words: Column, at: Column, n: int, reading: Column) -> Column:
     return F.when(at + n <= F.size(words), F.xxhash64(*(F.get(words, at + j) for j in range(n))).bitwiseXOR(reading.cast("long")))
 
 
+def _places(rows: DataFrame, lengths: list[int], runs: bool = True) -> DataFrame:
+    """(_id, _text, _place, _hash): the windows of each length at every place of rows (_id, _text, _raw), in all readings.
+
+    Without runs, of windows that repeat one token over and over only the first of a run is given.
+    """
+    readings = (INNER, CAPITALS, PLAIN)
+    words = rows.select("_id", "_text", marked(F.col("_raw")).alias("_marks"))
+    words = words.select("_id", "_text", *(tokens(template(F.col("_marks"), r)).alias(f"_t{r}") for r in readings))
+    words = words.select("_id", "_text", F.size("_t0").alias("_s0"), F.size("_t1").alias("_s1"), F.concat("_t0", F.array(F.lit(GAP)), "_t1", F.array(F.lit(GAP)), "_t2").alias("_tokens"))
+    # all readings in one array, so that places are exploded and hashed in compiled code
+    seen = words.select("*", F.explode(F.sequence(F.lit(0), F.size("_tokens") - 1)).alias("_i"))
+    if not runs:
+        token = lambda j: F.get("_tokens", F.col("_i") + j)
+        seen = seen.where(~F.coalesce(reduce(lambda x, j: x & (token(j) == token(-1)), range(1, max(lengths, default=1)), token(0) == token(-1)), F.lit(False)))
+    reading = F.when(F.col("_i") <= F.col("_s0"), INNER).when(F.col("_i") <= F.col("_s0") + F.col("_s1") + 1, CAPITALS).otherwise(PLAIN)
+    base = F.when(F.col("_i") <= F.col("_s0"), 0).when(F.col("_i") <= F.col("_s0") + F.col("_s1") + 1, F.col("_s0") + 1).otherwise(F.col("_s0") + F.col("_s1") + 2)
+    hashes = [_window(F.col("_tokens"), F.col("_i"), n, reading) for n in lengths]
+    hashed = hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes)) if hashes else F.lit(None).cast("long")
+    return seen.select("_id", "_text", (F.col("_i") - base).alias("_place"), hashed.alias("_hash")).where("_hash is not null")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, text_hash, item, kind, windows, found, aligned, start, slots, reading): the benchmark items found in each document.
 
@@ -75,9 +98,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     readings a verbatim one is given, then the first.
 
     The documents are read map-side and their windows joined with the benchmark's, which is broadcast if it has at most
-    a million windows; only matches are shuffled. Items are read whole; those without tokens are left out.
-
-    Rows with the same key and text give one result, also with a null key; a null text holds nothing. Repeated items give
+    a million windows; only distinct matches are shuffled. Documents with enough of an item's windows are read again:
+    each place of a window is a start (with the first place of that window in the item; of a run of one repeated token the
+    first place counts), stretches of the document that read alike are one alignment, and each is held against the item
+    token by token. So a text that repeats its tokens costs what its length does. Items are read whole; those without
+    tokens are left out.
+
+    Texts of any length are read whole. Of several alignments as good, the first in the document is given; a window that
+    the item repeats is found as often as it repeats once one is. Rows with the same key and text give one result, also with a null key; a null text holds nothing. Repeated items give
     repeated pairs only if their ids differ. Empty tables give an empty one. Other columns are not read.
     """
     readings = (INNER, CAPITALS, PLAIN)
@@ -96,34 +124,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     if wanted is None:
         wanted = items.select("_item", "_reading", F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_hash")).where("false")
     wanted = stash(wanted, "windows")
-    counts = wanted.groupBy("_item", "_reading").agg(F.count("*").alias("_windows"))
+    window = F.col("_n")
+    listed = wanted.groupBy("_item", "_reading").agg(F.sort_array(F.collect_list(F.struct("_at", "_hash"))).alias("_windows"))  # bounded by the item
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.col(text).alias("_raw"))
-    words = rows.select("_id", "_text", marked(F.col("_raw")).alias("_marks"))
-    words = words.select("_id", "_text", *(tokens(template(F.col("_marks"), r)).alias(f"_t{r}") for r in readings))
-    words = words.select("_id", "_text", F.size("_t0").alias("_s0"), F.size("_t1").alias("_s1"), F.concat("_t0", F.array(F.lit(GAP)), "_t1", F.array(F.lit(GAP)), "_t2").alias("_tokens"))
-    # all readings in one array, so that places are exploded and hashed in compiled code
-    seen = words.select("*", F.explode(F.sequence(F.lit(0), F.size("_tokens") - 1)).alias("_i"))
-    reading = F.when(F.col("_i") <= F.col("_s0"), INNER).when(F.col("_i") <= F.col("_s0") + F.col("_s1") + 1, CAPITALS).otherwise(PLAIN)
-    base = F.when(F.col("_i") <= F.col("_s0"), 0).when(F.col("_i") <= F.col("_s0") + F.col("_s1") + 1, F.col("_s0") + 1).otherwise(F.col("_s0") + F.col("_s1") + 2)
-    hashes = [_window(F.col("_tokens"), F.col("_i"), n, reading) for n in lengths]
-    hashed = hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes)) if hashes else F.lit(None).cast("long")
-    seen = seen.select("_id", "_text", (F.col("_i") - base).alias("_place"), hashed.alias("_hash")).where("_hash is not null")
-    hits = seen.join(small(wanted), "_hash").drop("_hash").distinct()
     pair = ["_id", "_text", "_item", "_reading"]
-    lines = hits.groupBy(*pair, (F.col("_place") - F.col("_at")).alias("_start")).agg(F.count("*").alias("_n"), F.collect_list("_at").alias("_ats"))
-    found = lines.groupBy(*pair).agg(F.collect_list(F.struct("_start", "_n", "_ats")).alias("_lines"), F.max("_n").alias("_most"), F.size(F.array_distinct(F.flatten(F.collect_list("_ats")))).alias("_all"))
-    found = found.join(counts, ["_item", "_reading"])
-    held = stash(found.where((F.col("_all") >= COVERED * F.col("_windows")) | (F.col("_most") >= ALIGNED - WINDOW + 1)), "held")
+    # which windows are there at all: a document's distinct hashes, however often it repeats them
+    there = _places(rows, lengths).join(small(stash(wanted.select("_hash").distinct(), "hashes")), "_hash", "left_semi").select("_id", "_text", "_hash").distinct()
+    held = there.join(small(wanted), "_hash").groupBy(*pair).agg(F.count("*").alias("_all"))
+    held = held.join(small(stash(listed, "listed")), ["_item", "_reading"])
+    enough = F.least(F.ceil(COVERED * F.size("_windows")), F.lit(ALIGNED - WINDOW + 1))
+    held = stash(held.where(F.col("_all") >= enough).select(*pair, "_all"), "held")
+    # where they may lie: a start for each place of a window, taken as the first of its kind in the item
     which = small(stash(held.select("_id", "_text").distinct(), "which"))
-    same = rows["_id"].eqNullSafe(F.col("_i")) & (rows["_text"] == F.col("_t"))
-    values = rows.join(which.select(F.col("_id").alias("_i"), F.col("_text").alias("_t")), same, "left_semi").select("_id", "_text", marked(F.col("_raw")).alias("_marks")).dropDuplicates(["_id", "_text"])
-    values = values.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), *(tokens((template if r == PLAIN else slotted)(F.col("_marks"), r)).alias(f"_t{r}") for r in readings))
-    both = held.join(values, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_text"))).join(items, ["_item", "_reading"])
-    both = both.withColumn("_tokens", F.when(F.col("_reading") == INNER, F.col("_t0")).when(F.col("_reading") == CAPITALS, F.col("_t1")).otherwise(F.col("_t2"))).drop("_i", "_t", "_t0", "_t1", "_t2")
-    both = both.withColumn("_line", F.explode("_lines")).select("*", "_line.*").drop("_line", "_lines")
-    there = lambda i: F.get(F.col("_tokens"), i + F.col("_start").cast("int"))
+    which = which.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"))
+    some = rows.join(which, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left_semi").dropDuplicates(["_id", "_text"])
+    first = small(stash(wanted.groupBy("_item", "_reading", "_hash").agg(F.min("_at").alias("_at")), "first"))
+    starts = _places(some, lengths, runs=False).join(first, "_hash").select(*pair, (F.col("_place") - F.col("_at")).alias("_start")).distinct()
+    starts = starts.groupBy(*pair).agg(F.collect_list("_start").alias("_starts"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t"))
+    mine = held.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), F.col("_item").alias("_own"), F.col("_reading").alias("_read"), "_all")
+    starts = starts.join(mine, same & (F.col("_item") == F.col("_own")) & (F.col("_reading") == F.col("_read"))).drop("_i", "_t", "_own", "_read")
+    values = some.select(F.col("_id").alias("_i"), F.col("_text").alias("_t"), marked(F.col("_raw")).alias("_marks"))
+    values = values.select("_i", "_t", *(tokens((template if r == PLAIN else slotted)(F.col("_marks"), r)).alias(f"_t{r}") for r in readings))
+    both = starts.join(values, same).withColumn("_tokens", F.when(F.col("_reading") == INNER, F.col("_t0")).when(F.col("_reading") == CAPITALS, F.col("_t1")).otherwise(F.col("_t2"))).drop("_i", "_t", "_t0", "_t1", "_t2")
+    both = both.join(items.withColumn("_n", F.least(F.size("_words"), F.lit(WINDOW))), ["_item", "_reading"])
+    # stretches of the document that read alike are one alignment
+    stretch = lambda at: F.slice("_tokens", F.greatest(at, F.lit(0)) + 1, F.size("_words") + F.least(at, F.lit(0)))
+    alike = F.array_sort(F.transform("_starts", lambda at: F.struct(F.xxhash64(stretch(at), F.least(at, F.lit(0))).alias("hash"), at.alias("start"))))
+    both = both.select("*", F.explode(F.array(alike)).alias("_sorted")).drop("_starts")  # explode: worked out once
+    alike = F.filter("_sorted", lambda x, i: (i == 0) | (F.get("_sorted", i - 1)["hash"] != x["hash"]))
+    both = both.select(*pair, "_all", "_n", "_words", "_values", F.explode(F.transform(alike, lambda x: F.struct(x["start"].alias("start"), stretch(x["start"]).alias("text")))).alias("_x"))
+    both = both.join(small(stash(listed, "listed")), ["_item", "_reading"]).withColumns({"_start": F.col("_x.start"), "_stretch": F.col("_x.text")}).drop("_x")
+    there = lambda i: F.get("_stretch", i + F.least(F.col("_start"), F.lit(0)))
     plain = F.col("_reading") == PLAIN
-    equal = lambda i: F.get(F.col("_words"), i).isNull() | F.get(F.col("_words"), i).eqNullSafe(there(i))
+    mark = lambda w: F.when(is_slot(w) & ~plain, F.left(w, F.lit(1))).otherwise(w)
+    match = F.transform("_words", lambda w, i: F.coalesce(w == mark(there(i)), F.lit(False)))
+    both = both.select("*", F.explode(F.array(match)).alias("_match"))
+    both = both.withColumn("_hits", F.filter("_windows", lambda w: F.forall(F.slice("_match", w["_at"] + 1, window), lambda m: m)))
+    equal = lambda i: F.get("_words", i).isNull() | F.get("_words", i).eqNullSafe(there(i))
     slot = F.filter(
         F.transform("_values", lambda v, i: F.struct(F.when(plain, F.get(F.col("_words"), i)).otherwise(v).alias("was"), there(i).alias("is"), (is_slot(v) & F.when(plain, equal(i - 1) & equal(i + 1)).otherwise(F.left(v, F.lit(1)) == F.left(there(i), F.lit(1)))).alias("ok"))),
         lambda p: p["ok"] & p["is"].isNotNull(),
@@ -131,15 +169,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     both = both.withColumn("_slots", slot)
     first = F.transform("_slots", lambda p: F.struct(F.substring_index(p["was"], "_", 1).alias("was"), F.substring_index(p["is"], "_", 1).alias("is")))  # of a name its first word
     both = both.withColumn("_first", first)
-    both = both.where(F.size(F.array_distinct("_first")) == F.size(F.array_distinct(F.transform("_first", lambda p: p["was"]))))
+    both = both.withColumn("_ok", F.size(F.array_distinct("_first")) == F.size(F.array_distinct(F.transform("_first", lambda p: p["was"]))))
     kind = F.when(F.forall("_slots", lambda p: p["was"] == p["is"]), "verbatim").otherwise("reparameterised")
-    both = both.select(*pair, "_windows", "_all", "_most", "_ats", F.struct((kind != "verbatim").alias("rank"), "_reading", (-F.col("_n")).alias("less"), "_start", "_windows", "_n", kind.alias("kind"), F.size("_slots").alias("slots")).alias("_b"))
-    both = both.groupBy(*pair).agg(F.min("_b").alias("_b"), F.max("_b._n").alias("_n"), F.size(F.array_distinct(F.flatten(F.collect_list("_ats")))).alias("_found"), F.first("_windows").alias("_windows"), F.first("_most").alias("_most"))
-    both = both.where((F.col("_found") >= COVERED * F.col("_windows")) | (F.col("_n") >= F.least(F.col("_most"), F.lit(ALIGNED - WINDOW + 1))))
+    both = both.withColumns({"_count": F.size("_windows"), "_n": F.size("_hits"), "_b": F.struct((kind != "verbatim").alias("rank"), "_reading", (-F.size("_hits")).alias("less"), "_start", F.size("_windows").cast("long").alias("_windows"), F.size("_hits").cast("long").alias("_n"), kind.alias("kind"), F.size("_slots").alias("slots"))})
+    ok = lambda c: F.when(F.col("_ok"), c)
+    both = both.groupBy(*pair, "_all").agg(F.first("_windows").alias("_windows"), F.max("_n").alias("_most"), F.max(ok(F.col("_n"))).alias("_n"), F.min(ok(F.col("_b"))).alias("_b"), F.array_distinct(F.flatten(F.collect_list(ok(F.transform("_hits", lambda w: w["_hash"]))))).alias("_kinds"))
+    both = both.withColumn("_found", F.size(F.filter("_windows", lambda w: F.array_contains("_kinds", w["_hash"]))))
+    covered = lambda c: F.col(c) >= COVERED * F.size("_windows")
+    both = both.where(covered("_all") | (F.col("_most") >= ALIGNED - WINDOW + 1)).where(covered("_found") | (F.col("_n") >= F.least(F.col("_most"), F.lit(ALIGNED - WINDOW + 1))))
     both = both.withColumn("_b", F.col("_b").withField("_found", F.col("_found")))
     best = both.groupBy("_id", "_text", "_item").agg(F.min("_b").alias("_b"))
     return best.select(F.col("_id").alias(key), F.col("_text").alias("text_hash"), F.col("_item").alias(item), "_b.kind", F.col("_b._windows").alias("windows"), F.col("_b._found").cast("long").alias("found"), F.col("_b._n").alias("aligned"), F.col("_b._start").cast("long").alias("start"), F.col("_b.slots").cast("long").alias("slots"), F.element_at(F.array(*(F.lit(x) for x in ("inner", "capitals", "plain"))), F.col("_b._reading") + 1).alias("reading"))
 
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item; a row goes if its key and text do, also where the key is null."""
     gone = stash(leaks(docs, benchmark, key, text).select(F.col(key).alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct(), "gone")

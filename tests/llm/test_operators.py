@@ -538,3 +538,11 @@ def test_vectors_of_a_cell_larger_than_a_block_and_clashing_names(spark):
     for r in got:
         assert r.n_links <= link[r.vec_id].sum() and (r.component_id, r.kept) == (want[r.vec_id], want[r.vec_id] == r.vec_id)
     assert sum(r.n_links for r in got) >= 0.98 * link.sum()
+
+
+def test_decontam_repeated_tokens(spark):
+    """A text that repeats an item's tokens over and over costs what its length does."""
+    docs = spark.createDataFrame([(1, "spam " * 200_000), (2, "spam ham " * 20_000), (3, "eggs spam " * 3)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "spam " * 100), (2, "spam ham " * 50)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.windows, r.found, r.aligned, r.start) for r in decontam.leaks(docs, items).collect()}
+    assert got == {(1, 1): ("verbatim", 96, 96, 96, 0), (2, 2): ("verbatim", 96, 96, 96, 0)}
