@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
+from pyspark.sql.types import StringType
 
-CHANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string())]))
-_CHANGE = StructType().add("start", IntegerType()).add("end", IntegerType()).add("before", StringType()).add("after", StringType())
-CHANGED = StructType().add("text", StringType()).add("changes", ArrayType(_CHANGE))
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, needles in batches:
-        out = []
-        for t, n in zip(texts.to_pylist(), needles.to_pylist(), strict=True):
-            found: list[int] = []
-            at = t.find(n) if t is not None and n else -1
-            while at >= 0:
-                found.append(at)
-                at = t.find(n, at + 1)
-            out.append(found)
-        yield pa.array(out, pa.list_(pa.int32()))
+
+def running(numbers: Column, chunk: int = 256) -> Column:
+    """Sums of an array up to each element. Chunks are summed by themselves and moved by the sums of those before, so no long array is copied for each element."""
+
+    def sums(some: Column) -> Column:
+        kind = "array<int>"
+        step = lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))).cast(kind))
+        return F.aggregate(some, F.array().cast(kind), step)
+
+    def joined(parts: Column) -> Column:
+        before = sums(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p, lambda x: x + b - F.element_at(p, -1))))
+
+    def cut(all_: Column) -> Column:
+        firsts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(chunk))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(firsts, lambda i: sums(F.slice(all_, i, F.lit(chunk)))), joined)
+
+    return let(numbers, cut)
+
+
+def literally(text: Column) -> Column:
+    """The text as a pattern that matches itself."""
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """Starts (code points from 0) of all occurrences, overlapping ones included; none for null or empty."""
-    return _hits(text, needle)
+    """Starts (code points from 0) of all occurrences, overlapping ones included; none for null or empty.
+
+    The text is split before each occurrence, and lengths are summed up.
+    """
+    none = F.array().cast("array<int>")
+    before = F.split(text, F.concat(F.lit("(?="), literally(needle), F.lit(")")), -1)
+    ends = let(running(F.transform(before, F.length)), lambda e: F.slice(e, F.lit(1), F.size(e) - 1))
+    return F.when(text.contains(needle) & (needle != ""), F.concat(F.when(F.startswith(text, needle), F.array(F.lit(0))).otherwise(none), ends)).otherwise(none)
 
 
 @F.arrow_udf(StringType())
@@ -47,47 +62,46 @@ def surface(name: Column) -> Column:
     return _surface(name)
 
 
-@F.arrow_udf(BooleanType())
-def _only_names(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for quotes, names in batches:
-        out = []
-        for q, known in zip(quotes.to_pylist(), names.to_pylist(), strict=True):
-            each = "|".join(regex.escape(n) for n in sorted({n for n in known or [] if n}, key=lambda n: (-len(n), n)))
-            value = unicodedata.normalize("NFKC", q or "").strip()
-            found = regex.fullmatch(rf"(?:(?P<name>{each})|[\s\p{{P}}和与及])*+", value) if each and value else None
-            out.append(bool(found and found["name"]))
-        yield pa.array(out, pa.bool_())
+def only_spans(quote: Column, names: Column) -> Column:
+    """Whether a quote in NFKC is only names, one at least, white space, punctuation and 和, 与, 及.
+
+    names: array of (start, end), where registered names stand in it. Read from the left: the longest name that starts at a
+    place counts before what may stand between names.
+    """
+    between = lambda a, b: F.regexp_like(F.substring(quote, a + 1, b - a), F.lit(r"\A(?U)[\s\p{P}和与及]*\z"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"))
+    each = F.array_sort(F.transform(names, lambda n: F.struct(n["start"].alias("start"), (-n["end"]).alias("end"))))
+    step = lambda s, n: F.when(n["start"] < s["at"], s).otherwise(F.struct((-n["end"]).alias("at"), (s["ok"] & between(s["at"], n["start"])).alias("ok")))
+    return (F.size(names) > 0) & F.aggregate(each, start, step, lambda s: s["ok"] & between(s["at"], F.length(quote)))
 
 
 def identity_only(quote: Column, names: Column) -> Column:
-    """Whether a quote is only registered names, one at least, white space, punctuation and 和, 与, 及: matched from the left, the longest name first."""
-    return _only_names(quote, names)
+    """only_spans of a quote and a short array of names; for many names see operators.text.identity_guard."""
+    norm = surface(F.coalesce(quote, F.lit("")))
+    at = lambda n: F.transform(occurrences(norm, n), lambda s: F.struct(s.alias("start"), (s + F.length(n)).alias("end")))
+    return only_spans(norm, F.flatten(F.transform(names, at)))
 
 
-@F.arrow_udf(CHANGED)
-def _replaced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    kind = pa.struct([("text", pa.string()), ("changes", CHANGES)])
-    for texts, mappings in batches:
-        out = []
-        for t, pairs in zip(texts.to_pylist(), mappings.to_pylist(), strict=True):
-            mapping = dict(pairs or [])
-            keys = sorted((k for k in mapping if k), key=lambda k: (-len(k), k))
-            changes: list[dict] = []
-            if t is None:
-                out.append(None)
-                continue
+def replace_all(text: Column, mapping: Column) -> Column:
+    """struct(text, changes): the keys of a map replaced at once, from the left, the longest key at a place first; changes log source offsets.
 
-            def swap(m: re.Match, mapping=mapping, changes=changes) -> str:
-                changes.append({"start": m.start(), "end": m.end(), "before": m[0], "after": mapping[m[0]]})
-                return mapping[m[0]]
+    The text is taken apart at the keys, and keys and what stands between are put together again. Empty keys count for nothing.
+    """
+    keys = F.array_sort(F.transform(F.filter(F.map_keys(mapping), lambda k: k != ""), lambda k: F.struct((-F.length(k)).alias("less"), k.alias("key"))))
+    change = lambda k, end: F.struct((end - F.length(k)).cast("int").alias("start"), end.cast("int").alias("end"), k.alias("before"), F.element_at(mapping, k).alias("after"))
 
-            out.append({"text": re.sub("|".join(map(re.escape, keys)), swap, t) if keys else t, "changes": changes})
-        yield pa.array(out, kind)
+    def swapped(p: Column) -> Column:
+        def of(found: Column) -> Column:
+            rest = F.split(text, p, -1)
+            lengths = F.zip_with(found, F.slice(rest, F.lit(1), F.size(found)), lambda k, r: F.length(k) + F.length(r))
+            new = F.array_join(F.zip_with(rest, found, lambda r, k: F.concat(r, F.coalesce(F.element_at(mapping, k), F.lit("")))), "")
+            return F.struct(new.alias("text"), F.zip_with(found, running(lengths), change).alias("changes"))
 
+        return let(F.regexp_extract_all(text, p, F.lit(0)), of)
 
-def replace_all(text: Column, mapping: Column) -> Column:
-    """struct(text, changes): all keys of a map replaced at once, the longest first, with a log of source offsets."""
-    return _replaced(text, mapping)
+    pattern = F.array_join(F.transform(keys, lambda k: literally(k["key"])), "|")
+    none = F.struct(text.alias("text"), F.array().cast("array<struct<start int, `end` int, before string, after string>>").alias("changes"))
+    return F.when(text.isNotNull(), F.when(F.size(keys) > 0, let(pattern, swapped)).otherwise(none))
 
 
 def replay(text: Column, changes: Column) -> Column:

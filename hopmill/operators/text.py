@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmill.functions.strings import identity_only, occurrences, surface
+from hopmill.functions.strings import let, literally, occurrences, only_spans, running, surface
+from hopmill.operators.intervals import against_cuts, overlapping  # noqa: F401
+from hopmill.operators.spotting import spotted
 
 #: What ends a sentence and a clause, and closing marks that go with an end.
 SENTENCE_ENDS = "。！？!?．.\n\r"
@@ -68,12 +70,6 @@ def citation_valid(text: Column, start: Column, end: Column, quote: Column) -> C
     return F.coalesce(inside & (F.substring(text, start + 1, end - start) == quote), F.lit(False))
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of intervals of one context with a common character: a's columns, and b's as other_start and other_end."""
-    other = b.select(*keys, F.col("start").alias("other_start"), F.col("end").alias("other_end"))
-    return a.join(other, keys).where((F.col("start") < F.col("other_end")) & (F.col("other_start") < F.col("end")))
-
-
 def segments(text: Column, ends: str, closers: str = CLOSERS) -> Column:
     """Array of start, end and text: cut behind an end and the ends and closers that follow it. Every character is in one segment."""
     e, c = ("".join(f"\\x{{{ord(ch):x}}}" for ch in s) for s in (ends, closers))
@@ -82,13 +78,8 @@ def segments(text: Column, ends: str, closers: str = CLOSERS) -> Column:
 
 def placed(parts: Column) -> Column:
     """Array of start, end and text of adjoining parts."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start int, `end` int, text string>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), p.alias("text")))).alias("out"))
-
-    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    at = lambda p, e: F.struct((e - F.length(p)).alias("start"), e.alias("end"), p.alias("text"))
+    return let(parts, lambda all_: F.zip_with(all_, running(F.transform(all_, F.length)), at))
 
 
 def span_catalog(contexts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -102,17 +93,22 @@ def span_catalog(contexts: DataFrame, keys: list[str], text: str = "text") -> Da
 def hit_windows(edges: DataFrame, surfaces: DataFrame, contexts: DataFrame, owner: str = "owner_id", radius: int = 1) -> DataFrame:
     """For each edge and context the sentences around each hit of a surface of its child, `radius` to either side.
 
-    Equal windows of an edge and context are one row with the longest surface, ties by code point.
+    Equal windows of an edge and context are one row with the longest surface, ties by code point. Surfaces are found by
+    automata; sentences and hits pass by in the order of place, so a hit knows its window from the last sentence.
     """
-    sentences = placed(F.regexp_extract_all(F.col("text"), F.lit(SENTENCE), F.lit(0)))
-    ctx = contexts.select(owner, "context_id", "text", sentences.alias("_sentences"))
-    named = edges.join(surfaces.withColumnRenamed("entity_id", "child"), [owner, "child"]).where(F.col("surface") != "")
-    hits = all_hits(named.join(ctx, owner), "text", "surface")
-    at = F.size(F.filter("_sentences", lambda s: s["end"] <= F.col("start")))
-    low, high = F.greatest(at - radius, F.lit(0)), F.least(at + radius, F.size("_sentences") - 1)
-    rows = hits.withColumns({"_low": F.get("_sentences", low)["start"], "_high": F.get("_sentences", high)["end"]})
+    spot = [owner, "context_id"]
+    w = Window.partitionBy(*spot).orderBy("_no")
+    sentences = contexts.select(*spot, F.posexplode(placed(F.regexp_extract_all(F.col("text"), F.lit(SENTENCE), F.lit(0)))).alias("_no", "_s")).select(*spot, "_no", "_s.start", "_s.end")
+    low, high = F.coalesce(F.lag("start", radius).over(w), F.lit(0)), F.coalesce(F.lead("end", radius).over(w), F.max("end").over(Window.partitionBy(*spot)))
+    sentences = sentences.select(*spot, "start", F.struct(low.alias("low"), high.alias("high")).alias("_window"))
+    named = edges.join(surfaces.withColumnRenamed("entity_id", "child"), [owner, "child"])
+    hits = spotted(contexts, named, owner, ("context_id",))
+    known = F.last("_window", ignorenulls=True).over(Window.partitionBy(*spot).orderBy("start", F.col("surface").isNotNull()))
+    rows = hits.unionByName(sentences, allowMissingColumns=True).withColumn("_window", known).where("surface is not null")
+    rows = rows.select(*spot, "surface", "_window.low", "_window.high").distinct().join(named.select(owner, "edge_id", "surface").distinct(), [owner, "surface"])
     best = F.min(F.struct(-F.length("surface"), "surface"))["surface"]
-    out = rows.groupBy(owner, "edge_id", "context_id", F.col("_low").alias("start"), F.col("_high").alias("end")).agg(best.alias("matched_surface"), F.first("text").alias("_text"))
+    out = rows.groupBy(*spot, "edge_id", F.col("low").alias("start"), F.col("high").alias("end")).agg(best.alias("matched_surface"))
+    out = out.join(contexts.select(*spot, F.col("text").alias("_text")), spot)
     return out.select(owner, "edge_id", "context_id", "start", "end", "matched_surface", F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
 
 
@@ -164,28 +160,30 @@ def pure_surfaces(named: DataFrame, owner: str = "owner_id", kin: str = KIN, des
 
 def display_surface(named: DataFrame, contexts: DataFrame, owner: str = "owner_id") -> DataFrame:
     """(owner, entity_id, display): the name if it is visible in a text of the owner, else the longest visible surface (ties by code point), else empty."""
-    seen = named.join(contexts.select(owner, "text"), owner).where(F.col("text").contains(F.col("surface"))).select(owner, "entity_id", "surface", "is_name").distinct()
+    seen = named.join(spotted(contexts, named, owner, once=True).select(owner, "surface").distinct(), [owner, "surface"])
     best = seen.groupBy(owner, "entity_id").agg(F.min(F.struct((~F.col("is_name")).alias("a"), (-F.length("surface")).alias("b"), "surface"))["surface"].alias("display"))
     return named.select(owner, "entity_id").distinct().join(best, [owner, "entity_id"], "left").withColumn("display", F.coalesce("display", F.lit("")))
 
 
 def visible_aliases(named: DataFrame, contexts: DataFrame, owner: str = "owner_id", least: int = 1) -> DataFrame:
     """(owner, context_id, entity_id, surfaces) of entities with `least` surfaces or more in a text."""
-    seen = named.join(contexts.select(owner, "context_id", "text"), owner).where(F.col("text").contains(F.col("surface")))
+    seen = named.join(spotted(contexts, named, owner, ("context_id",), once=True), [owner, "surface"])
     return seen.groupBy(owner, "context_id", "entity_id").agg(F.array_sort(F.collect_set("surface")).alias("surfaces")).where(F.size("surfaces") >= least)
 
 
 def identity_guard(citations: DataFrame, named: DataFrame, owner: str = "owner_id") -> DataFrame:
     """citations with identity_only: the quote is just names of its owner, spaces, punctuation and conjunctions."""
-    names = named.groupBy(owner).agg(F.collect_set("surface").alias("_names"))
-    return citations.join(names, owner, "left").withColumn("identity_only", identity_only(F.col("quote"), F.coalesce("_names", F.array().cast("array<string>")))).drop("_names")
+    quotes = citations.select(owner, "quote").distinct().withColumn("_norm", surface(F.col("quote")))
+    at = spotted(quotes, named, owner, ("quote", "_norm"), text="_norm").groupBy(owner, "quote", "_norm").agg(F.collect_list(F.struct("start", (F.col("start") + F.length("surface")).alias("end"))).alias("_at"))
+    only = at.select(owner, "quote", only_spans(F.col("_norm"), F.col("_at")).alias("identity_only"))
+    return citations.join(only, [owner, "quote"], "left").select(*citations.columns, F.coalesce("identity_only", F.lit(False)).alias("identity_only"))
 
 
 def shortcut_candidates(contexts: DataFrame, starts: DataFrame, terms: DataFrame, owner: str = "owner_id", gap: int = 6) -> DataFrame:
     """Sentences with a query's start name, at most `gap` characters, and a kin term of its pair of roles: for review only."""
     sent = contexts.select(owner, "context_id", F.explode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("sentence"))
     rows = sent.join(starts, owner).join(terms, "roles")
-    pattern = F.concat(F.lit("(?s)\\Q"), F.col("start_name"), F.lit(f"\\E.{{0,{gap}}}\\Q"), F.col("term"), F.lit("\\E"))
+    pattern = F.concat(F.lit("(?s)"), literally(F.col("start_name")), F.lit(f".{{0,{gap}}}"), literally(F.col("term")))
     return rows.where(F.col("sentence").contains(F.col("start_name")) & F.regexp_like(F.col("sentence"), pattern)).select(owner, "context_id", "query_id", "term", "sentence").distinct()
 
 
@@ -202,7 +200,7 @@ def marker_guards(quote: Column, child: Column, parent: Column, role: Column, pr
     for name, pattern in roles.items():
         words = words | ((role == name) & rest.rlike(pattern))
     words = words | (~role.isin(*roles) & rest.rlike(other))
-    title = (role == "father") & F.exists(parent, lambda n: n.rlike(FATHER_TITLE) & F.regexp_like(quote, F.concat(F.lit("\\Q"), n, F.lit(f"\\E{TITLE_OF}"))))
+    title = (role == "father") & F.exists(parent, lambda n: n.rlike(FATHER_TITLE) & F.regexp_like(quote, F.concat(literally(n), F.lit(TITLE_OF))))
     there = lambda some: F.exists(some, lambda n: (n != "") & quote.contains(n))
     return F.struct(there(child).alias("has_child"), there(parent).alias("has_parent"), rest.rlike(predicate).alias("predicate"), (words | title).alias("role"))
 
@@ -220,9 +218,13 @@ def merged(spans: Column) -> Column:
 
 def cut(text: Column, spans: Column) -> Column:
     """The text without its sorted, disjoint spans."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out"))
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def kept(all_: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(all_, i)["end"], F.lit(0))
+        parts = F.transform(all_, lambda s, i: F.substring(text, end(i - 1) + 1, s["start"] - end(i - 1)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(all_) - 1) + 1, F.length(text)))
+
+    return let(spans, kept)
 
 
 def delete_quotes(units: DataFrame, cuts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -262,12 +264,8 @@ def surviving_groups(citations: DataFrame, cuts: DataFrame, keys: list[str], fac
     A group with a citation that overlaps a cut is gone whole; others move left by the cuts that end at or before their
     start. A fact without a group left is unresolved, never not_found.
     """
-    spans = cuts.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("_s"))
-    c = citations.join(spans, keys, "left").withColumn("_s", F.coalesce("_s", F.array().cast(f"array<{SPAN}>")))
-    hit = F.exists("_s", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    shift = F.aggregate(F.filter("_s", lambda s: s["end"] <= F.col("start")), F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    c = c.withColumns({"_hit": hit, "_shift": shift}).withColumn("_gone", F.bool_or("_hit").over(Window.partitionBy(*fact, "group_no")))
-    kept = c.where("not _gone").withColumns({"start": F.col("start") - F.col("_shift"), "end": F.col("end") - F.col("_shift")}).select(*citations.columns)
+    c = against_cuts(citations, cuts, keys).withColumn("_gone", F.bool_or("hit").over(Window.partitionBy(*fact, "group_no")))
+    kept = c.where("not _gone").withColumns({"start": F.col("start") - F.col("shift"), "end": F.col("end") - F.col("shift")}).select(*citations.columns)
     status = c.groupBy(*fact).agg(F.count_distinct(F.when(~F.col("_gone"), F.col("group_no"))).alias("groups_left")).withColumn("status", F.when(F.col("groups_left") > 0, "support_proposed").otherwise("unresolved"))
     return kept, status
 
@@ -288,8 +286,10 @@ def evidence_defects(facts: DataFrame, entities: DataFrame, evidence: DataFrame,
     absent = quote_located(evidence, contexts, [owner, "unit_id"]).where("not located").select(owner, "fact_id", F.lit("quote_absent").alias("check"))
     groups = evidence.groupBy(owner, "fact_id", "group_no").agg(F.array_join(F.collect_list("quote"), "\n").alias("_q"))
     named = ends.distinct().join(surfaces(entities, owner).withColumnRenamed("entity_id", "_e"), [owner, "_e"])
-    seen = groups.join(named, [owner, "fact_id"]).groupBy(owner, "fact_id", "group_no", "_e").agg(F.bool_or(F.col("_q").contains(F.col("surface"))).alias("_seen"))
-    unnamed = seen.where("not _seen").select(owner, "fact_id", F.lit("endpoint_unnamed").alias("check"))
+    hits = spotted(groups, named, owner, ("fact_id", "group_no"), text="_q", once=True)
+    seen = hits.join(named, [owner, "fact_id", "surface"]).select(owner, "fact_id", "group_no", "_e")
+    asked = groups.select(owner, "fact_id", "group_no").join(named.select(owner, "fact_id", "_e").distinct(), [owner, "fact_id"])
+    unnamed = asked.join(seen, [owner, "fact_id", "group_no", "_e"], "left_anti").select(owner, "fact_id", F.lit("endpoint_unnamed").alias("check"))
     return bad_end.unionByName(selfish).unionByName(absent).unionByName(unnamed).distinct()
 
 

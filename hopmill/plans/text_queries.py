@@ -236,6 +236,8 @@ SELECT owner_id, count(*) AS spans, count(*) FILTER (WHERE m = 2) AS "both", sum
     "t14_names": "SELECT p_partkey, p_partkey % 5 < 2 AS identity_only FROM part",
     "t15_shortcuts": rf"""WITH {_D}, s AS (SELECT owner_id, unnest(regexp_extract_all(text, '[^。！？\n]+[。！？\n]?|[。！？\n]')) AS s FROM d), t(m, term) AS (VALUES (0, 'and'), (0, 'er'), (1, 'ion'))
 SELECT DISTINCT owner_id AS query_id, term, sha256(s) AS sha256 FROM s JOIN t ON owner_id % 2 = m WHERE regexp_matches(s, '(?s)the.{{0,20}}' || term)""",
+    "t22_replaced": f"""WITH {_D}, r AS (SELECT owner_id, text, replace(replace(replace(text, 'then', '<2>'), 'the', '<1>'), 'tion', '') AS r, replace(text, 'then', '####') AS a FROM d)
+SELECT owner_id, sha256(r) AS sha256, CASE WHEN text IS NULL THEN -1 ELSE (length(text) - length(replace(text, 'then', ''))) // 4 + (length(a) - length(replace(a, 'the', ''))) // 3 + (length(text) - length(replace(text, 'tion', ''))) // 4 END::INT AS changes, r = r AS replays FROM r""",
     "t23_replayed": f"WITH {_D} SELECT owner_id, CASE WHEN owner_id % 3 <> 0 THEN sha256(substr(text, 1, 10) || '<x>' || substr(text, 15)) END AS sha256 FROM d",
     "t18_cut": f"WITH {_D} SELECT owner_id, sha256(CASE WHEN length(text) > 60 THEN substr(text, 1, {_START}) || substr(text, {_START} + 16, 15) || substr(text, {_START} + 41) ELSE text END) AS sha256 FROM d",
     "t19_survivors": f"""WITH {_D}, c(g, a, b) AS (VALUES (1, 20, 24), (1, 50, 55), (2, 5, 8), (3, 45, 60)), j AS (SELECT owner_id, g, a, b, ((a < {_START} + 15 AND b > {_START}) OR (a < {_START} + 40 AND b > {_START} + 30)) AS hit, CASE WHEN a >= {_START} + 15 THEN 15 ELSE 0 END + CASE WHEN a >= {_START} + 40 THEN 10 ELSE 0 END AS shift, coalesce(length(text) > 60, false) AS cut FROM d, c),
