@@ -76,10 +76,9 @@ def only_spans(quote: Column, names: Column) -> Column:
 
 
 def identity_only(quote: Column, names: Column) -> Column:
-    """only_spans of a quote and a short array of names; for many names see operators.text.identity_guard."""
-    norm = surface(F.coalesce(quote, F.lit("")))
-    at = lambda n: F.transform(occurrences(norm, n), lambda s: F.struct(s.alias("start"), (s + F.length(n)).alias("end")))
-    return only_spans(norm, F.flatten(F.transform(names, at)))
+    """only_spans of a quote in NFKC and a short array of names; for many names see operators.text.identity_guard."""
+    at = lambda n: F.transform(occurrences(quote, n), lambda s: F.struct(s.alias("start"), (s + F.length(n)).alias("end")))
+    return only_spans(quote, F.flatten(F.transform(names, at)))
 
 
 def replace_all(text: Column, mapping: Column) -> Column:
