@@ -168,17 +168,52 @@ def blind_table(rows: DataFrame, keys: list[str], checks: list[str]) -> DataFram
     return out.withColumns({**{f"{c}_rate": F.try_divide(c, "completed") for c in checks}, "coverage": F.try_divide("completed", "scheduled")})
 
 
-def hint_coverage(hints: DataFrame, proofs: DataFrame, case: str = "case_id", fact: str = "fact_id") -> DataFrame:
-    """Hint rows by library, kind and relevance: base_proof if the fact is in the case's proof, noise if not, unassigned without a fact."""
+def hint_relevance(hints: DataFrame, proofs: DataFrame, facts: DataFrame | None = None, case: str = "case_id", fact: str = "fact_id") -> DataFrame:
+    """hints with relevance: base_proof if the fact is in the case's proof, noise_fact if it is another of the case's facts, else unassigned.
+
+    facts (case, fact): the facts that the case's family knows; without them every fact counts as known.
+    """
     p = proofs.select(case, fact).distinct().withColumn("_in", F.lit(True))
-    relevance = F.when(F.col(fact).isNull(), "unassigned").when(F.col("_in"), "base_proof").otherwise("noise")
-    return hints.join(p, [case, fact], "left").groupBy("library", "kind", relevance.alias("relevance")).agg(F.count("*").alias("hints"), F.count_distinct(case).alias("cases"))
+    rows = hints.join(p, [case, fact], "left")
+    if facts is not None:
+        rows = rows.join(facts.select(case, fact).distinct().withColumn("_known", F.lit(True)), [case, fact], "left")
+    known = F.col("_known") if facts is not None else F.col(fact).isNotNull()
+    return rows.select(*hints.columns, F.when(F.col("_in"), "base_proof").when(known, "noise_fact").otherwise("unassigned").alias("relevance"))
+
+
+def hint_coverage(hints: DataFrame, proofs: DataFrame, facts: DataFrame | None = None, case: str = "case_id", fact: str = "fact_id") -> DataFrame:
+    """Hint rows by library, kind and relevance, and the cases that have them."""
+    return hint_relevance(hints, proofs, facts, case, fact).groupBy("library", "kind", "relevance").agg(F.count("*").alias("hints"), F.count_distinct(case).alias("cases"))
 
 
-def hint_stratum(hints: DataFrame, case: str = "case_id") -> DataFrame:
-    """One stratum for each case, the first that applies: proof hints, noise hints, warnings only."""
-    rank = F.min(F.when(F.col("relevance") == "base_proof", 0).when(F.col("kind") != "warning", 1).otherwise(2))
-    return hints.groupBy(case).agg(rank.alias("_r")).select(case, F.element_at(F.array(F.lit("proof_hint"), F.lit("noise_hint"), F.lit("warning_only")), F.col("_r") + 1).alias("stratum"))
+def _usable(hints: DataFrame) -> Column:
+    """Warnings never count as hints, nor do rows with excluded set."""
+    return F.coalesce((F.col("kind") != "warning") & (~F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in hints.columns else F.lit(True)), F.lit(False))
+
+
+def hint_stratum(hints: DataFrame, case: str = "case_id", by: tuple[str, ...] = (), cases: DataFrame | None = None) -> DataFrame:
+    """(case, by, hints, stratum) from hints with kind and relevance, and excluded if there is.
+
+    base_proof_related if any usable hint is; noise_only if all usable ones are known facts off the proof;
+    nonproof_or_unassigned_only if there are others; empty_fact_hints if there is none. cases (case, by) without any row are empty, too.
+    """
+    use, of = _usable(hints), lambda r: F.count_if(_usable(hints) & (F.col("relevance") == r))
+    g = hints.groupBy(case, *by).agg(F.count_if(use).alias("hints"), of("base_proof").alias("_proof"), of("noise_fact").alias("_noise"))
+    if cases is not None:
+        g = cases.select(case, *by).distinct().join(g, [case, *by], "left").fillna(0, ["hints", "_proof", "_noise"])
+    stratum = F.when(F.col("_proof") > 0, "base_proof_related").when(F.col("hints") == 0, "empty_fact_hints").when(F.col("_noise") == F.col("hints"), "noise_only").otherwise("nonproof_or_unassigned_only")
+    return g.select(case, *by, "hints", stratum.alias("stratum"))
+
+
+def hint_totals(hints: DataFrame, case: str = "case_id", family: str = "family_id") -> DataFrame:
+    """By library: usable, proof and other hints, excluded rows, warnings, and cases and families that have any, proof or conflict hints."""
+    use, kind = _usable(hints), F.col("kind")
+    proof, conflict = use & (F.col("relevance") == "base_proof"), use & (kind == "conflict_hints")
+    excluded = F.coalesce(F.col("excluded"), F.lit(False)) & (kind != "warning") if "excluded" in hints.columns else F.lit(False)
+    some = lambda key, when: F.count_distinct(F.when(when, F.col(key)))
+    counts = {"usable": F.count_if(use), "base_proof": F.count_if(proof), "nonproof": F.count_if(use & ~(F.col("relevance") == "base_proof")), "excluded": F.count_if(excluded), "warnings": F.count_if(kind == "warning"), "conflicts": F.count_if(conflict)}
+    sets = {f"{name}_with_{what}": some(key, when) for name, key in (("cases", case), ("families", family)) for what, when in (("any", use), ("proof", proof), ("conflict", conflict))}
+    return hints.groupBy("library").agg(*(c.alias(n) for n, c in (counts | sets).items()))
 
 
 def round_comparison(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

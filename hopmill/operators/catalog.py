@@ -144,9 +144,10 @@ def review_progress(reviews: DataFrame) -> DataFrame:
 
 
 def latest(entries: DataFrame, keys: list[str], revision: str = "revision") -> DataFrame:
-    """The row with the greatest revision for each key, by aggregation."""
+    """The row with the greatest revision for each key, by aggregation; of several such rows the greatest by the other columns in order."""
     rest = [c for c in entries.columns if c not in keys]
-    return entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), revision).alias("_v")).select(*keys, *(f"_v.{c}" for c in rest))
+    order = F.struct(revision, *(c for c in rest if c != revision))
+    return entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v")).select(*keys, *(f"_v.{c}" for c in rest))
 
 
 def revision_conflicts(entries: DataFrame, keys: list[str], revision: str = "revision", expected: str = "expected_revision") -> DataFrame:

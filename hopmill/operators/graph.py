@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+#: Chinese labels of library records.
+CHINESE = {"父亲": "father", "母亲": "mother", "儿子": "son", "女儿": "daughter"}
+
 
 def _longest(steps: DataFrame, hops: int | None) -> int:
     """The largest hop of the steps; one beyond a stated limit raises rather than being left out."""
@@ -149,6 +152,16 @@ def proof_depths(nodes: DataFrame) -> DataFrame:
     return proofs.select("proof_id", _depth("_nodes").alias("depth"))
 
 
+def question_depths(questions: DataFrame, nodes: DataFrame, proofs: DataFrame) -> DataFrame:
+    """(question_id, depth): the least depth among a question's proofs (proofs: question_id, proof_id; nodes as in proof_depths), 0 without any.
+
+    A proof without nodes has depth 0. A question one of whose proofs has a cycle has no depth.
+    """
+    depth = proofs.join(proof_depths(nodes).withColumn("_has", F.lit(True)), "proof_id", "left").withColumn("_d", F.when(F.col("_has").isNull(), 0).otherwise(F.col("depth")))
+    least = depth.groupBy("question_id").agg(F.when(F.count("*") == F.count("_d"), F.min("_d")).alias("_least"), F.lit(True).alias("_any"))
+    return questions.select("question_id").join(least, "question_id", "left").select("question_id", F.when(F.col("_any"), F.col("_least")).otherwise(0).alias("depth"))
+
+
 def dag_violations(nodes: DataFrame, supports: DataFrame) -> DataFrame:
     """(proof_id, check, node_id): repeated ids, dependencies that do not come before, supports that do not exist."""
     twice = nodes.groupBy("proof_id", "node_id").count().where("count > 1").select("proof_id", F.lit("repeated").alias("check"), "node_id")
@@ -199,16 +212,27 @@ def proof_defects(proofs: DataFrame, steps: DataFrame, facts: DataFrame) -> Data
     return p.select("query_id", F.explode(whole).alias("check")).unionByName(j.select("query_id", F.explode(single).alias("check"))).distinct()
 
 
-def path_shape(steps: DataFrame) -> DataFrame:
-    """(item_id, shape) from resolved endpoints by step: unresolved ones need a review, then a break or a wrong role is incorrect.
+def path_shape(steps: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(item_id, shape) from resolved endpoints by step: what is known to be wrong is incorrect, then open ones need a review.
 
-    steps: item_id, step_no, from_id, to_id (null unresolved), role_ok (null unknown).
+    steps: item_id, step_no, from_id, to_id (null unresolved), role_ok (null unknown), and if there are, from_conflict and
+    to_conflict (a mention whose parts name different entities). Incorrect are a wrong role, a conflicting endpoint, and
+    steps that do not join. queries (item_id, length, start, targets): incorrect are also another number of steps, none
+    among them, a resolved start that is not the query's, and a resolved end outside targets (if there are any).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("step_no", "from_id", "to_id", "role_ok")))
+    conflict = F.lit(False)
+    for c in ("from_conflict", "to_conflict"):
+        conflict = conflict | (F.coalesce(F.col(c), F.lit(False)) if c in steps.columns else F.lit(False))
+    ordered = F.array_sort(F.collect_list(F.struct("step_no", "from_id", "to_id", "role_ok", conflict.alias("conflict"))))
     g = steps.groupBy("item_id").agg(ordered.alias("_s"))
     open_ = F.exists("_s", lambda s: s["from_id"].isNull() | s["to_id"].isNull() | s["role_ok"].isNull())
     joints = F.zip_with(F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0))), F.slice("_s", 2, F.size("_s")), lambda a, b: F.coalesce(a["to_id"] == b["from_id"], F.lit(True)))
-    wrong = F.exists("_s", lambda s: ~F.coalesce(s["role_ok"], F.lit(True))) | F.exists(joints, lambda ok: ~ok)
+    wrong = F.exists("_s", lambda s: ~F.coalesce(s["role_ok"], F.lit(True)) | s["conflict"]) | F.exists(joints, lambda ok: ~ok)
+    if queries is not None:
+        g = queries.select("item_id", "length", F.col("start").alias("_start"), F.col("targets").alias("_targets")).join(g, "item_id", "left")
+        first, last = F.get("_s", F.lit(0))["from_id"], F.get("_s", F.size("_s") - 1)["to_id"]
+        other = F.col("_s").isNull() | (F.size("_s") != F.col("length")) | (first != F.col("_start")) | ((F.size("_targets") > 0) & ~F.array_contains("_targets", last))
+        wrong = F.coalesce(other, F.lit(False)) | F.coalesce(wrong, F.lit(False))
     return g.select("item_id", F.when(wrong, "incorrect").when(open_, "needs_semantic_review").otherwise("correct").alias("shape"))
 
 
@@ -272,10 +296,11 @@ def one_hop_probes(proofs: DataFrame) -> DataFrame:
 
 
 def normal_relations(records: DataFrame) -> DataFrame:
-    """Library records as (parent, child, parent_role): father and mother as they are, son and daughter turned round with the role parent; other labels go."""
-    up, down = F.col("label").isin("father", "mother"), F.col("label").isin("son", "daughter")
+    """Library records as (parent, child, parent_role): father and mother as they are, son and daughter turned round with the role parent, in English or Chinese; other labels go."""
+    label = F.coalesce(*(F.when(F.col("label") == zh, en) for zh, en in CHINESE.items()), F.col("label"))
+    up, down = label.isin("father", "mother"), label.isin("son", "daughter")
     rows = records.where(up | down)
-    return rows.select("*", F.when(up, F.col("tail")).otherwise(F.col("head")).alias("parent"), F.when(up, F.col("head")).otherwise(F.col("tail")).alias("child"), F.when(up, F.col("label")).otherwise("parent").alias("parent_role"))
+    return rows.select("*", F.when(up, F.col("tail")).otherwise(F.col("head")).alias("parent"), F.when(up, F.col("head")).otherwise(F.col("tail")).alias("child"), F.when(up, label).otherwise("parent").alias("parent_role"))
 
 
 def compare_libraries(facts: DataFrame, records: DataFrame, matching: list[str], hints_only: list[str]) -> DataFrame:

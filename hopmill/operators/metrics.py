@@ -6,10 +6,14 @@ needs_review. Denominators never shrink: what is unknown stays in them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 DIMENSIONS = ("answer", "logical_proof", "output_contract")
 #: name: (k, whether all k must pass)
@@ -73,31 +77,84 @@ def _gated_means(count: Column, complete: Column, bounded: Column, lower: Column
     return [F.when((count > 0) & (complete == count), point).alias("point"), F.when((count > 0) & (bounded == count), lower).alias("lower"), F.when((count > 0) & (bounded == count), upper).alias("upper")]
 
 
-def question_macro(questions: DataFrame, keys: list[str]) -> DataFrame:
+def question_macro(questions: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Means over all questions of a group, by metric: null unless all are complete (point) or bounded (lower, upper).
 
-    complete_only is the mean over complete questions with its own denominator.
+    complete_only is the mean over complete questions with its own denominator. weight: a column of how many questions a row stands for.
     """
     done = F.col("status") == "complete"
-    grouped = questions.groupBy(*keys, "metric").agg(
-        F.count("*").alias("questions"),
-        F.count_if(done).alias("complete"),
-        F.count_if(F.col("status") == "insufficient_planned_trials").alias("underbudget"),
-        F.count("lower").alias("_bounded"),
-        F.avg("lower.value").alias("_lower"),
-        F.avg("upper.value").alias("_upper"),
-        F.avg(F.when(done, F.col("point.value"))).alias("complete_only"),
+    w = F.col(weight) if weight else F.lit(1)
+    count = lambda when: F.sum(F.when(when, w).otherwise(0)).cast("long")
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * w), F.sum(F.when(F.col(c).isNotNull(), w)))
+    rows = questions.withColumn("_done", F.when(done, F.col("point.value")))
+    grouped = rows.groupBy(*keys, "metric").agg(
+        count(F.lit(True)).alias("questions"),
+        count(done).alias("complete"),
+        count(F.col("status") == "insufficient_planned_trials").alias("underbudget"),
+        count(F.col("lower").isNotNull()).alias("_bounded"),
+        mean("lower.value").alias("_lower"),
+        mean("upper.value").alias("_upper"),
+        mean("_done").alias("complete_only"),
     )
     return grouped.select(*keys, "metric", "questions", "complete", "underbudget", *_gated_means(*map(F.col, ("questions", "complete", "_bounded", "_lower", "_upper", "complete_only"))), "complete_only")
 
 
-def family_macro(questions: DataFrame, keys: list[str], family: str = "family_id") -> DataFrame:
-    """Means of family means, each family with the same weight; null if any family's is null."""
-    families = question_macro(questions, [*keys, family])
+def family_macro(questions: DataFrame, keys: list[str], family: str = "family_id", weight: str | None = None) -> DataFrame:
+    """Means of family means, each family with the same weight; null if any family's is null. weight as in question_macro."""
+    families = question_macro(questions, [*keys, family], weight)
     grouped = families.groupBy(*keys, "metric").agg(F.count("*").alias("families"), F.count("point").alias("_complete"), F.count("lower").alias("_bounded"), F.avg("lower").alias("_lower"), F.avg("upper").alias("_upper"), F.avg("point").alias("_point"), F.sum("questions").alias("questions"))
     return grouped.select(*keys, "metric", "families", "questions", *_gated_means(*map(F.col, ("families", "_complete", "_bounded", "_lower", "_upper", "_point"))))
 
 
+def verdict_classes(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Questions with equal counts as one row: keys, n, passed, unknown, questions. Some dozens of rows a group stand for all of its questions."""
+    return counts.groupBy(*keys, "n", "passed", "unknown").agg(F.count("*").alias("questions"))
+
+
+FRACTION = StructType().add("numerator", StringType()).add("denominator", StringType()).add("value", DoubleType())
+
+
+@F.arrow_udf(FRACTION)
+def _mean(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Sums of weighted fractions over a count, in lowest terms; whole numbers of any length."""
+    kind = pa.struct([("numerator", pa.string()), ("denominator", pa.string()), ("value", pa.float64())])
+    for terms, counts in batches:
+        out = []
+        for some, count in zip(terms.to_pylist(), counts.to_pylist(), strict=True):
+            mean = sum((Fraction(int(t["numerator"]) * t["weight"], int(t["denominator"]) * t["share"]) for t in some), Fraction(0)) / count if some and count else None
+            out.append(None if mean is None else {"numerator": str(mean.numerator), "denominator": str(mean.denominator), "value": float(mean)})
+        yield pa.array(out, kind)
+
+
+def exact_means(classes: DataFrame, keys: list[str], family: str | None = None) -> DataFrame:
+    """Means of question_macro (or of family_macro, if the classes have a family) as fractions in lowest terms beside their doubles.
+
+    classes: verdict_classes of keys (and family). point, lower and upper are struct(numerator, denominator, value), the
+    parts as decimal text, null under the rules of question_macro. Equal fractions are added up as counts, which merge like
+    any sum; the few different ones of a group are brought to one denominator at the end.
+    """
+    own = [*keys, family] if family else keys
+    rows = classes
+    if family:  # a family of q questions gives each of them a q-th of its own share
+        rows = rows.join(classes.groupBy(*own).agg(F.sum("questions").alias("share")), own) if own else rows
+    else:
+        rows = rows.withColumn("share", F.lit(1).cast("long"))
+    families = rows.groupBy(*keys).agg(F.count_distinct(family).alias("families")) if family else None
+    rows = question_metrics(rows.groupBy(*keys, "n", "passed", "unknown", "share").agg(F.sum("questions").alias("questions")))
+    term = lambda side: F.struct(F.col(side)["numerator"].cast("string").alias("numerator"), F.col(side)["denominator"].cast("string").alias("denominator"), F.col("questions").alias("weight"), "share")
+    done = F.col("status") == "complete"
+    sides = [F.collect_list(F.when(F.col(c).isNotNull(), term(c))).alias(f"_{c}") for c in ("point", "lower", "upper")]
+    count = lambda when: F.sum(F.when(when, F.col("questions")).otherwise(0))
+    # equal fractions first
+    each = rows.groupBy(*keys, "metric", "share", "status", "lower", "upper", "point").agg(F.sum("questions").alias("questions"))
+    out = each.groupBy(*keys, "metric").agg(F.sum("questions").alias("questions"), count(done).alias("complete"), count(F.col("lower").isNotNull()).alias("_bounded"), *sides)
+    if family:
+        out = out.join(families, keys) if keys else out.crossJoin(families)  # one row
+    total = F.col("families" if family else "questions")
+    gate = lambda ok, c: F.when(F.col(ok) == F.col("questions"), _mean(F.col(f"_{c}"), total)).alias(c)
+    return out.select(*keys, "metric", *(["families"] if family else []), "questions", "complete", gate("complete", "point"), gate("_bounded", "lower"), gate("_bounded", "upper"))
+
+
 def fill_slots(slots: DataFrame, records: DataFrame, key: str = "trial_id") -> DataFrame:
     """Every planned slot with its record's status and verdicts: a slot without a record is missing, and all that did not complete are unknown in every dimension."""
     extra = [c for c in records.columns if c == key or c not in slots.columns]

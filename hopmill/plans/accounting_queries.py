@@ -70,6 +70,28 @@ def x13_hints(spark, sf_dir):
     return X.hint_coverage(hints, proofs)
 
 
+def _hints(spark, sf_dir):
+    """Lines as hints of their order: some facts are unknown to the order's family, some rows warnings or excluded."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kind = F.when(F.col("l_quantity") > 40, "warning").when(F.col("l_linestatus") == "O", "conflict_hints").otherwise("matches")
+    rows = rows.select(F.col("l_orderkey").alias("case_id"), F.col("o_custkey").alias("family_id"), F.when(F.col("l_quantity") % 5 > 0, F.col("l_partkey")).alias("fact_id"), F.col("l_returnflag").alias("library"), kind.alias("kind"), (F.col("l_suppkey") % 7 == 0).alias("excluded"))
+    facts = rows.where("fact_id % 4 > 0")
+    return X.hint_relevance(rows, facts.where("fact_id % 10 = 1"), facts)
+
+
+def x13_strata(spark, sf_dir):
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"))
+    return X.hint_stratum(_hints(spark, sf_dir), cases=cases)
+
+
+def x13_libraries(spark, sf_dir):
+    return X.hint_stratum(_hints(spark, sf_dir), by=("library",)).groupBy("library", "stratum").agg(F.count("*").alias("cases"))
+
+
+def x13_totals(spark, sf_dir):
+    return X.hint_totals(_hints(spark, sf_dir))
+
+
 def x15_rounds(spark, sf_dir):
     old = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("case_id"), (F.col("o_totalprice") > 50000).alias("expected"), F.sha2("o_orderpriority", 256).alias("payload_sha256"))
     new = table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") > 80000).alias("expected"), F.sha2(F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("o_orderpriority")), 256).alias("payload_sha256"))
@@ -129,7 +151,7 @@ def x28_routing(spark, sf_dir):
     return X.review_routing(drafts, receipts, ["coverage", "scope"]).groupBy("route", "reason").agg(F.count("*").alias("jobs"))
 
 
-QUERIES = {f.__name__: f for f in (x01_grid, x02_seeded_order, x03_pending, x04_counters, x05_review, x07_conflicts, x08_agreement, x09_pairs, x10_stability, x11_family_means, x12_blind, x13_hints, x15_rounds, x16_labels, x17_accept, x21_merge, x24_windows, x25_anchors, x25_footprints, x26_outcome, x27_cells, x28_routing)}
+QUERIES = {f.__name__: f for f in (x01_grid, x02_seeded_order, x03_pending, x04_counters, x05_review, x07_conflicts, x08_agreement, x09_pairs, x10_stability, x11_family_means, x12_blind, x13_hints, x13_strata, x13_libraries, x13_totals, x15_rounds, x16_labels, x17_accept, x21_merge, x24_windows, x25_anchors, x25_footprints, x26_outcome, x27_cells, x28_routing)}
 
 _N = "count(*) FILTER (WHERE {})".format
 _DONE = "status = 'completed' AND expected IS NOT NULL AND decision IS NOT NULL"
@@ -139,6 +161,9 @@ COUNTERS = f"""count(*) AS scheduled, {_N("status = 'completed'")} AS completed,
   {_N("status = 'completed' AND expected IS NOT NULL AND decision IS NULL")} AS needs_adjudication, {_N("status = 'completed' AND expected IS NULL")} AS unadjudicated"""
 _RATE = "round({} / nullif({}, 0), 6) AS {}".format
 _J = f"WITH j AS ({JOBS_SQL})"
+_HINTS = """WITH r AS (SELECT l_orderkey AS case_id, o_custkey AS family_id, CASE WHEN l_quantity % 5 > 0 THEN l_partkey END AS f, l_returnflag AS library, CASE WHEN l_quantity > 40 THEN 'warning' WHEN l_linestatus = 'O' THEN 'conflict_hints' ELSE 'matches' END AS kind, l_suppkey % 7 = 0 AS excluded FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+h AS (SELECT *, kind <> 'warning' AND NOT excluded AS use, CASE WHEN f % 4 > 0 AND f % 10 = 1 THEN 'base_proof' WHEN f % 4 > 0 THEN 'noise_fact' ELSE 'unassigned' END AS relevance FROM r)"""
+_STRATUM = "CASE WHEN p > 0 THEN 'base_proof_related' WHEN coalesce(hints, 0) = 0 THEN 'empty_fact_hints' WHEN z = hints THEN 'noise_only' ELSE 'nonproof_or_unassigned_only' END"
 SQL = {
     "x01_grid": "SELECT c_mktsegment, arm, repeat::INT AS repeat, count(*) AS jobs FROM (SELECT c_mktsegment, arm, unnest(range(1, c_nationkey % 4 + 1)) AS repeat FROM customer, (VALUES ('generic'), ('skills')) AS a(arm)) GROUP BY ALL",
     "x02_seeded_order": "SELECT o_orderkey, row_number() OVER (ORDER BY sha256('seed-7|' || o_orderkey), o_orderkey) - 1 AS position FROM orders",
@@ -164,7 +189,15 @@ SELECT case_id, arm, runs, verdicts, runs = 3 AND done = 3 AS all_valid, runs =
     "x11_family_means": f"{_J}, c AS (SELECT track, arm, family_id, {COUNTERS} FROM j GROUP BY ALL) SELECT track, arm, count(*) AS families, count(unsafe_accept / nullif(invalid_trials, 0)) AS families_with_rate, round(avg(unsafe_accept / nullif(invalid_trials, 0)), 6) AS family_mean FROM c GROUP BY ALL",
     "x12_blind": f"{_J}, b AS (SELECT arm, count(*) AS scheduled, {_N(chr(39).join(['status = ', 'completed', '']))} AS completed, {_N(chr(39).join(['status = ', 'completed', ' AND decision']))} AS answer_ok, {_N(chr(39).join(['status = ', 'completed', ' AND decision AND expected']))} AS proof_ok FROM j GROUP BY ALL) SELECT *, round(answer_ok / nullif(completed, 0), 6) AS answer_ok_rate, round(proof_ok / nullif(completed, 0), 6) AS proof_ok_rate, round(completed / scheduled, 6) AS coverage FROM b",
     "x13_hints": """WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1), h AS (SELECT l_orderkey, CASE WHEN l_quantity <= 45 THEN l_partkey END AS f, l_returnflag AS library, CASE l_linestatus WHEN 'O' THEN 'warning' ELSE 'match' END AS kind FROM lineitem)
-SELECT library, kind, CASE WHEN f IS NULL THEN 'unassigned' WHEN l_partkey IS NOT NULL THEN 'base_proof' ELSE 'noise' END AS relevance, count(*) AS hints, count(DISTINCT h.l_orderkey) AS cases FROM h LEFT JOIN p ON h.l_orderkey = p.l_orderkey AND f = l_partkey GROUP BY ALL""",
+SELECT library, kind, CASE WHEN f IS NULL THEN 'unassigned' WHEN l_partkey IS NOT NULL THEN 'base_proof' ELSE 'noise_fact' END AS relevance, count(*) AS hints, count(DISTINCT h.l_orderkey) AS cases FROM h LEFT JOIN p ON h.l_orderkey = p.l_orderkey AND f = l_partkey GROUP BY ALL""",
+    "x13_strata": f"""{_HINTS}, g AS (SELECT case_id, count(*) FILTER (WHERE use) AS hints, count(*) FILTER (WHERE use AND relevance = 'base_proof') AS p, count(*) FILTER (WHERE use AND relevance = 'noise_fact') AS z FROM h GROUP BY 1)
+SELECT o_orderkey AS case_id, coalesce(hints, 0) AS hints, {_STRATUM} AS stratum FROM orders LEFT JOIN g ON o_orderkey = case_id""",
+    "x13_libraries": f"""{_HINTS}, g AS (SELECT case_id, library, count(*) FILTER (WHERE use) AS hints, count(*) FILTER (WHERE use AND relevance = 'base_proof') AS p, count(*) FILTER (WHERE use AND relevance = 'noise_fact') AS z FROM h GROUP BY ALL)
+SELECT library, {_STRATUM} AS stratum, count(*) AS cases FROM g GROUP BY ALL""",
+    "x13_totals": f"""{_HINTS}, g AS (SELECT *, use AND relevance = 'base_proof' AS p, use AND kind = 'conflict_hints' AS c FROM h)
+SELECT library, count(*) FILTER (WHERE use) AS usable, count(*) FILTER (WHERE p) AS base_proof, count(*) FILTER (WHERE use AND NOT p) AS nonproof, count(*) FILTER (WHERE excluded AND kind <> 'warning') AS excluded, count(*) FILTER (WHERE kind = 'warning') AS warnings, count(*) FILTER (WHERE c) AS conflicts,
+  count(DISTINCT case_id) FILTER (WHERE use) AS cases_with_any, count(DISTINCT case_id) FILTER (WHERE p) AS cases_with_proof, count(DISTINCT case_id) FILTER (WHERE c) AS cases_with_conflict,
+  count(DISTINCT family_id) FILTER (WHERE use) AS families_with_any, count(DISTINCT family_id) FILTER (WHERE p) AS families_with_proof, count(DISTINCT family_id) FILTER (WHERE c) AS families_with_conflict FROM g GROUP BY 1""",
     "x15_rounds": """WITH o AS (SELECT o_orderkey AS k, o_totalprice > 50000 AS e, o_orderpriority AS p FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice > 80000 END AS e, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 4 <> 0)
 SELECT CASE WHEN n.k IS NULL THEN 'old_only' WHEN o.k IS NULL THEN 'new_only' WHEN o.e IS NULL OR n.e IS NULL THEN 'unadjudicated' WHEN o.e <> n.e THEN 'reference_changed' ELSE 'eligible' END AS comparison, o.p IS NOT DISTINCT FROM n.p AS same_payload, count(*) AS cases FROM o FULL JOIN n ON o.k = n.k GROUP BY ALL""",
     "x16_labels": f"{_J}, l AS (SELECT arm, expected, decision, unnest(list_filter(['all', CASE WHEN repeat <= 6 THEN 'first_half' END, CASE WHEN track = 'BUILDING' THEN 'building' END], lambda x: x IS NOT NULL)) AS label FROM j) SELECT label, arm, count(*) AS rows, {_N('expected = decision')} AS agreement FROM l GROUP BY ALL",

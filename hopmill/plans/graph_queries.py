@@ -131,6 +131,22 @@ def g12_shape(spark, sf_dir):
     return G.path_shape(rows)
 
 
+def g12_checked(spark, sf_dir):
+    """Lines as steps against what their order asks for: length, start and targets, and conflicting ends."""
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"]).select(F.col("l_orderkey").alias("item_id"), n.alias("step_no"), F.when((F.col("l_orderkey") % 7 > 0) | (n > 1), n).alias("from_id"), F.when(n != 6, n + 1).alias("to_id"), F.lit(True).alias("role_ok"), ((F.col("l_orderkey") % 11 == 0) & (n == 2)).alias("from_conflict"))
+    k = F.col("o_orderkey")
+    queries = table(spark, sf_dir, "orders").select(k.alias("item_id"), (k % 4 + 1).cast("int").alias("length"), F.when(k % 5 > 0, 1).otherwise(2).alias("start"), F.when(k % 3 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(2), F.lit(4), F.lit(5))).alias("targets"))
+    return G.path_shape(rows, queries)
+
+
+def g08_questions(spark, sf_dir):
+    """Orders are proofs of their customer's questions."""
+    o = table(spark, sf_dir, "orders")
+    proofs = o.select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("proof_id"))
+    return G.question_depths(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id")), _nodes(spark, sf_dir), proofs)
+
+
 def g16_distractors(spark, sf_dir):
     k, month = F.col("o_orderkey"), F.month("o_orderdate")
     t = table(spark, sf_dir, "orders").select(
@@ -163,7 +179,7 @@ def g18_probes(spark, sf_dir):
 
 
 def g19_normal(spark, sf_dir):
-    label = F.element_at(F.array(*map(F.lit, ("father", "daughter", "mother", "uncle"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    label = F.element_at(F.array(*map(F.lit, ("father", "daughter", "mother", "uncle", "父亲", "女儿", "母亲", "儿子"))), (F.col("o_orderkey") % 8 + 1).cast("int"))
     r = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("head"), F.col("o_orderkey").alias("tail"), label.alias("label"))
     return G.normal_relations(r).select("o_orderkey", "parent", "child", "parent_role")
 
@@ -236,7 +252,7 @@ def v11_rebuild(spark, sf_dir):
     return V.rebuild_differences(s, r, ["o_orderkey"]).groupBy("check").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (g01_paths, g02_walks, g03_options, g04_alternatives, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g13_difference, g14_frontier, g15_findings, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
+QUERIES = {f.__name__: f for f in (g01_paths, g02_walks, g03_options, g04_alternatives, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g08_questions, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g12_checked, g13_difference, g14_frontier, g15_findings, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
 
 _FACTS = "f AS (SELECT 'fc' || c_custkey AS fact_id, 'c' || c_custkey AS child, 'n' || c_nationkey AS parent, CASE WHEN c_nationkey % 2 = 1 THEN 'father' ELSE 'mother' END AS parent_role FROM customer UNION ALL SELECT 'fn' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'mother' FROM nation)"
 _DEGREES = f"{_FACTS}, s AS (SELECT child AS entity, parent_role AS relation, 'out' AS direction, child FROM f UNION ALL SELECT parent, parent_role, 'in', child FROM f)"
@@ -261,6 +277,12 @@ c AS (SELECT *, CASE WHEN NOT (a = 1 AND r = 1) THEN 'not_single' WHEN left_valu
     "g10_difference": f"WITH {_DEGREES}, g AS (SELECT entity, relation, direction, count(*) AS degree, nullif(count(*) FILTER (WHERE child <> 'c7'), 0) AS other FROM s GROUP BY ALL) SELECT * FROM g WHERE degree IS DISTINCT FROM other",
     "g11_defects": """WITH c AS (SELECT c_custkey % 4 AS k, c_nationkey % 2 = 1 AS father FROM customer), v AS (SELECT 'answer' AS "check" FROM c WHERE k = 1 UNION ALL SELECT 'length' FROM c WHERE k = 2 UNION ALL SELECT 'unknown_fact' FROM c WHERE k = 3 UNION ALL SELECT 'role' FROM c WHERE NOT father) SELECT "check", count(*) AS queries FROM v GROUP BY 1""",
     "g12_shape": "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), j AS (SELECT *, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nx FROM s) SELECT l_orderkey AS item_id, CASE WHEN bool_or(l_linenumber <> 6 AND nx IS NOT NULL AND nx <> l_linenumber + 1) THEN 'incorrect' WHEN bool_or(l_linenumber IN (5, 6)) THEN 'needs_semantic_review' ELSE 'correct' END AS shape FROM j GROUP BY 1",
+    "g12_checked": """WITH s AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), j AS (SELECT *, lead(n) OVER (PARTITION BY k ORDER BY n) AS nx FROM s),
+g AS (SELECT k, count(*) AS c, min(n) AS a, max(n) AS z, bool_or(n <> 6 AND nx IS NOT NULL AND nx <> n + 1 AND NOT (k % 7 = 0 AND nx = 1)) AS torn, bool_or(n = 6) AS six, bool_or(k % 11 = 0 AND n = 2) AS clash FROM j GROUP BY 1)
+SELECT o_orderkey AS item_id, CASE WHEN c IS NULL OR c <> o_orderkey % 4 + 1 OR clash OR torn OR (NOT (o_orderkey % 7 = 0 AND a = 1) AND a <> CASE WHEN o_orderkey % 5 > 0 THEN 1 ELSE 2 END) OR (o_orderkey % 3 > 0 AND z <> 6 AND z + 1 NOT IN (2, 4, 5)) THEN 'incorrect'
+  WHEN six OR (o_orderkey % 7 = 0 AND a = 1) THEN 'needs_semantic_review' ELSE 'correct' END AS shape FROM orders LEFT JOIN g ON k = o_orderkey""",
+    "g08_questions": f"""WITH {_N}, d AS (SELECT proof_id, CASE WHEN pos % 3 = 1 OR NOT EXISTS (SELECT 1 FROM n m WHERE m.proof_id = n.proof_id AND m.pos = n.pos - 1) THEN 1 WHEN pos % 3 = 2 OR NOT EXISTS (SELECT 1 FROM n m WHERE m.proof_id = n.proof_id AND m.pos = n.pos - 2) THEN 2 ELSE 3 END AS d FROM n), p AS (SELECT proof_id, max(d)::INT AS depth FROM d GROUP BY 1)
+SELECT c_custkey AS question_id, coalesce(min(CASE WHEN o_orderkey IS NULL THEN 0 ELSE coalesce(depth, 0) END), 0)::INT AS depth FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN p ON proof_id = o_orderkey GROUP BY 1""",
     "g14_frontier": """WITH s AS (SELECT DISTINCT c_custkey % 10 AS q, c_custkey::VARCHAR AS e FROM customer WHERE c_custkey % 3 <> 0), r1 AS (SELECT c_custkey % 10 AS q, c_custkey::VARCHAR AS e, 'n' || c_nationkey AS p FROM customer WHERE c_custkey % 4 <> 0),
 r2 AS (SELECT n_nationkey % 10 AS q, 'n' || n_nationkey AS e FROM nation), f2 AS (SELECT DISTINCT q, p AS e FROM r1),
 v AS (SELECT 1 AS hop, CASE WHEN r1.e IS NULL THEN 'missing' ELSE 'unexpected' END AS "check" FROM s FULL JOIN r1 ON s.q = r1.q AND s.e = r1.e WHERE r1.e IS NULL OR s.e IS NULL
@@ -273,7 +295,7 @@ c1 AS (SELECT * FROM e WHERE EXISTS (FROM d WHERE d.n = e.n AND d.ent AND d.b =
 c2 AS (SELECT * FROM e WHERE EXISTS (FROM c1 WHERE c1.n = e.n AND c1.ent AND c1.b = e.a) AND NOT EXISTS (FROM d WHERE d.n = e.n AND d.f = e.f) AND NOT EXISTS (FROM c1 WHERE c1.n = e.n AND c1.f = e.f))
 SELECT n AS node_id, f AS fact_id, kind FROM d UNION ALL SELECT n, f, 'continuation' FROM c1 UNION ALL SELECT n, f, 'continuation' FROM c2""",
     "g17_roles": "WITH u AS (SELECT l_partkey, min(CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS r FROM lineitem GROUP BY 1) SELECT p_partkey AS document_id, ['current_proof', 'alternative', 'background', 'unreferenced'][coalesce(r, 4)] AS role FROM part LEFT JOIN u ON l_partkey = p_partkey",
-    "g19_normal": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN o_custkey ELSE o_orderkey END AS parent, CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey ELSE o_custkey END AS child, ['father', 'parent', 'mother'][o_orderkey % 4 + 1] AS parent_role FROM orders WHERE o_orderkey % 4 <> 3",
+    "g19_normal": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (1, 5, 7) THEN o_custkey ELSE o_orderkey END AS parent, CASE WHEN o_orderkey % 8 IN (1, 5, 7) THEN o_orderkey ELSE o_custkey END AS child, ['father', 'parent', 'mother', '', 'father', 'parent', 'mother', 'parent'][o_orderkey % 8 + 1] AS parent_role FROM orders WHERE o_orderkey % 8 <> 3",
     "g20_libraries": f"""WITH {_LIB}, fa AS (SELECT c_custkey AS id, c_nationkey AS p, CASE WHEN c_custkey % 2 = 0 THEN 'father' ELSE 'parent' END AS r, c_custkey % 9 <> 0 AS safe FROM customer),
 j AS (SELECT fa.id, b.library, fa.safe, coalesce(l.p = fa.p AND (l.r = fa.r OR l.r = 'parent' OR fa.r = 'parent'), false) AS m, fa.p AS fp, fa.r AS fr, l.p AS lp, l.r AS lr FROM fa CROSS JOIN (VALUES ('C01'), ('C02')) AS b(library) LEFT JOIN l ON l.library = b.library AND l.c = fa.id),
 g AS (SELECT id, library, bool_or(m) AS m, bool_or(NOT m AND coalesce((lr = fr AND fr <> 'parent') OR (lp = fp AND lr <> 'parent' AND fr <> 'parent'), false)) AS c, bool_and(safe) AS s FROM j GROUP BY ALL),

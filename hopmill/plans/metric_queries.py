@@ -29,6 +29,19 @@ MACRO = """count(*) AS questions, count(*) FILTER (WHERE status = 'complete') AS
 MEANS = "round(point, 6) AS point, round(lower, 6) AS lower, round(upper, 6) AS upper"
 
 
+#: Sums l and u over d in lowest terms, as text.
+_LOWEST = ", ".join(
+    f"CASE WHEN {ok} THEN ({v} // gcd({x}::HUGEINT, d::HUGEINT))::VARCHAR END AS {name}_{part}"
+    for name, ok, x in (("point", "whole", "l"), ("lower", "bounded", "l"), ("upper", "bounded", "u"))
+    for part, v in (("num", x), ("den", "d"))
+)
+
+
+_LCM = "list_reduce(list_prepend(1::HUGEINT, list(DISTINCT {0}::HUGEINT)), lambda a, b: lcm(a, b))"
+#: Of each group the least common multiple of its fractions' denominators.
+_COMMON = f"""common AS (SELECT "partition", metric, {_LCM.format("greatest(den, 1)")} AS dk FROM questions GROUP BY ALL)"""
+
+
 def m01_estimates(spark, sf_dir):
     q = M.question_metrics(M.verdict_counts(trials(spark, sf_dir), ["case_id"]))
     return q.select("case_id", "metric", "n", "passed", "failed", "unknown", F.col("lower.numerator").cast("long").alias("lower_num"), F.col("upper.numerator").cast("long").alias("upper_num"), F.round("lower.value", 9).alias("lower"), F.round("point.value", 9).alias("point"), "status")
@@ -59,13 +72,29 @@ def m05_first_attempt(spark, sf_dir):
 
 
 def m06_question_macro(spark, sf_dir):
-    q = M.question_metrics(M.verdict_counts(order_trials(spark, sf_dir), ["partition", "case_id"]))
-    return rounded(M.question_macro(q, ["partition"]), "point", "lower", "upper", "complete_only")
+    q = M.question_metrics(M.verdict_classes(M.verdict_counts(order_trials(spark, sf_dir), ["partition", "case_id"]), ["partition"]))
+    return rounded(M.question_macro(q, ["partition"], "questions"), "point", "lower", "upper", "complete_only")
+
+
+def _exact(df, *more):
+    sides = [F.col(c)[part].alias(f"{c}_{name}") for c in ("point", "lower", "upper") for part, name in (("numerator", "num"), ("denominator", "den"))]
+    return df.select("partition", "metric", *more, "questions", *sides)
+
+
+def m06_exact(spark, sf_dir):
+    t = order_trials(spark, sf_dir)
+    return _exact(M.exact_means(M.verdict_classes(M.verdict_counts(t, ["partition", "case_id"]), ["partition"]), ["partition"]))
+
+
+def m07_exact(spark, sf_dir):
+    """Odd families have their known verdicts alone, so that points, too, come out."""
+    t = order_trials(spark, sf_dir).where("family_id % 2 = 0 or verdict <> 'needs_review'").withColumn("partition", (F.col("family_id") % 2).cast("string"))
+    return _exact(M.exact_means(M.verdict_classes(M.verdict_counts(t, ["partition", "family_id", "case_id"]), ["partition", "family_id"]), ["partition"], "family_id"), "families")
 
 
 def m07_family_macro(spark, sf_dir):
-    q = M.question_metrics(M.verdict_counts(order_trials(spark, sf_dir), ["partition", "family_id", "case_id"]))
-    return rounded(M.family_macro(q, ["partition"]), "point", "lower", "upper")
+    q = M.question_metrics(M.verdict_classes(M.verdict_counts(order_trials(spark, sf_dir), ["partition", "family_id", "case_id"]), ["partition", "family_id"]))
+    return rounded(M.family_macro(q, ["partition"], weight="questions"), "point", "lower", "upper")
 
 
 def m08_partitions(spark, sf_dir):
@@ -109,7 +138,7 @@ def m14_errors(spark, sf_dir):
     return M.error_index(rows).groupBy("answer", "logical_proof", "output_contract").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (m01_estimates, m01_lowest_terms, m03_slots, m04_qualified, m05_first_attempt, m06_question_macro, m07_family_macro, m08_partitions, m09_gate, m12_cohorts, m13_model_pairs, m13_bases, m14_errors)}
+QUERIES = {f.__name__: f for f in (m01_estimates, m01_lowest_terms, m03_slots, m04_qualified, m05_first_attempt, m06_question_macro, m06_exact, m07_family_macro, m07_exact, m08_partitions, m09_gate, m12_cohorts, m13_model_pairs, m13_bases, m14_errors)}
 
 _BY_PARTITION = f"""WITH t AS ({ORDER_TRIALS_SQL}), counts AS (SELECT "partition", family_id, case_id, {COUNTS} FROM t GROUP BY ALL), {QUESTIONS}"""
 SQL = {
@@ -121,6 +150,14 @@ SELECT status, dimension, count(*) AS slots FROM s, (VALUES ('answer'), ('logica
     "m04_qualified": f"""WITH t AS ({ORDER_TRIALS_SQL}), g AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'requires_review' ELSE 'rejected' END AS gold_status FROM orders)
 SELECT gold_status, gold_status = 'accepted' AS eligible, verdict AS submitted, CASE WHEN gold_status = 'accepted' THEN verdict ELSE 'needs_review' END AS verdict, count(*) AS trials FROM t JOIN g ON case_id = o_orderkey GROUP BY ALL""",
     "m05_first_attempt": "SELECT l_orderkey AS case_id, max(CASE WHEN l_linenumber = 1 THEN CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 0 END END) AS first_attempt FROM lineitem GROUP BY 1",
+    "m06_exact": f"""{_BY_PARTITION}, {_COMMON},
+g AS (SELECT "partition", metric, count(*) AS questions, count(*) FILTER (WHERE status = 'complete') = count(*) AS whole, count(lower_num) = count(*) AS bounded, dk * count(*) AS d, sum(lower_num * (dk // nullif(den, 0))) AS l, sum(upper_num * (dk // nullif(den, 0))) AS u FROM questions JOIN common USING ("partition", metric) GROUP BY "partition", metric, dk)
+SELECT "partition", metric, questions, {_LOWEST} FROM g""",
+    "m07_exact": f"""WITH t AS (SELECT * REPLACE ((family_id % 2)::VARCHAR AS "partition") FROM ({ORDER_TRIALS_SQL}) WHERE family_id % 2 = 0 OR verdict <> 'needs_review'), counts AS (SELECT "partition", family_id, case_id, {COUNTS} FROM t GROUP BY ALL), {QUESTIONS}, {_COMMON},
+f AS (SELECT "partition", family_id, metric, dk, count(*) AS q, count(*) FILTER (WHERE status = 'complete') = count(*) AS whole, count(lower_num) = count(*) AS bounded, sum(lower_num * (dk // nullif(den, 0))) AS l, sum(upper_num * (dk // nullif(den, 0))) AS u FROM questions JOIN common USING ("partition", metric) GROUP BY ALL),
+c AS (SELECT "partition", metric, {_LCM.format("q")} AS k FROM f GROUP BY ALL),
+g AS (SELECT "partition", metric, count(*) AS families, sum(q)::BIGINT AS questions, bool_and(whole) AS whole, bool_and(bounded) AS bounded, dk * k * count(*) AS d, sum(l * (k // q)) AS l, sum(u * (k // q)) AS u FROM f JOIN c USING ("partition", metric) GROUP BY "partition", metric, k, dk)
+SELECT "partition", metric, families, questions, {_LOWEST} FROM g""",
     "m06_question_macro": f'{_BY_PARTITION}, g AS (SELECT "partition", metric, {MACRO} FROM questions GROUP BY ALL) SELECT "partition", metric, questions, complete, underbudget, {MEANS}, round(complete_only, 6) AS complete_only FROM g',
     "m07_family_macro": f'{_BY_PARTITION}, f AS (SELECT "partition", family_id, metric, {MACRO} FROM questions GROUP BY ALL), g AS (SELECT "partition", metric, count(*) AS families, sum(questions)::BIGINT AS questions, CASE WHEN count(point) = count(*) THEN avg(point) END AS point, CASE WHEN count(lower) = count(*) THEN avg(lower) END AS lower, CASE WHEN count(lower) = count(*) THEN avg(upper) END AS upper FROM f GROUP BY ALL) SELECT "partition", metric, families, questions, {MEANS} FROM g',
     "m08_partitions": f"""WITH t AS (SELECT * REPLACE (CASE substr("partition", 1, 1) WHEN '1' THEN 'primary' WHEN '2' THEN 'node' END AS "partition") FROM ({ORDER_TRIALS_SQL}) WHERE substr("partition", 1, 1) IN ('1', '2')), counts AS (SELECT "partition", case_id, {COUNTS} FROM t GROUP BY ALL), {QUESTIONS},

@@ -19,8 +19,11 @@ CUSTOMER = "c_custkey long, c_name string, c_nationkey int"
 
 
 def _path(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; a folder of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-hopmill-')}"
+    """A new path in the folder that driver and executors share; one of our own only in local mode where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='spark-hopmill-')}"
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,7 +56,7 @@ def s03_folder(spark, sf_dir):
 
 
 def s04_relations(spark, sf_dir):
-    cells = F.when(F.col("c_custkey") % 50 == 0, F.concat_ws(",", "c_name", F.lit(""), F.lit("of"), "c_mktsegment")).when(F.col("c_custkey") % 50 == 1, F.concat_ws(",", "c_name", "c_nationkey")).when(F.col("c_custkey") % 50 == 2, "").otherwise(F.concat_ws(",", "c_name", F.concat(F.lit(" n"), "c_nationkey"), F.lit("of"), "c_mktsegment"))
+    cells = F.when(F.col("c_custkey") % 50 == 0, F.concat_ws(",", "c_name", F.lit(""), F.lit("of"), "c_mktsegment")).when(F.col("c_custkey") % 50 == 1, F.concat_ws(",", "c_name", "c_nationkey")).when(F.col("c_custkey") % 50 == 2, "").otherwise(F.concat_ws(",", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('"'), "c_name", F.lit(', ""x"""'))).otherwise(F.col("c_name")), F.concat(F.lit(" n"), "c_nationkey"), F.lit("of"), "c_mktsegment"))
     lines = _customers(spark, sf_dir).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("c_custkey", cells.alias("v")))).alias("_l"))
     text = F.concat(F.lit("﻿head,tail,relation,label\n"), F.array_join(F.transform("_l", lambda s: s["v"]), "\n"))
     rows, bad = R.read_relations(spark, f"{_write_files(lines.select('chunk', text.alias('value')), 'relations', 'text')}/chunk=*", True)
@@ -99,8 +102,8 @@ SQL = {
     "s01_lines": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
     "s02_lists": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "s03_folder": f"WITH {_CHUNKS} SELECT 'job-' || chunk AS job_id, count(*) AS rows, sum(c_nationkey)::BIGINT AS total, 1::BIGINT AS files FROM c GROUP BY chunk",
-    "s04_relations": f"""WITH {_CHUNKS}, r AS (SELECT (row_number() OVER (PARTITION BY chunk ORDER BY c_custkey) + 1)::INT AS source_row, c_custkey % 50 AS m, c_name, c_nationkey, c_mktsegment FROM c)
-SELECT source_row, CASE WHEN m > 2 THEN c_name END AS head, CASE WHEN m > 2 THEN 'n' || c_nationkey END AS tail, CASE WHEN m > 2 THEN 'of' END AS relation, CASE WHEN m > 2 THEN c_mktsegment END AS label,
+    "s04_relations": f"""WITH {_CHUNKS}, r AS (SELECT (row_number() OVER (PARTITION BY chunk ORDER BY c_custkey) + 1)::INT AS source_row, c_custkey % 50 AS m, c_custkey AS k, c_name, c_nationkey, c_mktsegment FROM c)
+SELECT source_row, CASE WHEN m > 2 THEN c_name || CASE WHEN k % 3 = 0 THEN ', "x"' ELSE '' END END AS head, CASE WHEN m > 2 THEN ' n' || c_nationkey END AS tail, CASE WHEN m > 2 THEN 'of' END AS relation, CASE WHEN m > 2 THEN c_mktsegment END AS label,
   CASE m WHEN 0 THEN c_name || ',,of,' || c_mktsegment WHEN 1 THEN c_name || ',' || c_nationkey END AS bad FROM r WHERE m <> 2""",
     "s05_projection": "SELECT o_orderkey, o_orderpriority FROM orders",
     "s07_manifest": f"""WITH {_CHUNKS}, f AS (SELECT chunk, string_agg(c_custkey || ' ' || c_name, chr(10) ORDER BY c_custkey) || chr(10) AS t FROM c GROUP BY 1)

@@ -26,20 +26,34 @@ def read_folder(spark: SparkSession, folder: str, schema: str | StructType) -> D
     return rows.select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
+def _cells(record: Column) -> Column:
+    """The cells of a CSV record: quoted ones without their quotes, doubled quotes as one, nothing trimmed."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',((?:[^",]++|"[^"]*+(?:"|\z))*+)'), F.lit(1))
+    inner = lambda c: F.transform(F.split(c, '"', -1), lambda p, i: F.when((p == "") & (i % 2 == 0) & (i > 0), '"').otherwise(p))
+    # of the parts between quotes, an empty one outside (but the last) stands for a doubled quote
+    text = lambda c: F.array_join(F.concat(F.slice(inner(c), F.lit(1), F.size(F.split(c, '"', -1)) - 1), F.array(F.element_at(F.split(c, '"', -1), -1))), "")
+    return F.transform(cells, lambda c: F.when(c.startswith('"'), text(c)).otherwise(c))
+
+
 def read_relations(spark: SparkSession, path: str, header: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, violations) of a relation library: head, tail, relation, label with a header, and a leading id without one.
 
-    Lines are text with numbers from 1 by file (source_row); a leading byte order mark goes, empty lines are skipped,
-    and a line with another number of cells or an empty cell is a violation. A library is one file, whose lines are
-    numbered in one pass of one task; libraries are small by their nature.
+    Files are CSV: quoted cells may hold commas, quotes (doubled) and line ends; nothing is trimmed. Records are numbered
+    from 1 by file (source_row); a leading byte order mark goes, empty lines are skipped. A first record that is not the
+    header is a violation (bad_header), and so is a record with another number of cells or an empty cell (bad_line). A
+    library is one file, whose records are numbered in one pass of one task; libraries are small by their nature.
     """
     names = ["head", "tail", "relation", "label"] if header else ["id", "head", "tail", "relation", "label"]
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("_n", "line"))
-    rows = raw.select("file_path", (F.col("_n") + 1).alias("source_row"), "line").where(F.trim("line") != "")
-    rows = rows.where(F.col("source_row") > 1) if header else rows
-    rows = rows.withColumn("_c", F.transform(F.split("line", ","), lambda x: F.trim(x)))
+    text = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n")
+    records = F.regexp_extract_all(text, F.lit(r'((?:[^"\n]++|"[^"]*+(?:"|\z))*+)(?:\n|\z)'), F.lit(1))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(records).alias("_n", "line"))
+    rows = raw.select("file_path", (F.col("_n") + 1).alias("source_row"), "line").where("line <> ''").withColumn("_c", _cells(F.col("line")))
+    top = F.lit(header) & (F.col("source_row") == 1)
+    titles = F.col("_c") == F.array(*map(F.lit, names))
     good = (F.size("_c") == len(names)) & ~F.exists("_c", lambda x: x == "")
-    return rows.where(good).select("file_path", "source_row", *(F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(names))), rows.where(~good).select(F.lit("bad_line").alias("check"), F.concat_ws(":", "file_path", "source_row").alias("key"), F.col("line").alias("detail"))
+    check = F.when(top, F.when(~titles, "bad_header")).when(~good, "bad_line")
+    bad = rows.withColumn("check", check).where("check is not null").select("check", F.concat_ws(":", "file_path", "source_row").alias("key"), F.col("line").alias("detail"))
+    return rows.where(~top & good).select("file_path", "source_row", *(F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(names))), bad
 
 
 def write_projection(df: DataFrame, path: str, allowed: list[str]) -> None:

@@ -129,3 +129,24 @@ def test_distractors_by_hand(spark):
     got = {(r.node_id, r.fact_id): r.kind for r in G.distractors(nodes, t, t.where("fact_id = 'legal'")).collect()}
     assert {k[1]: v for k, v in got.items() if k[0] == "n"} == {"late": "out_of_period", "kin": "other_relation", "far": "other_upstream", "one": "continuation", "two": "continuation"}
     assert {k[1] for k, v in got.items() if k[0] == "back" and v == "other_upstream"} == {"kin", "one", "two", "three", "value"}
+
+
+def test_path_shape_against_its_query(spark):
+    steps = [("short", 1, "s", "a", True, False), ("start", 1, "x", "a", True, False), ("start", 2, "a", "t", True, False), ("end", 1, "s", "a", True, False), ("end", 2, "a", "z", True, False), ("any", 1, "s", "a", True, False), ("any", 2, "a", "z", True, False), ("clash", 1, "s", None, True, True), ("clash", 2, "a", "t", True, False), ("open", 1, None, "a", True, False), ("open", 2, "a", None, True, False), ("good", 1, "s", "a", True, False), ("good", 2, "a", "t", True, False)]
+    rows = spark.createDataFrame(steps, "item_id string, step_no int, from_id string, to_id string, role_ok boolean, to_conflict boolean")
+    ask = [(i, 2, "s", [] if i == "any" else ["t"]) for i in ("short", "start", "end", "any", "clash", "open", "good", "absent")]
+    got = {r.item_id: r.shape for r in G.path_shape(rows, spark.createDataFrame(ask, "item_id string, length int, start string, targets array<string>")).collect()}
+    assert got == {"short": "incorrect", "start": "incorrect", "end": "incorrect", "any": "correct", "clash": "incorrect", "open": "needs_semantic_review", "good": "correct", "absent": "incorrect"}
+
+
+def test_question_depths(spark):
+    nodes = [("long", f"n{i}", [f"n{i - 1}"] if i else []) for i in range(10_000)] + [("p", "a", []), ("p", "b", ["a"]), ("loop", "a", ["b"]), ("loop", "b", ["a"])]
+    proofs = [("q1", "long"), ("q1", "p"), ("q2", "long"), ("q3", "loop"), ("q3", "p"), ("q4", "bare")]
+    got = G.question_depths(spark.createDataFrame([(f"q{i}",) for i in range(1, 6)], "question_id string"), spark.createDataFrame(nodes, "proof_id string, node_id string, dependencies array<string>"), spark.createDataFrame(proofs, "question_id string, proof_id string"))
+    assert {r.question_id: r.depth for r in got.collect()} == {"q1": 2, "q2": 10_000, "q3": None, "q4": 0, "q5": 0}
+
+
+def test_chinese_labels(spark):
+    rows = spark.createDataFrame([("a", "b", "父亲"), ("a", "b", "女儿"), ("a", "b", "母亲"), ("a", "b", "儿子"), ("a", "b", "uncle")], "head string, tail string, label string")
+    assert sorted((r.label, r.parent, r.child, r.parent_role) for r in G.normal_relations(rows).select("*").collect()) == sorted((r, p, c, role) for r, p, c, role in [(x.label, x.parent, x.child, x.parent_role) for x in G.normal_relations(rows).collect()])
+    assert [r.parent_role for r in G.normal_relations(rows).orderBy("label").collect()] == ["parent", "parent", "mother", "father"]

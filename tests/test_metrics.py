@@ -1,4 +1,5 @@
 import math
+import random
 from fractions import Fraction
 from itertools import combinations, product
 
@@ -87,8 +88,14 @@ def test_pairs_and_stability(spark):
 
 
 def test_hint_stratum_and_empty_tables(spark):
-    h = spark.createDataFrame([("a", "noise", "warning"), ("a", "base_proof", "match"), ("b", "noise", "warning"), ("c", "noise", "match")], "case_id string, relevance string, kind string")
-    assert {r.case_id: r.stratum for r in X.hint_stratum(h).collect()} == {"a": "proof_hint", "b": "warning_only", "c": "noise_hint"}
+    rows = [("a", "noise_fact", "warning", False), ("a", "base_proof", "matches", False), ("b", "base_proof", "warning", False), ("c", "noise_fact", "matches", False), ("d", "unassigned", "omissions", False), ("e", "noise_fact", "matches", False), ("e", "unassigned", "matches", False), ("f", "base_proof", "matches", True)]
+    h = spark.createDataFrame(rows, "case_id string, relevance string, kind string, excluded boolean")
+    cases = spark.createDataFrame([(c,) for c in "abcdefg"], "case_id string")
+    other, none = "nonproof_or_unassigned_only", "empty_fact_hints"
+    assert {r.case_id: r.stratum for r in X.hint_stratum(h, cases=cases).collect()} == {"a": "base_proof_related", "b": none, "c": "noise_only", "d": other, "e": other, "f": none, "g": none}
+    facts = spark.createDataFrame([("a", 1), ("a", 2)], "case_id string, fact_id int")
+    seen = X.hint_relevance(spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("a", None)], "case_id string, fact_id int"), facts.where("fact_id = 1"), facts)
+    assert sorted((r.fact_id or 0, r.relevance) for r in seen.collect()) == [(0, "unassigned"), (1, "base_proof"), (2, "noise_fact"), (3, "unassigned")]
     empty = spark.createDataFrame([], "case_id string, verdict string")
     assert M.question_metrics(M.verdict_counts(empty, ["case_id"])).count() == 0
 
@@ -98,3 +105,31 @@ def test_estimates_of_many_trials(spark):
     for (n, c), x in zip(((7000, 3), (1_000_000, 999_999)), r, strict=True):
         want = 1 - Fraction(math.comb(n - c, 5), math.comb(n, 5))
         assert abs(x.v - float(want)) < 1e-12 and Fraction(int(x.f.numerator), int(x.f.denominator)) == want
+
+
+def test_exact_means(spark):
+    rng = random.Random(2)
+    counts = [(f"f{rng.randrange(6)}", (n := rng.randint(5, 11)), (p := rng.randint(0, n)), rng.randint(0, n - p) if rng.random() < 0.5 else 0) for _ in range(80)] + [("big", 7000, 3, 0), ("big", 9001, 9000, 1)]
+    df = spark.createDataFrame([(f, n, p, u) for f, n, p, u in counts], "family_id string, n long, passed long, unknown long")
+
+    def value(n, c, k, every):
+        return Fraction(math.comb(c, k), math.comb(n, k)) if every else 1 - Fraction(math.comb(n - c, k), math.comb(n, k))
+
+    questions = {r.metric: r for r in M.exact_means(M.verdict_classes(df, []), []).collect()}
+    families = {r.metric: r for r in M.exact_means(M.verdict_classes(df, ["family_id"]), [], "family_id").collect()}
+    text = lambda x: (str(x.numerator), str(x.denominator), float(x))
+    for name, (k, every) in M.METRICS.items():
+        low = [(f, value(n, p, k, every)) for f, n, p, u in counts]
+        high = [(f, value(n, p + u, k, every)) for f, n, p, u in counts]
+        for side, each in (("lower", low), ("upper", high)):
+            assert tuple(questions[name][side]) == text(sum(v for _, v in each) / len(each))
+            names = {f for f, _ in each}
+            means = [sum(v for g, v in each if g == f) / sum(g == f for g, _ in each) for f in names]
+            assert tuple(families[name][side]) == text(sum(means) / len(means))
+        assert questions[name].point is None and families[name].families == len({f for f, *_ in counts})
+    done = M.exact_means(M.verdict_classes(df.where("unknown = 0"), []), []).where("metric = 'pass@1'").first()
+    known = [value(n, p, 1, False) for _, n, p, u in counts if not u]
+    assert tuple(done.point) == tuple(done.lower) == text(sum(known) / len(known))
+    short = M.exact_means(M.verdict_classes(spark.createDataFrame([(4, 4, 0)], "n long, passed long, unknown long"), []), []).where("metric = 'pass^5'").first()
+    assert short.lower is None and short.questions == 1
+    assert M.exact_means(M.verdict_classes(df.limit(0), []), []).count() == 0
