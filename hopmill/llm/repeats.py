@@ -153,6 +153,34 @@ def _unlike(text: np.ndarray, begin: np.ndarray, size: np.ndarray, same: np.ndar
     return out
 
 
+def _window_prints(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the window at each place."""
+    prints = np.zeros(len(at), np.uint64)
+    for k in range(length):
+        prints = mixed(prints + data[at + k] + np.uint64(1))
+    return prints
+
+
+def _words(windows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words, the last one filled up."""
+    out = np.zeros((len(windows), -(-windows.shape[1] // 8) * 8), np.uint8)
+    out[:, : windows.shape[1]] = windows
+    return out.view(np.uint64)
+
+
+def _by_bytes(prints: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash, and by bytes where hashes are equal, and what differs in it from the one before."""
+    by = np.argsort(prints, kind="stable")
+    for again in (False, True):
+        if again:
+            by = np.lexsort((*words.T, prints))
+        same = prints[by][1:] == prints[by][:-1]
+        unlike = np.append(True, (words[by][1:] != words[by][:-1]).any(1))
+        if not (unlike[1:] & same).any():
+            break
+    return by, unlike
+
+
 def _shards(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
     """(first byte, end, first document, after the last) of a bundle's shards: whole documents, or a long one's pieces, which overlap by length - 1 bytes."""
     i = 0
@@ -232,10 +260,10 @@ class Bundle:
         self.head = self.run[by[heads]]  # one run of each variant, by key
 
     def windows(self, hot: np.ndarray) -> None:
-        """The windows under hot keys: each one's place and document's id, and its distinct hash (128 bits), with the smallest id of that in the bundle."""
+        """The windows under hot keys: each one's place and document's id; and the distinct ones by hash and bytes: a place of each, with the smallest id in the bundle."""
         run = np.flatnonzero(hot[self.of])
-        self.hot_hash, self.hot_more, self.hot_least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.hot_at = self.hot_of = self.hot_id = np.zeros(0, np.int64)
+        self.hot_hash, self.hot_least = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hot_at = self.hot_of = self.hot_id = self.hot_head = np.zeros(0, np.int64)
         if not len(run):
             return
         many = self.last[run] - self.first[run] + 1
@@ -243,17 +271,16 @@ class Bundle:
         fresh = ~self.inside[at]
         self.hot_at = at = at[fresh]
         self.hot_id = np.repeat(self.ids[self.doc[run]], many)[fresh]
-        prints, more = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        for k in range(self.length):
-            prints = mixed(prints + self.data[at + k] + np.uint64(1))
-            more = more * np.uint64(0xD6E8FEB86659FD93) + self.data[at + k] + np.uint64(1)
-        more = mixed(more)
-        by = np.lexsort((more, prints))
-        new = np.concatenate(([True], (prints[by][1:] != prints[by][:-1]) | (more[by][1:] != more[by][:-1])))
+        prints = _window_prints(self.data, at, self.length)
+        by = np.argsort(prints, kind="stable")
+        same = np.append(False, prints[by][1:] == prints[by][:-1])
+        new = _unlike(self.data, at[by], np.full(len(at), self.length), same)
+        if (new & same).any():  # different bytes under one hash
+            by, new = _by_bytes(prints, _words(self.data[at[:, None] + np.arange(self.length)]))
         heads = np.flatnonzero(new)
         self.hot_of = np.empty(len(by), np.int64)
         self.hot_of[by] = np.cumsum(new) - 1
-        self.hot_hash, self.hot_more = prints[by[heads]], more[by[heads]]
+        self.hot_hash, self.hot_head = prints[by[heads]], at[by[heads]]
         self.hot_least = np.minimum.reduceat(self.hot_id[by], heads)
 
     def covered(self, marks: list, cuts: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -472,7 +499,8 @@ def _stretches_sent(length: int, bits: int, bits2: int):
                 yield _sent(row, STRETCHES, cuts, sent=(low, ()), more=((size - length).astype(np.uint8), ()), least=(b.least, ()), text=text)
             if len(b.hot_hash):
                 cuts = _cuts(b.hot_hash, bits2)
-                yield _sent(row, WINDOWS, cuts, sent=(b.hot_hash, ()), more=(b.hot_more, ()), least=(b.hot_least, ()), text=(np.zeros(0, np.uint8), 0 * cuts))
+                text = _gathered(b.data, b.hot_head, np.full(len(b.hot_head), length)), length * cuts
+                yield _sent(row, WINDOWS, cuts, sent=(b.hot_hash, ()), more=(np.zeros(0, np.uint8), 0 * cuts), least=(b.hot_least, ()), text=text)
 
     return of
 
@@ -480,7 +508,7 @@ def _stretches_sent(length: int, bits: int, bits2: int):
 def _stretches_merged(length: int):
     def of(rows: pa.Table) -> pa.Table:
         release()
-        return (_windows_merged if rows["kind"][0].as_py() == WINDOWS else _variants_merged(length))(rows)
+        return (_windows_merged(length) if rows["kind"][0].as_py() == WINDOWS else _variants_merged(length))(rows)
 
     return of
 
@@ -532,15 +560,17 @@ def _variants_merged(length: int):
     return of
 
 
-def _windows_merged(rows: pa.Table) -> pa.Table:
-    """Windows under hot keys that another bundle has in a document with a smaller id than any of this one."""
-    ids, sizes = _received(rows["least"], np.int64)
-    prints, more = (_received(rows[c], np.uint64)[0] for c in ("sent", "more"))
-    by = np.lexsort((more, prints))
-    new = np.append(True, (prints[by][1:] != prints[by][:-1]) | (more[by][1:] != more[by][:-1]))
-    best = np.empty(len(ids), np.int64)
-    best[by] = np.minimum.reduceat(ids[by], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return _marked(rows, sizes, marks=best < ids)
+def _windows_merged(length: int):
+    def of(rows: pa.Table) -> pa.Table:
+        """Windows under hot keys that another bundle has in a document with a smaller id than any of this one."""
+        ids, sizes = _received(rows["least"], np.int64)
+        prints, text = _received(rows["sent"], np.uint64)[0], _received(rows["text"], np.uint8)[0]
+        by, new = _by_bytes(prints, _words(text.reshape(-1, length)))
+        best = np.empty(len(ids), np.int64)
+        best[by] = np.minimum.reduceat(ids[by], np.flatnonzero(new))[np.cumsum(new) - 1]
+        return _marked(rows, sizes, marks=best < ids)
+
+    return of
 
 
 def _removed(length: int, bits: int, bits2: int):
@@ -596,13 +626,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
        one key, a merge builds the suffix array and the common prefixes. A window is marked if its class has a smaller
        document key.
     4. Under a key held by more than `hot` bundles (HOT) stretches are not sent, since all of a key go to one task: each
-       bundle sends a 128-bit hash of each distinct window with its smallest document key, to merges by range of that hash.
+       bundle sends each distinct window with its smallest document key, to merges by range of the window's hash.
     5. Marks give each bundle its removed bytes.
 
     A stretch or window of a hot passage is sent once by each bundle, whatever its count. Sending whole suffix arrays
     would take 8 bytes or more for each byte of the corpus; the keys (about a third of a byte for each byte) leave only
-    what may repeat. Hashes only choose what meets, bytes decide what is equal; but for windows of hot keys, which are
-    equal if 128 bits are.
+    what may repeat. Hashes only choose what meets, bytes decide what is equal, also under hot keys.
 
     Nulls: a null text is empty; a null key counts as larger than all others. Rows that share a key are not smaller than
     each other. spans are removed stretches (start, end in bytes). An empty table gives an empty one. Other columns are

@@ -162,6 +162,20 @@ def test_repeats_with_equal_prints_and_keys(spark, monkeypatch):
     assert {r["_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute.repeats(docs)
 
 
+@pytest.mark.parametrize("collide", [True, False])
+def test_repeats_confirms_windows_of_hot_keys(monkeypatch, collide):
+    """Every key is hot and all windows have one hash: bytes decide."""
+    docs = list(enumerate(hot_texts(60, 6)))
+    if collide:
+        monkeypatch.setattr(repeats, "_window_prints", lambda data, at, length: np.zeros(len(at), np.uint64))
+    rows = bundles([t for _, t in docs[:20]], [t for _, t in docs[20:40]], [t for _, t in docs[40:]])
+    for name, sent, merge in (("marks", repeats._keys_sent(50, 5), repeats._keys_merged(1)), ("more", repeats._stretches_sent(50, 5, 5), repeats._stretches_merged(50))):
+        for r, marks in zip(rows, merged(rows, sent, merge), strict=True):
+            r[name] = marks
+    out = pa.Table.from_batches(list(repeats._removed(50, 5, 5)(iter([pa.RecordBatch.from_pylist(rows)])))).to_pylist()
+    assert {r["_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute.repeats(docs)
+
+
 def test_repeats_across_shards_of_a_bundle_and_bundles(spark, monkeypatch):
     docs = list(enumerate(hot_texts(300, 7)))
     for shard, bundle in ((500, 3000), (3000, 20000), (1 << 17, 300)):
