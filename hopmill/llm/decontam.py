@@ -129,7 +129,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     rows = docs.select(F.col(key).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.col(text).alias("_raw"))
     pair = ["_id", "_text", "_item", "_reading"]
     # which windows are there at all: a document's distinct hashes, however often it repeats them
-    there = _places(rows, lengths).join(small(stash(wanted.select("_hash").distinct(), "hashes")), "_hash", "left_semi").select("_id", "_text", "_hash").distinct()
+    # an inner join: a semi join would move below the hashing and hash again for its key
+    there = _places(rows, lengths).join(small(stash(wanted.select("_hash").distinct(), "hashes")), "_hash").select("_id", "_text", "_hash").distinct()
     held = there.join(small(wanted), "_hash").groupBy(*pair).agg(F.count("*").alias("_all"))
     held = held.join(small(stash(listed, "listed")), ["_item", "_reading"])
     enough = F.least(F.ceil(COVERED * F.size("_windows")), F.lit(ALIGNED - WINDOW + 1))
