@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hopmill.operators import families as V
+from hopmill.operators import graph as G
+from hopmill.operators import provenance as P
 from hopmill.plans.bindings import table
 from hopmill.plans.review_queries import LINES, lines
 
@@ -64,6 +66,62 @@ def v10_corruptions(spark, sf_dir):
     return j.select("family_id", F.col("g_answer").alias("answer"), F.col("g_status").alias("status"), F.array_join("g_proof", ",").alias("proof"), (changed == says).alias("as_its_kind"))
 
 
+def _flow(spark, sf_dir):
+    """(packets, units, evidence, proofs) of orders: line n is a fact, of the first step (start to a middle) if n is odd, else of the second.
+
+    Its unit says so in `rel`, and the unit two lines on says it again in `also`.
+    """
+    x = lines(spark, sf_dir).select(F.col("l_orderkey").alias("family_id"), F.col("l_linenumber").cast("int").alias("ln"), "partkey", "suppkey", "returnflag")
+    u = lambda n: F.concat(F.lit("u"), n)
+    x = x.withColumns({"unit_id": u(F.col("ln")), "also": F.when(F.col("ln") > 2, F.concat(F.lit("also "), u(F.col("ln") - 2), F.lit("."))), "rel": F.concat(F.lit("rel "), u(F.col("ln")), F.lit(" end."))})
+    pad = F.concat(F.lit("pad "), u(F.col("ln")), F.lit("."))
+    units = x.select("family_id", "unit_id", F.concat_ws(" ", F.lit("Sam met"), "rel", pad, "also").alias("text"))
+    of = lambda when, what=F.col("unit_id"): F.array_sort(F.collect_list(F.when(when, what)))
+    base = F.col("returnflag") != "R"
+    cut = F.struct("ln", "unit_id", "rel", "also", pad.alias("pad"))
+    p = x.groupBy("family_id").agg(of(base).alias("base_unit_ids"), of(~base & (F.col("suppkey") % 2 == 0)).alias("distractor_ids"), of(~base & (F.col("suppkey") % 2 == 1)).alias("irrelevant_ids"), of(base, cut).alias("_b"))
+    k = F.col("family_id") % 3
+    some = lambda c, rows, quote: F.transform(rows, lambda r: F.struct(F.lit(c).alias("condition"), r["unit_id"].alias("unit_id"), quote(r).alias("quote")))
+    none = F.array().cast("array<struct<condition string, unit_id string, quote string>>")
+    head, tail, odd = F.slice("_b", 1, 1), F.slice(F.reverse("_b"), 1, 1), F.filter("_b", lambda r: r["ln"] % 2 == 1)
+    deletions = F.concat(
+        some(P.NECESSARY, F.when(F.col("family_id") % 2 == 0, odd).otherwise(F.slice(odd, 1, 1)), lambda r: r["rel"]),
+        some("irrelevant_deleted", head, lambda r: r["pad"]),
+        F.when(k == 0, some(P.ABSENT, F.col("_b"), lambda r: F.lit("Sam"))).otherwise(none),
+        F.when(k == 1, some(P.REDUNDANT, F.filter(tail, lambda r: r["also"].isNotNull()), lambda r: r["also"])).otherwise(none),
+        F.when(k == 2, some(P.ALTERNATIVE, tail, lambda r: r["rel"])).otherwise(none))
+    reason = lambda c, when: F.when(when, F.struct(F.lit(c).alias("condition"), F.lit("none here").alias("reason")))
+    reasons = F.array_compact(F.array(*(reason(c, k != i) for i, c in enumerate(P.OPTIONAL))))
+    residual = F.when(F.col("family_id") % 7 == 0, F.array(F.lit(P.NECESSARY))).otherwise(F.array().cast("array<string>"))
+    packets = p.select("family_id", "base_unit_ids", "distractor_ids", "irrelevant_ids", deletions.alias("deletions"), F.array(F.lit("Sam"), F.lit("Sal")).alias("start_names"), reasons.alias("not_applicable"), residual.alias("residual"))
+    fact = lambda n: F.concat(F.lit("f"), n)
+    evidence = x.select("family_id", fact(F.col("ln")).alias("fact_id"), F.lit(1).alias("group_no"), "unit_id", F.col("rel").alias("quote")).unionByName(x.where("ln > 2").select("family_id", fact(F.col("ln") - 2).alias("fact_id"), F.lit(2).alias("group_no"), "unit_id", F.col("also").alias("quote")))
+    evidence = evidence.join(x.select("family_id", fact(F.col("ln")).alias("fact_id")), ["family_id", "fact_id"], "left_semi")  # some orders lack a line between
+    first = F.col("ln") % 2 == 1
+    middle = lambda c: F.concat(F.lit("m"), F.col(c) % 2)
+    facts = x.select(F.col("family_id").alias("owner_id"), fact(F.col("ln")).alias("fact_id"), F.when(first, "start").otherwise(middle("suppkey")).alias("child"), F.when(first, middle("partkey")).otherwise(F.concat(F.lit("a"), F.col("partkey") % 2)).alias("parent"), F.lit("parent").alias("parent_role"), F.lit("s").alias("scope"))
+    asks = packets.select(F.col("family_id").alias("query_id"), F.col("family_id").alias("owner_id"), F.lit("start").alias("start"))
+    steps = asks.select("query_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("hop"), F.lit("parent").alias("role"), F.lit("s").alias("scope"))
+    proofs = G.parent_paths(asks, steps, facts, hops=2).select(F.col("query_id").alias("family_id"), F.element_at("entities", -1).alias("answer"), "facts")
+    return packets, units, evidence, proofs
+
+
+def _family_flow(spark, sf_dir):
+    packets, units, evidence, proofs = _flow(spark, sf_dir)
+    contexts, _, _ = P.family_contexts(packets, units)
+    return packets, contexts, P.solved_families(proofs, *P.support_bits(evidence, contexts))
+
+
+def v01_flow(spark, sf_dir):
+    _, _, solved = _family_flow(spark, sf_dir)
+    return solved.select("family_id", "condition", "status", F.array_join("answers", ",").alias("answers"), F.array_join("proofs", ",").alias("proofs"), F.array_join(F.transform(F.map_entries("support"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("support"))
+
+
+def v02_flow(spark, sf_dir):
+    packets, contexts, solved = _family_flow(spark, sf_dir)
+    return P.family_violations(packets, solved, contexts)
+
+
 def v13_records(spark, sf_dir):
     x = lines(spark, sf_dir)
     at = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c.alias("v")))), lambda s: s["v"])
@@ -73,7 +131,7 @@ def v13_records(spark, sf_dir):
     return V.flatten_proofs(paths, facts)
 
 
-QUERIES = {f.__name__: f for f in (v01_conditions, v02_invariants, v03_residual, v10_corruptions, v13_records)}
+QUERIES = {f.__name__: f for f in (v01_conditions, v02_invariants, v01_flow, v02_flow, v03_residual, v10_corruptions, v13_records)}
 
 _SOLVED = f"""{LINES}, x AS (SELECT *, 'u' || l_linenumber AS unit_id, row_number() OVER (PARTITION BY l_orderkey, returnflag ORDER BY 'u' || l_linenumber) = 1 AS head FROM lines),
 conditions AS (SELECT * FROM (VALUES ('base', 'A'), ('main_distractor', 'AN'), ('irrelevant_addition', 'AR'), ('{NECESSARY}', 'A'), ('irrelevant_deleted', 'A')) AS v("condition", flags)),
@@ -81,7 +139,32 @@ rows AS (SELECT l_orderkey AS family_id, "condition", unit_id, (partkey % 3)::VA
 found AS (SELECT family_id, "condition", list_sort(list(DISTINCT entity)) AS answers, list_sort(list(DISTINCT unit_id)) AS proofs FROM rows WHERE NOT cut GROUP BY ALL),
 solved AS (SELECT family_id, "condition", coalesce(answers, []) AS answers, coalesce(proofs, []) AS proofs, CASE coalesce(len(answers), 0) WHEN 0 THEN 'insufficient_evidence' WHEN 1 THEN 'answerable' ELSE 'ambiguous' END AS status
   FROM (SELECT DISTINCT l_orderkey AS family_id, "condition" FROM lines, conditions) LEFT JOIN found USING (family_id, "condition"))"""
+_FLOW = f"""{LINES}, x AS (SELECT l_orderkey AS k, l_linenumber::INT AS ln, partkey, suppkey, returnflag <> 'R' AS base, CASE WHEN returnflag = 'R' THEN suppkey % 2 END AS extra,
+  row_number() OVER (PARTITION BY l_orderkey, returnflag <> 'R', l_linenumber % 2 ORDER BY l_linenumber) = 1 AND l_linenumber % 2 = 1 AS odd_head, max(CASE WHEN returnflag <> 'R' THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS tail FROM lines),
+c AS (SELECT DISTINCT k, "condition" FROM x JOIN (VALUES ('base', NULL), ('main_distractor', NULL), ('irrelevant_addition', NULL), ('{P.NECESSARY}', NULL), ('irrelevant_deleted', NULL), ('{P.ABSENT}', 0), ('{P.REDUNDANT}', 1), ('{P.ALTERNATIVE}', 2)) AS v("condition", m)
+  ON m IS NULL OR (k % 3 = m AND base AND (m <> 1 OR (tail = ln AND ln > 2)))),
+s AS (SELECT x.*, "condition", base AND ((c."condition" = '{P.NECESSARY}' AND ln % 2 = 1 AND (x.k % 2 = 0 OR odd_head)) OR (c."condition" = '{P.ALTERNATIVE}' AND ln = tail)) AS cut_rel, base AND c."condition" = '{P.REDUNDANT}' AND ln = tail AS cut_also
+  FROM x JOIN c ON x.k = c.k AND (base OR (c."condition" = 'main_distractor' AND extra = 0) OR (c."condition" = 'irrelevant_addition' AND extra = 1))),
+alive AS (SELECT k, "condition", 'f' || ln AS f FROM s WHERE NOT cut_rel UNION ALL SELECT k, "condition", 'f' || (ln - 2) FROM s WHERE ln > 2 AND NOT cut_also),
+shown AS (SELECT DISTINCT k, "condition" FROM s), every AS (SELECT DISTINCT k, 'f' || ln AS f FROM x),
+support AS (SELECT t.k, t."condition", e.f, count(a.f) AS n FROM shown t JOIN every e ON e.k = t.k LEFT JOIN alive a ON a.k = t.k AND a."condition" = t."condition" AND a.f = e.f GROUP BY ALL),
+proofs AS (SELECT a.k, 'f' || a.ln || '>f' || b.ln AS proof, 'f' || a.ln AS f1, 'f' || b.ln AS f2, 'a' || (b.partkey % 2) AS answer FROM x a JOIN x b ON a.k = b.k AND a.ln % 2 = 1 AND b.ln % 2 = 0 AND a.partkey % 2 = b.suppkey % 2),
+living AS (SELECT t.k, t."condition", proof, answer, f1, f2 FROM shown t JOIN proofs p ON p.k = t.k WHERE EXISTS (SELECT 1 FROM alive a WHERE a.k = t.k AND a."condition" = t."condition" AND a.f = f1) AND EXISTS (SELECT 1 FROM alive a WHERE a.k = t.k AND a."condition" = t."condition" AND a.f = f2)),
+g AS (SELECT k, "condition", list_sort(list(DISTINCT answer)) AS answers, list_sort(list(DISTINCT proof)) AS proofs FROM living GROUP BY ALL),
+solved AS (SELECT t.k AS family_id, t."condition", CASE coalesce(len(answers), 0) WHEN 0 THEN 'insufficient_evidence' WHEN 1 THEN 'answerable' ELSE 'ambiguous' END AS status, coalesce(answers, []) AS answers, coalesce(proofs, []) AS proofs FROM shown t LEFT JOIN g ON g.k = t.k AND g."condition" = t."condition")"""
 SQL = {
+    "v01_flow": f"""WITH {_FLOW}, u AS (SELECT k, "condition", string_agg(f || '=' || n, ',' ORDER BY f) AS support FROM support GROUP BY ALL)
+SELECT family_id, solved."condition", status, array_to_string(answers, ',') AS answers, array_to_string(proofs, ',') AS proofs, support FROM solved JOIN u ON u.k = family_id AND u."condition" = solved."condition" """,
+    "v02_flow": f"""WITH {_FLOW}, b AS (SELECT family_id, status AS s, answers AS a, proofs AS p FROM solved WHERE "condition" = 'base'),
+less AS (SELECT DISTINCT o.k FROM support o JOIN support n ON o.k = n.k AND o.f = n.f AND o."condition" = 'base' AND n."condition" = '{P.REDUNDANT}' AND o.n > n.n AND n.n > 0 JOIN living l ON l.k = o.k AND l."condition" = 'base' AND (l.f1 = o.f OR l.f2 = o.f)),
+j AS (SELECT *, coalesce(s = 'answerable' AND status = 'answerable' AND answers = a, false) AS same, "condition" IN ('main_distractor', 'irrelevant_addition', 'irrelevant_deleted') AS keeps FROM solved LEFT JOIN b USING (family_id)),
+o AS (SELECT DISTINCT k FROM x), h AS (SELECT k, bool_or(base) AS got, bool_or(base AND ln = tail AND ln > 2) AS more FROM x GROUP BY 1)
+SELECT family_id, "condition", unnest(list_filter([CASE WHEN "condition" = 'base' AND status <> 'answerable' THEN 'base_not_answerable' END, CASE WHEN (keeps OR "condition" IN ('{P.REDUNDANT}', '{P.ALTERNATIVE}')) AND NOT same THEN 'answer_changed' END,
+  CASE WHEN "condition" = '{P.NECESSARY}' AND status <> 'insufficient_evidence' AND family_id % 7 > 0 THEN 'proof_left' END, CASE WHEN "condition" = '{P.ABSENT}' AND status <> 'insufficient_evidence' THEN 'proof_left' END,
+  CASE WHEN "condition" = '{P.REDUNDANT}' AND family_id NOT IN (SELECT k FROM less) THEN 'support_not_reduced' END, CASE WHEN "condition" = '{P.ALTERNATIVE}' AND p IS NOT NULL AND list_has_all(proofs, p) THEN 'no_proof_removed' END,
+  CASE WHEN keeps AND p IS NOT NULL AND NOT list_has_all(proofs, p) THEN 'base_proof_lost' END,
+  CASE WHEN "condition" IN ('base', '{P.NECESSARY}') AND NOT got THEN CASE "condition" WHEN 'base' THEN 'start_not_named' ELSE 'name_lost' END END], lambda v: v IS NOT NULL)) AS "check" FROM j JOIN h ON h.k = family_id
+UNION ALL SELECT k, ['{P.ABSENT}', '{P.REDUNDANT}', '{P.ALTERNATIVE}'][(k % 3 + 1)::INT], 'no_reason' FROM h WHERE NOT got OR (k % 3 = 1 AND NOT more)""",
     "v01_conditions": f"""WITH {_SOLVED} SELECT family_id, "condition", string_agg(unit_id, ',' ORDER BY unit_id) AS units, count(*) FILTER (WHERE cut) AS cuts FROM rows GROUP BY ALL""",
     "v02_invariants": f"""WITH {_SOLVED}, b AS (SELECT family_id, status AS s, answers AS a, proofs AS p FROM solved WHERE "condition" = 'base'),
 j AS (SELECT *, "condition" IN ('main_distractor', 'irrelevant_addition', 'irrelevant_deleted') AS keeps, "condition" = '{NECESSARY}' AS gone FROM solved JOIN b USING (family_id))
