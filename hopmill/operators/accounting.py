@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopmill.operators.ranks import positions
+from hopmill.sources.shared import written
+
 PENDING = ("disputed", "unresolved", "pending")
 
 
@@ -15,17 +18,9 @@ def job_grid(cases: DataFrame, arms: list[str], repeats: Column) -> DataFrame:
 
 
 def seeded_order(jobs: DataFrame, seed: str, keys: list[str]) -> DataFrame:
-    """jobs with position (from 0) in the order of a seeded digest of their keys.
-
-    Positions are numbered within 256 slices of the digest and offset by the sizes of the slices before, so no task
-    sorts all jobs.
-    """
+    """jobs with position (from 0) in the order of a seeded digest of their keys; no task sorts more than a range of them."""
     d = F.sha2(F.concat_ws("|", F.lit(seed), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)), 256)
-    rows = jobs.withColumn("_d", d).withColumn("_slice", F.substring("_d", 1, 2))
-    sizes = rows.groupBy("_slice").count()
-    offsets = sizes.select("_slice", F.coalesce(F.sum("count").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_d", *keys)) - 1
-    return rows.join(F.broadcast(offsets), "_slice").withColumn("position", F.col("_offset") + place).drop("_d", "_slice", "_offset")
+    return positions(jobs.withColumn("_d", d), [F.col("_d"), *map(F.col, keys)]).drop("_d")
 
 
 def pending_jobs(jobs: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
@@ -285,6 +280,47 @@ def cell_coverage(expected: DataFrame, cells: DataFrame, keys: list[str]) -> Dat
     return both.withColumn("check", check).where("check is not null").select(*keys, "check")
 
 
+def coverage_findings(facts: DataFrame, cells: DataFrame, groups: DataFrame, key: str = "fact_id") -> DataFrame:
+    """(fact, unit_id, check) of the cells of facts by units against the support groups that were submitted.
+
+    facts: key, status; cells: key, unit_id, status; groups: key, group_id, anchor_unit_id, unit_ids. Checks: label (an
+    anchor is support_anchor, another member of a group support_context, any other unit not_supporting or unresolved);
+    unresolved (every such cell, as the list of open ones); concealed (a fact that is not_found with unresolved cells; no
+    unit); anchor_outside (an anchor that its own group lacks); repeated_anchor (an anchor of two groups of a fact).
+    Repeated cells are judged each; a null status of a cell is a wrong label. Keys and units are not null.
+    """
+    anchors = groups.select(key, F.col("anchor_unit_id").alias("unit_id"), F.lit("support_anchor").alias("_want"))
+    members = groups.select(key, F.explode("unit_ids").alias("unit_id"), F.lit("support_context").alias("_want"))
+    wanted = anchors.unionByName(members).groupBy(key, "unit_id").agg(F.min("_want").alias("_want"))
+    status = F.col("status")
+    fits = F.when(F.col("_want").isNull(), status.isin("not_supporting", "unresolved")).otherwise(status == F.col("_want"))
+    named = F.array_compact(F.array(F.when(~F.coalesce(fits, F.lit(False)), "label"), F.when(status == "unresolved", "unresolved")))
+    judged = cells.join(wanted, [key, "unit_id"], "left").select(key, "unit_id", F.explode(named).alias("check"))
+    open_ = cells.where(status == "unresolved").select(key)
+    none = F.lit(None).cast(cells.schema["unit_id"].dataType).alias("unit_id")
+    hidden = facts.where(status == "not_found").join(open_, key, "left_semi").select(key, none, F.lit("concealed").alias("check"))
+    outside = groups.where(~F.array_contains("unit_ids", F.col("anchor_unit_id"))).select(key, F.col("anchor_unit_id").alias("unit_id"), F.lit("anchor_outside").alias("check"))
+    twice = anchors.groupBy(key, "unit_id").count().where("count > 1").select(key, "unit_id", F.lit("repeated_anchor").alias("check"))
+    return judged.unionByName(hidden).unionByName(outside).unionByName(twice)
+
+
+def nested_groups(groups: DataFrame, keys: list[str], units: str = "group_unit_ids") -> DataFrame:
+    """(keys, units, groups, outers, outer): sets of units that lie strictly inside other sets of the same keys.
+
+    groups counts the groups with just that set, outers the distinct larger sets that hold it, outer is the least of
+    these. A set meets only the sets that hold its rarest unit, and is held against them by size and difference; groups
+    with equal sets are one. Empty and null sets are left out (support checks name them); null units count for nothing.
+    """
+    distinct = F.array_sort(F.array_distinct(F.array_compact(units)))
+    sets = written(groups.select(*keys, distinct.alias("units")).where(F.size("units") > 0).groupBy(*keys, "units").agg(F.count("*").alias("groups")), "sets")
+    held = sets.select(*keys, "units", "groups", F.explode("units").alias("_unit"))
+    often = held.groupBy(*keys, "_unit").agg(F.count("*").alias("_often"))
+    rarest = held.join(often, [*keys, "_unit"]).groupBy(*keys, "units", "groups").agg(F.min_by("_unit", F.struct("_often", "_unit")).alias("_unit"))
+    met = rarest.join(held.select(*keys, F.col("units").alias("_outer"), "_unit"), [*keys, "_unit"])
+    met = met.where((F.size("_outer") > F.size("units")) & (F.size(F.array_except("units", "_outer")) == 0))
+    return met.groupBy(*keys, "units", "groups").agg(F.count("*").alias("outers"), F.min("_outer").alias("outer"))
+
+
 def review_routing(drafts: DataFrame, receipts: DataFrame, facets: list[str]) -> DataFrame:
     """drafts with route: determinate under a declared closed world with an empty source, or by a trusted receipt that
     matches source and draft and covers all facets; else requires_review with the first reason that applies."""

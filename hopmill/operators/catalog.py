@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopmill.functions.json_text import is_json
+from hopmill.operators.ranks import positions
 
 
 def union_cohorts(cohorts: dict[str, DataFrame], key: str, payload: str) -> DataFrame:
@@ -69,17 +70,6 @@ def filter_facets(catalog: DataFrame, wanted: dict[str, list[str]], need_all: di
     return out
 
 
-def page(rows: DataFrame, order: list[Column], number: int, size: int = 12) -> DataFrame:
-    """Page `number` (from 1) of the ordered rows, clamped to the pages there are; position counts from 1.
-
-    Only the rows up to the end of the page are sorted out of each task (a top-k), never the whole table.
-    """
-    total = rows.count()
-    at = max(1, min(number, -(-total // size)))
-    top = rows.orderBy(*order).limit(at * size)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") > (at - 1) * size)
-
-
 def ranked(column: Column, order: list[str]) -> Column:
     """Place of a value in a custom order; others come last."""
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), column), F.lit(0)), F.lit(len(order) + 1))
@@ -113,23 +103,10 @@ def grid_violations(rows: DataFrame, question: str, models: list[str], digest: s
 
 
 def assign_owners(rows: DataFrame, family: str, key: str, owners: tuple[str, ...] = ("A", "B")) -> DataFrame:
-    """Owners in turn over the rows by family (null last) and key.
-
-    Places come from the sizes of families before, summed within some 256 ranges of families and offset by the totals of
-    the ranges before, so a task sorts a family or a range of families. Ranges end at a sample of the families.
-    """
-    sizes = rows.groupBy(F.col(family).alias("_family")).agg(F.count("*").alias("_n"))
-    sample = sizes.where("_family is not null").orderBy(F.xxhash64("_family"), "_family").limit(255).select("_family").collect()
-    bounds = F.array(*(F.lit(x[0]) for x in sample)) if sample else F.array()
-    slice_ = F.when(F.col("_family").isNull(), len(sample) + 1).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("_family"))) if sample else F.lit(0))
-    sizes = sizes.withColumn("_slice", slice_)
-    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.groupBy("_slice").agg(F.sum("_n").alias("_total")).select("_slice", before("_total", Window.orderBy("_slice")).alias("_offset"))
-    starts = sizes.withColumn("_start", before("_n", Window.partitionBy("_slice").orderBy("_family"))).join(F.broadcast(offsets), "_slice")
-    starts = starts.select("_family", (F.col("_start") + F.col("_offset")).alias("_start"))
-    place = F.col("_start") + F.row_number().over(Window.partitionBy(family).orderBy(key)) - 1
-    owner = F.element_at(F.array(*map(F.lit, owners)), (place % len(owners) + 1).cast("int"))
-    return rows.join(starts, F.col(family).eqNullSafe(F.col("_family"))).select(family, *(c for c in rows.columns if c != family), owner.alias("owner"))
+    """Owners in turn over the rows by family (null last) and key; a large family is split by key like any other range."""
+    placed = positions(rows, [F.col(family).asc_nulls_last(), F.col(key).asc()], "_place")
+    owner = F.element_at(F.array(*map(F.lit, owners)), (F.col("_place") % len(owners) + 1).cast("int"))
+    return placed.select(family, *(c for c in rows.columns if c != family), owner.alias("owner"))
 
 
 def review_progress(reviews: DataFrame) -> DataFrame:

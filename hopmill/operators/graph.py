@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from hopmill.sources.shared import written
+
 #: Chinese labels of library records.
 CHINESE = {"父亲": "father", "母亲": "mother", "儿子": "son", "女儿": "daughter"}
 
@@ -46,12 +48,53 @@ def parent_paths(queries: DataFrame, steps: DataFrame, facts: DataFrame, hops: i
 
 def answers(queries: DataFrame, paths: DataFrame) -> DataFrame:
     """(query_id, status, answers, proofs): distinct last entities in order; insufficient_evidence, answerable or ambiguous."""
-    found = paths.groupBy("query_id").agg(F.array_sort(F.collect_set(F.element_at("entities", -1))).alias("answers"), F.count("*").alias("proofs"))
+    return _answered(queries, paths.groupBy("query_id", F.element_at("entities", -1).alias("answer")).agg(F.count("*").alias("proofs")))
+
+
+def _answered(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """Answers of queries from (query_id, answer, proofs), one row for each answer."""
+    found = found.groupBy("query_id").agg(F.array_sort(F.collect_list("answer")).alias("answers"), F.sum("proofs").alias("proofs"))
     out = queries.select("query_id").join(found, "query_id", "left").withColumns({"answers": F.coalesce("answers", F.array().cast("array<string>")), "proofs": F.coalesce("proofs", F.lit(0))})
     n = F.size("answers")
     return out.withColumn("status", F.when(n == 0, "insufficient_evidence").when(n == 1, "answerable").otherwise("ambiguous"))
 
 
+def path_answers(queries: DataFrame, steps: DataFrame, facts: DataFrame, hops: int | None = None) -> DataFrame:
+    """answers() of parent_paths(), without listing paths; a fact_id names one fact of its owner.
+
+    Facts are reduced to those that lie on a way from the start to a last hop: by semi-joins forward from the starts, then
+    backward from the ends. On these, proofs are counted by (query, entity), hop by hop, so rows stay in proportion to
+    facts however many paths run through a hub. An entity can only repeat in a path if it occurs at two hops of the reduced
+    facts; for the queries where one does, paths are listed. Counts beyond a long raise.
+    """
+    lengths = steps.groupBy("query_id").agg(F.max("hop").alias("_hops"))
+    edge = facts.where("parent is not null").select("owner_id", F.col("child").alias("_at"), F.col("scope").alias("_scope"), "parent", "parent_role")
+    starts = queries.join(lengths, "query_id").select("query_id", "owner_id", "_hops", F.col("start").alias("_at"))
+    reached, layers = starts, []
+    for hop in range(1, _longest(steps, hops) + 1):
+        step = steps.where(F.col("hop") == hop).select("query_id", "role", F.col("scope").alias("_scope"))
+        taken = reached.where(F.col("_hops") >= hop).join(step, "query_id").join(edge, ["owner_id", "_at", "_scope"]).where((F.col("role") == "parent") | (F.col("role") == F.col("parent_role")))
+        layers.append(written(taken.groupBy("query_id", "owner_id", "_hops", "_at", "parent").agg(F.count("*").alias("_facts")), "reached"))
+        reached = layers[-1].select("query_id", "owner_id", "_hops", F.col("parent").alias("_at")).distinct()
+    for i in reversed(range(len(layers) - 1)):
+        on = layers[i + 1].select("query_id", F.col("_at").alias("parent")).distinct()
+        ends = layers[i].where(F.col("_hops") == i + 1)
+        layers[i] = written(layers[i].where(F.col("_hops") > i + 1).join(on, ["query_id", "parent"], "left_semi").unionByName(ends), "reduced")
+    if not layers:
+        return answers(queries, parent_paths(queries, steps, facts, hops))
+    seen = [layers[0].select("query_id", F.col("_at").alias("entity"), F.lit(0).alias("_hop")), *(x.select("query_id", F.col("parent").alias("entity"), F.lit(i + 1).alias("_hop")) for i, x in enumerate(layers))]
+    mixed = reduce(DataFrame.unionByName, seen).groupBy("query_id", "entity").agg((F.min("_hop") < F.max("_hop")).alias("_twice")).where("_twice").select("query_id").distinct()
+    mixed = written(mixed, "mixed")
+    proofs, found = starts.select("query_id", "_at", F.lit(1).cast("long").alias("proofs")).join(mixed, "query_id", "left_anti"), []
+    for i, layer in enumerate(layers):
+        grown = layer.join(proofs, ["query_id", "_at"]).groupBy("query_id", "_hops", "parent").agg(F.sum(F.col("_facts") * F.col("proofs")).alias("proofs"))
+        found.append(grown.where(F.col("_hops") == i + 1).select("query_id", F.col("parent").alias("answer"), "proofs"))
+        proofs = grown.where(F.col("_hops") > i + 1).select("query_id", F.col("parent").alias("_at"), "proofs")
+    listed = parent_paths(queries.join(mixed, "query_id", "left_semi"), steps.join(mixed, "query_id", "left_semi"), facts, hops, bar_facts=False)
+    listed = listed.groupBy("query_id", F.element_at("entities", -1).alias("answer")).agg(F.count("*").alias("proofs"))
+    return _answered(queries, reduce(DataFrame.unionByName, found).unionByName(listed))
+
+
 def walks(queries: DataFrame, steps: DataFrame, triples: DataFrame, hops: int | None = None) -> DataFrame:
     """(query_id, value, facts) of walks with a direction (out: subject to object; in: back) for each step.
 

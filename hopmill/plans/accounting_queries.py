@@ -143,6 +143,24 @@ def x27_cells(spark, sf_dir):
     return X.cell_coverage(expected, cells, ["fact_id", "unit_id"]).groupBy("unit_id", "check").agg(F.count("*").alias("cells"))
 
 
+def x27_findings(spark, sf_dir):
+    """Facts are orders, units their lines, groups the lines of a return flag other than R; small groups claim line 1 as their anchor."""
+    li = table(spark, sf_dir, "lineitem")
+    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact_id"), F.when(F.col("o_orderstatus") == "P", "not_found").otherwise("support_proposed").alias("status"))
+    status = F.when(F.col("l_quantity") > 45, "unresolved").when(F.col("l_returnflag") == "R", "not_supporting").when(F.col("l_linenumber") == 1, "support_anchor").otherwise("support_context")
+    cells = li.select(F.col("l_orderkey").alias("fact_id"), F.col("l_linenumber").alias("unit_id"), status.alias("status"))
+    anchor = F.when(F.count("*") > 2, F.min("l_linenumber")).otherwise(1)
+    groups = li.where("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("fact_id"), F.col("l_returnflag").alias("group_id")).agg(anchor.alias("anchor_unit_id"), F.collect_set("l_linenumber").alias("unit_ids"))
+    return X.coverage_findings(facts, cells, groups).groupBy("check", "unit_id").agg(F.count("*").alias("cells"), F.count_distinct("fact_id").alias("facts"))
+
+
+def x27_nested(spark, sf_dir):
+    """Groups of a supplier: the residues of part numbers in each of its orders."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.collect_list(F.concat(F.lit("u"), F.col("l_partkey") % 7)).alias("group_unit_ids"))
+    n = X.nested_groups(g, ["l_suppkey"])
+    return n.select("l_suppkey", F.array_join("units", ",").alias("units"), "groups", "outers", F.array_join("outer", ",").alias("outer"))
+
+
 def x28_routing(spark, sf_dir):
     drafts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("source_sha256"), F.col("o_orderstatus").alias("draft_sha256"), (F.col("o_totalprice") < 20000).alias("source_empty"), (F.col("o_custkey") % 2 == 0).alias("closed_world"))
     facets = F.when(F.col("l_quantity") > 10, F.array(F.lit("coverage"), F.lit("scope"))).otherwise(F.array(F.lit("scope")))
@@ -151,7 +169,7 @@ def x28_routing(spark, sf_dir):
     return X.review_routing(drafts, receipts, ["coverage", "scope"]).groupBy("route", "reason").agg(F.count("*").alias("jobs"))
 
 
-QUERIES = {f.__name__: f for f in (x01_grid, x02_seeded_order, x03_pending, x04_counters, x05_review, x07_conflicts, x08_agreement, x09_pairs, x10_stability, x11_family_means, x12_blind, x13_hints, x13_strata, x13_libraries, x13_totals, x15_rounds, x16_labels, x17_accept, x21_merge, x24_windows, x25_anchors, x25_footprints, x26_outcome, x27_cells, x28_routing)}
+QUERIES = {f.__name__: f for f in (x01_grid, x02_seeded_order, x03_pending, x04_counters, x05_review, x07_conflicts, x08_agreement, x09_pairs, x10_stability, x11_family_means, x12_blind, x13_hints, x13_strata, x13_libraries, x13_totals, x15_rounds, x16_labels, x17_accept, x21_merge, x24_windows, x25_anchors, x25_footprints, x26_outcome, x27_cells, x27_findings, x27_nested, x28_routing)}
 
 _N = "count(*) FILTER (WHERE {})".format
 _DONE = "status = 'completed' AND expected IS NOT NULL AND decision IS NOT NULL"
@@ -213,6 +231,17 @@ SELECT *, dense_rank() OVER (PARTITION BY l_suppkey ORDER BY footprint) - 1 AS g
     "x26_outcome": "WITH g AS (SELECT l_orderkey, bool_or(l_quantity > 48) AS bad, bool_or(l_returnflag <> 'A' OR l_linestatus <> 'F') AS open FROM lineitem GROUP BY 1) SELECT CASE WHEN bad THEN 'rejected' WHEN open THEN 'needs_adjudication' ELSE 'passed' END AS outcome, count(*) AS groups FROM g GROUP BY 1",
     "x27_cells": """WITH e AS (SELECT o_orderkey AS f, unnest(range(1, 8)) AS u FROM orders), s AS (SELECT l_orderkey AS f, l_linenumber AS u, count(*) AS n FROM lineitem GROUP BY ALL),
 b AS (SELECT coalesce(e.u, s.u)::INT AS unit_id, CASE WHEN s.f IS NULL THEN 'missing' WHEN e.f IS NULL THEN 'unexpected' WHEN n > 1 THEN 'repeated' END AS "check" FROM e FULL JOIN s ON e.f = s.f AND e.u = s.u) SELECT unit_id, "check", count(*) AS cells FROM b WHERE "check" IS NOT NULL GROUP BY ALL""",
+    "x27_findings": """WITH c AS (SELECT l_orderkey AS f, l_linenumber AS u, CASE WHEN l_quantity > 45 THEN 'unresolved' WHEN l_returnflag = 'R' THEN 'not_supporting' WHEN l_linenumber = 1 THEN 'support_anchor' ELSE 'support_context' END AS s FROM lineitem),
+g AS (SELECT l_orderkey AS f, l_returnflag, CASE WHEN count(*) > 2 THEN min(l_linenumber) ELSE 1 END AS a, list(DISTINCT l_linenumber) AS m FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
+w AS (SELECT f, u, min(w) AS w FROM (SELECT f, a AS u, 'support_anchor' AS w FROM g UNION ALL SELECT f, unnest(m), 'support_context' FROM g) GROUP BY ALL),
+k AS (SELECT 'label' AS "check", c.u, c.f FROM c LEFT JOIN w ON c.f = w.f AND c.u = w.u WHERE CASE WHEN w.w IS NULL THEN s NOT IN ('not_supporting', 'unresolved') ELSE s <> w.w END
+  UNION ALL SELECT 'unresolved', u, f FROM c WHERE s = 'unresolved'
+  UNION ALL SELECT 'concealed', NULL, o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey IN (SELECT f FROM c WHERE s = 'unresolved')
+  UNION ALL SELECT 'anchor_outside', a, f FROM g WHERE NOT list_contains(m, a)
+  UNION ALL SELECT 'repeated_anchor', a, f FROM g GROUP BY a, f HAVING count(*) > 1)
+SELECT "check", u::INT AS unit_id, count(*) AS cells, count(DISTINCT f) AS facts FROM k GROUP BY ALL""",
+    "x27_nested": """WITH g AS (SELECT l_suppkey, l_orderkey, list_sort(list(DISTINCT 'u' || l_partkey % 7)) AS u FROM lineitem GROUP BY ALL), s AS (SELECT l_suppkey, u, count(*) AS groups FROM g GROUP BY ALL)
+SELECT a.l_suppkey, array_to_string(a.u, ',') AS units, a.groups, count(*) AS outers, array_to_string(min(b.u), ',') AS "outer" FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND len(b.u) > len(a.u) AND list_has_all(b.u, a.u) GROUP BY a.l_suppkey, a.u, a.groups""",
     "x28_routing": """WITH r AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_linestatus <> 'F' THEN 2 WHEN l_quantity <= 10 THEN 3 ELSE 4 END) AS l FROM lineitem GROUP BY 1),
 d AS (SELECT CASE WHEN o_totalprice < 20000 AND o_custkey % 2 = 0 THEN 'closed_world_empty' ELSE ['no_receipt', 'stale_receipt', 'untrusted_receipt', 'facets_missing', 'trusted_receipt'][coalesce(l, 0) + 1] END AS reason FROM orders LEFT JOIN r ON o_orderkey = l_orderkey)
 SELECT CASE WHEN reason IN ('closed_world_empty', 'trusted_receipt') THEN 'determinate' ELSE 'requires_review' END AS route, reason, count(*) AS jobs FROM d GROUP BY ALL""",

@@ -33,6 +33,13 @@ def g01_paths(spark, sf_dir):
     return a.select("query_id", "status", F.array_join("answers", ",").alias("answers"), "proofs")
 
 
+def g01_counts(spark, sf_dir):
+    """As g01_paths, by counting instead of listing."""
+    q, s = _asked(spark, sf_dir)
+    a = G.path_answers(q, s, _facts(spark, sf_dir))
+    return a.select("query_id", "status", F.array_join("answers", ",").alias("answers"), "proofs")
+
+
 def g02_walks(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("fact_id"), F.lit("sold_by").alias("relation"), F.col("l_partkey").cast("string").alias("subject"), F.concat(F.lit("s"), "l_suppkey").alias("object"), G.interval(F.year("l_shipdate"), F.year("l_shipdate") + 1).alias("period")).distinct()
     su = table(spark, sf_dir, "supplier").select(F.concat(F.lit("x"), "s_suppkey").alias("fact_id"), F.lit("in").alias("relation"), F.concat(F.lit("s"), "s_suppkey").alias("subject"), F.concat(F.lit("n"), "s_nationkey").alias("object"), F.lit(None).cast("struct<lo:int,hi:int>").alias("period"))
@@ -252,7 +259,7 @@ def v11_rebuild(spark, sf_dir):
     return V.rebuild_differences(s, r, ["o_orderkey"]).groupBy("check").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (g01_paths, g02_walks, g03_options, g04_alternatives, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g08_questions, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g12_checked, g13_difference, g14_frontier, g15_findings, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
+QUERIES = {f.__name__: f for f in (g01_paths, g01_counts, g02_walks, g03_options, g04_alternatives, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g08_questions, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g12_checked, g13_difference, g14_frontier, g15_findings, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
 
 _FACTS = "f AS (SELECT 'fc' || c_custkey AS fact_id, 'c' || c_custkey AS child, 'n' || c_nationkey AS parent, CASE WHEN c_nationkey % 2 = 1 THEN 'father' ELSE 'mother' END AS parent_role FROM customer UNION ALL SELECT 'fn' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'mother' FROM nation)"
 _DEGREES = f"{_FACTS}, s AS (SELECT child AS entity, parent_role AS relation, 'out' AS direction, child FROM f UNION ALL SELECT parent, parent_role, 'in', child FROM f)"
@@ -260,6 +267,7 @@ _LIB = "l AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'C02' ELSE 'C01' END AS
 _N = "n AS (SELECT DISTINCT l_orderkey AS proof_id, l_linenumber AS pos FROM lineitem)"
 SQL = {
     "g01_paths": f"WITH {_FACTS} SELECT c_custkey AS query_id, CASE WHEN b.fact_id IS NULL THEN 'insufficient_evidence' ELSE 'answerable' END AS status, coalesce(b.parent, '') AS answers, count(b.fact_id) AS proofs FROM customer LEFT JOIN f a ON a.child = 'c' || c_custkey AND a.parent_role = 'father' LEFT JOIN f b ON b.child = a.parent GROUP BY ALL",
+    "g01_counts": f"WITH {_FACTS} SELECT c_custkey AS query_id, CASE WHEN b.fact_id IS NULL THEN 'insufficient_evidence' ELSE 'answerable' END AS status, coalesce(b.parent, '') AS answers, count(b.fact_id) AS proofs FROM customer LEFT JOIN f a ON a.child = 'c' || c_custkey AND a.parent_role = 'father' LEFT JOIN f b ON b.child = a.parent GROUP BY ALL",
     "g02_walks": "WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, year(l_shipdate) AS y FROM lineitem) SELECT l_partkey AS query_id, 'n' || s_nationkey AS value, count(*) AS walks FROM t JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE 1995 BETWEEN y AND y + 1 GROUP BY ALL",
     "g03_options": f"WITH {_FACTS} SELECT a.child AS start, a.parent_role AS first_role, b.parent_role AS second_role, b.parent AS answer, a.fact_id AS \"first\", b.fact_id AS \"second\" FROM f a JOIN f b ON b.child = a.parent",
     "g04_alternatives": "SELECT o_custkey AS query_id, o_orderpriority AS label, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS answers FROM orders GROUP BY ALL",

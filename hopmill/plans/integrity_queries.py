@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hopmill.functions import json_text as J
 from hopmill.operators import catalog as C
+from hopmill.operators.ranks import page
 from hopmill.operators import integrity as I
 from hopmill.plans.bindings import table
 from hopmill.sources import readers as S
@@ -173,9 +174,19 @@ def c08_filter(spark, sf_dir):
     return out.select("p_partkey", "p_brand")
 
 
-def c09_page(spark, sf_dir):
+def _page(spark, sf_dir, number, **limits):
     o = table(spark, sf_dir, "orders")
-    return C.page(o, [C.ranked(F.col("o_orderstatus"), ["P", "O"]), F.col("o_custkey"), F.col("o_orderkey")], 5).select("position", "o_orderstatus", "o_custkey", "o_orderkey")
+    order = [C.ranked(F.col("o_orderstatus"), ["P", "O"]), F.col("o_custkey"), F.col("o_orderkey")]
+    return page(o, order, number, **limits).select("position", "o_orderstatus", "o_custkey", "o_orderkey")
+
+
+def c09_page(spark, sf_dir):
+    return _page(spark, sf_dir, 5)
+
+
+def c09_deep(spark, sf_dir):
+    """The last page (100,000 is clamped), narrowed down among ranges of a thousand rows."""
+    return _page(spark, sf_dir, 100_000, range_rows=1000)
 
 
 def c10_siblings(spark, sf_dir):
@@ -212,7 +223,7 @@ def c15_conflicts(spark, sf_dir):
     return C.revision_conflicts(e, ["user_id", "kind"]).groupBy("kind").agg(F.count("*").alias("conflicts"))
 
 
-QUERIES = {f.__name__: f for f in (s06_spreadsheet, s09_registry, i01_digests, i02_fingerprint, i03_repeated, i04_coverage, i05_dangling, i06_stale, i07_split_leaks, i08_hidden, i09_projection, i10_secrets, i11_reused, i12_fields, i13_validity, i14_contract, i15_closed, i16_plan, i17_events, i17_messages, i18_ledger, c01_catalog, c02_kinds, c03_reconcile, c04_overlay, c05_answers, c06_facets, c07_counts, c08_filter, c09_page, c10_siblings, c11_summary, c12_grid, c13_owners, c14_progress, c15_latest, c15_conflicts)}
+QUERIES = {f.__name__: f for f in (s06_spreadsheet, s09_registry, i01_digests, i02_fingerprint, i03_repeated, i04_coverage, i05_dangling, i06_stale, i07_split_leaks, i08_hidden, i09_projection, i10_secrets, i11_reused, i12_fields, i13_validity, i14_contract, i15_closed, i16_plan, i17_events, i17_messages, i18_ledger, c01_catalog, c02_kinds, c03_reconcile, c04_overlay, c05_answers, c06_facets, c07_counts, c08_filter, c09_page, c09_deep, c10_siblings, c11_summary, c12_grid, c13_owners, c14_progress, c15_latest, c15_conflicts)}
 
 _FACETS = "WITH r AS (SELECT p_partkey AS key, p_brand, CASE WHEN p_size % 4 = 0 THEN [] ELSE list_distinct(string_split(p_type, ' ')) END AS scenes FROM part), f AS (SELECT key, 'p_brand' AS facet, p_brand AS value FROM r UNION ALL SELECT key, 'scenes', unnest(CASE WHEN len(scenes) = 0 THEN ['none'] ELSE scenes END) FROM r)"
 _PATTERNS = {
@@ -264,6 +275,7 @@ SELECT c_custkey AS key, o_orderstatus AS model, sha256(raw) AS raw_text_sha256,
     "c10_siblings": "WITH g AS (SELECT o_orderkey AS key, count(*) OVER (PARTITION BY o_orderstatus, o_custkey) - 1 AS siblings FROM orders) SELECT * FROM g WHERE siblings > 0",
     "c11_summary": "SELECT coalesce(c.value, g.value) AS value, coalesce(n, 0) AS rows FROM (VALUES ('F'), ('X'), ('P')) AS c(value) FULL JOIN (SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1) AS g ON c.value = g.value",
     "c12_grid": "WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS m, count(DISTINCT l_returnflag) AS d, count(*) FILTER (WHERE l_linenumber > 2) AS x FROM lineitem GROUP BY 1) SELECT l_orderkey, 'models' AS \"check\" FROM g WHERE n <> 2 OR m <> 2 OR x > 0 UNION ALL SELECT l_orderkey, 'inputs' FROM g WHERE d > 1",
+    "c09_deep": "WITH r AS (SELECT row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_custkey, o_orderkey) AS position, o_orderstatus, o_custkey, o_orderkey FROM orders) SELECT * FROM r WHERE position > (SELECT 12 * (least(100000, (count(*) + 11) // 12) - 1) FROM orders)",
     "c13_owners": "SELECT o_custkey, o_orderkey, ['A', 'B'][(row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1) % 2 + 1] AS owner FROM orders",
     "c14_progress": """WITH r AS (SELECT substr(o_orderpriority, 1, 1) AS owner, o_orderkey % 4 AS judged, coalesce(o_orderstatus IN ('F', 'O') AND o_orderkey % 4 = 3 AND o_custkey % 5 <> 0 AND (o_orderstatus = 'F' OR o_custkey % 2 = 0), false) AS done FROM orders)
 SELECT owner, count(*) AS total, count(*) FILTER (WHERE done) AS complete, count(*) FILTER (WHERE NOT done AND judged > 0) AS draft FROM r GROUP BY 1""",

@@ -5,41 +5,30 @@ Files hold the customers of a thousand keys each, so their number grows with the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from hopmill.operators import catalog as C
 from hopmill.sources import readers as R
+from hopmill.sources.shared import new_path
 from hopmill.plans.bindings import table
 
 ROWS_A_FILE = 1000
 CUSTOMER = "c_custkey long, c_name string, c_nationkey int"
 
 
-def _path(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; one of our own only in local mode where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = root or f"file://{tempfile.mkdtemp(prefix='spark-hopmill-')}"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def _customers(spark, sf_dir):
     return table(spark, sf_dir, "customer").withColumn("chunk", F.floor(F.col("c_custkey") / ROWS_A_FILE))
 
 
 def _write_files(df, name: str, kind: str = "json") -> str:
     """One file for each chunk, in a folder of its own."""
-    path = _path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.repartition("chunk").write.partitionBy("chunk").format(kind).save(path)
     return path
 
 
 def s01_lines(spark, sf_dir):
-    path = _path(spark, "lines")
+    path = new_path(spark, "lines")
     table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").write.json(path)
     return R.read_lines(spark, path, "o_orderkey long, o_orderstatus string, o_totalprice double")
 
@@ -64,7 +53,7 @@ def s04_relations(spark, sf_dir):
 
 
 def s05_projection(spark, sf_dir):
-    path = _path(spark, "projection")
+    path = new_path(spark, "projection")
     R.write_projection(table(spark, sf_dir, "orders"), path, ["o_orderkey", "o_orderpriority"])
     return spark.read.json(path)
 
@@ -78,7 +67,7 @@ def s07_manifest(spark, sf_dir):
 
 
 def s08_once(spark, sf_dir):
-    path, rows = _path(spark, "once"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    path, rows = new_path(spark, "once"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     first, again = R.write_once(rows, path), R.write_once(rows, path)
     try:
         R.write_once(rows.where("c_custkey > 1"), path)
