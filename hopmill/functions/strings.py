@@ -8,7 +8,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+
+#: Keys whose values are no names.
+STRUCTURAL = ("relation", "fact_id", "quote_ids", "provenance", "label")
+CHANGES = "array<struct<path string, start int, `end` int, before string, after string>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -103,6 +107,58 @@ def replace_all(text: Column, mapping: Column) -> Column:
     return F.when(text.isNotNull(), F.when(F.size(keys) > 0, let(pattern, swapped)).otherwise(none))
 
 
+def _tree(value: Column, kind: DataType, keep: tuple[str, ...], swap: Callable[[Column], Column]) -> Column:
+    """value with swap(text) in the place of each text; under a key of keep texts stay, with no changes."""
+    plain = lambda t: F.when(t.isNotNull(), F.struct(t.alias("text"), F.array().cast("array<struct<start int, `end` int, before string, after string>>").alias("changes")))
+    if isinstance(kind, StringType):
+        return swap(value)
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(_tree(value.getField(f.name), f.dataType, keep, plain if f.name in keep else swap).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _tree(x, kind.elementType, keep, swap))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda k, x: F.when(k.cast("string").isin(*keep), _tree(x, kind.valueType, keep, plain)).otherwise(_tree(x, kind.valueType, keep, swap)))
+    return value
+
+
+def _texts(tree: Column, kind: DataType) -> Column:
+    """The value of a tree, with its new texts."""
+    if isinstance(kind, StringType):
+        return tree.getField("text")
+    if isinstance(kind, StructType):
+        return F.when(tree.isNotNull(), F.struct(*(_texts(tree.getField(f.name), f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(tree, lambda x: _texts(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(tree, lambda _, x: _texts(x, kind.valueType))
+    return tree
+
+
+def _log(tree: Column, kind: DataType, path: Column) -> Column:
+    """The changes of a tree, each with its path."""
+    none = F.array().cast(CHANGES)
+    below = lambda name: F.concat(path, F.lit("/"), name.cast("string"))
+    if isinstance(kind, StringType):
+        return F.coalesce(F.transform(tree.getField("changes"), lambda c: F.struct(path.alias("path"), *(c.getField(n).alias(n) for n in ("start", "end", "before", "after")))), none)
+    if isinstance(kind, StructType):
+        return F.concat(none, *(_log(tree.getField(f.name), f.dataType, below(F.lit(f.name))) for f in kind.fields))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.flatten(F.transform(tree, lambda x, i: _log(x, kind.elementType, below(i)))), none)
+    if isinstance(kind, MapType):
+        return F.coalesce(F.flatten(F.transform(F.map_entries(tree), lambda e: _log(e.getField("value"), kind.valueType, below(e.getField("key"))))), none)
+    return none
+
+
+def replace_nested(value: Column, kind: DataType, mapping: Column, keep: tuple[str, ...] = STRUCTURAL) -> Column:
+    """struct(value, changes): replace_all in every text of a nested value of that type, but for what lies under a key of keep.
+
+    Structs, arrays and maps keep their shape, nulls stay null; map keys, numbers and the like stay as they are. changes
+    log offsets in the source text at each path, such as /documents/0/text. The expression follows the type, so nothing
+    is taken apart into rows.
+    """
+    return let(_tree(value, kind, keep, lambda t: replace_all(t, mapping)), lambda t: F.struct(_texts(t, kind).alias("value"), _log(t, kind, F.lit("")).alias("changes")))
+
+
 def replay(text: Column, changes: Column) -> Column:
     """The text with a log of changes (by start, not overlapping) applied; null where a logged `before` is not there."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(True).alias("ok"))

@@ -6,6 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONDITIONS = ("base", "main_distractor", "irrelevant_addition", "necessary_support_deleted_name_retained", "irrelevant_deleted")
+#: The rules of a library's families (combinations, variant, field, relation, other variant, its field or the value).
+FAMILY_RULES = (
+    ("", "no_context", "status", "is", "", "insufficient"),
+    ("", "anonymous_challenge", "status", "equal", "challenge", "status"),
+    ("", "unfamiliar_challenge", "status", "equal", "challenge", "status"),
+    ("C01 C02 C04 C06 C07 C10", "control", "answers", "equal", "challenge", "answers"),
+    ("C04", "challenge", "proofs", "is", "", "2"),
+    ("C04", "delete_one_support", "proofs", "is", "", "1"),
+    ("C04", "delete_all_bridge_supports", "status", "is", "", "insufficient"),
+    ("C04", "delete_irrelevant", "answers", "equal", "challenge", "answers"),
+    ("C07", "reorder_same_noise", "documents", "equal", "challenge", "reversed_documents"),
+    ("C07", "noise_1000", "answers", "equal", "challenge", "answers"),
+    ("C07", "noise_12000", "answers", "equal", "challenge", "answers"),
+    ("C07", "reorder_same_noise", "answers", "equal", "challenge", "answers"),
+    ("C08", "control", "degrees", "equal", "challenge", "degrees"),
+    ("C08", "control", "answers", "differs", "challenge", "answers"),
+    ("C08", "switch_question_start", "documents", "equal", "challenge", "documents"),
+    ("C08", "switch_question_start", "answers", "differs", "challenge", "answers"),
+    ("C08", "same_answer_other_proof", "answers", "equal", "control", "answers"),
+    ("C08", "same_answer_other_proof", "support", "differs", "control", "support"),
+    ("C08", "same_answer_other_proof", "documents", "equal", "same_answer_original_start", "documents"),
+    ("C08", "same_answer_other_proof", "answers", "equal", "same_answer_original_start", "answers"),
+    ("C09", "challenge", "logical_truth", "is", "", "unknown"),
+    ("C10", "time_2", "answers", "differs", "challenge", "answers"),
+)
 PRESERVING = ("main_distractor", "irrelevant_addition", "irrelevant_deleted")
 
 
@@ -78,6 +103,33 @@ def completeness(records: DataFrame, family: str, variant: str, needed: list[str
     return records.groupBy(family).agg(lack.alias("_m")).select(family, F.explode("_m").alias("missing"))
 
 
+def rule_violations(records: DataFrame, rules: tuple[tuple[str, ...], ...] = FAMILY_RULES) -> DataFrame:
+    """(family_id, rule, check): rules of a family's combination that its variants break, by division of families by rules.
+
+    records: family_id, combination_id, variant, values (map of text: answers, status, documents and the like, whole or as
+    digests). A rule has combinations (blank-separated, all if empty), variant, field, relation (is, equal, differs),
+    other, and the other's field, or the value of `is`. rule is the rule's place in the table, from 1. Checks: missing (no
+    such variant), missing_other, relation (an unset field, too). Rows that repeat a variant are held to it each; a family
+    of several combinations has the rules of each.
+    """
+    named = ("combinations", "variant", "field", "relation", "other", "value")
+    listed = F.array(*(F.struct(F.lit(i).alias("rule"), *(F.lit(v).alias(n) for n, v in zip(named, r, strict=True))) for i, r in enumerate(rules, 1)))
+    asked = records.select("family_id", "combination_id").distinct().select("family_id", "combination_id", F.explode(listed).alias("_r")).select("family_id", "combination_id", "_r.*")
+    asked = asked.where((F.col("combinations") == "") | F.array_contains(F.split("combinations", " "), F.col("combination_id")))
+    of = lambda c, v: records.select("family_id", F.col("variant").alias(c), F.col("values").alias(v), F.lit(True).alias(f"{v}_there"))
+    met = asked.join(of("variant", "_a"), ["family_id", "variant"], "left").join(of("other", "_b"), ["family_id", "other"], "left")
+    mine, theirs = F.col("_a")[F.col("field")], F.when(F.col("relation") == "is", F.col("value")).otherwise(F.col("_b")[F.col("value")])
+    holds = F.when(F.col("relation") == "differs", mine != theirs).otherwise(mine == theirs)
+    check = F.when(F.col("_a_there").isNull(), "missing").when((F.col("relation") != "is") & F.col("_b_there").isNull(), "missing_other").when(~F.coalesce(holds, F.lit(False)), "relation")
+    return met.select("family_id", "rule", check.alias("check")).where("check is not null").distinct()
+
+
+def uncovered(records: DataFrame, plans: DataFrame, key: str, planned: str, covered: str) -> DataFrame:
+    """(key, missing): planned values of each plan (an array) that no record of the same key has in its array."""
+    want = plans.select(key, F.explode(planned).alias("missing")).distinct()
+    return want.join(records.select(key, F.explode(covered).alias("missing")).distinct(), [key, "missing"], "left_anti")
+
+
 def name_codes(entities: DataFrame, group: str, entity: str, seed: str, prefix: str = "E") -> DataFrame:
     """(group, entity, code): one code for each entity of a group, in the order of a seeded digest."""
     d = F.sha2(F.concat_ws("|", F.lit(seed), F.col(entity).cast("string")), 256)

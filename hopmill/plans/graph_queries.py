@@ -235,6 +235,25 @@ def v07_complete(spark, sf_dir):
     return V.completeness(r, "l_orderkey", "l_returnflag", ["A", "R"], "l_linestatus", ["F", "O"])
 
 
+#: Rules of v07_rules: orders are families, lines their variants.
+_RULES = (("", "1", "line", "is", "", "F"), ("C1", "2", "flag", "equal", "1", "flag"), ("C2 C3", "2", "flag", "differs", "1", "flag"), ("C3", "3", "line", "equal", "2", "status"))
+
+
+def v07_rules(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    values = F.create_map(F.lit("flag"), "l_returnflag", F.lit("line"), "l_linestatus", F.lit("status"), "o_orderstatus")
+    r = li.select(F.col("l_orderkey").alias("family_id"), F.concat(F.lit("C"), F.col("o_custkey") % 4).alias("combination_id"), F.col("l_linenumber").cast("string").alias("variant"), values.alias("values"))
+    return V.rule_violations(r, _RULES)
+
+
+def v07_scenes(spark, sf_dir):
+    """Customers plan the priorities of their whole nation, by initial; their own orders cover some."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    r = o.select("c_custkey", F.array(F.substring("o_orderpriority", 1, 1)).alias("scenes"), "c_nationkey")
+    plans = r.groupBy("c_nationkey").agg(F.collect_set(F.col("scenes")[0]).alias("planned")).join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey")
+    return V.uncovered(r, plans, "c_custkey", "planned", "scenes")
+
+
 def v09_codes(spark, sf_dir):
     return V.name_codes(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "seed-3")
 
@@ -259,7 +278,7 @@ def v11_rebuild(spark, sf_dir):
     return V.rebuild_differences(s, r, ["o_orderkey"]).groupBy("check").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (g01_paths, g01_counts, g02_walks, g03_options, g04_alternatives, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g08_questions, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g12_checked, g13_difference, g14_frontier, g15_findings, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
+QUERIES = {f.__name__: f for f in (g01_paths, g01_counts, g02_walks, g03_options, g04_alternatives, g05_compare, g06_roster, g07_entailment, g07_abduction, g08_depth, g08_questions, g09_dag, g10_degrees, g10_difference, g11_defects, g12_shape, g12_checked, g13_difference, g14_frontier, g15_findings, g16_distractors, g17_roles, g18_probes, g19_normal, g20_libraries, g21_omissions, g22_clusters, v04_changes, v05_missing, v06_primary, v07_complete, v07_rules, v07_scenes, v08_equivariance, v09_codes, v11_rebuild, v12_order)}
 
 _FACTS = "f AS (SELECT 'fc' || c_custkey AS fact_id, 'c' || c_custkey AS child, 'n' || c_nationkey AS parent, CASE WHEN c_nationkey % 2 = 1 THEN 'father' ELSE 'mother' END AS parent_role FROM customer UNION ALL SELECT 'fn' || n_nationkey, 'n' || n_nationkey, 'r' || n_regionkey, 'mother' FROM nation)"
 _DEGREES = f"{_FACTS}, s AS (SELECT child AS entity, parent_role AS relation, 'out' AS direction, child FROM f UNION ALL SELECT parent, parent_role, 'in', child FROM f)"
@@ -315,6 +334,13 @@ SELECT library, status, count(*) AS facts FROM st GROUP BY ALL""",
     "v04_changes": "WITH f AS (SELECT l_orderkey AS family_id, bool_or(l_linenumber = 1) AS a, bool_or(l_linenumber = 2) AS b, bool_or(l_linenumber = 3) AS c FROM lineitem GROUP BY 1) SELECT family_id, CASE WHEN a THEN '9' ELSE '' END AS added, CASE WHEN b THEN '2' ELSE '' END AS removed, CASE WHEN c THEN '3' ELSE '' END AS rewritten FROM f",
     "v05_missing": "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 3 = 0",
     "v06_primary": "SELECT l_orderkey AS family_id, count(*) AS generated, count(*) - count(*) FILTER (WHERE l_linenumber = m) AS removed FROM (SELECT *, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) GROUP BY 1",
+    "v07_rules": """WITH r AS (SELECT l_orderkey AS f, 'C' || o_custkey % 4 AS c, l_linenumber::VARCHAR AS v, l_returnflag AS flag, l_linestatus AS line, o_orderstatus AS status FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+q AS (SELECT DISTINCT f, c FROM r), x AS (
+SELECT q.f, 1 AS rule, a.v AS a, '-' AS b, a.line = 'F' AS ok FROM q LEFT JOIN r a ON a.f = q.f AND a.v = '1'
+UNION ALL SELECT q.f, CASE c WHEN 'C1' THEN 2 ELSE 3 END, a.v, b.v, (a.flag = b.flag) = (c = 'C1') FROM q LEFT JOIN (SELECT f, v, flag FROM r) a ON a.f = q.f AND a.v = '2' LEFT JOIN (SELECT f, v, flag FROM r) b ON b.f = q.f AND b.v = '1' WHERE c IN ('C1', 'C2', 'C3')
+UNION ALL SELECT q.f, 4, a.v, b.v, a.line = b.status FROM q LEFT JOIN (SELECT f, v, line FROM r) a ON a.f = q.f AND a.v = '3' LEFT JOIN (SELECT f, v, status FROM r) b ON b.f = q.f AND b.v = '2' WHERE c = 'C3')
+SELECT DISTINCT f AS family_id, rule, CASE WHEN a IS NULL THEN 'missing' WHEN b IS NULL THEN 'missing_other' ELSE 'relation' END AS "check" FROM x WHERE a IS NULL OR b IS NULL OR NOT coalesce(ok, false)""",
+    "v07_scenes": "WITH o AS (SELECT DISTINCT c_custkey, c_nationkey, substr(o_orderpriority, 1, 1) AS p FROM orders JOIN customer ON c_custkey = o_custkey) SELECT c.c_custkey, n.p AS missing FROM customer c JOIN (SELECT DISTINCT c_nationkey, p FROM o) n USING (c_nationkey) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.c_custkey = c.c_custkey AND o.p = n.p)",
     "v07_complete": "WITH g AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS v, list(DISTINCT l_linestatus) AS d FROM lineitem GROUP BY 1), m AS (SELECT l_orderkey, unnest(list_concat(list_filter(['A', 'R'], lambda x: NOT list_contains(v, x)), list_filter(['F', 'O'], lambda x: NOT list_contains(d, x)))) AS missing FROM g) SELECT * FROM m",
     "v08_equivariance": "SELECT 'lost' AS side, count(*) AS answers FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 100 = 0 HAVING count(*) > 0",
     "v09_codes": "SELECT c_nationkey, c_custkey, 'E' || lpad((row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('seed-3|' || c_custkey), c_custkey))::VARCHAR, 4, '0') AS code FROM customer",

@@ -133,12 +133,20 @@ def m13_bases(spark, sf_dir):
     return moved.unionByName(missing.groupBy(F.lit("unavailable").alias("transition")).agg(F.count("*").alias("pairs")))
 
 
+def m13_parents(spark, sf_dir):
+    """Lines are revisions of the line before; every third line was not observed."""
+    rows = _labels(spark, sf_dir).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    revisions = rows.where("l_linenumber > 1").withColumn("parent", F.concat_ws("-", "l_orderkey", F.col("l_linenumber") - 1)).select("parent", "label")
+    moved, lost = M.parent_transitions(revisions, rows.where("l_linenumber % 3 > 0"), "parent", "id")
+    return moved.unionByName(lost.groupBy(F.lit("unobserved").alias("transition")).agg(F.count("*").alias("pairs")))
+
+
 def m14_errors(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(F.when(F.col(c) == a, "P").otherwise("F").alias(d) for d, c, a in (("answer", "l_returnflag", "A"), ("logical_proof", "l_linestatus", "F"), ("output_contract", "l_returnflag", "A"))))
     return M.error_index(rows).groupBy("answer", "logical_proof", "output_contract").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (m01_estimates, m01_lowest_terms, m03_slots, m04_qualified, m05_first_attempt, m06_question_macro, m06_exact, m07_family_macro, m07_exact, m08_partitions, m09_gate, m12_cohorts, m13_model_pairs, m13_bases, m14_errors)}
+QUERIES = {f.__name__: f for f in (m01_estimates, m01_lowest_terms, m03_slots, m04_qualified, m05_first_attempt, m06_question_macro, m06_exact, m07_family_macro, m07_exact, m08_partitions, m09_gate, m12_cohorts, m13_model_pairs, m13_bases, m13_parents, m14_errors)}
 
 _BY_PARTITION = f"""WITH t AS ({ORDER_TRIALS_SQL}), counts AS (SELECT "partition", family_id, case_id, {COUNTS} FROM t GROUP BY ALL), {QUESTIONS}"""
 SQL = {
@@ -169,6 +177,7 @@ SELECT *, 'descriptive' AS copy FROM d UNION ALL SELECT "partition", metric, que
 g AS (SELECT p_brand, p_size, grouping(p_brand, p_size) AS "grouping", count(*) AS n, count(*) FILTER (WHERE label = 'P') AS p, count(*) FILTER (WHERE label = 'F') AS f FROM r GROUP BY GROUPING SETS ((), (p_brand), (p_size), (p_brand, p_size)))
 SELECT *, n - p - f AS u, round(p / n, 6) AS lower, round((n - f) / n, 6) AS upper FROM g""",
     "m13_model_pairs": f"WITH p AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN label END) AS l, max(CASE WHEN l_linenumber = 2 THEN label END) AS r FROM ({LABELS}) GROUP BY 1) SELECT coalesce(l || '->' || r, CASE WHEN l IS NULL AND r IS NULL THEN 'no_side' WHEN l IS NULL THEN 'no_left' ELSE 'no_right' END) AS transition, count(*) AS pairs FROM p GROUP BY 1",
+    "m13_parents": f"WITH r AS ({LABELS}) SELECT CASE WHEN c.l_orderkey IS NULL THEN 'unobserved' ELSE c.label || '->' || r.label END AS transition, count(*) AS pairs FROM r LEFT JOIN r c ON c.l_orderkey = r.l_orderkey AND c.l_linenumber = r.l_linenumber - 1 AND c.l_linenumber % 3 > 0 WHERE r.l_linenumber > 1 GROUP BY 1",
     "m13_bases": f"""WITH m AS (SELECT *, l_linenumber = 1 AS base, count(*) FILTER (WHERE l_linenumber = 1) OVER (PARTITION BY l_orderkey) AS bases, max(CASE WHEN l_linenumber = 1 THEN label END) OVER (PARTITION BY l_orderkey) AS b FROM ({LABELS}))
 SELECT b || '->' || label AS transition, count(*) AS pairs FROM m WHERE bases = 1 AND NOT base GROUP BY 1 UNION ALL SELECT 'unavailable', count(DISTINCT l_orderkey) FROM m WHERE bases <> 1 HAVING count(*) > 0""",
     "m14_errors": "WITH r AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'P' ELSE 'F' END AS answer, CASE WHEN l_linestatus = 'F' THEN 'P' ELSE 'F' END AS logical_proof, CASE WHEN l_returnflag = 'A' THEN 'P' ELSE 'F' END AS output_contract FROM lineitem) SELECT *, count(*) AS rows FROM r WHERE answer <> 'P' OR logical_proof <> 'P' OR output_contract <> 'P' GROUP BY ALL",

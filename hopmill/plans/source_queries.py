@@ -77,6 +77,14 @@ def s08_once(spark, sf_dir):
     return spark.read.parquet(path).select("c_custkey", "c_name", F.lit(first).alias("written"), F.lit(again).alias("again"), F.lit(refused).alias("refused"))
 
 
+def s09_lines(spark, sf_dir):
+    """Parts as lines of text files, every seventh without an id, read by the registry."""
+    path = new_path(spark, "registry")
+    id_ = F.when(F.col("p_partkey") % 7 == 0, F.lit("see ")).otherwise(F.concat(F.lit("S"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0")))
+    table(spark, sf_dir, "part").select(F.concat(F.lit("| "), id_, F.lit(" | "), "p_name", F.lit("  ")).alias("value")).write.text(path)
+    return R.registry(spark, path)
+
+
 def c15_import(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("value"))
     export = o.withColumn("value", F.when(F.col("k") % 5 == 0, "changed").when(F.col("k") % 5 > 1, F.col("value")))
@@ -84,7 +92,7 @@ def c15_import(spark, sf_dir):
     return new.withColumn("outcome", F.lit("new")).unionByName(skipped.withColumns({"value": F.lit(None).cast("string"), "outcome": F.lit("skipped")}))
 
 
-QUERIES = {f.__name__: f for f in (s01_lines, s02_lists, s03_folder, s04_relations, s05_projection, s07_manifest, s08_once, c15_import)}
+QUERIES = {f.__name__: f for f in (s01_lines, s02_lists, s03_folder, s04_relations, s05_projection, s07_manifest, s08_once, s09_lines, c15_import)}
 
 _CHUNKS = f"c AS (SELECT *, c_custkey // {ROWS_A_FILE} AS chunk FROM customer)"
 SQL = {
@@ -98,6 +106,7 @@ SELECT source_row, CASE WHEN m > 2 THEN c_name || CASE WHEN k % 3 = 0 THEN ', "x
     "s07_manifest": f"""WITH {_CHUNKS}, f AS (SELECT chunk, string_agg(c_custkey || ' ' || c_name, chr(10) ORDER BY c_custkey) || chr(10) AS t FROM c GROUP BY 1)
 SELECT chunk::VARCHAR AS path, sha256(t) AS sha256, strlen(t)::BIGINT AS bytes, CASE chunk % 3 WHEN 0 THEN 'unexpected' WHEN 1 THEN 'changed' END AS "check" FROM f UNION ALL SELECT 'gone-' || chunk, NULL, NULL, 'missing' FROM f""",
     "s08_once": "SELECT c_custkey, c_name, true AS written, false AS again, true AS refused FROM customer",
+    "s09_lines": "SELECT 'S' || lpad((p_partkey % 100)::VARCHAR, 2, '0') AS id, p_name AS title FROM part WHERE p_partkey % 7 > 0",
     "c15_import": """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'changed' WHEN o_orderkey % 5 > 1 THEN o_orderstatus END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'skipped' END AS outcome
 FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 < 2""",
 }

@@ -176,6 +176,17 @@ def t22_replaced(spark, sf_dir):
     return rows.select("owner_id", F.sha2("r.text", 256).alias("sha256"), F.size("r.changes").alias("changes"), (strings.replay(F.col("text"), F.col("r.changes")) == F.col("r.text")).alias("replays"))
 
 
+def t22_nested(spark, sf_dir):
+    """Documents as nested values: lines, a structural field, and notes under a structural and another key."""
+    mapping = F.create_map(F.lit("the"), F.lit("<1>"), F.lit("then"), F.lit("<2>"), F.lit("tion"), F.lit(""))
+    source = F.concat(F.lit("then "), F.coalesce("source", F.lit("")))
+    tree = F.struct(source.alias("fact_id"), F.split("text", "\n", -1).alias("lines"), F.create_map(F.lit("relation"), source, F.lit("note"), source).alias("notes"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tree.alias("tree"))
+    r = rows.select("doc_id", strings.replace_nested(F.col("tree"), rows.schema["tree"].dataType, mapping).alias("r"))
+    paths = F.array_distinct(F.transform("r.changes", lambda c: c["path"]))
+    return r.select("doc_id", "r.value.fact_id", F.sha2(F.array_join("r.value.lines", "\n"), 256).alias("sha256"), F.col("r.value.notes")["relation"].alias("relation"), F.col("r.value.notes")["note"].alias("note"), F.size("r.changes").alias("changes"), F.size(paths).alias("paths"))
+
+
 def t24_composed(spark, sf_dir):
     half, whole = F.floor(F.length("text") / 2).cast("int"), F.length("text")
     pieces = _docs(spark, sf_dir).select("owner_id", "unit_id", F.explode(F.array(*(F.struct(F.lit(n).alias("piece_no"), a.alias("start"), b.alias("end")) for n, a, b in ((2, F.lit(0), half), (1, half, whole))))).alias("_p")).select("owner_id", "unit_id", (F.col("owner_id") % 50).alias("target"), ((F.col("owner_id") * 4) + F.col("_p.piece_no")).alias("piece_no"), F.col("_p.start").alias("start"), F.col("_p.end").alias("end"))
@@ -187,7 +198,7 @@ def t25_padded(spark, sf_dir):
     return _docs(spark, sf_dir).select("owner_id", F.sha2(a, 256).alias("first"), F.length(b).alias("second"))
 
 
-QUERIES = {f.__name__: f for f in (t01_located, t02_occurrences, t03_unique, t04_sole, t05_citations, t06_overlap, t07_segments, t07_catalog, t08_windows, t09_index, t10_resolve, t11_pure, t12_display, t13_visible, t14_names, t15_shortcuts, t16_markers, t17_deleted, t18_cut, t19_survivors, t20_active, t21_defects, t22_replaced, t23_replayed, t24_composed, t25_padded)}
+QUERIES = {f.__name__: f for f in (t01_located, t02_occurrences, t03_unique, t04_sole, t05_citations, t06_overlap, t07_segments, t07_catalog, t08_windows, t09_index, t10_resolve, t11_pure, t12_display, t13_visible, t14_names, t15_shortcuts, t16_markers, t17_deleted, t18_cut, t19_survivors, t20_active, t21_defects, t22_replaced, t22_nested, t23_replayed, t24_composed, t25_padded)}
 
 _D = "d AS (SELECT doc_id AS owner_id, lower(text) AS text FROM documents)"
 
@@ -238,6 +249,10 @@ SELECT owner_id, count(*) AS spans, count(*) FILTER (WHERE m = 2) AS "both", sum
 SELECT DISTINCT owner_id AS query_id, term, sha256(s) AS sha256 FROM s JOIN t ON owner_id % 2 = m WHERE regexp_matches(s, '(?s)the.{{0,20}}' || term)""",
     "t22_replaced": f"""WITH {_D}, r AS (SELECT owner_id, text, replace(replace(replace(text, 'then', '<2>'), 'the', '<1>'), 'tion', '') AS r, replace(text, 'then', '####') AS a FROM d)
 SELECT owner_id, sha256(r) AS sha256, CASE WHEN text IS NULL THEN -1 ELSE (length(text) - length(replace(text, 'then', ''))) // 4 + (length(a) - length(replace(a, 'the', ''))) // 3 + (length(text) - length(replace(text, 'tion', ''))) // 4 END::INT AS changes, r = r AS replays FROM r""",
+    "t22_nested": """WITH d AS (SELECT doc_id, text, 'then ' || coalesce(source, '') AS s, coalesce(text, '') || chr(10) || 'then ' || coalesce(source, '') AS t FROM documents), e AS (SELECT *, replace(t, 'then', '####') AS a FROM d)
+SELECT doc_id, s AS fact_id, sha256(replace(replace(replace(text, 'then', '<2>'), 'the', '<1>'), 'tion', '')) AS sha256, s AS relation, replace(replace(replace(s, 'then', '<2>'), 'the', '<1>'), 'tion', '') AS note,
+  ((length(t) - length(replace(t, 'then', ''))) // 4 + (length(a) - length(replace(a, 'the', ''))) // 3 + (length(t) - length(replace(t, 'tion', ''))) // 4)::INT AS changes,
+  len(list_filter(string_split(t, chr(10)), lambda x: contains(x, 'the') OR contains(x, 'tion')))::INT AS paths FROM e""",
     "t23_replayed": f"WITH {_D} SELECT owner_id, CASE WHEN owner_id % 3 <> 0 THEN sha256(substr(text, 1, 10) || '<x>' || substr(text, 15)) END AS sha256 FROM d",
     "t18_cut": f"WITH {_D} SELECT owner_id, sha256(CASE WHEN length(text) > 60 THEN substr(text, 1, {_START}) || substr(text, {_START} + 16, 15) || substr(text, {_START} + 41) ELSE text END) AS sha256 FROM d",
     "t19_survivors": f"""WITH {_D}, c(g, a, b) AS (VALUES (1, 20, 24), (1, 50, 55), (2, 5, 8), (3, 45, 60)), j AS (SELECT owner_id, g, a, b, ((a < {_START} + 15 AND b > {_START}) OR (a < {_START} + 40 AND b > {_START} + 30)) AS hit, CASE WHEN a >= {_START} + 15 THEN 15 ELSE 0 END + CASE WHEN a >= {_START} + 40 THEN 10 ELSE 0 END AS shift, coalesce(length(text) > 60, false) AS cut FROM d, c),
