@@ -6,17 +6,19 @@ Ranges are cut at quantiles of the whole sort key, so a hot first column is spli
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopmill.functions.strings import let
 from hopmill.sources.shared import written
 
 #: Rows of a range that one task sorts.
 RANGE_ROWS = 1_000_000
 #: Ranges that a page is sought among at each step, and rows sampled for each cut.
-CUTS, SAMPLED = 128, 16
+CUTS, SAMPLED = 32, 64
 
 
 def positions(rows: DataFrame, order: list[Column], name: str = "position", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -36,15 +38,12 @@ def positions(rows: DataFrame, order: list[Column], name: str = "position", rang
     return ranged.join(offsets, "_range").select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
 
 
-def _range_of(rows: DataFrame, key: Column) -> Column | None:
-    """Which of some CUTS ranges a row's key lies in, by cuts at quantiles of a sample; None if there is nothing to cut."""
+def _cuts(rows: DataFrame, key: Column) -> list[Column]:
+    """At most CUTS values of the key, at quantiles of a sample."""
     sample = rows.select(key.alias("_key")).orderBy(F.rand(7)).limit(CUTS * SAMPLED).orderBy("_key")
     kind = sample.schema["_key"].dataType
-    cuts = list(dict.fromkeys(r["_key"] for r in sample.collect()[SAMPLED // 2 :: SAMPLED]))
-    if not cuts:
-        return None
-    literals = [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields, strict=True))) for c in cuts]
-    return F.size(F.filter(F.array(*literals), lambda c: c <= key))
+    cuts = dict.fromkeys(r["_key"] for r in sample.collect()[SAMPLED // 2 :: SAMPLED])
+    return [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields, strict=True))) for c in cuts]
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 12, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -59,17 +58,20 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int = 12, rang
     start = (max(1, min(number, -(-left // size))) - 1) * size
     part, skipped = rows, 0
     while left > range_rows:
-        at = _range_of(part, key)
-        if at is None:
+        cuts = _cuts(part, key)
+        if not cuts:
             break
-        counted = dict(part.groupBy(at.alias("_range")).count().collect())
+        range_ = let(key, lambda k: F.size(F.filter(F.array(*cuts), lambda c: c <= k)))
+        counted = dict(part.groupBy(range_.alias("_range")).count().collect())
         ranges = sorted(counted)
         ends = list(accumulate(counted[r] for r in ranges))
         low, high = (min(bisect_right(ends, x - skipped), len(ranges) - 1) for x in (start, start + size - 1))
         inside = ends[high] - (ends[low - 1] if low else 0)
         if inside == left:
             break
-        part, left = part.where(at.between(ranges[low], ranges[high])), inside
+        above = [key >= cuts[ranges[low] - 1]] if ranges[low] else []
+        below = [key < cuts[ranges[high]]] if ranges[high] < len(cuts) else []
+        part, left = reduce(DataFrame.where, above + below, part), inside
         skipped += ends[low - 1] if low else 0
     top = part.orderBy(*order).limit(start - skipped + size)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)) + skipped).where(F.col("position") > start)
