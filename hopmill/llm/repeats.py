@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopmill.llm.arrays import flat, mixed, powers, prefix_hashes
-from hopmill.llm.common import release, small_batches, stash
+from hopmill.llm.common import release, reuse, small_batches, stash
 
 #: Bytes of text in a shard, which has one suffix array, and in a bundle of shards, which is a row and what merges answer to.
 SHARD, BUNDLE = 1 << 17, 1 << 20
@@ -28,7 +28,9 @@ HOT, HEAVY = 1024, 16
 #: Windows hashed at a time, and the bits that the place of a substring among theirs takes.
 BLOCK, PLACE_BITS = 1 << 15, 24
 #: Positions that one lane of Kasai's walk visits in turn.
-WALK = 16
+WALK = 8
+#: Neighbours in a suffix array that differ in as many bytes are not walked; repeats are no shorter.
+TOLD = 32
 #: What a row sent to a merge holds.
 KEYS, STRETCHES, WINDOWS = 0, 1, 2
 NO_ID = np.iinfo(np.int64).max
@@ -74,24 +76,34 @@ def _agreeing(odd: np.ndarray) -> np.ndarray:
     return 7 - (np.frexp((odd & ~(odd >> np.uint64(1))).astype(np.float64))[1] - 1 >> 3)
 
 
-def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(order: np.ndarray, word: np.ndarray, depth: int, least: int = 8) -> np.ndarray:
     """Kasai's array, cut at depth: bytes that the suffix at each place shares with the one before it (0 for the first).
 
-    Neighbours that differ in their first 8 bytes are told at once. The other positions are visited in the order of the
-    text: from one to the next the shared bytes fall by one at most, so each visit goes on from there; only after one that
-    shares all of `depth`, beyond which the order is open, it starts anew. Lanes of WALK positions walk side by side.
+    Neighbours that differ in their first `least` bytes (a multiple of 8) are told at once, and given as 0 if that is more
+    than 8. The other positions are visited in the order of the text: from one to the next the shared bytes fall by one
+    at most, so each visit goes on from there; only after one that shares all of `depth`, beyond which the order is open,
+    it starts anew. Lanes of WALK positions walk side by side.
     """
     n = len(order)
-    shared = np.zeros(n, np.int64)
-    shared[order[1:]] = _agreeing(word[order[1:]] ^ word[order[:-1]])
-    before = np.zeros(n, np.int64)
-    before[order[1:]] = order[:-1]
+    shared, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if least == 8:
+        p, q = order[1:], order[:-1]
+        shared[p] = _agreeing(word[p] ^ word[q])
+    else:
+        ahead = word[least - 8 :][order]  # bytes further on tell more neighbours apart
+        at = np.flatnonzero(ahead[1:] == ahead[:-1])
+        p, q = order[at + 1], order[at]
+        for k in range(0, least - 8, 8):
+            on = word[p + k] == word[q + k]
+            p, q = p[on], q[on]
+        shared[p] = least
+    before[p] = q
     last = np.zeros(-(-n // WALK), np.int64)
     for step in range(min(WALK, n)):
-        lane = np.flatnonzero(shared[step::WALK] == 8)
+        lane = np.flatnonzero(shared[step::WALK] == least)
         p = lane * WALK + step
         q = before[p]
-        h = np.where(last[lane] < depth, np.maximum(last[lane] - 1, 8), 8)
+        h = np.where(last[lane] < depth, np.maximum(last[lane] - 1, least), least)
         on = np.arange(len(p))
         while len(on):
             more = _agreeing(word[p[on] + h[on]] ^ word[q[on] + h[on]])
@@ -113,7 +125,7 @@ def repeated_inside(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length
     if n < length:
         return out
     order, word = suffix_array(data, length)
-    again = common_prefixes(order, word, length) >= length
+    again = common_prefixes(order, word, length, TOLD) >= length
     at = np.flatnonzero(again | np.append(again[1:], False))  # places in classes of two or more
     where = order[at]
     rank = np.unique(ids, return_inverse=True)[1]
@@ -204,18 +216,21 @@ def _runs(data: np.ndarray, sizes: np.ndarray, inside: np.ndarray, length: int)
     hashes, place = np.empty(n - k + 1, np.uint64), np.empty(n - length + 1, np.int64)
     for at in range(0, len(place), BLOCK):  # in blocks that the processor's cache holds
         m = min(BLOCK, len(place) - at) + SPREAD - 1
-        hashes[at : at + m] = mixed((prefix[at + k : at + k + m] - prefix[at : at + m]) * back[at : at + m])
+        hashes[at : at + m] = (prefix[at + k : at + k + m] - prefix[at : at + m]) * back[at : at + m]
         place[at : at + BLOCK] = key_places(hashes[at : at + m]) + at
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    starts = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
-    own, doc = place[starts], doc[starts]
-    heads = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1]))) if len(starts) else starts
-    first, last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1] if len(starts) else starts
-    done = np.concatenate(([0], np.cumsum(inside)))
+    windows = np.maximum(sizes - length + 1, 0)
+    whole = np.repeat(np.tile([True, False], len(sizes)), np.stack((windows, sizes - windows), axis=1).ravel())[: len(place)]
+    same = place[1:] == place[:-1]
+    first, last = whole.copy(), whole.copy()
+    first[1:] &= ~(whole[:-1] & same)  # windows of two documents have others between them that cross their border
+    last[:-1] &= ~(whole[1:] & same)
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    done = np.concatenate(([0], np.cumsum(inside, dtype=np.int32)))
     new = done[last + 1] - done[first] <= last - first
-    first, last, heads = first[new], last[new], heads[new]
+    first, last = first[new], last[new]
+    doc = np.searchsorted(np.cumsum(sizes), first, "right")
     prints = _prints(prefix, first, last - first + length)
-    return first, last, doc[heads].astype(np.int64), mixed(hashes[own[heads]]), prints  # least hashes are small ones: spread them again
+    return first, last, doc, mixed(hashes[place[first]]), prints  # least hashes are small ones: spread them
 
 
 def _prints(prefix: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -331,6 +346,7 @@ def _packed(length: int):
     """Whole documents packed into bundles, each with the mask of what repeats inside its shards; numbers are unique over all tasks."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse()
         base, count = TaskContext.get().partitionId() << 33, 0
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -370,6 +386,7 @@ def _packed(length: int):
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    reuse()
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
@@ -549,7 +566,7 @@ def _variants_merged(length: int):
             step = _steps(own)
             order, word = suffix_array(part, length)
             of_place = np.empty(len(part), np.int64)
-            of_place[order] = np.cumsum(common_prefixes(order, word, length) < length)
+            of_place[order] = np.cumsum(common_prefixes(order, word, length, TOLD) < length)
             mine = of_place[np.repeat(starts, own) + step]
             best = np.full(len(part) + 1, NO_ID)
             np.minimum.at(best, mine, np.repeat(least[some], own))
