@@ -152,9 +152,9 @@ def equivariance_violations(answers: DataFrame, renamed: DataFrame, codes: DataF
     return want.join(got, [query, "code"], "left_anti").select(query, F.lit("lost").alias("side")).unionByName(got.join(want, [query, "code"], "left_anti").select(query, F.lit("extra").alias("side")))
 
 
-def corruptions(families: DataFrame, kinds: tuple[str, ...] = ("wrong_answer", "wrong_status", "reversed_proof", "fake_deletion"), other_answer: Column | None = None) -> DataFrame:
-    """A good and a bad row for each family (family_id, answer, status, proof, deletions): the kind goes in turn by a digest of the family."""
-    n = F.pmod(F.xxhash64("family_id"), F.lit(len(kinds))).cast("int")
+def corruptions(families: DataFrame, kinds: tuple[str, ...] = ("wrong_answer", "wrong_status", "reversed_proof", "fake_deletion"), other_answer: Column | None = None, index: Column | None = None) -> DataFrame:
+    """A good and a bad row for each family (family_id, answer, status, proof, deletions): the kind goes in turn by the family's index, or by a digest of the family."""
+    n = F.pmod(F.xxhash64("family_id") if index is None else index, F.lit(len(kinds))).cast("int")
     rows = families.withColumn("category", F.element_at(F.array(*map(F.lit, kinds)), n + 1))
     is_ = lambda k: F.col("category") == k
     wrong = other_answer if other_answer is not None else F.concat("answer", F.lit("?"))
@@ -174,6 +174,37 @@ def flatten_proofs(paths: DataFrame, facts: DataFrame) -> DataFrame:
     return n.join(facts.select(F.col("fact_id").cast("string").alias("fact_id"), F.col("parent_role").alias("relation"), "document_id"), "fact_id", "left")
 
 
+def variant_records(variants: DataFrame) -> DataFrame:
+    """Catalog records of variants: their ids, those of the family's control and challenge, and what changed against the control.
+
+    variants: family_id, variant_index (0 is the control, 1 the challenge), fact_ids, answers, status, and others that are
+    kept. Changes are null for the control and where there is none; null arrays count as empty. A family has one control.
+    """
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    name = lambda n: F.concat(F.col("family_id").cast("string"), F.lit("-"), F.format_string("%02d", n))
+    control = variants.where("variant_index = 0").select("family_id", some("fact_ids").alias("_f"), some("answers").alias("_a"), F.struct("status").alias("_s"))
+    facts, later = some("fact_ids"), (F.col("variant_index") > 0) & F.col("_s").isNotNull()
+    return variants.join(control, "family_id", "left").withColumns({
+        "record_id": name(F.col("variant_index")), "control_id": name(F.lit(0)), "challenge_id": name(F.lit(1)),
+        "added": F.when(later, F.array_sort(F.array_except(facts, "_f"))), "removed": F.when(later, F.array_sort(F.array_except("_f", facts))),
+        "answers_changed": F.when(later, some("answers") != F.col("_a")), "status_changed": F.when(later, ~F.col("status").eqNullSafe(F.col("_s.status"))),
+    }).drop("_f", "_a", "_s")
+
+
+def fact_documents(variants: DataFrame, supports: DataFrame) -> DataFrame:
+    """(family_id, variant_index, fact_id, document, documents): for each active fact the units of the variant that support it, sorted, and the first.
+
+    variants: family_id, variant_index, fact_ids, unit_ids; supports: family_id, fact_id, unit_id, of all registered
+    support sets. A fact that no unit of the variant supports has no document and an empty list.
+    """
+    each = lambda c, n: variants.select("family_id", "variant_index", F.explode(F.array_distinct(c)).alias(n))
+    facts, keys = each("fact_ids", "fact_id"), ["family_id", "variant_index"]
+    held = each("unit_ids", "unit_id").join(supports.select("family_id", "fact_id", "unit_id"), ["family_id", "unit_id"])
+    found = held.groupBy(*keys, "fact_id").agg(F.array_sort(F.collect_set("unit_id")).alias("documents"))
+    out = facts.join(found, [*keys, "fact_id"], "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
+    return out.select(*keys, "fact_id", F.get("documents", 0).alias("document"), "documents")
+
+
 def document_order(family: Column, documents: Column, salt: str, backwards: bool = False) -> Column:
     """The documents of a family in the order of a digest of family, salt and id, or the reverse."""
     keyed = F.array_sort(F.transform(documents, lambda d: F.struct(F.sha2(F.concat_ws("|", family, F.lit(salt), d), 256).alias("k"), d.alias("d"))))

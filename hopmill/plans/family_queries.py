@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hopmill.operators import families as V
 from hopmill.operators import graph as G
 from hopmill.operators import provenance as P
+from hopmill.operators.ranks import positions
 from hopmill.plans.bindings import table
 from hopmill.plans.review_queries import LINES, lines
 
@@ -66,6 +67,33 @@ def v10_corruptions(spark, sf_dir):
     return j.select("family_id", F.col("g_answer").alias("answer"), F.col("g_status").alias("status"), F.array_join("g_proof", ",").alias("proof"), (changed == says).alias("as_its_kind"))
 
 
+def v10_indexed(spark, sf_dir):
+    f = _solved(spark, sf_dir).where("condition = 'base'").select("family_id", F.array_join("answers", ",").alias("answer"), "status", F.col("proofs").alias("proof"), F.size("proofs").alias("deletions"))
+    out = V.corruptions(positions(f, [F.col("family_id")], "index"), index=F.col("index"))
+    return out.select("family_id", "copy", "category", "answer", "status", F.array_join("proof", ",").alias("proof"), "deletions")
+
+
+def _variants(spark, sf_dir):
+    """(variants, supports): each unit that no cut takes away is a fact, which the unit of the next line supports, too."""
+    packets, units = _packets(spark, sf_dir)
+    rows, _ = V.expand_conditions(packets, units)
+    held = rows.groupBy("family_id", "condition").agg(F.collect_list("unit_id").alias("unit_ids"))
+    facts = F.transform("proofs", lambda u: F.concat(F.lit("f"), F.substring(u, 2, 9)))
+    at = F.array_position(F.array(*map(F.lit, V.CONDITIONS)), F.col("condition")).cast("int") - 1
+    variants = _solved(spark, sf_dir).join(held, ["family_id", "condition"], "left").select("family_id", at.alias("variant_index"), "status", "answers", facts.alias("fact_ids"), "unit_ids")
+    n = F.substring("unit_id", 2, 9).cast("int")
+    supports = units.select("family_id", "unit_id", F.explode(F.array(n, n - 1)).alias("_n")).select("family_id", "unit_id", F.concat(F.lit("f"), F.col("_n")).alias("fact_id"))
+    return variants, supports
+
+
+def v13_variants(spark, sf_dir):
+    variants, supports = _variants(spark, sf_dir)
+    found = V.fact_documents(variants, supports)
+    out = V.variant_records(variants).join(found, ["family_id", "variant_index"], "left")
+    lists = [F.array_join(c, ",").alias(c) for c in ("added", "removed", "documents")]
+    return out.select("record_id", "control_id", "challenge_id", "answers_changed", "status_changed", "fact_id", "document", *lists)
+
+
 def _flow(spark, sf_dir):
     """(packets, units, evidence, proofs) of orders: line n is a fact, of the first step (start to a middle) if n is odd, else of the second.
 
@@ -131,7 +159,7 @@ def v13_records(spark, sf_dir):
     return V.flatten_proofs(paths, facts)
 
 
-QUERIES = {f.__name__: f for f in (v01_conditions, v02_invariants, v01_flow, v02_flow, v03_residual, v10_corruptions, v13_records)}
+QUERIES = {f.__name__: f for f in (v01_conditions, v02_invariants, v01_flow, v02_flow, v03_residual, v10_corruptions, v10_indexed, v13_records, v13_variants)}
 
 _SOLVED = f"""{LINES}, x AS (SELECT *, 'u' || l_linenumber AS unit_id, row_number() OVER (PARTITION BY l_orderkey, returnflag ORDER BY 'u' || l_linenumber) = 1 AS head FROM lines),
 conditions AS (SELECT * FROM (VALUES ('base', 'A'), ('main_distractor', 'AN'), ('irrelevant_addition', 'AR'), ('{NECESSARY}', 'A'), ('irrelevant_deleted', 'A')) AS v("condition", flags)),
@@ -173,6 +201,18 @@ SELECT family_id, "condition", unnest(list_filter([CASE WHEN "condition" = 'base
     "v03_residual": f"""WITH {_SOLVED}, f AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 48)
 SELECT family_id, "condition", CASE WHEN "condition" = 'main_distractor' AND l_orderkey IS NOT NULL THEN 'unresolved' ELSE status END AS status, status AS graph_status, array_to_string(answers, ',') AS answers FROM solved LEFT JOIN f ON family_id = l_orderkey""",
     "v10_corruptions": f"""WITH {_SOLVED} SELECT family_id, array_to_string(answers, ',') AS answer, status, array_to_string(proofs, ',') AS proof, true AS as_its_kind FROM solved WHERE "condition" = 'base'""",
+    "v10_indexed": f"""WITH {_SOLVED}, b AS (SELECT family_id, array_to_string(answers, ',') AS answer, status, proofs, len(proofs)::INT AS deletions, ((row_number() OVER (ORDER BY family_id) - 1) % 4)::INT AS i FROM solved WHERE "condition" = 'base'),
+c AS (SELECT *, ['wrong_answer', 'wrong_status', 'reversed_proof', 'fake_deletion'][i + 1] AS category FROM b)
+SELECT family_id, 'good' AS "copy", category, answer, status, array_to_string(proofs, ',') AS proof, deletions FROM c UNION ALL
+SELECT family_id, 'bad', category, CASE WHEN i = 0 THEN answer || '?' ELSE answer END, CASE WHEN i <> 1 THEN status WHEN status = 'answerable' THEN 'ambiguous' ELSE 'answerable' END, array_to_string(CASE WHEN i = 2 THEN list_reverse(proofs) ELSE proofs END, ','), CASE WHEN i = 3 THEN deletions + 1 ELSE deletions END FROM c""",
+    "v13_variants": f"""WITH {_SOLVED}, v AS (SELECT *, list_position({list(V.CONDITIONS)}, "condition") - 1 AS i, list_transform(proofs, lambda u: 'f' || substr(u, 2)) AS facts FROM solved),
+b AS (SELECT family_id, facts AS f, answers AS a, status AS s FROM v WHERE i = 0),
+r AS (SELECT v.*, f, a, s FROM v LEFT JOIN b USING (family_id)),
+d AS (SELECT family_id, "condition", fact_id, string_agg(unit_id, ',' ORDER BY unit_id) AS documents, min(unit_id) AS document FROM (SELECT family_id, "condition", unnest(facts) AS fact_id FROM v) JOIN rows USING (family_id, "condition")
+  WHERE unit_id IN ('u' || substr(fact_id, 2), 'u' || (substr(fact_id, 2)::INT + 1)) GROUP BY ALL)
+SELECT family_id || '-' || lpad(i::VARCHAR, 2, '0') AS record_id, family_id || '-00' AS control_id, family_id || '-01' AS challenge_id, CASE WHEN i > 0 THEN answers <> a END AS answers_changed, CASE WHEN i > 0 THEN status <> s END AS status_changed,
+  fact_id, document, documents, CASE WHEN i > 0 THEN array_to_string(list_sort(list_filter(facts, lambda x: NOT list_contains(f, x))), ',') END AS added, CASE WHEN i > 0 THEN array_to_string(list_sort(list_filter(f, lambda x: NOT list_contains(facts, x))), ',') END AS removed
+  FROM r LEFT JOIN d USING (family_id, "condition")""",
     "v13_records": f"""WITH {LINES}, p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lines)
 SELECT l_orderkey AS query_id, 1 AS path_no, l_orderkey || '-' || l_linenumber AS fact_id, 'n' || n AS node_id, CASE WHEN n > 1 THEN 'n' || (n - 1) END AS dependency, 'p' || partkey AS value,
   CASE WHEN quantity < 45 THEN returnflag END AS relation, CASE WHEN quantity < 45 THEN 'd' || suppkey END AS document_id FROM p""",
