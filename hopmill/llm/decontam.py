@@ -34,7 +34,7 @@ def marked(text: Column) -> Column:
     v = F.regexp_replace(v, r"[\s\p{Z}\x85]{2,}|[\s\p{Z}\x85&&[^ ]]", " ")
     v = F.regexp_replace(v, r"(\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}+)(?![\p{L}\p{N}])", f"{INITIAL}$1")
     v = F.regexp_replace(v, rf"{INITIAL}(?<=[^.!?\s] .)", NAME)
-    v = F.regexp_replace(v, r"(\p{N}(?<![\p{L}\p{N}].)\p{N}*(?:[.,]\p{N}+)*)", f" {NUMBER}$1 ")
+    v = F.regexp_replace(v, r"(\p{N}(?<![\p{L}\p{N}].)\p{N}*+(?:[.,]\p{N}++)*+)", f" {NUMBER}$1 ")  # possessive: else Java recurses once a repetition
     v = F.lower(F.upper(F.regexp_replace(v, rf"[^\p{{L}}\p{{N}}{NUMBER}-{INITIAL}., ]+|[.,]+(?!\p{{N}})|[.,]+(?<!\p{{N}}[.,]{{1,9}})", " ")))
     v = F.regexp_replace(v, r" {2,}", " ")
     return F.trim(F.regexp_replace(v, rf"({NUMBER}\S+ )({'|'.join(UNITS)})(?= |$)", f"$1{UNIT}$2"))
@@ -51,7 +51,7 @@ def template(marks: Column, reading: int) -> Column:
     if reading == PLAIN:
         return F.translate(marks, NUMBER + NAME + UNIT + INITIAL, "")
     v = F.translate(marks, INITIAL, NAME if reading == CAPITALS else "")
-    return F.regexp_replace(v, rf"({NAME})\S*(?: {NAME}\S*)*|([{NUMBER}{UNIT}])\S*", "$1$2")
+    return F.regexp_replace(v, rf"({NAME})\S*+(?: {NAME}\S*+)*+|([{NUMBER}{UNIT}])\S*", "$1$2")
 
 
 def tokens(text: Column) -> Column:

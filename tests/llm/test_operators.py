@@ -560,3 +560,13 @@ def test_decontam_repeated_tokens(spark):
     items = spark.createDataFrame([(1, "spam " * 100), (2, "spam ham " * 50)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.kind, r.windows, r.found, r.aligned, r.start) for r in decontam.leaks(docs, items).collect()}
     assert got == {(1, 1): ("verbatim", 96, 96, 96, 0), (2, 2): ("verbatim", 96, 96, 96, 0)}
+
+
+def test_decontam_long_runs_of_names_and_numbers(spark):
+    """Runs of capitalised words and chains of numbers are one slot however long they are, and hide no item behind them."""
+    item = "each of the boxes on the table holds red balls and blue balls"
+    runs = ["Reention. " * 50_000, "For " * 50_000, "See 1" + ".5,7" * 50_000 + " "]
+    marks = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "i int, t string").select("i", decontam.marked(F.col("t")).alias("m"))
+    got = {r.i: (r.inner, r.capitals) for r in marks.select("i", decontam.template(F.col("m"), decontam.INNER).alias("inner"), decontam.template(F.col("m"), decontam.CAPITALS).alias("capitals")).collect()}
+    assert got == {0: (" ".join(["reention"] * 50_000), decontam.NAME), 1: ("for " + decontam.NAME, decontam.NAME), 2: ("see " + decontam.NUMBER, decontam.NAME + " " + decontam.NUMBER)}
+    assert leaks_of(spark, [(i, t + item) for i, t in enumerate(runs)] + [(9, runs[0])], [(10, item)]) == {(0, 10): "verbatim", (1, 10): "verbatim", (2, 10): "verbatim"}
