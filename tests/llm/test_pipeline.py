@@ -37,6 +37,13 @@ def test_decontamination_drops_documents_with_an_item(spark, stages):
     assert len(stages[3]) < len(stages[2])
 
 
+def test_decontamination_with_long_runs_of_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy("item_id").first().text
+    rows = [(1, "Reention. " * 20_000, "en", "src0", 0), (2, "Reention. " * 20_000 + item, "en", "src0", 0), (3, "1" + ".5" * 20_000, None, None, 0), (4, "1" + ".5" * 20_000 + " " + item, None, None, 0)]
+    assert sorted(r.doc_id for r in P.decontamination(spark, spark.createDataFrame(rows, docs.schema), SF).collect()) == [1, 3]
+
+
 def test_mixture_meets_the_targets(stages):
     size = lambda r: len(brute.words(r.text))
     names = sorted({r.source for r in stages[3] if r.source is not None}, key=str.encode) + [None] * any(r.source is None for r in stages[3])
