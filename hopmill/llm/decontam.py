@@ -5,6 +5,7 @@ Everything here is built-in DataFrame and SQL functions.
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 from hopmill.llm.common import small, stash
 
 #: Marks that stand in front of a number, a name and a unit, and of a capitalised word that may be a name (at the start of a sentence, in a quote or bracket).
-NUMBER, NAME, UNIT, INITIAL = "\ue001", "\ue002", "\ue003", "\ue004"
+#: ASCII, so that a text of one byte a character stays one in Java's strings; in texts these five controls count as white space.
+NUMBER, NAME, UNIT, INITIAL = "\x01", "\x02", "\x03", "\x04"
 #: Stands between the readings of a document; no item has it.
-GAP = "\ue000"
+GAP = "\x05"
 #: Readings of a text: names inside sentences are slots; all capitalised words are; no slots, words as they stand but for their case.
 INNER, CAPITALS, PLAIN = 0, 1, 2
 #: Units of measure and money that may follow a number.
 UNITS = "mm cm m km inch inches ft feet yards mile miles mg g kg ton tons tonnes lb lbs oz ml l litre litres liter liters s sec seconds min minutes h hour hours day days week weeks month months year years k c f w kw mw v a hz khz mhz ghz b kb mb gb tb percent dollars dollar euros euro pounds usd eur gbp cents degrees".split()
+#: Classes of patterns: white space, all but the space outside the printable ASCII characters; ASCII letters and digits.
+SPACE, ALNUM = rf"[[^!-~]&&[\s\p{{Z}}\x85{NUMBER}-{GAP}]]", string.ascii_letters + string.digits
 #: Tokens in a window, tokens of a window that must be literal, part of an item's windows that must be found, and aligned tokens that are enough alone.
 WINDOW, LITERAL, COVERED, ALIGNED = 5, 2, 0.8, 13
 
@@ -28,30 +32,36 @@ def marked(text: Column) -> Column:
     """The text as case-folded tokens with one space between, punctuation left out, slots marked and holding their value.
 
     Numbers (with inner points and commas) are slots; so are capitalised words (NAME inside a sentence, INITIAL elsewhere)
-    and unit words behind a number. A word in capitals throughout is literal. White space counts as one space.
+    and unit words behind a number. A word in capitals throughout is literal. White space counts as one space, and so do the
+    marks' own characters where a text has them.
     """
-    v = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{GAP}-{INITIAL}]", "")
-    v = F.regexp_replace(v, r"[\s\p{Z}\x85]{2,}|[\s\p{Z}\x85&&[^ ]]", " ")
-    v = F.regexp_replace(v, r"(\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}+)(?![\p{L}\p{N}])", f"{INITIAL}$1")
+    # most characters are ASCII letters, digits and single spaces: each class rules these out first, before it asks for a Unicode property
+    v = F.regexp_replace(F.coalesce(text, F.lit("")), rf" (?![!-~]){SPACE}*+|[[^ -~]&&{SPACE}]{SPACE}*+", " ")
+    v = F.regexp_replace(v, r"(?=\p{Lu}(?<![\p{L}\p{N}].)\p{Ll}++(?![\p{L}\p{N}]))", INITIAL)
     v = F.regexp_replace(v, rf"{INITIAL}(?<=[^.!?\s] .)", NAME)
     v = F.regexp_replace(v, r"(\p{N}(?<![\p{L}\p{N}].)\p{N}*+(?:[.,]\p{N}++)*+)", f" {NUMBER}$1 ")  # possessive: else Java recurses once a repetition
-    v = F.lower(F.upper(F.regexp_replace(v, rf"[^\p{{L}}\p{{N}}{NUMBER}-{INITIAL}., ]+|[.,]+(?!\p{{N}})|[.,]+(?<!\p{{N}}[.,]{{1,9}})", " ")))
-    v = F.regexp_replace(v, r" {2,}", " ")
-    return F.trim(F.regexp_replace(v, rf"({NUMBER}\S+ )({'|'.join(UNITS)})(?= |$)", f"$1{UNIT}$2"))
+    # points and commas in front of a digit are inside a number by now
+    v = F.lower(F.upper(F.regexp_replace(v, rf"(?! [{ALNUM}{NUMBER}-{INITIAL}])[[^{ALNUM}]&&[^\p{{L}}\p{{N}}{NUMBER}-{INITIAL}]]++(?<![.,](?=\p{{N}}))", " ")))
+    return F.trim(F.regexp_replace(v, rf"({NUMBER}\S++ )(?=(?:{'|'.join(UNITS)})(?: |$))", f"$1{UNIT}"))
+
+
+def _without(text: Column, marks: str, put: str = "") -> Column:
+    """The text with each of the marks replaced; F.translate looks up every character."""
+    return reduce(lambda v, m: F.replace(v, F.lit(m), F.lit(put)), marks, text)
 
 
 def slotted(marks: Column, reading: int) -> Column:
     """marked() text with the marks of a reading: neighbouring names are one (PLAIN: one a word, and no INITIAL)."""
-    v = F.translate(marks, INITIAL, NAME if reading == CAPITALS else "")
+    v = _without(marks, INITIAL, NAME if reading == CAPITALS else "")
     return v if reading == PLAIN else F.regexp_replace(v, rf"({NAME}\S+) (?={NAME})", "$1_")
 
 
 def template(marks: Column, reading: int) -> Column:
     """marked() text as a reading compares it: each slot is its mark alone, or (PLAIN) its value alone."""
     if reading == PLAIN:
-        return F.translate(marks, NUMBER + NAME + UNIT + INITIAL, "")
-    v = F.translate(marks, INITIAL, NAME if reading == CAPITALS else "")
-    return F.regexp_replace(v, rf"({NAME})\S*+(?: {NAME}\S*+)*+|([{NUMBER}{UNIT}])\S*", "$1$2")
+        return _without(marks, NUMBER + NAME + UNIT + INITIAL)
+    v = _without(marks, INITIAL, NAME if reading == CAPITALS else "")
+    return F.regexp_replace(v, rf"([{NUMBER}-{UNIT}])(?:(?<={NAME})[^ ]*+(?: {NAME}[^ ]*+)*+|[^ ]*+)", "$1")
 
 
 def tokens(text: Column) -> Column:
