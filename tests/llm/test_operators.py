@@ -539,6 +539,20 @@ def test_components_of_hubs(spark, monkeypatch):
     assert got == brute.components({x for e in edges for x in e}, edges)
 
 
+def test_components_write_little_without_hubs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "stash", lambda df, name, stash=components.stash: written.append(name) or stash(df, name))
+    stars = [(10 * i, 10 * i + k) for i in range(20) for k in range(1, 5)]
+    assert components.components(spark.createDataFrame(stars, "a long, b long")).count() == 100
+    assert written == ["given", "edges"]
+    written.clear()
+    chain = [(i, i + 1) for i in range(40)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)}
+    assert set(written) == {"given", "edges"}
+    assert len(written) < 12
+
+
 def test_vectors_of_a_cell_larger_than_a_block_and_clashing_names(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal(8)
