@@ -16,7 +16,8 @@ from hopmill.llm.arrays import flat, mixed, powers, prefix_hashes
 from hopmill.llm.common import release, reuse, small_batches, stash
 
 #: Bytes of text in a shard, which has one suffix array, and in a bundle of shards, which is a row and what merges answer to.
-SHARD, BUNDLE = 1 << 17, 1 << 20
+#: Rows stay below half a region of 1 MB: the JVM gives larger arrays regions of their own, and its heap grows to its limit.
+SHARD, BUNDLE = 1 << 17, 3 << 17
 #: Every string of `length` bytes holds SPREAD substrings of length - SPREAD + 1 bytes; the one of least hash is its key.
 SPREAD = 24
 #: Keys, and bytes of text, that one task of a merge should hold; bytes of marks that are broadcast at most.
