@@ -36,9 +36,9 @@ def overlay(catalog: DataFrame, hits: DataFrame, key: str = "key") -> DataFrame:
 
 
 def attach_answers(catalog: DataFrame, answers: DataFrame, key: str = "key") -> DataFrame:
-    """Questions with their first answers, the digest of the raw text, and whether it is one JSON value (repeated keys and NaN allowed)."""
-    a = answers.select(key, "model", "raw_response", F.sha2("raw_response", 256).alias("raw_text_sha256"), F.coalesce(is_json(F.col("raw_response")), F.lit(False)).alias("parses"))
-    return catalog.join(a, key, "left")
+    """Questions with their first answers, the digest of the raw text, and whether it is one JSON value (repeated keys and NaN allowed); no answer does not parse."""
+    a = answers.select(key, "model", "raw_response", F.sha2("raw_response", 256).alias("raw_text_sha256"), is_json(F.col("raw_response")).alias("parses"))
+    return catalog.join(a, key, "left").withColumn("parses", F.coalesce("parses", F.lit(False)))
 
 
 def facet_pairs(catalog: DataFrame, key: str, single: list[str], several: list[str]) -> DataFrame:

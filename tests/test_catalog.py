@@ -16,3 +16,10 @@ def test_sibling_counts_are_those_of_pairs(spark):
     df = spark.createDataFrame(rows, "key long, cohort long, mother string")
     want = {r.key: r.n for r in catalog.siblings(df).groupBy("key").agg(F.count("*").alias("n")).collect()}
     assert {r.key: r.siblings for r in catalog.sibling_counts(df).collect()} == want and want
+
+
+def test_questions_without_an_answer_do_not_parse(spark):
+    questions = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    answers = spark.createDataFrame([("a", "m", '{"x": NaN}'), ("b", "m", None)], "key string, model string, raw_response string")
+    got = catalog.attach_answers(questions, answers).select("key", "model", "parses").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "m", True), ("b", "m", False), ("c", None, False)]
