@@ -46,16 +46,9 @@ def _cuts(rows: DataFrame, key: Column) -> list[Column]:
     return [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields, strict=True))) for c in cuts]
 
 
-def page(rows: DataFrame, order: list[Column], number: int, size: int = 12, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Page `number` (from 1) of the rows in ascending order (nulls first), clamped to the pages there are; position counts from 1.
-
-    While more than range_rows rows are in question they are counted by range, and only the ranges that the page touches
-    are read again, so a deep page costs as much as the first one. Rows that tie in the whole order come in any order;
-    where more than range_rows of them do, the page's last task holds those before it. An empty table has an empty page.
-    """
+def _narrowed(rows: DataFrame, order: list[Column], left: int, start: int, end: int, range_rows: int) -> tuple[DataFrame, int, int]:
+    """(part, rows skipped before it, rows in it): those of `left` rows among which the places start to end lie, by counts of ranges."""
     key = F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)))
-    left = rows.count()
-    start = (max(1, min(number, -(-left // size))) - 1) * size
     part, skipped = rows, 0
     while left > range_rows:
         cuts = _cuts(part, key)
@@ -65,7 +58,7 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int = 12, rang
         counted = dict(part.groupBy(range_.alias("_range")).count().collect())
         ranges = sorted(counted)
         ends = list(accumulate(counted[r] for r in ranges))
-        low, high = (min(bisect_right(ends, x - skipped), len(ranges) - 1) for x in (start, start + size - 1))
+        low, high = (min(bisect_right(ends, x - skipped), len(ranges) - 1) for x in (start, end))
         inside = ends[high] - (ends[low - 1] if low else 0)
         if inside == left:
             break
@@ -73,5 +66,35 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int = 12, rang
         below = [key < cuts[ranges[high]]] if ranges[high] < len(cuts) else []
         part, left = reduce(DataFrame.where, above + below, part), inside
         skipped += ends[low - 1] if low else 0
+    return part, skipped, left
+
+
+def _start(left: int, number: int, size: int) -> int:
+    """The first place of a page of `left` rows, clamped to the pages there are."""
+    return (max(1, min(number, -(-left // size))) - 1) * size
+
+
+def page(rows: DataFrame, order: list[Column], number: int, size: int = 12, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Page `number` (from 1) of the rows in ascending order (nulls first), clamped to the pages there are; position counts from 1.
+
+    While more than range_rows rows are in question they are counted by range, and only the ranges that the page touches
+    are read again, so a deep page costs as much as the first one. Rows that tie in the whole order come in any order;
+    where more than range_rows of them do, the page's last task holds those before it. An empty table has an empty page.
+    """
+    left = rows.count()
+    start = _start(left, number, size)
+    part, skipped, _ = _narrowed(rows, order, left, start, start + size - 1, range_rows)
     top = part.orderBy(*order).limit(start - skipped + size)
     return top.withColumn("position", F.row_number().over(Window.orderBy(*order)) + skipped).where(F.col("position") > start)
+
+
+def pages_from(rows: DataFrame, order: list[Column], number: int, size: int = 12, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """page() and all pages after it, which are the rest of the rows: those before are only counted, by range."""
+    total = rows.count()
+    start = _start(total, number, size)
+    part, skipped, left = _narrowed(rows, order, total, start, total - 1, range_rows)
+    if left <= range_rows:
+        placed = part.withColumn("position", F.row_number().over(Window.orderBy(*order)) + skipped)
+    else:
+        placed = positions(part, order, "_place", max(range_rows, RANGE_ROWS)).select(*rows.columns, (F.col("_place") + skipped + 1).alias("position"))
+    return placed.where(F.col("position") > start)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hopmill.operators.ranks import page, positions
+from hopmill.operators.ranks import page, pages_from, positions
 
 ROWS = [(None if i % 11 == 0 else 7 if i % 3 else i % 40, i) for i in range(700)]  # a hot key and a null one
 
@@ -40,3 +40,21 @@ def test_positions_split_a_hot_key(spark, df):
     same = positions(spark.range(40).select(F.lit(1).alias("a")), [F.col("a")], range_rows=3)
     assert sorted(r.position for r in same.collect()) == list(range(40))
     assert positions(df.where("false"), [F.col("a")]).count() == 0
+
+
+@pytest.mark.parametrize("range_rows", [20, 300, 1000])
+@pytest.mark.parametrize("number", [0, 2, 30, 59, 1000])
+def test_pages_from_one_on_are_the_rest_of_the_order(df, number, range_rows):
+    at = max(1, min(number, -(-len(ROWS) // 12)))
+    want = [(i + 1, *r) for i, r in enumerate(sorted(ROWS, key=_key))][(at - 1) * 12 :]
+    got = pages_from(df, [F.col("a"), F.col("b")], number, range_rows=range_rows).select("position", "a", "b").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_a_deep_page_of_more_rows_than_it_has_pages_for(spark, tmp_path):
+    from hopmill.plans.integrity_queries import c09_deep
+
+    rows = spark.range(1_200_030).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit(1).cast("long").alias("o_custkey"))
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    got = c09_deep(spark, str(tmp_path)).select("position", "o_orderkey").collect()
+    assert sorted(map(tuple, got)) == [(i + 1, i) for i in range(1_199_988, 1_200_030)]
