@@ -3,6 +3,9 @@
 Proofs are searched once, over all facts. Each support group of a family has a bit; a condition is a mask of the groups that
 its texts still hold. A proof lives if every fact of it has a bit under the mask, support is counted by bits, and no
 condition is solved anew.
+
+What a family has (units, evidence, proofs, conditions) is bounded by its nature, so it meets by family_id alone: tables that
+are dealt by it already, as those of one source are, are not shuffled again.
 """
 
 from __future__ import annotations
@@ -10,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmill.operators.spotting import spotted
-from hopmill.operators.text import delete_quotes
+from hopmill.operators.text import delete_quotes, without_quotes
 
 #: The conditions of a family.
 NECESSARY, ABSENT, REDUNDANT, ALTERNATIVE = "necessary_support_deleted_name_retained", "name_absent_deleted", "redundant_support_deleted", "alternative_proof_preserved"
@@ -19,6 +21,7 @@ PRESERVING = ("main_distractor", "irrelevant_addition", "irrelevant_deleted")
 MANDATORY = ("base", "main_distractor", "irrelevant_addition", NECESSARY, "irrelevant_deleted")
 OPTIONAL = (ABSENT, REDUNDANT, ALTERNATIVE)
 SPOT = ["family_id", "condition"]
+CUTS = "array<struct<condition string, unit_id string, quote string>>"
 
 
 def bits(places: Column, words: Column) -> Column:
@@ -42,9 +45,15 @@ def family_contexts(packets: DataFrame, units: DataFrame) -> tuple[DataFrame, Da
     applies = F.array_compact(F.array(*map(F.lit, MANDATORY), *(F.when(of(c), F.lit(c)) for c in OPTIONAL)))
     none = F.array().cast("array<string>")
     added = F.when(F.col("condition") == "main_distractor", F.col("distractor_ids")).when(F.col("condition") == "irrelevant_addition", F.col("irrelevant_ids")).otherwise(none)
-    rows = packets.withColumn("condition", F.explode(applies)).select(*SPOT, F.explode(F.array_union("base_unit_ids", added)).alias("unit_id")).join(units, ["family_id", "unit_id"])
+    held = units.groupBy("family_id").agg(F.collect_list(F.struct("unit_id", "text")).alias("_units"))
+    each = packets.withColumn("condition", F.explode(applies)).select(*SPOT, F.filter(F.coalesce("deletions", F.array().cast(CUTS)), lambda d: d["condition"] == F.col("condition")).alias("_cuts"), F.array_union("base_unit_ids", added).alias("_ids"))
+    each = each.join(held, "family_id").select(*SPOT, "_cuts", F.inline(F.filter("_units", lambda u: F.array_contains("_ids", u["unit_id"]))))
+    quotes = F.transform(F.filter("_cuts", lambda d: d["unit_id"] == F.col("unit_id")), lambda d: d["quote"])
+    after = each.withColumn("_quotes", quotes).withColumn("_after", without_quotes(F.col("text"), F.col("_quotes")))
+    contexts = after.where((F.col("_after") != "") | (F.size("_quotes") == 0) | (F.coalesce("text", F.lit("")) == "")).select(*SPOT, "unit_id", F.col("_after").alias("text"))
     cuts = packets.select("family_id", F.explode("deletions").alias("_d")).select("family_id", "_d.condition", "_d.unit_id", "_d.quote")
-    return delete_quotes(rows.select(*SPOT, "unit_id", "text"), cuts, [*SPOT, "unit_id"])
+    _, log, bad = delete_quotes(each.select(*SPOT, "unit_id", "text"), cuts, [*SPOT, "unit_id"])
+    return contexts, log, bad
 
 
 def support_bits(evidence: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,14 +61,15 @@ def support_bits(evidence: DataFrame, contexts: DataFrame) -> tuple[DataFrame, D
 
     evidence: family_id, fact_id, group_no, unit_id, quote. A group holds if every quote of it stands in its own unit.
     """
-    groups = evidence.groupBy("family_id", "fact_id", "group_no").agg(F.count("*").alias("_quotes"))
+    groups = evidence.groupBy("family_id", "fact_id", "group_no").agg(F.collect_list(F.struct("unit_id", "quote")).alias("_quotes"))
     w = Window.partitionBy("family_id")  # a family's evidence is bounded by its nature
     groups = groups.withColumns({"_place": F.row_number().over(w.orderBy("fact_id", "group_no")) - 1, "_words": F.ceil(F.count("*").over(w) / 64).cast("int")})
     facts = groups.groupBy("family_id", "fact_id").agg(bits(F.collect_list("_place"), F.max("_words")).alias("bits"))
-    there = evidence.join(contexts, ["family_id", "unit_id"]).where((F.col("quote") != "") & F.col("text").contains(F.col("quote")))
-    whole = there.groupBy(*SPOT, "fact_id", "group_no").agg(F.count("*").alias("_there")).join(groups, ["family_id", "fact_id", "group_no"]).where("_there = _quotes")
-    held = whole.groupBy(*SPOT).agg(bits(F.collect_list("_place"), F.max("_words")).alias("mask"))
-    return facts, contexts.select(*SPOT).distinct().join(held, SPOT, "left")
+    own = groups.groupBy("family_id").agg(F.collect_list(F.struct("_place", "_quotes")).alias("_groups"), F.max("_words").alias("_words"))
+    texts = contexts.groupBy(*SPOT).agg(F.collect_list(F.struct("unit_id", "text")).alias("_texts"))
+    stands = lambda q: F.exists("_texts", lambda t: F.coalesce((t["unit_id"] == q["unit_id"]) & (q["quote"] != "") & t["text"].contains(q["quote"]), F.lit(False)))
+    whole = F.transform(F.filter("_groups", lambda g: F.forall(g["_quotes"], stands)), lambda g: g["_place"])
+    return facts, texts.join(own, "family_id", "left").select(*SPOT, F.when(F.col("_words").isNotNull(), bits(whole, F.col("_words"))).alias("mask"))
 
 
 def solved_families(proofs: DataFrame, facts: DataFrame, conditions: DataFrame) -> DataFrame:
@@ -67,14 +77,15 @@ def solved_families(proofs: DataFrame, facts: DataFrame, conditions: DataFrame)
 
     proofs: family_id, answer, facts (ids in order), found once over all facts; facts and conditions from support_bits.
     """
-    each = proofs.withColumn("proof", F.array_join("facts", ">")).select("family_id", "answer", "proof", F.explode(F.array_distinct("facts")).alias("fact_id"))
-    each = each.join(facts, ["family_id", "fact_id"], "left").groupBy("family_id", "answer", "proof").agg(F.collect_list(F.coalesce("bits", F.array().cast("array<long>"))).alias("_bits"))
+    each = proofs.where(F.size("facts") > 0).groupBy("family_id").agg(F.collect_list(F.struct("answer", F.array_join("facts", ">").alias("proof"), "facts")).alias("_proofs"))
+    known = facts.where("fact_id is not null").groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct("fact_id", "bits"))).alias("_facts"))
     mask = F.coalesce("mask", F.array().cast("array<long>"))
-    living = conditions.join(each, "family_id").where(F.forall("_bits", lambda b: shared_bits(b, mask) > 0))
-    found = living.groupBy(*SPOT).agg(F.array_sort(F.collect_set("answer")).alias("answers"), F.array_sort(F.collect_set("proof")).alias("proofs"))
-    support = conditions.join(facts, "family_id").groupBy(*SPOT).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fact_id", shared_bits(F.col("bits"), mask).alias("groups"))))).alias("support"))
-    none = F.array().cast("array<string>")
-    out = conditions.select(*SPOT).join(found, SPOT, "left").join(support, SPOT, "left").withColumns({"answers": F.coalesce("answers", none), "proofs": F.coalesce("proofs", none)})
+    groups = F.map_from_entries(F.transform("_facts", lambda f: F.struct(f["fact_id"], shared_bits(f["bits"], mask).alias("groups"))))
+    out = conditions.join(known, "family_id", "left").select(*SPOT, groups.alias("support")).join(each, "family_id", "left")
+    holds = lambda f: F.coalesce(F.element_at("support", f) > 0, F.lit(False))
+    out = out.withColumn("_living", F.filter("_proofs", lambda p: F.forall(p["facts"], holds)))
+    of = lambda c: F.coalesce(F.array_sort(F.array_distinct(F.array_compact(F.transform("_living", lambda p: p[c])))), F.array().cast("array<string>"))
+    out = out.select(*SPOT, of("answer").alias("answers"), of("proof").alias("proofs"), "support")
     n = F.size("answers")
     return out.withColumn("status", F.when(n == 0, "insufficient_evidence").when(n == 1, "answerable").otherwise("ambiguous"))
 
@@ -96,11 +107,13 @@ def family_violations(packets: DataFrame, solved: DataFrame, contexts: DataFrame
     redundant one keeps the answer and leaves a fact of a proof fewer supports, but one at least; an alternative one keeps the
     answer and loses a proof; an optional condition has either deletions or a reason.
     """
-    names = packets.select("family_id", F.explode(F.array_distinct("start_names")).alias("surface"))
-    seen = spotted(contexts.select("family_id", "condition", "text"), names, "family_id", ("condition",), once=True).groupBy(*SPOT).agg(F.collect_set("surface").alias("_seen"))
+    w = Window.partitionBy("family_id")
+    texts = contexts.groupBy(*SPOT).agg(F.collect_list("text").alias("_texts")).join(packets.select("family_id", F.array_distinct("start_names").alias("_names")), "family_id")
+    seen = texts.select(*SPOT, F.filter("_names", lambda s: (s != "") & F.exists("_texts", lambda t: t.contains(s))).alias("_s"))
+    seen = seen.groupBy("family_id").agg(F.map_from_entries(F.collect_list(F.struct("condition", "_s"))).alias("_by"))
     p = packets.select("family_id", F.get("start_names", F.lit(0)).alias("_name"), F.coalesce("residual", F.array().cast("array<string>")).alias("_residual"))
-    base = solved.where("condition = 'base'").select("family_id", F.col("status").alias("_s"), F.col("answers").alias("_a"), F.col("proofs").alias("_p"), F.col("support").alias("_before"))
-    j = solved.join(base, "family_id", "left").join(p, "family_id").join(seen, SPOT, "left")
+    base = F.first(F.when(F.col("condition") == "base", F.struct(F.col("status").alias("_s"), F.col("answers").alias("_a"), F.col("proofs").alias("_p"), F.col("support").alias("_before"))), True)
+    j = solved.withColumn("_base", base.over(w)).select(*solved.columns, "_base.*").join(p, "family_id").join(seen, "family_id", "left").withColumn("_seen", F.element_at("_by", F.col("condition")))
     seen_names = F.coalesce("_seen", F.array().cast("array<string>"))
     is_ = lambda c: F.col("condition") == c
     same = F.coalesce((F.col("_s") == "answerable") & (F.col("status") == "answerable") & (F.col("answers") == F.col("_a")), F.lit(False))

@@ -227,6 +227,13 @@ def cut(text: Column, spans: Column) -> Column:
     return let(spans, kept)
 
 
+def without_quotes(text: Column, quotes: Column) -> Column:
+    """The text without the quotes if each stands in it exactly once, else the text as it is."""
+    once = F.forall(quotes, lambda q: F.coalesce(count_apart(text, q), F.lit(0)) == 1)
+    spans = F.transform(quotes, lambda q: F.struct((F.instr(text, q) - 1).alias("start"), (F.instr(text, q) - 1 + F.length(q)).alias("end")))
+    return F.when((F.size(quotes) > 0) & once, cut(text, merged(spans))).otherwise(text)
+
+
 def delete_quotes(units: DataFrame, cuts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(units after deletion, log of cuts, violations): each quote must stand exactly once in its unit, else nothing of the unit is cut.
 

@@ -14,8 +14,8 @@ from hopmill.plans.metric_queries import COUNTS, MACRO, MEANS, QUESTIONS
 
 
 def lines(spark, sf_dir):
-    """One row for each line of an order, with n, its place from 0."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c[2:]) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")))
+    """One row for each line of an order, with n, its place from 0. Lines are dealt by their order once, which is what all later steps go by."""
+    rows = table(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c[2:]) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")  # an order has few lines by its nature
     return rows.withColumn("n", F.row_number().over(w) - 1)
 

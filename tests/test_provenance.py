@@ -64,3 +64,35 @@ def test_rules(spark):
 def test_bits(spark):
     r = spark.range(1).select(P.bits(F.array(*map(F.lit, (0, 5, 63, 64, 130))), F.lit(3)).alias("b"), P.bits(F.array(F.lit(63), F.lit(130), F.lit(1)), F.lit(3)).alias("c")).select("b", P.shared_bits(F.col("b"), F.col("c")).alias("n")).first()
     assert [x % 2**64 for x in r.b] == [1 + 2**5 + 2**63, 1, 4] and r.n == 2
+
+
+def test_tables_dealt_by_family_are_not_shuffled_again(spark):
+    packets = spark.createDataFrame([("f", GOOD["base"], GOOD["d"], GOOD["i"], GOOD["cuts"], GOOD["names"], GOOD["why"], GOOD["residual"])], PACKET).repartition("family_id")
+    units = spark.createDataFrame([("f", u, t) for u, t in TEXTS.items()], "family_id string, unit_id string, text string").repartition("family_id")
+    evidence = spark.createDataFrame([("f", *e) for e in EVIDENCE], "family_id string, fact_id string, group_no int, unit_id string, quote string").repartition("family_id")
+    proofs = spark.createDataFrame([("f", "cy", p) for p in (["ab", "bc"], ["ad", "dc"])], "family_id string, answer string, facts array<string>").repartition("family_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        contexts, _, _ = P.family_contexts(packets, units)
+        solved = P.solved_families(proofs, *P.support_bits(evidence, contexts))
+        for df in (solved,):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_contexts_are_those_of_deleted_quotes(spark):
+    from hopmill.operators.text import delete_quotes
+
+    texts = {"a": "Ann met Bob. Ann left.", "b": "Ann", "c": "", "d": None, "e": "x x"}
+    quotes = [("a", "Bob"), ("a", "Ann"), ("a", "Ann met"), ("b", "Ann"), ("c", "y"), ("d", "y"), ("e", "x x"), ("e", None), ("gone", "y")]
+    for k in range(1, len(quotes) + 1):
+        cut = [(P.NECESSARY, *q) for q in quotes[:k]]
+        packets = spark.createDataFrame([("f", list(texts), [], [], cut, [], [], [])], PACKET)
+        contexts, _, _ = P.family_contexts(packets, spark.createDataFrame([("f", *t) for t in texts.items()], "family_id string, unit_id string, text string"))
+        rows = spark.createDataFrame([("f", P.NECESSARY, *t) for t in texts.items()], "family_id string, condition string, unit_id string, text string")
+        want, _, _ = delete_quotes(rows, spark.createDataFrame([("f", *c) for c in cut], "family_id string, condition string, unit_id string, quote string"), ["family_id", "condition", "unit_id"])
+        got = contexts.where(F.col("condition") == P.NECESSARY)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
