@@ -76,7 +76,7 @@ def test_tables_dealt_by_family_are_not_shuffled_again(spark):
     try:
         contexts, _, _ = P.family_contexts(packets, units)
         solved = P.solved_families(proofs, *P.support_bits(evidence, contexts))
-        for df in (solved,):
+        for df in (solved, P.family_violations(packets, solved, contexts)):
             plan = df._jdf.queryExecution().executedPlan().toString()
             assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
     finally:
