@@ -39,7 +39,10 @@ def x15_flags(spark, sf_dir):
 
 
 def x28_gate(spark, sf_dir):
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    # dealt by their order as they are: digests are larger than what they are made of, and flags smaller than their numbers
+    o, li = table(spark, sf_dir, "orders").repartition("o_orderkey"), table(spark, sf_dir, "lineitem")
+    flags = {"_tax": F.col("l_tax") > 0.075, "_many": F.col("l_quantity") > 45, "_few": F.col("l_quantity") < 5, "_discount": F.col("l_discount") > 0.085}
+    dealt = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", *(c.alias(n) for n, c in flags.items())).repartition("l_orderkey")
     sha = lambda *c: F.sha2(F.concat_ws("-", *(F.col(x).cast("string") for x in c)), 256)
     kind = F.substring("o_orderpriority", 1, 1)
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "technical_failure").otherwise("protocol_failure")
@@ -47,7 +50,7 @@ def x28_gate(spark, sf_dir):
     requests = o.select(F.col("o_orderkey").alias("job_id"), F.when(kind == "1", "scoring").when(kind == "2", "inventory").otherwise("review").alias("kind"), status.alias("status"), (F.col("o_custkey") % 2 == 0).alias("closed_world"), (F.col("o_totalprice") < 150000).alias("source_empty"), F.concat(F.lit("r"), F.col("o_custkey") % 10).alias("author"), sha("o_orderkey").alias("request_sha256"), sha("o_custkey").alias("source_sha256"), sha("o_orderpriority").alias("draft_sha256"), F.array("o_orderpriority").alias("coverage"), both.alias("facets"), F.col("o_orderstatus").alias("core"))
     reviewer = F.concat(F.lit("r"), F.col("l_suppkey") % 10)
     off = lambda n, right: F.when(F.col("l_partkey") % n != 0, right)
-    receipts = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("job_id"), sha("l_orderkey", "l_linenumber").alias("receipt_sha256"), F.when(F.col("l_suppkey") % 9 == 0, "short").otherwise(sha("l_partkey")).alias("artifact_sha256"), F.when(F.col("l_tax") > 0.075, "v0").otherwise("v1").alias("version"), F.lit("core").alias("scope"), off(11, sha("o_orderkey")).alias("request_sha256"), off(13, sha("o_custkey")).alias("source_sha256"), off(7, sha("o_orderpriority")).alias("draft_sha256"), F.when(F.col("l_returnflag") == "R", "rejected").otherwise("confirmed").alias("decision"), F.when(F.col("l_quantity") > 45, F.array(F.lit("scope"))).otherwise(F.array().cast("array<string>")).alias("unresolved"), F.when(F.col("l_suppkey") % 5 == 0, "model").otherwise("human").alias("reviewer_kind"), reviewer.alias("reviewer"), F.when(F.col("l_quantity") < 5, F.array().cast("array<string>")).otherwise(F.array("o_orderpriority")).alias("coverage"), F.when(F.col("l_discount") > 0.085, F.array(F.lit("scope"))).otherwise(both).alias("facets"), F.when(F.col("l_linenumber") == 4, "other").otherwise(F.col("o_orderstatus")).alias("core"))
+    receipts = dealt.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("job_id"), sha("l_orderkey", "l_linenumber").alias("receipt_sha256"), F.when(F.col("l_suppkey") % 9 == 0, "short").otherwise(sha("l_partkey")).alias("artifact_sha256"), F.when(F.col("_tax"), "v0").otherwise("v1").alias("version"), F.lit("core").alias("scope"), off(11, sha("o_orderkey")).alias("request_sha256"), off(13, sha("o_custkey")).alias("source_sha256"), off(7, sha("o_orderpriority")).alias("draft_sha256"), F.when(F.col("l_returnflag") == "R", "rejected").otherwise("confirmed").alias("decision"), F.when(F.col("_many"), F.array(F.lit("scope"))).otherwise(F.array().cast("array<string>")).alias("unresolved"), F.when(F.col("l_suppkey") % 5 == 0, "model").otherwise("human").alias("reviewer_kind"), reviewer.alias("reviewer"), F.when(F.col("_few"), F.array().cast("array<string>")).otherwise(F.array("o_orderpriority")).alias("coverage"), F.when(F.col("_discount"), F.array(F.lit("scope"))).otherwise(both).alias("facets"), F.when(F.col("l_linenumber") == 4, "other").otherwise(F.col("o_orderstatus")).alias("core"))
     registry = li.where("l_linenumber <> 3").select(sha("l_orderkey", "l_linenumber").alias("receipt_sha256"), sha("l_partkey").alias("artifact_sha256"), F.when(F.col("l_linenumber") == 5, "someone").otherwise(reviewer).alias("reviewer"), (F.col("l_linenumber") != 6).alias("verified"))
     routed = G.gated_reviews(requests, receipts, registry, "v1", "core")
     return routed.groupBy("kind", "before", "after", "reason", "usable").agg(F.count("*").alias("jobs"))

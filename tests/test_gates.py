@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from hopmill.operators import accounting as X
 from hopmill.operators import gates as G
 
@@ -70,3 +72,22 @@ def test_what_rounds_share(spark):
     contracts = "kind string, schema_sha256 string, prompt_sha256 string"
     flags = G.contract_flags(compared, spark.createDataFrame([("k", "s", "p")], contracts), spark.createDataFrame([("k", "s", "z"), ("m", None, "p")], contracts))
     assert {tuple(r) for r in flags.collect()} == {("k", 1, False, True, False), ("m", 1, True, True, False)}
+
+
+def test_only_digests_and_a_number_of_a_receipt_go_to_the_registry(spark, capsys):
+    frames = [spark.createDataFrame([], s) for s in (REQUEST, RECEIPT, REGISTRY)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        G.gated_reviews(*(f.repartition(4) for f in frames), "v", "s").explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = [b.splitlines() for b in capsys.readouterr().out.split("\n\n") if ") Exchange\n" in b and "hashpartitioning(_receipt#" in b]
+    assert len(sent) == 2 and all("_artifact#" in b[1] for b in sent)
+    assert not any(c in b[1] for b in sent for c in ("request_sha256", "source_sha256", "draft_sha256", "coverage", "facets"))
+
+
+def test_packed_digests_stay_apart(spark):
+    hexes = ["0" * 64, "0" * 63 + "1", "A" * 64, "a" * 64, "a" * 64 + "\n", "a" * 63, "", "-", "-" * 32, "-" * 33, bytes.fromhex("61" * 32).decode()]
+    got = spark.createDataFrame([(x,) for x in hexes], "x string").select(G._packed(F.col("x")).alias("p")).collect()
+    assert len({bytes(r.p) for r in got}) == len(hexes) and len(got[3].p) == 32
