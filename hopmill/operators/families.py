@@ -40,9 +40,12 @@ def expand_conditions(packets: DataFrame, units: DataFrame) -> tuple[DataFrame,
     packets: family_id, base_unit_ids, distractor_ids, irrelevant_ids, deletions (condition, unit_id, quote).
     """
     added = F.when(F.col("condition") == "main_distractor", F.col("distractor_ids")).when(F.col("condition") == "irrelevant_addition", F.col("irrelevant_ids")).otherwise(F.array().cast("array<string>"))
-    rows = packets.withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS)))).select("family_id", "condition", F.explode(F.array_union("base_unit_ids", added)).alias("unit_id"))
+    rest = [c for c in units.columns if c not in ("family_id", "unit_id")]
+    held = units.groupBy("family_id").agg(F.collect_list(F.struct("unit_id", *rest)).alias("_units"))  # bounded by the nature of a family
+    rows = packets.join(held, "family_id").withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS)))).withColumn("_ids", F.array_union("base_unit_ids", added))
+    rows = rows.select("family_id", "condition", F.inline(F.filter("_units", lambda u: F.array_contains("_ids", u["unit_id"])))).select("family_id", "unit_id", "condition", *rest)
     cuts = packets.select("family_id", F.explode("deletions").alias("_d")).select("family_id", "_d.condition", "_d.unit_id", "_d.quote")
-    return rows.join(units, ["family_id", "unit_id"]), cuts
+    return rows, cuts
 
 
 def invariant_violations(solved: DataFrame, name_visible: DataFrame | None = None) -> DataFrame:
@@ -197,12 +200,13 @@ def fact_documents(variants: DataFrame, supports: DataFrame) -> DataFrame:
     variants: family_id, variant_index, fact_ids, unit_ids; supports: family_id, fact_id, unit_id, of all registered
     support sets. A fact that no unit of the variant supports has no document and an empty list.
     """
-    each = lambda c, n: variants.select("family_id", "variant_index", F.explode(F.array_distinct(c)).alias(n))
-    facts, keys = each("fact_ids", "fact_id"), ["family_id", "variant_index"]
-    held = each("unit_ids", "unit_id").join(supports.select("family_id", "fact_id", "unit_id"), ["family_id", "unit_id"])
-    found = held.groupBy(*keys, "fact_id").agg(F.array_sort(F.collect_set("unit_id")).alias("documents"))
-    out = facts.join(found, [*keys, "fact_id"], "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<string>")))
-    return out.select(*keys, "fact_id", F.get("documents", 0).alias("document"), "documents")
+    known = supports.groupBy("family_id").agg(F.collect_list(F.struct("fact_id", "unit_id")).alias("_known"))  # bounded by the nature of a family
+    each = variants.select("family_id", "variant_index", "fact_ids", "unit_ids").join(known, "family_id", "left")
+    each = each.select("family_id", "variant_index", "unit_ids", "_known", F.explode(F.array_distinct("fact_ids")).alias("fact_id"))
+    holds = F.filter("_known", lambda s: (s["fact_id"] == F.col("fact_id")) & F.array_contains("unit_ids", s["unit_id"]))
+    documents = F.array_sort(F.array_distinct(F.transform(holds, lambda s: s["unit_id"])))
+    out = each.withColumn("documents", F.coalesce(documents, F.array().cast("array<string>")))
+    return out.select("family_id", "variant_index", "fact_id", F.get("documents", 0).alias("document"), "documents")
 
 
 def document_order(family: Column, documents: Column, salt: str, backwards: bool = False) -> Column:

@@ -27,3 +27,18 @@ def test_kinds_of_corruptions_go_by_index(spark):
     fam = spark.createDataFrame([(f"f{i}", "a", "answerable", ["1", "2"], 1, i) for i in range(10)], "family_id string, answer string, status string, proof array<string>, deletions int, index long")
     kinds = {r["index"]: r.category for r in V.corruptions(fam, index=F.col("index")).where("copy = 'bad'").collect()}
     assert kinds == {i: ("wrong_answer", "wrong_status", "reversed_proof", "fake_deletion")[i % 4] for i in range(10)}
+
+
+def test_variants_dealt_by_family_are_not_shuffled_again(spark):
+    df = spark.createDataFrame([("f", 0, ["a"], ["u"], ["x"], "answerable")], VARIANTS).repartition("family_id")
+    supports = spark.createDataFrame([("f", "a", "u")], "family_id string, fact_id string, unit_id string").repartition("family_id")
+    packets = spark.createDataFrame([("f", ["u"], [], ["w"], [])], "family_id string, base_unit_ids array<string>, distractor_ids array<string>, irrelevant_ids array<string>, deletions array<struct<condition string, unit_id string, quote string>>").repartition("family_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows, _ = V.expand_conditions(packets, supports.select("family_id", "unit_id").repartition("family_id"))
+        for out in (rows, V.fact_documents(df, supports), V.variant_records(df)):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
