@@ -20,8 +20,12 @@ BASE_B, RATE_A, Q = 1.001, 20.0, (1 << 16) - 2
 BANDS, ROWS = 36, 6
 #: Members of a candidate group compared in one piece; larger groups are compared piece by piece.
 BLOCK = 256
+#: What places a candidate in a group of pairs to compare.
+PLACE = ("_component", "_side", "_group", "_i", "_j")
 #: Pairs whose estimate is so many standard deviations below the threshold are not verified.
 DEVIATIONS = 5.0
+#: Rows of a table that is broadcast here, of which the driver holds several; larger ones are shuffled, candidates with their texts.
+BROADCAST = 100_000
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +99,8 @@ def _with_sets(words: int):
                 if full:
                     r = registers([sets[k] for k in full])
                     ids = batch.column(0)[i:j].take(pa.array(full))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([sets[k].tobytes() for k in full], pa.binary()), pa.array([x.tobytes() for x in r], pa.binary())], ["_node", "shingles", "registers"])
+                    places = batch.column(2)[i:j].take(pa.array(full))
+                    yield pa.RecordBatch.from_arrays([ids, places, pa.array([sets[k].tobytes() for k in full], pa.binary()), pa.array([x.tobytes() for x in r], pa.binary())], ["_node", "places", "shingles", "registers"])
 
     return of
 
@@ -168,7 +173,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     nodes = stash(s.where("digest is not null and _id is not null").groupBy("digest").agg(F.min("_id").alias("node"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     met = stash(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("band", "pivot"), "buckets")
-    pairs = banded.join(small(met), "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = banded.join(small(met, BROADCAST), "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     candidates = stash(components(pairs).select(F.col("node").alias("_node"), F.col("component").alias("_component")), "candidates")
     sizes = candidates.groupBy("_component").agg(F.count("*").alias("_size"))
     total = candidates.count()
@@ -183,10 +188,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         F.least("_side", "_other").alias("_i"),
         F.greatest("_side", "_other").alias("_j"),
     )
-    dealt = stash(dealt, "dealt")
-    again = slim.join(small(candidates.select(F.col("_node").alias("_id"))), "_id", "left_semi")
-    sets = again.select("_id", "_text").mapInArrow(_with_sets(words), "_node long, shingles binary, registers binary")
-    links = sets.join(small(dealt), "_node").groupBy("_group", "_i", "_j").applyInPandas(_verified(per, cent), "a long, b long")
+    places = dealt.groupBy(F.col("_node").alias("_id")).agg(F.collect_list(F.struct(*PLACE)).alias("places"))
+    places = stash(places, "places")
+    near = small(places, BROADCAST)
+    near = places.hint("shuffle_hash") if near is places else near  # texts that are shuffled need not be sorted
+    sets = slim.join(near, "_id").select("_id", "_text", "places").mapInArrow(_with_sets(words), f"_node long, places {places.schema['places'].dataType.simpleString()}, shingles binary, registers binary")
+    links = sets.select("_node", "shingles", "registers", F.inline("places")).groupBy("_group", "_i", "_j").applyInPandas(_verified(per, cent), "a long, b long")
     groups = components(links).withColumnsRenamed({"component": "_found"})
     of = nodes.join(groups, "node", "left").select("digest", F.coalesce("_found", "node").alias("_found"))
     out = s.select("_id", "n_shingles", "digest").join(of, "digest", "left")

@@ -616,3 +616,23 @@ def test_decontam_marks_leave_ascii_texts_ascii(spark):
     assert r.m == f"{i}today {a}ann {a}lee paid {a}bob {n}12 {u}dollars for {n}3.5 {u}km of rope {i}why"
     assert (r.t0, r.t1) == (f"today {a} paid {a} {n} {u} for {n} {u} of rope why", f"{a} paid {a} {n} {u} for {n} {u} of rope {a}")
     assert r.t2 == "today ann lee paid bob 12 dollars for 3.5 km of rope why"
+
+
+def test_near_duplicates_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 40)) for i in range(300)]
+    rows += [(1000 + i, t.replace(" ", "  ") if i % 2 else t + " end") for i, t in rows[:120]] + [(5000 + i, rows[0][1] + f" end {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    of = lambda: sorted(map(tuple, minhash.near_duplicates(docs, words=2).collect()))
+    asked = []
+    small = minhash.small
+    monkeypatch.setattr(minhash, "small", lambda df, limit: asked.append(limit) or small(df, limit))
+    want = of()
+    monkeypatch.setattr(minhash, "BROADCAST", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert of() == want and sum(not r[3] for r in want) > 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert max(asked) == 100_000 and 0 in asked
