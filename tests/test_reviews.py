@@ -86,3 +86,12 @@ def test_answers_of_orders_are_dealt_by_order_alone(spark, monkeypatch):
     dealt = re.findall(r"hashpartitioning\((.*?), \d+\), ENSURE_REQUIREMENTS", plans[-1])
     assert dealt and {k.split("#")[0] for k in dealt} <= {"owner_id", "o_orderkey", "_groupingexpression", "item_id", "l_orderkey"} and not any("," in k for k in dealt)
     assert spark.conf.get(key) == before[1]
+
+
+def test_assessment_reads_written_answers(spark, monkeypatch):
+    from hopmill.plans import review_queries
+
+    names, written = [], review_queries.written_as_dealt
+    monkeypatch.setattr(review_queries, "written_as_dealt", lambda df, name: names.append((name, df.columns)) or written(df, name))
+    assert review_queries.x20_assessment(spark, "/root/testdata/sf0.001").count() > 0
+    assert names == [("answers", ["item_id", "answer_correct", "path_correct", "quotes_located", "reference_covered", "strict"])]
